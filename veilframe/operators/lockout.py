@@ -11,9 +11,9 @@ across a quiet gap of at least 15 minutes (any lock has expired by then). So:
    least 15 minutes apart. The cuts are found on per-(user, 15-minute bucket)
    summaries (min/max time), whose number is bounded by the time span, not
    by the number of attempts; a window over those summaries numbers sessions.
-2. *Per session* (``applyInPandas`` keyed by user and session): the session
-   is replayed once for each possible start count 0..4, giving its end count
-   and its lock events for each start.
+2. *Per session* (``applyInPandas`` keyed by user and a block of up to 256
+   consecutive sessions): each session is replayed once for each possible
+   start count 0..4, giving its end count and lock events for each start.
 3. *Per user*: a fold over the session summaries (five small rows per
    session) picks the actual start count of every session.
 4. The lock events of the chosen start counts are kept (a join).
@@ -25,6 +25,7 @@ one task.
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ MAX_FAILED_ATTEMPTS = 5
 LOCKOUT_MINUTES = 15
 
 _GAP_US = LOCKOUT_MINUTES * 60 * 1_000_000
+SESSIONS_PER_GROUP = 256  # sessions of one user replayed by one pandas call
 
 SESSION_OUT = ("user string, session bigint, start_count int, kind string, end_count int, "
                "locked_at timestamp, locked_until timestamp, rejected bigint")
@@ -62,16 +64,17 @@ def _replay(ts: list, ok: list, start_count: int):
 
 
 def _session_replays(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts", "seq"], kind="mergesort")
-    ts = list(pdf["ts"])
-    ok = list(pdf["ok"])
-    user, session = pdf["user"].iloc[0], int(pdf["session"].iloc[0])
+    """Replay every session of the group once per possible start count."""
+    pdf = pdf.sort_values(["session", "ts", "seq"], kind="mergesort")
+    user = pdf["user"].iloc[0]
     rows = []
-    for start in range(MAX_FAILED_ATTEMPTS):
-        end, locks = _replay(ts, ok, start)
-        rows.append((user, session, start, "summary", end, None, None, None))
-        for at, until, rej in locks:
-            rows.append((user, session, start, "lock", None, at, until, rej))
+    for session, g in pdf.groupby("session", sort=False):
+        ts, ok = list(g["ts"]), list(g["ok"])
+        for start in range(MAX_FAILED_ATTEMPTS):
+            end, locks = _replay(ts, ok, start)
+            rows.append((user, int(session), start, "summary", end, None, None, None))
+            for at, until, rej in locks:
+                rows.append((user, int(session), start, "lock", None, at, until, rej))
     return pd.DataFrame(rows, columns=["user", "session", "start_count", "kind", "end_count",
                                        "locked_at", "locked_until", "rejected"])
 
@@ -100,8 +103,10 @@ def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
     sessions = buckets.withColumn("_new", new_session).withColumn(
         "session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("bigint")
     ).select("user", "bucket", "session")
-    tagged = a.join(sessions, ["user", "bucket"])
-    replays = tagged.groupBy("user", "session").applyInPandas(_session_replays, SESSION_OUT)
+    tagged = a.join(sessions, ["user", "bucket"]).withColumn(
+        "block", F.floor((F.col("session") - 1) / F.lit(SESSIONS_PER_GROUP)).cast("bigint"))
+    replays = tagged.groupBy("user", "block").applyInPandas(_session_replays, SESSION_OUT).persist(
+        StorageLevel.MEMORY_AND_DISK)
     summaries = replays.where(F.col("kind") == "summary").select("user", "session", "start_count", "end_count")
     chosen = summaries.groupBy("user").applyInPandas(_fold_user, "user string, session bigint, start_count int")
     locks = replays.where(F.col("kind") == "lock").join(chosen, ["user", "session", "start_count"], "left_semi")
