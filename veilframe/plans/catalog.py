@@ -517,6 +517,39 @@ def q_lockout_replay(spark, sf):
     return lockout.lockout_replay(att)
 
 
+# --- streaming forms (run to completion over the table with availableNow) -------
+
+STREAM_WINDOW = "1 hour"
+STREAM_WATERMARK = "1 hour"
+
+
+def q_stream_audit_rollup(spark, sf):
+    from ..streaming import jobs
+    log = audit.events_as_audit(jobs.table_stream(spark, sf, "events"))
+    return jobs.run_available(jobs.rollup_stream(log, STREAM_WINDOW, STREAM_WATERMARK), "audit_rollup")
+
+
+def q_stream_rate_breaches(spark, sf):
+    from ..streaming import jobs
+    log = audit.events_as_audit(jobs.table_stream(spark, sf, "events"))
+    return jobs.run_available(jobs.rate_breach_stream(log, "user", "1 day", RATE_LIMIT_PER_DAY, "1 day"),
+                              "rate_breaches")
+
+
+def q_stream_profile_pipeline(spark, sf):
+    from ..streaming import jobs
+    return jobs.run_available(jobs.anonymize_stream(jobs.table_stream(spark, sf, "lineitem"), PIPELINE_PROFILE, SEED),
+                              "profile_pipeline")
+
+
+def q_stream_lockout(spark, sf):
+    from ..streaming import jobs
+    ev = jobs.table_stream(spark, sf, "events").where(F.col("event_type").isin("error", "signup"))
+    att = ev.select(F.col("user_id").alias("user"), "ts", F.col("event_id").alias("seq"),
+                    (F.col("event_type") == "signup").alias("ok"))
+    return jobs.run_available(jobs.lockout_stream(att), "lockout")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dataset_profile": q_dataset_profile,
     "preview_head": q_preview_head,
@@ -586,6 +619,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rate_breaches": q_rate_breaches,
     "access_review": q_access_review,
     "lockout_replay": q_lockout_replay,
+    "stream_audit_rollup": q_stream_audit_rollup,
+    "stream_rate_breaches": q_stream_rate_breaches,
+    "stream_profile_pipeline": q_stream_profile_pipeline,
+    "stream_lockout": q_stream_lockout,
 }
 
 
@@ -969,4 +1006,15 @@ ORACLE_SQL: dict[str, str] = {
         {RATE_LIMIT_PER_DAY} AS "limit", '{RATE_LIMIT_PER_DAY} per 1 day' AS rule
         FROM ({_log_sql()}) GROUP BY "user", date_trunc('day', ts) HAVING count(*) > {RATE_LIMIT_PER_DAY}""",
     "access_review": _access_sql(),
+    "stream_audit_rollup": f"""SELECT * FROM (
+        SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+               event_type, success, count(*) AS n_events
+        FROM ({_log_sql()}) GROUP BY 1, 2, 3, 4)
+        WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "stream_rate_breaches": f"""SELECT "user", date_trunc('day', ts) AS window_start,
+        date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS n_events, {RATE_LIMIT_PER_DAY} AS "limit"
+        FROM ({_log_sql()}) GROUP BY "user", date_trunc('day', ts)
+        HAVING count(*) > {RATE_LIMIT_PER_DAY}
+           AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+    "stream_profile_pipeline": _profile_pipeline_sql(),
 }

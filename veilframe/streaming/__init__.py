@@ -1,0 +1,3 @@
+from .jobs import (  # noqa: F401
+    anonymize_stream, lockout_stream, rate_breach_stream, rollup_stream, run_available, shared_path, table_stream,
+)
