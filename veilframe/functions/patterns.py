@@ -59,13 +59,50 @@ SPACE_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
 DIGIT_CLASS = r"\p{Nd}"
 
 
+def _is_word_char(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
+
+
+def _boundaries(pattern: str) -> str:
+    """Replace ``\\b`` by the cheapest look-around with the same meaning here.
+
+    Before a literal word character ``c``: ``c(?<!W.)`` - the look-behind runs
+    only after ``c`` matched, so the scan is led by a plain character test.
+    Before a group: ``(?<!W)``. After a word character or group: ``(?!W)``.
+    Anywhere else: the full two-sided definition.
+    """
+    w = WORD_CLASS
+    out, i, n = [], 0, len(pattern)
+    while i < n:
+        if pattern.startswith(r"\b", i):
+            nxt = pattern[i + 2] if i + 2 < n else ""
+            prev = out[-1][-1] if out and out[-1] else ""
+            if nxt and _is_word_char(nxt):
+                out.append(f"{nxt}(?<!{w}.)")
+                i += 3
+                continue
+            if nxt == "(":
+                out.append(f"(?<!{w})")
+            elif prev and (_is_word_char(prev) or prev == ")"):
+                out.append(f"(?!{w})")
+            else:
+                out.append(f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))")
+            i += 2
+            continue
+        if pattern[i] == "\\" and i + 1 < n:
+            out.append(pattern[i:i + 2])
+            i += 2
+            continue
+        out.append(pattern[i])
+        i += 1
+    return "".join(out)
+
+
 def to_java(pattern: str, ignore_case: bool = True) -> str:
     """Rewrite a Python ``re`` pattern for ``rlike`` with the same meaning."""
-    w = WORD_CLASS
-    boundary = f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))"
     out = (
-        pattern.replace(r"\b", boundary)
-        .replace(r"\w", w)
+        _boundaries(pattern)
+        .replace(r"\w", WORD_CLASS)
         .replace(r"\s", SPACE_CLASS)
         .replace(r"\d", DIGIT_CLASS)
         .replace(r"\#", "#")

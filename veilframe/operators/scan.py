@@ -6,18 +6,20 @@ string expressions (map-only, no shuffle), and per-pattern / per-violation
 counts from one aggregation.
 
 JSON documents (V13) are parsed into Variant values and walked level by level
-with ``explode`` over ``map<string,variant>`` / ``array<variant>`` casts: at
-most eleven narrow rounds (depth 0..11), then one aggregation back to the
-document. Nothing is parsed in Python.
+with ``inline`` over ``map<string,variant>`` / ``array<variant>`` casts; the
+walk stops at the first depth with no nodes (at most depth 11), then one
+aggregation brings the findings back to the document. Nothing is parsed in
+Python.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..functions.patterns import DANGEROUS_PATTERNS, SQL_INJECTION_PATTERNS, XSS_PATTERNS, to_java
+from ..functions.patterns import DANGEROUS_PATTERNS, SQL_INJECTION_PATTERNS, XSS_PATTERNS, any_of, to_java
 
 PATTERN_SETS = {
     "sql_injection": SQL_INJECTION_PATTERNS,
@@ -30,14 +32,22 @@ JSON_MAX_DEPTH = 10
 
 
 def scan(df: DataFrame, text_col: str, kind: str, keep: list[str] | None = None) -> DataFrame:
-    """Per-row scan: ``hit`` (any pattern) and ``n_patterns`` (how many patterns occur)."""
+    """Per-row scan: ``hit`` (any pattern) and ``n_patterns`` (how many patterns occur).
+
+    One combined regex pass decides ``hit``; the patterns are counted one by
+    one only on matching rows (``CASE WHEN`` evaluates lazily), so clean text
+    is decoded and scanned once.
+    """
     pats = PATTERN_SETS[kind]
-    hits = [F.when(F.col(text_col).rlike(to_java(p)), F.lit(1)).otherwise(F.lit(0)) for p in pats]
-    n = hits[0]
-    for h in hits[1:]:
-        n = n + h
+    text = F.col(text_col)
+    hit = text.rlike(to_java(any_of(pats)))
+    flags = [F.when(text.rlike(to_java(p)), F.lit(1)).otherwise(F.lit(0)) for p in pats]
+    n = flags[0]
+    for f in flags[1:]:
+        n = n + f
     keep = keep if keep is not None else [c for c in df.columns if c != text_col]
-    return df.select(*keep, (n > 0).alias("hit"), n.alias("n_patterns"))
+    return df.select(*keep, F.coalesce(hit, F.lit(False)).alias("hit"),
+                     F.when(hit, n).otherwise(F.lit(0)).alias("n_patterns"))
 
 
 def pattern_counts(df: DataFrame, text_col: str, kind: str) -> DataFrame:
@@ -72,43 +82,43 @@ def check_json(df: DataFrame, json_col: str, keep: list[str] | None = None,
     base = base.withColumn("_too_large", F.octet_length("_j") > F.lit(max_bytes))
     base = base.withColumn("_v", F.when(~F.col("_too_large"), F.try_parse_json("_j")))
     base = base.withColumn("_invalid", ~F.col("_too_large") & F.col("_j").isNotNull() & F.col("_v").isNull())
+    # the row id is joined back below: persist so both uses see the same ids
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
 
     def bad(c):
         return checks.is_sql_injection(c) | checks.is_xss(c)
 
-    # One linear chain of levels: each node row explodes into its children
-    # plus one flag row holding its own findings; flag rows are carried
-    # forward unchanged. Every level is referenced once, so the plan stays
-    # linear in the depth and each document is parsed once.
-    elem = "struct<key:string,node:variant,depth:int,flag:boolean,deep:boolean,bkey:boolean,bval:boolean>"
+    # Level-by-level walk: level d holds the nodes at depth d with the key
+    # they sit under. Each level is persisted and the walk stops at the first
+    # empty level, so the number of passes follows the data's real depth
+    # (at most max_depth + 2); every level contributes its findings.
+    elem = "struct<key:string,node:variant>"
     level = base.where(F.col("_v").isNotNull()).select(
-        "_doc", F.lit(None).cast("string").alias("key"), F.col("_v").alias("node"), F.lit(0).alias("depth"),
-        F.lit(False).alias("flag"), F.lit(False).alias("deep"), F.lit(False).alias("bkey"), F.lit(False).alias("bval"))
-    for _ in range(max_depth + 1):
+        "_doc", F.lit(None).cast("string").alias("key"), F.col("_v").alias("node")
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    findings = []
+    for depth in range(max_depth + 2):
         obj = F.expr("try_cast(node as map<string,variant>)")
         arr = F.expr("try_cast(node as array<variant>)")
         is_str = F.expr("schema_of_variant(node)") == F.lit("STRING")
         scalar_bad = F.when(obj.isNull() & arr.isNull() & is_str,
                             bad(F.expr("variant_get(node, '$', 'string')"))).otherwise(F.lit(False))
-        own = F.struct(
-            F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("node"),
-            F.col("depth"), F.lit(True).alias("flag"), (F.col("depth") > F.lit(max_depth)).alias("deep"),
-            (F.col("key").isNotNull() & bad(F.col("key"))).alias("bkey"), scalar_bad.alias("bval"))
-        kids_obj = F.transform(F.map_entries(obj), lambda e: F.struct(
-            e["key"].alias("key"), e["value"].alias("node"), (F.col("depth") + 1).alias("depth"),
-            F.lit(False).alias("flag"), F.lit(False).alias("deep"), F.lit(False).alias("bkey"),
-            F.lit(False).alias("bval")))
-        kids_arr = F.transform(arr, lambda x: F.struct(
-            F.lit(None).cast("string").alias("key"), x.alias("node"), (F.col("depth") + 1).alias("depth"),
-            F.lit(False).alias("flag"), F.lit(False).alias("deep"), F.lit(False).alias("bkey"),
-            F.lit(False).alias("bval")))
+        findings.append(level.select(
+            "_doc", F.lit(depth > max_depth).alias("deep"),
+            (F.col("key").isNotNull() & bad(F.col("key"))).alias("bkey"), scalar_bad.alias("bval")))
+        if depth > max_depth:
+            break  # nodes here are too deep; no need to look further down
+        kids_obj = F.transform(F.map_entries(obj), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("node")))
+        kids_arr = F.transform(arr, lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("node")))
         empty = F.array().cast(f"array<{elem}>")
-        me = F.struct("key", "node", "depth", "flag", "deep", "bkey", "bval")
-        out = F.when(F.col("flag"), F.array(me)).otherwise(
-            F.concat(F.array(own), F.coalesce(kids_obj, empty), F.coalesce(kids_arr, empty)))
-        level = level.select("_doc", F.inline(out))
-    # nodes still unexpanded sit at depth max_depth + 1: too deep by definition
-    flags = level.select("_doc", (F.col("deep") | ~F.col("flag")).alias("deep"), "bkey", "bval")
+        nxt = level.select("_doc", F.inline(F.concat(F.coalesce(kids_obj, empty), F.coalesce(kids_arr, empty))))
+        nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+        if nxt.isEmpty():
+            break
+        level = nxt
+    flags = findings[0]
+    for f in findings[1:]:
+        flags = flags.unionByName(f)
     per_doc = flags.groupBy("_doc").agg(F.bool_or("deep").alias("_deep"), F.bool_or("bkey").alias("_bkey"),
                                         F.bool_or("bval").alias("_bval"))
     out = base.join(per_doc, "_doc", "left")
