@@ -98,17 +98,23 @@ def check_k(df: DataFrame, qi: list[str], k: int) -> tuple[bool, int]:
     return bool(row["satisfies"]), int(row["min_group_size"])
 
 
-def _check_hist(hist: DataFrame, k: int) -> tuple[bool, int, int, int]:
-    """k-check on a (possibly re-aggregated) histogram; returns also #classes and #small."""
-    row = hist.where(qi_present([c for c in hist.columns if c != SIZE])).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(SIZE).alias("mn"),
-        F.count_if(F.col(SIZE) < F.lit(k)).alias("small"),
+def _check_hist(hist: DataFrame, k: int) -> tuple[bool, int, int, int, int]:
+    """k-check on a (possibly re-aggregated) QI histogram in one pass.
+
+    Returns (satisfies, min class size, #classes, #small classes, #rows); rows
+    with a NULL QI count towards #rows but form no class.
+    """
+    present = qi_present([c for c in hist.columns if c != SIZE])
+    row = hist.agg(
+        F.count_if(present).alias("n"),
+        F.min(F.when(present, F.col(SIZE))).alias("mn"),
+        F.count_if(present & (F.col(SIZE) < F.lit(k))).alias("small"),
+        F.coalesce(F.sum(SIZE), F.lit(0)).alias("rows"),
     ).first()
-    n, mn, small = int(row["n"]), row["mn"], int(row["small"])
+    n, mn, small, rows = int(row["n"]), row["mn"], int(row["small"]), int(row["rows"])
     if n == 0:
-        return True, 0, 0, 0
-    return int(mn) >= k, int(mn), n, small
+        return True, 0, 0, 0, rows
+    return int(mn) >= k, int(mn), n, small, rows
 
 
 # --- A2/A3 over a whole frame -----------------------------------------------
@@ -122,17 +128,19 @@ def generalize_columns(df: DataFrame, levels: dict[str, int]) -> DataFrame:
 # --- A4 ---------------------------------------------------------------------
 
 def suppress_small_classes(df: DataFrame, qi: list[str], k: int, null_qi: str = "suppress",
-                           classes: DataFrame | None = None) -> DataFrame:
+                           classes: DataFrame | None = None, n_small: int | None = None) -> DataFrame:
     """A4: drop the rows of classes smaller than k.
 
     ``classes`` may pass a class table already computed for ``df`` (the k
-    search has one); otherwise it is aggregated here.
+    search has one) and ``n_small`` its number of small classes; otherwise
+    they are computed here.
     """
     if null_qi not in ("suppress", "keep"):
         raise ValueError("null_qi must be 'suppress' or 'keep'")
     ct = classes if classes is not None else class_table(df, qi)
-    small = ct.where(F.col(SIZE) < F.lit(k)).select(*qi)
-    n_small = small.count()
+    small = ct.where(qi_present(qi) & (F.col(SIZE) < F.lit(k))).select(*qi)
+    if n_small is None:
+        n_small = small.count()
     base = df.where(qi_present(qi)) if null_qi == "suppress" else df
     if n_small == 0:
         return base
@@ -151,6 +159,7 @@ class KResult:
     satisfied_after_generalization: bool = False
     min_size_after_generalization: int = 0
     suppressed_classes: int = 0
+    total_rows: int = 0
     history: list[tuple[str, bool, int]] = field(default_factory=list)
 
 
@@ -169,8 +178,9 @@ def apply_k_anonymity(df: DataFrame, qi: list[str], k: int, levels: dict[str, in
         return df, KResult(True)
     levels = {c: (levels or {}).get(c, 1) for c in qi}
     hist = df.groupBy(*qi).agg(F.count(F.lit(1)).alias(SIZE)).persist(StorageLevel.MEMORY_AND_DISK)
-    ok, mn, _, _ = _check_hist(hist, k)
-    res = KResult(satisfied_initially=ok, min_size_after_generalization=mn, satisfied_after_generalization=ok)
+    ok, mn, _, _, total = _check_hist(hist, k)
+    res = KResult(satisfied_initially=ok, min_size_after_generalization=mn, satisfied_after_generalization=ok,
+                  total_rows=total)
     res.history.append(("<none>", ok, mn))
     if ok:
         out = df.where(qi_present(qi)) if null_qi == "suppress" else df
@@ -181,7 +191,7 @@ def apply_k_anonymity(df: DataFrame, qi: list[str], k: int, levels: dict[str, in
     for c in qi:
         applied[c] = levels[c]
         cur = generalize_columns(hist, applied).groupBy(*qi).agg(F.sum(SIZE).alias(SIZE))
-        ok, mn, _, small = _check_hist(cur, k)
+        ok, mn, _, small, _ = _check_hist(cur, k)
         res.history.append((c, ok, mn))
         if ok:
             break
@@ -194,7 +204,7 @@ def apply_k_anonymity(df: DataFrame, qi: list[str], k: int, levels: dict[str, in
         out = rows.where(qi_present(qi)) if null_qi == "suppress" else rows
         return out, res
     res.suppressed_classes = small
-    return suppress_small_classes(rows, qi, k, null_qi, classes=cur), res
+    return suppress_small_classes(rows, qi, k, null_qi, classes=cur, n_small=small), res
 
 
 # --- L1-L4 ------------------------------------------------------------------
@@ -228,11 +238,12 @@ def enforce_l_diversity(df: DataFrame, qi: list[str], sensitive: str, l: int,
     ct = classes if classes is not None else class_table(df, qi, sensitive)
     good = ct.where(F.col(DIVERSITY) >= F.lit(l)).select(*qi)
     bad = ct.where(F.col(DIVERSITY) < F.lit(l)).select(*qi)
-    n_bad = bad.count()
+    cnt = ct.agg(F.count_if(F.col(DIVERSITY) >= F.lit(l)).alias("good"),
+                 F.count_if(F.col(DIVERSITY) < F.lit(l)).alias("bad")).first()
+    n_good, n_bad = int(cnt["good"]), int(cnt["bad"])
     base = df.where(qi_present(qi))
     if n_bad == 0:
         return base
-    n_good = good.count()
     if n_good <= n_bad:
         return sized_join(base, good, qi, "left_semi", n_good)
     return sized_join(base, bad, qi, "left_anti", n_bad)
@@ -305,7 +316,7 @@ def apply_k_and_l(df: DataFrame, qi: list[str], sensitive: str, k: int = 3, l: i
         F.count(F.lit(1)).alias("n"), F.min(SIZE).alias("mn"), F.min(DIVERSITY).alias("md"),
         F.coalesce(F.sum(SIZE), F.lit(0)).alias("rows"),
     ).first()
-    n_orig = df.count()
+    n_orig = kres.total_rows if qi else df.count()
     n_final = int(st["rows"])  # L2 keeps exactly the rows of these classes
     n_cls = int(st["n"])
     k_ok = True if n_cls == 0 else int(st["mn"]) >= k

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -187,6 +188,16 @@ def full_report(original: DataFrame, anonymized: DataFrame, qi: list[str], sensi
     spark: SparkSession = original.sparkSession
     if sensitive and sensitive not in anonymized.columns:
         raise ValueError(f"Sensitive attribute '{sensitive}' not found")
+    # several passes read the anonymised frame (class metrics, counts,
+    # entropy, numeric error): compute it once for all of them.
+    anonymized = anonymized.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _full_report(spark, original, anonymized, qi, sensitive, numeric_columns, k, l)
+    finally:
+        anonymized.unpersist()
+
+
+def _full_report(spark, original, anonymized, qi, sensitive, numeric_columns, k, l):
     if qi:
         cm = class_metrics(anonymized, qi, sensitive, k, l).first().asDict()
     else:
