@@ -52,6 +52,15 @@ def test_hash_and_hmac_match_python(spark):
     assert rows["value1"].h != rows["value2"].h
 
 
+def test_hmac_long_output_drops_padding(spark):
+    key = b"secret_key"
+    vals = ["a", "b+/", "x" * 100]
+    df = spark.createDataFrame([(v,) for v in vals], "v string").select("v", hmac_pseudonym("v", key, 60).alias("p"))
+    for r in df.collect():
+        full = base64.urlsafe_b64encode(hmac.new(key, r.v.encode(), hashlib.sha256).digest()).decode().rstrip("=")
+        assert r.p == full[:60] and "=" not in r.p and len(r.p) == 43
+
+
 def test_hmac_of_integers_uses_their_text(spark):
     key = b"k"
     r = one(spark, 29, "v int", hmac_pseudonym("v", key))
