@@ -137,29 +137,34 @@ def _numeric_or_fail(df: DataFrame, column: str) -> None:
         raise TypeError(f"differential privacy needs a numeric column; '{column}' is {dt.simpleString()}")
 
 
-def dp_columns(df: DataFrame, columns: list[str], acct: PrivacyAccountant,
-               sensitivity: dict[str, float] | None = None, seed: int | None = None,
-               split_budget: bool = False) -> DataFrame:
-    """DP7: Laplace noise on every non-null cell of the listed columns.
-
-    Missing columns are skipped. Each column is charged ``epsilon/n`` once
-    (not once per cell); the noise scale is ``sens/epsilon``, or
-    ``sens/(epsilon/n)`` with ``split_budget=True``.
-    """
+def _dp_column_exprs(df: DataFrame, columns: list[str], acct: PrivacyAccountant,
+                     sensitivity: dict[str, float] | None, seed: int | None, split_budget: bool) -> dict:
     sensitivity = sensitivity or {}
     present = [c for c in columns if c in df.columns]
     for c in present:
         _numeric_or_fail(df, c)
     seed = fresh_seed() if seed is None else seed
     eps_col = acct.epsilon / len(columns) if split_budget and columns else acct.epsilon
-    exprs = {}
-    for i, c in enumerate(present):
-        exprs[c] = add_laplace(c, eps_col, sensitivity.get(c, 1.0), seed=(seed + 104729 * (i + 1)) % (2 ** 62))
+    exprs = {c: add_laplace(c, eps_col, sensitivity.get(c, 1.0), seed=(seed + 104729 * (i + 1)) % (2 ** 62))
+             for i, c in enumerate(present)}
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     for c in present:
         share = acct.epsilon / len(columns)
         acct.used += share
         acct.charges.append((acct.dataset, c, "laplace_column", share, acct.delta, now))
+    return exprs
+
+
+def dp_columns(df: DataFrame, columns: list[str], acct: PrivacyAccountant,
+               sensitivity: dict[str, float] | None = None, seed: int | None = None,
+               split_budget: bool = False) -> DataFrame:
+    """DP7: Laplace noise on every non-null cell of the listed columns.
+
+    Missing columns are skipped. Each column is charged ``epsilon/n`` once
+    (not once per cell); the noise scale is ``sens/epsilon``, or
+    ``sens/(epsilon/n)`` with ``split_budget=True``.
+    """
+    exprs = _dp_column_exprs(df, columns, acct, sensitivity, seed, split_budget)
     return df.withColumns(exprs) if exprs else df
 
 
@@ -207,21 +212,19 @@ def dp_dataset(df: DataFrame, columns: list[str], epsilon: float = 1.0, delta: f
     column is a deterministic function of its seed, so it equals the output.
     """
     acct = PrivacyAccountant(epsilon, delta, dataset)
-    noisy = dp_columns(df, columns, acct, sensitivities, seed)
-    present = [c for c in columns if c in df.columns]
+    exprs = _dp_column_exprs(df, columns, acct, sensitivities, seed, False)
+    noisy = df.withColumns(exprs) if exprs else df
     comp_schema = "column string, original_mean double, noisy_mean double, absolute_error double"
-    if not present:
+    if not exprs:
         return noisy, acct.report(), df.sparkSession.createDataFrame([], comp_schema)
-    orig = df.select(*[F.col(c).cast(DoubleType()).alias(c) for c in present])
-    means_o = orig.agg(*[F.avg(c).alias(c) for c in present])
-    means_n = noisy.agg(*[F.avg(c).alias(c) for c in present])
-    stack = lambda m, tag: m.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("mean")) for c in present]))).withColumn("f", F.lit(tag))
-    st = stack(means_o, "o").unionByName(stack(means_n, "n")).groupBy("column").agg(
-        F.max(F.when(F.col("f") == "o", F.col("mean"))).alias("original_mean"),
-        F.max(F.when(F.col("f") == "n", F.col("mean"))).alias("noisy_mean"))
-    comp = st.select("column", "original_mean", "noisy_mean",
-                     F.abs(F.col("original_mean") - F.col("noisy_mean")).alias("absolute_error"))
+    # one scan: the original and the (same-seed, hence identical) noisy values side by side
+    cols = list(exprs)
+    means = df.select(*[F.col(c).cast(DoubleType()).alias(f"o_{c}") for c in cols],
+                      *[exprs[c].alias(f"n_{c}") for c in cols]).agg(
+        *[F.avg(f"o_{c}").alias(f"o_{c}") for c in cols], *[F.avg(f"n_{c}").alias(f"n_{c}") for c in cols])
+    comp = means.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"o_{c}").alias("original_mean"), F.col(f"n_{c}").alias("noisy_mean"),
+                 F.abs(F.col(f"o_{c}") - F.col(f"n_{c}")).alias("absolute_error")) for c in cols])))
     return noisy, acct.report(), comp
 
 

@@ -136,6 +136,13 @@ def run(df: DataFrame, profile: Profile | dict, seed: int | None = None, output_
     res.data = out
     if output_path:
         (write_csv if output_format == "csv" else write_parquet)(out, output_path)
+        # report and callers read the written table: the lineage is cut and
+        # the report describes exactly the rows that were written
+        spark = out.sparkSession
+        reader = spark.read.schema(out.schema)
+        out = (reader.option("header", True).csv(output_path) if output_format == "csv"
+               else reader.parquet(output_path))
+        res.data = out
         events.append({"timestamp": _now(), "event_type": "DATA_EXPORT",
                        "details": {"output_file": output_path, "format": output_format.upper()}})
     if with_report:
