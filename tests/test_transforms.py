@@ -186,3 +186,11 @@ def test_random_transforms_change_values_per_cell(spark):
     random.seed(0)
     df = spark.createDataFrame([("same",)] * 50, "v string").select(substitute("v", "name", "random", 3).alias("s"))
     assert len({r.s for r in df.collect()}) > 5
+
+
+def test_text_inputs_do_not_fail_under_ansi(spark):
+    df = spark.createDataFrame([("12.55",), ("abc",), ("99999999999999999999",)], "v string")
+    r = df.select(generalize_numeric("v", 1).alias("n"), add_laplace("v", 1.0, 1.0, 1).alias("l"),
+                  generalize_age("v", dtype=df.schema["v"].dataType).alias("a")).collect()
+    assert r[0].n == 12.6 and r[1].n is None and r[1].l is None
+    assert [x.a for x in r] == [None, None, None]

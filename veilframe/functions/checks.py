@@ -126,7 +126,7 @@ def _as_int(c, dtype: DataType | None) -> Column:
     if isinstance(dtype, (IntegerType, LongType)):
         return col.cast("bigint")
     s = py_strip(col.cast(StringType()))
-    return F.when(s.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(s, F.lit("_"), F.lit("")).cast("bigint"))
+    return F.when(s.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(s, F.lit("_"), F.lit("")).try_cast("bigint"))
 
 
 def check_int_range(c, min_val: int | None = None, max_val: int | None = None,

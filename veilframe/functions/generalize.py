@@ -60,7 +60,7 @@ def _round_half_even_with_error(hi: Column, err: Column) -> Column:
 
 def python_round(c, ndigits: int) -> Column:
     """``round(x, ndigits)`` with Python's exact semantics for doubles."""
-    x = _col(c).cast(DoubleType())
+    x = _col(c).try_cast(DoubleType())
     if ndigits == 0:
         return F.rint(x)
     if ndigits > 0:
@@ -88,11 +88,11 @@ def _int_like(c, dtype: DataType | None) -> Column:
     col = _col(c)
     if dtype is None or isinstance(dtype, NumericType):
         if isinstance(dtype, (DoubleType, FloatType, DecimalType)) or dtype is None:
-            d = col.cast(DoubleType())
+            d = col.try_cast(DoubleType())
             return F.when(F.isnan(d) | (F.abs(d) >= F.lit(9.2e18)), F.lit(None)).otherwise(d.cast("bigint"))
         return col.cast("bigint")
     s = F.trim(col.cast(StringType()))
-    return F.when(s.rlike(r"^[+-]?[0-9]+$"), s.cast("bigint"))
+    return F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint"))
 
 
 def generalize_age(c, bins: Sequence[int] | None = None, dtype: DataType | None = None,
@@ -133,7 +133,7 @@ def generalize_numeric(c, precision: int = 0, bin_size: float | None = None) ->
     precision 0 truncates toward zero (``float(int(x))``); otherwise Python's
     ``round(x, precision)``. ``bin_size`` floors to multiples of the bin width.
     """
-    x = _col(c).cast(DoubleType())
+    x = _col(c).try_cast(DoubleType())
     if bin_size is not None:
         w = float(bin_size)
         if w <= 0:
@@ -148,7 +148,7 @@ def generalize_numeric(c, precision: int = 0, bin_size: float | None = None) ->
 
 def generalize_qi_numeric(c, level: int, dtype: DataType | None = None) -> Column:
     """A2: round to the nearest ``10**level`` (half-to-even), back to the source type."""
-    x = _col(c).cast(DoubleType())
+    x = _col(c).try_cast(DoubleType())
     f = float(10 ** level) if level >= 0 else 10.0 ** level
     # "+ 0.0" turns -0.0 into 0.0: Python's round() returns an int, so the
     # reference never yields a negative zero.

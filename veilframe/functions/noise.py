@@ -39,7 +39,7 @@ def add_laplace(c, epsilon: float = 1.0, sensitivity: float = 1.0, seed: int | N
     """T9/DP1: value + Lap(0, sensitivity/epsilon); null stays null."""
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
-    x = (F.col(c) if isinstance(c, str) else c).cast(DoubleType())
+    x = (F.col(c) if isinstance(c, str) else c).try_cast(DoubleType())
     noise = laplace_sample(sensitivity / epsilon, fresh_seed() if seed is None else seed)
     return F.when(x.isNull(), F.lit(None).cast(DoubleType())).otherwise(x + noise)
 
@@ -56,7 +56,7 @@ def add_gaussian(c, epsilon: float = 1.0, delta: float = 1e-5, sensitivity: floa
                  seed: int | None = None) -> Column:
     """DP2: value + N(0, sigma^2), sigma = sens * sqrt(2 ln(1.25/delta)) / epsilon."""
     sigma = gaussian_sigma(epsilon, delta, sensitivity)
-    x = (F.col(c) if isinstance(c, str) else c).cast(DoubleType())
+    x = (F.col(c) if isinstance(c, str) else c).try_cast(DoubleType())
     noise = gaussian_sample(sigma, fresh_seed() if seed is None else seed)
     return F.when(x.isNull(), F.lit(None).cast(DoubleType())).otherwise(x + noise)
 
