@@ -99,6 +99,41 @@ def test_lockout_matches_sequential_replay(spark):
     assert got == exp and len(got) > 0
 
 
+def _dense_attempts(seed, users=6, n=400):
+    rnd = random.Random(seed)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, seq = [], 0
+    for u in range(users):
+        t = t0
+        for _ in range(rnd.randint(n // 4, n)):
+            t += dt.timedelta(seconds=rnd.choice([1, 2, 5, 30, 120, 400, 950]))
+            rows.append((f"u{u}", t, seq, rnd.random() < 0.15))
+            seq += 1
+    return pd.DataFrame(rows, columns=["user", "ts", "seq", "ok"])
+
+
+def _as_tuples(df):
+    return sorted((r.user, r.locked_at, r.locked_until, r.rejected_while_locked) for r in df.collect())
+
+
+def _reference(pdf):
+    exp = lockout.lockout_replay_reference(pdf)
+    return sorted((r.user, r.locked_at.to_pydatetime(), r.locked_until.to_pydatetime(), r.rejected_while_locked)
+                  for r in exp.itertuples())
+
+
+def test_lockout_join_path_matches_sequential_replay(spark):
+    pdf = _dense_attempts(7)
+    got = _as_tuples(lockout.lockout_replay(spark.createDataFrame(pdf), max_session_rows=0))
+    assert got == _reference(pdf) and len(got) > 5
+
+
+def test_lockout_mixed_routing(spark):
+    pdf = _dense_attempts(11, users=8, n=300)
+    got = _as_tuples(lockout.lockout_replay(spark.createDataFrame(pdf), max_session_rows=60))
+    assert got == _reference(pdf)
+
+
 def test_lockout_rule_details():
     t = pd.Timestamp("2024-01-01")
     m = pd.Timedelta(minutes=1)

@@ -11,15 +11,16 @@ across a quiet gap of at least 15 minutes (any lock has expired by then). So:
    least 15 minutes apart. The cuts are found on per-(user, 15-minute bucket)
    summaries (min/max time), whose number is bounded by the time span, not
    by the number of attempts; a window over those summaries numbers sessions.
-2. *Per session* (``applyInPandas`` keyed by user and a block of up to 256
-   consecutive sessions): each session is replayed once for each possible
-   start count 0..4, giving its end count and lock events for each start.
+2. *Per session* (``applyInPandas`` keyed by user and a block of consecutive
+   sessions cut at ~200k attempts): each session is replayed once for each
+   possible start count 0..4, giving its end count and lock events for each.
 3. *Per user*: a fold over the session summaries (five small rows per
    session) picks the actual start count of every session.
 4. The lock events of the chosen start counts are kept (a join).
 
-Known limit: one session (a user never quiet for 15 minutes) is replayed in
-one task.
+A user with a session above ``MAX_SESSION_ROWS`` attempts (never quiet for
+15 minutes) is replayed by ``_lockout_by_jumping`` instead: joins and pointer
+doubling over the attempts, with no group per user at all.
 """
 
 from __future__ import annotations
@@ -29,12 +30,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import sized_join
+
 # Fixed values of the lockout rule.
 MAX_FAILED_ATTEMPTS = 5
 LOCKOUT_MINUTES = 15
 
 _GAP_US = LOCKOUT_MINUTES * 60 * 1_000_000
-SESSIONS_PER_GROUP = 256  # sessions of one user replayed by one pandas call
+BLOCK_ROWS = 200_000        # attempts per pandas group (plus at most one session)
+MAX_SESSION_ROWS = 200_000  # larger sessions go to the join-based replay
 
 SESSION_OUT = ("user string, session bigint, start_count int, kind string, end_count int, "
                "locked_at timestamp, locked_until timestamp, rejected bigint")
@@ -89,27 +93,144 @@ def _fold_user(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq: str = "seq",
-                   ok: str = "ok") -> DataFrame:
-    """Lock events ``(user, locked_at, locked_until, rejected_while_locked)``."""
-    a = attempts.select(F.col(user).cast("string").alias("user"), F.col(ts).alias("ts"),
+                   ok: str = "ok", max_session_rows: int = MAX_SESSION_ROWS) -> DataFrame:
+    """Lock events ``(user, locked_at, locked_until, rejected_while_locked)``.
+
+    Users whose sessions all have at most ``max_session_rows`` attempts are
+    replayed per session (groups of at most ``BLOCK_ROWS`` attempts plus one
+    session); users with a larger session go through ``_lockout_by_jumping``,
+    which never puts one user's attempts in one task.
+    """
+    a = attempts.select(F.col(user).cast("string").alias("user"), F.col(ts).cast("timestamp").alias("ts"),
                         F.col(seq).cast("bigint").alias("seq"), F.col(ok).cast("boolean").alias("ok"))
-    a = a.withColumn("ts", F.col("ts").cast("timestamp"))
     a = a.withColumn("bucket", F.floor(F.unix_micros("ts") / F.lit(_GAP_US)).cast("bigint"))
-    buckets = a.groupBy("user", "bucket").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    buckets = a.groupBy("user", "bucket").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+                                              F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("user").orderBy("bucket")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prev_last = F.lag("last_ts").over(w)
     gap = F.unix_micros("first_ts") - F.unix_micros(prev_last)
     new_session = F.when(prev_last.isNull() | (gap >= F.lit(_GAP_US)), F.lit(1)).otherwise(F.lit(0))
-    sessions = buckets.withColumn("_new", new_session).withColumn(
-        "session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("bigint")
-    ).select("user", "bucket", "session")
-    tagged = a.join(sessions, ["user", "bucket"]).withColumn(
-        "block", F.floor((F.col("session") - 1) / F.lit(SESSIONS_PER_GROUP)).cast("bigint"))
+    rows_before = F.sum("n").over(upto) - F.col("n")
+    sessions = buckets.withColumn("_new", new_session).withColumn("_before", rows_before).select(
+        "user", "bucket", "n",
+        F.sum("_new").over(upto).cast("bigint").alias("session"),
+        # attempts before this bucket's session: groups are cut by volume, never inside a session
+        F.max(F.when(F.col("_new") == 1, F.col("_before"))).over(upto).alias("session_start_rows"),
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    big = sessions.groupBy("user", "session").agg(F.sum("n").alias("rows")).where(
+        F.col("rows") > F.lit(max_session_rows)).select("user").distinct()
+    n_big = big.count()
+    tagged = a.join(sessions.select("user", "bucket", "session", "session_start_rows"), ["user", "bucket"])
+    out_parts = []
+    if n_big:
+        out_parts.append(_lockout_by_jumping(sized_join(a.drop("bucket"), big, ["user"], "left_semi", n_big)))
+        tagged = sized_join(tagged, big, ["user"], "left_anti", n_big)
+    tagged = tagged.withColumn("block", F.floor(F.col("session_start_rows") / F.lit(BLOCK_ROWS)).cast("bigint"))
     replays = tagged.groupBy("user", "block").applyInPandas(_session_replays, SESSION_OUT).persist(
         StorageLevel.MEMORY_AND_DISK)
     summaries = replays.where(F.col("kind") == "summary").select("user", "session", "start_count", "end_count")
     chosen = summaries.groupBy("user").applyInPandas(_fold_user, "user string, session bigint, start_count int")
     locks = replays.where(F.col("kind") == "lock").join(chosen, ["user", "session", "start_count"], "left_semi")
+    out = locks.select("user", "locked_at", "locked_until", F.col("rejected").alias("rejected_while_locked"))
+    for p in out_parts:
+        out = out.unionByName(p)
+    return out
+
+
+def _lockout_by_jumping(a: DataFrame) -> DataFrame:
+    """Exact lockout replay with no per-user group (for users with huge sessions).
+
+    Attempts get a global rank ``g`` in (user, ts, seq) order (range-sorted,
+    dense index). From "count 0 at attempt g" the next such point ``next(g)``
+    depends only on attempts g..g+4: a success at g+k gives g+k+1; five
+    failures lock the user at g+4 and ``next`` is the first attempt at or
+    after the expiry (a rank in a globally sorted union of attempts and
+    expiry times). The real trajectory is the path from each user's first
+    attempt in this functional graph, found by pointer doubling: round k adds
+    the nodes 2^k..2^(k+1)-1 steps ahead, so there are log2(path length)
+    rounds of joins; each round is checkpointed to cut the lineage.
+    """
+    from .shuffle import dense_index
+
+    spark = a.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    srt = (a.select("user", "ts", "seq", "ok").repartitionByRange(parts, "user", "ts", "seq")
+           .sortWithinPartitions("user", "ts", "seq").persist(StorageLevel.MEMORY_AND_DISK))
+    nodes, n = dense_index(srt, "g")
+    nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
+    bounds = nodes.groupBy("user").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
+
+    # look-ahead: ok/ts of the next four attempts of the same user (index equi-join)
+    ahead = nodes.select(F.col("user").alias("u2"), "g", "ok", "ts").withColumn(
+        "d", F.explode(F.array(*[F.lit(i) for i in range(1, 5)])))
+    ahead = ahead.select((F.col("g") - F.col("d")).alias("g"), "d", "u2", F.col("ok").alias("okd"),
+                         F.col("ts").alias("tsd"))
+    la = nodes.select("g", "user").join(ahead, "g").where(F.col("user") == F.col("u2")).groupBy("g").agg(
+        *[F.max(F.when(F.col("d") == i, F.col("okd").cast("int"))).alias(f"ok{i}") for i in range(1, 5)],
+        F.max(F.when(F.col("d") == 4, F.col("tsd"))).alias("ts4"))
+    # one row per routed user: broadcast when it fits, so no join is keyed by a hot user
+    bounds = bounds.persist(StorageLevel.MEMORY_AND_DISK)
+    full = sized_join(nodes.join(la, "g", "left"), bounds, ["user"], "inner", bounds.count())
+    okk = [F.col("ok").cast("int")] + [F.col(f"ok{i}") for i in range(1, 5)]
+    nxt = F.lit(-1).cast("bigint")
+    cond = F.lit(True)
+    expr = None
+    for k in range(5):
+        step = cond & (okk[k] == 1)
+        expr = F.when(step, F.col("g") + F.lit(k + 1)) if expr is None else expr.when(step, F.col("g") + F.lit(k + 1))
+        cond = cond & (okk[k] == 0)
+    is_lock = F.coalesce(cond, F.lit(False))
+    lock_span = F.expr(f"INTERVAL {LOCKOUT_MINUTES} MINUTES")
+    graph = full.select("user", "g", "g1", is_lock.alias("is_lock"), expr.otherwise(nxt).alias("nxt"),
+                        F.col("ts4").alias("locked_at"), (F.col("ts4") + lock_span).alias("locked_until"))
+
+    # expiry lookup: rank of the first attempt at or after locked_until
+    targets = graph.where("is_lock").select("user", F.col("locked_until").alias("ts"), F.lit(0).alias("kind"),
+                                             F.col("g").alias("ref"))
+    union = targets.unionByName(nodes.select("user", "ts", F.lit(1).alias("kind"), F.col("seq").alias("ref")))
+    union = (union.repartitionByRange(parts, "user", "ts", "kind", "ref")
+             .sortWithinPartitions("user", "ts", "kind", "ref")
+             .withColumn("pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
+    per_part = dict((r[0], r[1]) for r in union.groupBy("pid").agg(F.sum("kind")).collect())
+    offs, acc = [], 0
+    for p in range(max(per_part) + 1 if per_part else 0):
+        offs.append(acc)
+        acc += int(per_part.get(p) or 0)
+
+    def _running(batches):
+        seen = 0
+        for pdf in batches:
+            att = pdf["kind"].to_numpy()
+            before = att.cumsum() - att + seen
+            seen += int(att.sum())
+            yield pd.DataFrame({"pid": pdf["pid"], "kind": pdf["kind"], "ref": pdf["ref"], "before": before})
+
+    ranked = union.select("pid", "kind", "ref").mapInPandas(_running, "pid int, kind int, ref long, before long")
+    off_arr = F.array(*[F.lit(o).cast("bigint") for o in offs]) if offs else F.array().cast("array<bigint>")
+    expiry = ranked.where(F.col("kind") == 0).select(
+        F.col("ref").alias("g"), (F.element_at(off_arr, F.col("pid") + 1) + F.col("before")).alias("first_after"))
+    graph = graph.join(expiry, "g", "left").withColumn(
+        "nxt", F.when(F.col("is_lock"), F.when(F.col("first_after") <= F.col("g1"), F.col("first_after"))
+                      .otherwise(F.lit(-1))).otherwise(F.col("nxt")))
+    graph = graph.withColumn("rejected", F.when(F.col("is_lock"), F.when(F.col("nxt") >= 0, F.col("nxt"))
+                                                .otherwise(F.col("g1") + 1) - F.col("g") - F.lit(5)))
+    graph = graph.checkpoint()
+
+    # pointer doubling from each user's first attempt
+    jump = graph.select("g", F.col("nxt").alias("j")).checkpoint()
+    reached = bounds.select(F.col("g0").alias("g")).checkpoint()
+    while True:
+        hop = reached.join(jump, "g").where(F.col("j") >= 0).select(F.col("j").alias("g"))
+        new = hop.join(reached, "g", "left_anti")
+        if new.isEmpty():
+            break
+        reached = reached.unionByName(new).distinct().checkpoint()
+        jj = jump.alias("b").select(F.col("g").alias("mid"), F.col("j").alias("j2"))
+        jump = jump.join(jj, jump["j"] == jj["mid"], "left").select(
+            "g", F.when(F.col("j") < 0, F.lit(-1).cast("bigint")).otherwise(F.coalesce(F.col("j2"), F.lit(-1)))
+            .alias("j")).checkpoint()
+    locks = graph.where("is_lock").join(reached, "g", "left_semi")
     return locks.select("user", "locked_at", "locked_until", F.col("rejected").alias("rejected_while_locked"))
 
 

@@ -1,7 +1,7 @@
 """Registered queries: one Spark job per operator over the given tables, each
 with an independent DuckDB SQL oracle where the output is deterministic.
 
-Random outputs (noise, substitution, lockout replay order) have no oracle and
+Random outputs (noise, substitution, randomized response) have no oracle and
 are checked by row count here and by moment/shape tests in ``tests/``.
 """
 
@@ -835,6 +835,34 @@ FROM acc LEFT JOIN users ON acc."user" = users.username
 LEFT JOIN rp ON users.role = rp.role AND acc.permission = rp.permission"""
 
 
+def _lockout_sql(with_rejected: bool = True) -> str:
+    """Sequential statement of the lockout rule: a recursive walk over each user's attempts."""
+    lim, mins = lockout.MAX_FAILED_ATTEMPTS, lockout.LOCKOUT_MINUTES
+    rej = "(st.until IS NOT NULL AND n.ts < st.until)"
+    c0 = "(CASE WHEN st.until IS NOT NULL THEN 0 ELSE st.cnt END)"
+    tail = (", CAST(coalesce(r.r, 0) AS BIGINT) AS rejected_while_locked" if with_rejected else "")
+    return f"""
+WITH RECURSIVE a AS (
+  SELECT CAST(user_id AS VARCHAR) AS "user", ts, event_id AS seq, event_type = 'signup' AS ok
+  FROM events WHERE event_type IN ('error', 'signup')),
+n AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY ts, seq) AS i FROM a),
+st("user", i, cnt, until, new_lock, rejected) AS (
+  SELECT DISTINCT "user", CAST(0 AS BIGINT), 0, CAST(NULL AS TIMESTAMP), false, false FROM n
+  UNION ALL
+  SELECT n."user", n.i,
+         CASE WHEN {rej} THEN st.cnt WHEN n.ok THEN 0 ELSE {c0} + 1 END,
+         CASE WHEN {rej} THEN st.until WHEN NOT n.ok AND {c0} + 1 >= {lim}
+              THEN n.ts + INTERVAL {mins} MINUTE ELSE NULL END,
+         NOT {rej} AND NOT n.ok AND {c0} + 1 >= {lim},
+         {rej}
+  FROM st JOIN n ON n."user" = st."user" AND n.i = st.i + 1),
+locks AS (SELECT st."user", n.ts AS locked_at, st.until AS locked_until
+          FROM st JOIN n ON n."user" = st."user" AND n.i = st.i WHERE st.new_lock),
+r AS (SELECT "user", until, count(*) AS r FROM st WHERE rejected GROUP BY 1, 2)
+SELECT l."user", l.locked_at, l.locked_until{tail}
+FROM locks l LEFT JOIN r ON r."user" = l."user" AND r.until = l.locked_until"""
+
+
 def _profile_pipeline_sql() -> str:
     return f"""SELECT {O.hmac_sql('l_orderkey', HMAC_KEY, 12)} AS l_orderkey,
   sha256({O.q(SALT)} || CAST(l_partkey AS VARCHAR)) AS l_partkey, l_suppkey, l_linenumber,
@@ -1017,4 +1045,6 @@ ORACLE_SQL: dict[str, str] = {
         HAVING count(*) > {RATE_LIMIT_PER_DAY}
            AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
     "stream_profile_pipeline": _profile_pipeline_sql(),
+    "lockout_replay": _lockout_sql(True),
+    "stream_lockout": _lockout_sql(False),
 }
