@@ -24,6 +24,7 @@ DEFAULT_AGE_BINS = (0, 18, 30, 45, 65, 120)
 
 _SPLITTER = 134217729.0  # 2**27 + 1, Veltkamp splitting constant for doubles
 _TWO52 = 4503599627370496.0  # 2**52: doubles at or above are integral
+_TWO53 = 9007199254740992.0  # 2**53
 
 
 def _col(c) -> Column:
@@ -47,13 +48,23 @@ def _two_product(a: Column, b: float) -> tuple[Column, Column]:
     return p, e
 
 
-def _round_half_even_with_error(hi: Column, err: Column) -> Column:
-    """Round hi+err (exact) half-to-even, given hi is the double nearest to it."""
+def _round_half_even_with_error(hi: Column, err: Column, half: float = 0.5) -> Column:
+    """Round hi+err (exact) half-to-even, given hi is the double nearest to it.
+
+    ``half`` is the value of ``err`` that means half a unit (0.5, or 0.5*f
+    when ``err`` is a remainder in units of f). Two tie shapes: hi ends in .5
+    (the sign of err decides), or hi is an integer of at least 2**52 and err
+    is exactly half a unit (the even neighbour wins).
+    """
     fl = F.floor(hi).cast(DoubleType())
-    tie = (hi - fl) == F.lit(0.5)
+    frac_tie = (hi - fl) == F.lit(0.5)
+    int_tie = (hi == fl) & (F.abs(err) == F.lit(half))
+    odd = F.pmod(hi, F.lit(2.0)) == F.lit(1.0)
     return (
-        F.when(tie & (err > 0), fl + 1.0)
-        .when(tie & (err < 0), fl)
+        F.when(frac_tie & (err > 0), fl + 1.0)
+        .when(frac_tie & (err < 0), fl)
+        .when(int_tie & odd, hi + F.signum(err))
+        .when(int_tie, hi)
         .otherwise(F.rint(hi))
     )
 
@@ -77,9 +88,11 @@ def python_round(c, ndigits: int) -> Column:
         q = x / F.lit(f)
         ph, pl = _two_product(q, f)
         rem = (x - ph) - pl  # x == q*f + rem exactly; sign(rem) = sign(true q - q)
-        n = _round_half_even_with_error(q, rem)
+        n = _round_half_even_with_error(q, rem, 0.5 * f)
         res = n * F.lit(f)
-    guard = F.isnan(x) | (F.abs(x) >= F.lit(_TWO52)) | (F.abs(x * F.lit(10.0 ** ndigits)) >= F.lit(_TWO52))
+    # From |x * 10**p| >= 2**53 on, a step of 10**-p is below one ulp of x, so
+    # the rounded decimal converts back to x itself.
+    guard = F.isnan(x) | (F.abs(x * F.lit(10.0 ** ndigits)) >= F.lit(_TWO53))
     return F.when(guard, x).otherwise(res)
 
 

@@ -145,10 +145,14 @@ def python_round_sql(expr: str, p: int) -> str:
         err = f"(({x} - ({hi} * {f!r})) - {_two_product_err(hi, f)})"
         fin = "*"
     fl = f"floor({hi})"
+    half = 0.5 if p > 0 else 0.5 * f
+    int_tie = f"({hi} = {fl} AND abs({err}) = {half!r})"
     n = (f"(CASE WHEN {hi} - {fl} = 0.5 AND {err} > 0 THEN {fl} + 1.0 "
-         f"WHEN {hi} - {fl} = 0.5 AND {err} < 0 THEN {fl} ELSE round_even({hi}, 0) END)")
+         f"WHEN {hi} - {fl} = 0.5 AND {err} < 0 THEN {fl} "
+         f"WHEN {int_tie} AND abs(fmod({hi}, 2.0)) = 1.0 THEN {hi} + sign({err}) "
+         f"WHEN {int_tie} THEN {hi} ELSE round_even({hi}, 0) END)")
     scale = 10.0 ** p
-    guard = f"(isnan({x}) OR abs({x}) >= 4503599627370496.0 OR abs({x} * {scale!r}) >= 4503599627370496.0)"
+    guard = f"(isnan({x}) OR abs({x} * {scale!r}) >= 9007199254740992.0)"
     return f"(CASE WHEN {guard} THEN {x} ELSE {n} {fin} {f!r} END)"
 
 
