@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    BooleanType, DoubleType, LongType, StringType, StructField, StructType,
+    BooleanType, DoubleType, LongType, StructField, StructType,
 )
 
 from ..functions import checks

@@ -17,7 +17,6 @@ import datetime as _dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.generalize import generalize_age, generalize_numeric
 from ..functions.masking import hmac_pseudonym, mask, null_out, salted_hash
