@@ -39,6 +39,7 @@ LOCKOUT_MINUTES = 15
 _GAP_US = LOCKOUT_MINUTES * 60 * 1_000_000
 BLOCK_ROWS = 200_000        # attempts per pandas group (plus at most one session)
 MAX_SESSION_ROWS = 200_000  # larger sessions go to the join-based replay
+ROWS_PER_PARTITION = 2_000_000  # attempts per range-sorted partition in the join-based replay
 
 SESSION_OUT = ("user string, session bigint, start_count int, kind string, end_count int, "
                "locked_at timestamp, locked_until timestamp, rejected bigint")
@@ -124,7 +125,10 @@ def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
     tagged = a.join(sessions.select("user", "bucket", "session", "session_start_rows"), ["user", "bucket"])
     out_parts = []
     if n_big:
-        out_parts.append(_lockout_by_jumping(sized_join(a.drop("bucket"), big, ["user"], "left_semi", n_big)))
+        # routed rows, summed from the bucket summaries (no extra scan), size the range sort
+        n_rows = sized_join(sessions, big, ["user"], "left_semi", n_big).agg(F.sum("n")).first()[0] or 0
+        out_parts.append(_lockout_by_jumping(sized_join(a.drop("bucket"), big, ["user"], "left_semi", n_big),
+                                             int(n_rows)))
         tagged = sized_join(tagged, big, ["user"], "left_anti", n_big)
     tagged = tagged.withColumn("block", F.floor(F.col("session_start_rows") / F.lit(BLOCK_ROWS)).cast("bigint"))
     replays = tagged.groupBy("user", "block").applyInPandas(_session_replays, SESSION_OUT).persist(
@@ -138,7 +142,7 @@ def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
     return out
 
 
-def _lockout_by_jumping(a: DataFrame) -> DataFrame:
+def _lockout_by_jumping(a: DataFrame, n_rows: int = 0) -> DataFrame:
     """Exact lockout replay with no per-user group (for users with huge sessions).
 
     Attempts get a global rank ``g`` in (user, ts, seq) order (range-sorted,
@@ -154,7 +158,7 @@ def _lockout_by_jumping(a: DataFrame) -> DataFrame:
     from .shuffle import dense_index
 
     spark = a.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // ROWS_PER_PARTITION))
     srt = (a.select("user", "ts", "seq", "ok").repartitionByRange(parts, "user", "ts", "seq")
            .sortWithinPartitions("user", "ts", "seq").persist(StorageLevel.MEMORY_AND_DISK))
     nodes, n = dense_index(srt, "g")

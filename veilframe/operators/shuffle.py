@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.noise import fresh_seed
 
 _PART_SHIFT = 33  # monotonically_increasing_id = (partition id << 33) + row number
+ROWS_PER_BUCKET = 4_000_000  # value-side rows per sort task (value, two ids, key: ~50 bytes each)
 
 
 def _offsets_expr(df: DataFrame, pid_col: str) -> tuple[Column, int]:
@@ -64,9 +65,11 @@ def shuffle_column(df: DataFrame, column: str, seed: int | None = None,
         raise ValueError(f"column not found: {column}")
     seed = fresh_seed() if seed is None else seed
     spark = df.sparkSession
-    buckets = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = df.withColumn("_src", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
     rows, n_rows = dense_index(src.drop(column), "_idx")
+    # buckets scale with the data so each sort task stays bounded
+    buckets = num_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                 -(-n_rows // ROWS_PER_BUCKET))
     key = F.rand(seed)
     values = (
         src.select(F.col(column).alias("_val"), F.col("_src"))

@@ -23,7 +23,7 @@ from ..functions.masking import hmac_pseudonym, mask, null_out, salted_hash
 from ..functions.noise import add_laplace, fresh_seed
 from ..functions.substitute import substitute
 from ..operators.classes import apply_k_and_l, apply_k_anonymity
-from ..operators.dp import PrivacyAccountant, dp_columns
+from ..operators.dp import dp_dataset
 from ..operators.shuffle import shuffle_columns
 from .profile import ColumnSpec, Profile, ProfileError, normalize
 
@@ -104,7 +104,8 @@ def run(df: DataFrame, profile: Profile | dict, seed: int | None = None, output_
 
     prof = profile if isinstance(profile, Profile) else normalize(profile)
     seed = prof.seed if seed is None and prof.seed is not None else (fresh_seed() if seed is None else seed)
-    events: list = []
+    events: list = [{"timestamp": _now(), "event_type": "PROFILE_LOAD",
+                     "details": {"columns_configured": len(prof.columns)}}]
     out = apply_profile(df, prof, seed, events)
     res = RunResult(data=out, original=df, events=events)
     if prof.k_enabled:
@@ -126,12 +127,15 @@ def run(df: DataFrame, profile: Profile | dict, seed: int | None = None, output_
                                        "generalized": kres.generalized,
                                        "suppressed_classes": kres.suppressed_classes}})
     if prof.dp_columns:
-        acct = PrivacyAccountant(prof.epsilon, prof.delta)
-        out = dp_columns(out, list(prof.dp_columns), acct, seed=(seed + 17) % (2 ** 62))
-        res.dp_report = acct.report()
+        # DP10: noise plus the per-column comparison of original and noisy means
+        out, dp_rep, comp = dp_dataset(out, list(prof.dp_columns), prof.epsilon, prof.delta,
+                                       seed=(seed + 17) % (2 ** 62))
+        dp_rep["comparison"] = {r["column"]: {"original_mean": r["original_mean"], "noisy_mean": r["noisy_mean"],
+                                              "absolute_error": r["absolute_error"]} for r in comp.collect()}
+        res.dp_report = dp_rep
         events.append({"timestamp": _now(), "event_type": "DIFFERENTIAL_PRIVACY",
                        "details": {"epsilon": prof.epsilon, "delta": prof.delta, "columns": list(prof.dp_columns),
-                                   "budget_used": acct.used}})
+                                   "budget_used": dp_rep["privacy_budget_used"]}})
     res.data = out
     if output_path:
         (write_csv if output_format == "csv" else write_parquet)(out, output_path)
@@ -148,6 +152,11 @@ def run(df: DataFrame, profile: Profile | dict, seed: int | None = None, output_
         rep, _ = full_report(df, out, list(prof.quasi_identifiers), prof.sensitive_attribute,
                              list(prof.dp_columns) or None, prof.k or 3, prof.l or 2)
         res.report = rep
+    summary = {"method": "PROFILE_BASED", "output_file": output_path}
+    if res.kl_report:
+        summary.update({k: res.kl_report[k] for k in ("original_records", "anonymized_records")})
+        summary["suppression_rate"] = res.kl_report["suppression_rate"]
+    events.append({"timestamp": _now(), "event_type": "ANONYMIZATION", "details": summary})
     for e in events:
         e.setdefault("user", user)
     if log_path:

@@ -93,11 +93,13 @@ def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> Da
     return (df.orderBy(*order_by) if order_by else df).limit(n)
 
 
-def dataset_profile(df: DataFrame) -> DataFrame:
+def dataset_profile(df: DataFrame, approx_distinct: bool = False, rsd: float = 0.01) -> DataFrame:
     """Row count plus, per column, non-null and distinct counts, in one pass.
 
     Columns are stacked as ``(column, value text)`` so one aggregation serves
-    all columns; the distinct count is exact (two-level aggregation).
+    all columns. The distinct count is exact (two-level aggregation), or a
+    HyperLogLog estimate with ``approx_distinct=True`` - a fixed-size sketch
+    per column instead of a shuffle of every distinct value.
     """
     cols = df.columns
     stacked = df.select(F.inline(F.array(*[
@@ -106,7 +108,7 @@ def dataset_profile(df: DataFrame) -> DataFrame:
     ])))
     per = stacked.groupBy("ordinal", "column_name").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("v").alias("n_non_null"),
-        F.count_distinct("v").alias("n_distinct"))
+        (F.approx_count_distinct("v", rsd) if approx_distinct else F.count_distinct("v")).alias("n_distinct"))
     types = df.sparkSession.createDataFrame(
         [(c, f.dataType.simpleString()) for c, f in zip(cols, df.schema.fields)], "column_name string, data_type string")
     return per.join(F.broadcast(types), "column_name").select(
