@@ -57,6 +57,34 @@ def test_rollup_and_breaches_over_batches(spark, tmp_path):
     assert br and all(r.n_events > 10 for r in br)
 
 
+def test_wall_clock_results_do_not_depend_on_session_zone(spark, tmp_path):
+    from veilframe.operators import audit
+    rows = [(i, dt.datetime(2024, 1, 1, 20, 0) + dt.timedelta(minutes=17 * i), f"u{i % 2}", "login", True, "{}")
+            for i in range(40)]
+    pdf = pd.DataFrame(rows, columns=["seq", "ts", "user", "event_type", "success", "details"])
+    path = str(tmp_path / "log")
+    spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+
+    def results():
+        log = spark.read.parquet(path)
+        day = sorted(tuple(r) for r in audit.rate_breaches(log, "user", "1 day", 3).collect())
+        roll = sorted(tuple(r) for r in audit.rollup(log, "day", ("user",)).collect())
+        s = spark.readStream.schema(schema).parquet(path)
+        st = sorted(tuple(r) for r in jobs.run_available(jobs.rate_breach_stream(s, "user", "1 day", 3, "1 hour"),
+                                                          "tz").collect())
+        return day, roll, st
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        base = results()
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        assert results() == base
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert base[1] and all(r[0].hour == 0 for r in base[1])  # day buckets start at wall-clock midnight
+
+
 def test_lockout_stream_matches_batch_replay(spark, tmp_path):
     rnd = random.Random(2)
     t = dt.datetime(2024, 1, 1)

@@ -89,9 +89,13 @@ def typed_view(log: DataFrame, event_type: str, fields: str | None = None) -> Da
 
 
 def rollup(log: DataFrame, granularity: str = "day", by: tuple[str, ...] = ("event_type", "success")) -> DataFrame:
-    """Event counts per time bucket and key (partial aggregation per task)."""
-    return log.groupBy(F.date_trunc(granularity, F.col("ts")).alias("bucket"), *by).agg(
-        F.count(F.lit(1)).alias("n_events"))
+    """Event counts per time bucket and key (partial aggregation per task).
+
+    The bucket keeps the type of ``ts`` (``date_trunc`` yields a zoned
+    timestamp; wall-clock input stays wall-clock).
+    """
+    bucket = F.date_trunc(granularity, F.col("ts")).cast(log.schema["ts"].dataType)
+    return log.groupBy(bucket.alias("bucket"), *by).agg(F.count(F.lit(1)).alias("n_events"))
 
 
 def rate_breaches(log: DataFrame, key: str, window: str, limit: int, event_types: list[str] | None = None,

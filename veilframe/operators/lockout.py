@@ -68,6 +68,14 @@ def _replay(ts: list, ok: list, start_count: int):
     return end, locks
 
 
+def _micros(c, ts_type: str):
+    """Microseconds on the time axis: epoch micros, or wall-clock micros for ntz."""
+    col = F.col(c) if isinstance(c, str) else c
+    if ts_type == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col)
+    return F.unix_micros(col)
+
+
 def _session_replays(pdf: pd.DataFrame) -> pd.DataFrame:
     """Replay every session of the group once per possible start count."""
     pdf = pdf.sort_values(["session", "ts", "seq"], kind="mergesort")
@@ -102,15 +110,18 @@ def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
     session); users with a larger session go through ``_lockout_by_jumping``,
     which never puts one user's attempts in one task.
     """
-    a = attempts.select(F.col(user).cast("string").alias("user"), F.col(ts).cast("timestamp").alias("ts"),
+    ts_type = attempts.schema[ts].dataType.simpleString()  # wall-clock (ntz) input stays wall-clock
+    if ts_type not in ("timestamp", "timestamp_ntz"):
+        ts_type = "timestamp"
+    a = attempts.select(F.col(user).cast("string").alias("user"), F.col(ts).cast(ts_type).alias("ts"),
                         F.col(seq).cast("bigint").alias("seq"), F.col(ok).cast("boolean").alias("ok"))
-    a = a.withColumn("bucket", F.floor(F.unix_micros("ts") / F.lit(_GAP_US)).cast("bigint"))
+    a = a.withColumn("bucket", F.floor(_micros("ts", ts_type) / F.lit(_GAP_US)).cast("bigint"))
     buckets = a.groupBy("user", "bucket").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
                                               F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("user").orderBy("bucket")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prev_last = F.lag("last_ts").over(w)
-    gap = F.unix_micros("first_ts") - F.unix_micros(prev_last)
+    gap = _micros("first_ts", ts_type) - _micros(prev_last, ts_type)
     new_session = F.when(prev_last.isNull() | (gap >= F.lit(_GAP_US)), F.lit(1)).otherwise(F.lit(0))
     rows_before = F.sum("n").over(upto) - F.col("n")
     sessions = buckets.withColumn("_new", new_session).withColumn("_before", rows_before).select(
@@ -131,8 +142,8 @@ def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
                                              int(n_rows)))
         tagged = sized_join(tagged, big, ["user"], "left_anti", n_big)
     tagged = tagged.withColumn("block", F.floor(F.col("session_start_rows") / F.lit(BLOCK_ROWS)).cast("bigint"))
-    replays = tagged.groupBy("user", "block").applyInPandas(_session_replays, SESSION_OUT).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    replays = tagged.groupBy("user", "block").applyInPandas(
+        _session_replays, SESSION_OUT.replace("timestamp", ts_type)).persist(StorageLevel.MEMORY_AND_DISK)
     summaries = replays.where(F.col("kind") == "summary").select("user", "session", "start_count", "end_count")
     chosen = summaries.groupBy("user").applyInPandas(_fold_user, "user string, session bigint, start_count int")
     locks = replays.where(F.col("kind") == "lock").join(chosen, ["user", "session", "start_count"], "left_semi")

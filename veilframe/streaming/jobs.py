@@ -64,16 +64,38 @@ def anonymize_stream(stream: DataFrame, profile: Profile | dict, seed: int) -> D
     return stream.withColumns(exprs) if exprs else stream
 
 
+def _epoch_ntz():
+    # built on call: executors import this module without a Spark context
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _is_ntz(stream: DataFrame, ts: str) -> bool:
+    return stream.schema[ts].dataType.simpleString() == "timestamp_ntz"
+
+
 def _event_time(stream: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need a zoned timestamp. Wall-clock (ntz) input becomes the
+    instant with the same UTC reading, so windows follow the wall clock in
+    every session time zone."""
+    if _is_ntz(stream, ts):
+        return stream.withColumn(ts, F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch_ntz(), F.col(ts))))
     return stream.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+def _bounds(stream: DataFrame, ts: str):
+    """Window start/end in the input's timestamp type (the inverse of ``_event_time``)."""
+    if _is_ntz(stream, ts):
+        back = lambda c: F.timestamp_add("MICROSECOND", F.unix_micros(c), _epoch_ntz())
+        return back(F.col("w.start")).alias("window_start"), back(F.col("w.end")).alias("window_end")
+    return F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")
+
+
 def rollup_stream(log: DataFrame, window: str = "1 hour", watermark: str = "1 hour",
                   by: tuple[str, ...] = ("event_type", "success"), ts: str = "ts") -> DataFrame:
     """G4 on a stream: event counts per tumbling window, final once the watermark passes."""
     s = _event_time(log, ts).withWatermark(ts, watermark)
     agg = s.groupBy(F.window(F.col(ts), window).alias("w"), *by).agg(F.count(F.lit(1)).alias("n_events"))
-    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n_events")
+    return agg.select(*_bounds(log, ts), *by, "n_events")
 
 
 def rate_breach_stream(log: DataFrame, key: str, window: str, limit: int, watermark: str | None = None,
@@ -82,8 +104,7 @@ def rate_breach_stream(log: DataFrame, key: str, window: str, limit: int, waterm
     s = _event_time(log, ts).withWatermark(ts, watermark or window)
     agg = s.groupBy(F.window(F.col(ts), window).alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("n_events"))
     return agg.where(F.col("n_events") > F.lit(limit)).select(
-        F.col(key), F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_events",
-        F.lit(limit).alias("limit"))
+        F.col(key), *_bounds(log, ts), "n_events", F.lit(limit).alias("limit"))
 
 
 LOCK_STREAM_OUT = "user string, locked_at timestamp, locked_until timestamp"
@@ -127,10 +148,12 @@ def lockout_stream(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
     Attempts are replayed in event-time order within a micro-batch and in
     arrival order across micro-batches.
     """
-    a = attempts.select(F.col(user).cast("string").alias("user"), F.col(ts).cast("timestamp").alias("ts"),
+    ts_type = "timestamp_ntz" if attempts.schema[ts].dataType.simpleString() == "timestamp_ntz" else "timestamp"
+    a = attempts.select(F.col(user).cast("string").alias("user"), F.col(ts).cast(ts_type).alias("ts"),
                         F.col(seq).cast("bigint").alias("seq"), F.col(ok).cast("boolean").alias("ok"))
     return a.groupBy("user").applyInPandasWithState(
-        _lockout_step, LOCK_STREAM_OUT, LOCK_STATE, "append", GroupStateTimeout.NoTimeout)
+        _lockout_step, LOCK_STREAM_OUT.replace("timestamp", ts_type), LOCK_STATE.replace("timestamp", ts_type),
+        "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
