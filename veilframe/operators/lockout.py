@@ -133,14 +133,14 @@ def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
     big = sessions.groupBy("user", "session").agg(F.sum("n").alias("rows")).where(
         F.col("rows") > F.lit(max_session_rows)).select("user").distinct()
     n_big = big.count()
-    tagged = a.join(sessions.select("user", "bucket", "session", "session_start_rows"), ["user", "bucket"])
     out_parts = []
     if n_big:
         # routed rows, summed from the bucket summaries (no extra scan), size the range sort
         n_rows = sized_join(sessions, big, ["user"], "left_semi", n_big).agg(F.sum("n")).first()[0] or 0
         out_parts.append(_lockout_by_jumping(sized_join(a.drop("bucket"), big, ["user"], "left_semi", n_big),
                                              int(n_rows)))
-        tagged = sized_join(tagged, big, ["user"], "left_anti", n_big)
+        a = sized_join(a, big, ["user"], "left_anti", n_big)  # hot users never reach the joins below
+    tagged = a.join(sessions.select("user", "bucket", "session", "session_start_rows"), ["user", "bucket"])
     tagged = tagged.withColumn("block", F.floor(F.col("session_start_rows") / F.lit(BLOCK_ROWS)).cast("bigint"))
     replays = tagged.groupBy("user", "block").applyInPandas(
         _session_replays, SESSION_OUT.replace("timestamp", ts_type)).persist(StorageLevel.MEMORY_AND_DISK)
