@@ -26,7 +26,7 @@ from ..operators.shuffle import shuffle_column
 from ..sources.files import dataset_profile, preview
 from ..sources.tables import table
 from . import oracle_sql as O
-from .pipeline import apply_profile
+from .pipeline import apply_profile, run
 
 # Fixed demo parameters of the registered queries.
 SALT = "veil-salt-2025"
@@ -517,6 +517,38 @@ def q_lockout_replay(spark, sf):
     return lockout.lockout_replay(att)
 
 
+# --- whole jobs through the sinks ------------------------------------------------
+
+JOB_PROFILE = {
+    "columns": {
+        "c_name": {"transform": "mask", "params": {"keep_last": 4}},
+        "c_custkey": {"transform": "hmac", "params": {"out_len": 12}},
+    },
+    "hmac_key": HMAC_KEY.decode(),
+    "k_anonymity": {"k": K}, "l_diversity": {"l": L},
+    "quasi_identifiers": CUST_QI, "generalization_levels": {"c_acctbal": 3, "c_nationkey": 0},
+    "sensitive_attribute": "c_mktsegment", "seed": SEED,
+}
+
+
+def q_csv_round_trip(spark, sf):
+    """S1 + S2: customer written as CSV to the shared folder and read back with its schema."""
+    from ..sources.files import read_csv, write_csv
+    from ..streaming.jobs import shared_path
+    src = _t(spark, sf, "customer")
+    path = shared_path(spark, "csv_round_trip")
+    write_csv(src, path)
+    return read_csv(spark, path, src.schema)
+
+
+def q_pipeline_job(spark, sf):
+    """Transforms -> k search -> l -> Parquet sink -> run log; returns the written table."""
+    from ..streaming.jobs import shared_path
+    base = shared_path(spark, "pipeline_job")
+    res = run(_t(spark, sf, "customer"), JOB_PROFILE, output_path=f"{base}/data", log_path=f"{base}/log")
+    return res.data
+
+
 # --- streaming forms (run to completion over the table with availableNow) -------
 
 STREAM_WINDOW = "1 hour"
@@ -619,6 +651,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rate_breaches": q_rate_breaches,
     "access_review": q_access_review,
     "lockout_replay": q_lockout_replay,
+    "csv_round_trip": q_csv_round_trip,
+    "pipeline_job": q_pipeline_job,
     "stream_audit_rollup": q_stream_audit_rollup,
     "stream_rate_breaches": q_stream_rate_breaches,
     "stream_profile_pipeline": q_stream_profile_pipeline,
@@ -1045,6 +1079,10 @@ ORACLE_SQL: dict[str, str] = {
         HAVING count(*) > {RATE_LIMIT_PER_DAY}
            AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
     "stream_profile_pipeline": _profile_pipeline_sql(),
+    "csv_round_trip": "SELECT * FROM customer",
+    "pipeline_job": f"""WITH kl AS ({_CUST_KL})
+        SELECT {O.hmac_sql('c_custkey', HMAC_KEY, 12)} AS c_custkey, {O.mask_sql('c_name')} AS c_name,
+               c_nationkey, c_acctbal, c_mktsegment FROM kl""",
     "lockout_replay": _lockout_sql(True),
     "stream_lockout": _lockout_sql(False),
 }
