@@ -84,6 +84,18 @@ def test_ledger(spark):
     assert acct.ledger(spark).count() == 1
 
 
+def test_ledger_accumulates_across_runs(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    df = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    for _ in range(3):  # three separate runs, each with its own accountant
+        acct = dp.PrivacyAccountant(0.5, 1e-5, "sales")
+        dp.laplace_column(df, "v", acct, seed=1)
+        assert dp.append_charges(acct, spark, path) == 1
+    budgets = spark.createDataFrame([("sales", 1.0)], "dataset string, epsilon double")
+    row = dp.budget_ledger(dp.read_charges(spark, path), budgets).first()
+    assert row.charges == 3 and abs(row.privacy_budget_used - 1.5) < 1e-12 and row.budget_exhausted
+
+
 def test_dataset_report(spark):
     df = spark.createDataFrame([(float(i), float(2 * i)) for i in range(1000)], "a double, b double")
     noisy, rep, comp = dp.dp_dataset(df, ["a", "b"], 1.0, seed=10)

@@ -168,6 +168,19 @@ def dp_columns(df: DataFrame, columns: list[str], acct: PrivacyAccountant,
     return df.withColumns(exprs) if exprs else df
 
 
+def append_charges(acct: PrivacyAccountant, spark: SparkSession, path: str) -> int:
+    """Append this run's charges to the ledger table at ``path`` (a few rows per run)."""
+    if not acct.charges:
+        return 0
+    acct.ledger(spark).coalesce(1).write.mode("append").parquet(path)
+    return len(acct.charges)
+
+
+def read_charges(spark: SparkSession, path: str) -> DataFrame:
+    """All charges recorded by earlier runs."""
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+
+
 def budget_ledger(charges: DataFrame, budgets: DataFrame) -> DataFrame:
     """DP8: per dataset, epsilon spent across all recorded charges vs its budget."""
     spent = charges.groupBy("dataset").agg(F.sum("epsilon").alias("privacy_budget_used"),
