@@ -33,6 +33,8 @@ TRICKY = [
     "xp_", "sp_x", "; drop", ";x drop", ";xdrop", "a;\nDROP", "' or 1=1", "' OR '1'='1",
     "onclick =", "on_x=", "onÉa=", "<script src=a>\n</script>", "<SCRIPT>x</script>", "<img\nsrc=x>",
     "import  os", "import　os", "eval(", "a..b", "$HOME", "plain text", "", "Straße", "ſelect",
+    "ınsert ınto t", "ſp_who", "ſ ſp_", "ınsert into", "x ıMPORT os", "ıMPORT os", "Kelvin: K", "ſelect ſet",
+    "update ſet x", "ONCLICK=", "JAVASCRIPT:", "<SCRIPT>a</SCRIPT>",
 ]
 
 

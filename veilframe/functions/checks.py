@@ -13,13 +13,13 @@ from pyspark.sql.types import (
 )
 
 from .patterns import (
-    DANGEROUS_PATTERNS, IDENTIFIER_PATTERN, SPACE_CLASS, SQL_INJECTION_PATTERNS,
-    USERNAME_PATTERN, XSS_PATTERNS, any_of, to_java,
+    DANGEROUS_FIRST, DANGEROUS_PATTERNS, IDENTIFIER_PATTERN, SPACE_CLASS, SQL_INJECTION_FIRST,
+    SQL_INJECTION_PATTERNS, USERNAME_PATTERN, XSS_FIRST, XSS_PATTERNS, any_of, to_java,
 )
 
-SQLI_ANY = to_java(any_of(SQL_INJECTION_PATTERNS))
-XSS_ANY = to_java(any_of(XSS_PATTERNS))
-DANGEROUS_ANY = to_java(any_of(DANGEROUS_PATTERNS))
+SQLI_ANY = to_java(any_of(SQL_INJECTION_PATTERNS, SQL_INJECTION_FIRST))
+XSS_ANY = to_java(any_of(XSS_PATTERNS, XSS_FIRST))
+DANGEROUS_ANY = to_java(any_of(DANGEROUS_PATTERNS, DANGEROUS_FIRST))
 _STRIP = f"^{SPACE_CLASS}+|{SPACE_CLASS}+$"
 
 

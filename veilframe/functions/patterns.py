@@ -53,6 +53,14 @@ USERNAME_PATTERN = r"^[a-zA-Z0-9._-]+$"
 IDENTIFIER_PATTERN = r"^[a-zA-Z0-9_-]+$"
 # ---------------------------------------------------------------------------
 
+# Characters a match of each list can start with (read off the patterns
+# above; İ, ı and ſ are the non-ASCII letters that case-fold onto i and s).
+# Used only as a look-ahead in front of the combined pattern, so positions
+# that cannot start any match are skipped after one class test.
+SQL_INJECTION_FIRST = r"['\-#/*;uUdDiIeEcCxXsSİıſ]"
+XSS_FIRST = r"[<oOjJ]"
+DANGEROUS_FIRST = r"[;&|`$.<jJeEiI_İı]"
+
 # Python's Unicode character classes spelled out for a Java regex.
 WORD_CLASS = r"[\p{L}\p{N}_]"
 SPACE_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
@@ -112,9 +120,14 @@ def to_java(pattern: str, ignore_case: bool = True) -> str:
     return flags + out
 
 
-def any_of(patterns: list[str]) -> str:
-    """One alternation over all patterns (a single regex pass per value)."""
-    return "|".join(f"(?:{p})" for p in patterns)
+def any_of(patterns: list[str], first: str | None = None) -> str:
+    """One alternation over all patterns (a single regex pass per value).
+
+    ``first`` is a character class every match starts with; it becomes a
+    look-ahead so Java's matcher rejects most positions with one test.
+    """
+    body = "|".join(f"(?:{p})" for p in patterns)
+    return f"(?={first})(?:{body})" if first else body
 
 
 SQLI_JAVA = [to_java(p) for p in SQL_INJECTION_PATTERNS]

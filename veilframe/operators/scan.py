@@ -19,13 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..functions.patterns import DANGEROUS_PATTERNS, SQL_INJECTION_PATTERNS, XSS_PATTERNS, any_of, to_java
+from ..functions.patterns import (
+    DANGEROUS_FIRST, DANGEROUS_PATTERNS, SQL_INJECTION_FIRST, SQL_INJECTION_PATTERNS, XSS_FIRST, XSS_PATTERNS,
+    any_of, to_java,
+)
 
 PATTERN_SETS = {
     "sql_injection": SQL_INJECTION_PATTERNS,
     "xss": XSS_PATTERNS,
     "dangerous": DANGEROUS_PATTERNS,
 }
+FIRST_CHARS = {"sql_injection": SQL_INJECTION_FIRST, "xss": XSS_FIRST, "dangerous": DANGEROUS_FIRST}
 
 JSON_MAX_BYTES = 1024 * 1024
 JSON_MAX_DEPTH = 10
@@ -40,7 +44,7 @@ def scan(df: DataFrame, text_col: str, kind: str, keep: list[str] | None = None)
     """
     pats = PATTERN_SETS[kind]
     text = F.col(text_col)
-    hit = text.rlike(to_java(any_of(pats)))
+    hit = text.rlike(to_java(any_of(pats, FIRST_CHARS[kind])))
     flags = [F.when(text.rlike(to_java(p)), F.lit(1)).otherwise(F.lit(0)) for p in pats]
     n = flags[0]
     for f in flags[1:]:
