@@ -129,6 +129,10 @@ def main() -> None:
         times[name] = round(best, 3)
         print(f"# {name}: {best:.3f}s", file=sys.stderr, flush=True)
     sf_name = os.path.basename(os.path.normpath(sf)).replace("sf", "")
+    try:
+        sf_name = float(sf_name)
+    except ValueError:
+        pass
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf_name, "cpus": cpus}))
 
