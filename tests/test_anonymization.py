@@ -130,6 +130,13 @@ def test_equivalence_classes_summary(spark, kframe):
     assert tagged.select("class_id").distinct().count() == 4
 
 
+def test_anonymised_tables_keep_column_order(spark, staff):
+    out, _ = classes.apply_k_and_l(staff, ["age", "department"], "diagnosis", 3, 2)
+    assert out.columns == staff.columns
+    sup = classes.suppress_small_classes(staff, ["department", "age"], 2)
+    assert sup.columns == staff.columns
+
+
 def test_l_report(spark, lframe):
     r = classes.l_report_frame(lframe, ["age", "department"], "diagnosis", 2).first()
     assert r.satisfies_l_diversity and r.min_diversity == 2 and r.num_equivalence_classes == 4

@@ -24,4 +24,7 @@ def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, small_
     join, where AQE splits a skewed key's partition of ``big`` across tasks.
     """
     side = F.broadcast(small) if broadcast_fits(small_rows, len(small.columns)) else small
-    return big.join(side, on=on, how=how)
+    joined = big.join(side, on=on, how=how)
+    if how in ("left_semi", "left_anti", "semi", "anti"):
+        return joined.select(*big.columns)  # a filter: keep the input's column order
+    return joined
