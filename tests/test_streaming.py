@@ -85,6 +85,27 @@ def test_wall_clock_results_do_not_depend_on_session_zone(spark, tmp_path):
     assert base[1] and all(r[0].hour == 0 for r in base[1])  # day buckets start at wall-clock midnight
 
 
+def test_tail_audit_log_as_stream(spark, tmp_path):
+    import json
+    from veilframe.sources.files import stream_audit_log
+    logdir = tmp_path / "log"
+    logdir.mkdir()
+    t0 = dt.datetime(2025, 12, 1, 12, 0, 0)
+    for f in range(2):  # two files landing one after the other
+        lines = []
+        for i in range(30):
+            ts = (t0 + dt.timedelta(minutes=10 * (30 * f + i))).strftime("%Y-%m-%d %H:%M:%S")
+            msg = {"event_type": "DATA_ACCESS" if i % 3 else "ERROR", "user": "u", "success": bool(i % 3),
+                   "details": {"operation": "READ"}}
+            lines.append(json.dumps({"timestamp": ts, "level": "INFO", "message": msg}))
+        lines.append("{broken")
+        (logdir / f"part{f}.json").write_text("\n".join(lines) + "\n")
+    log = stream_audit_log(spark, str(logdir))
+    out = jobs.run_available(jobs.rollup_stream(log, "1 hour", "1 hour", ("event_type",)), "tail").collect()
+    # 60 events over 10 hours; windows closed by the watermark (max ts - 1h) are final
+    assert sum(r.n_events for r in out) == 48 and {r.event_type for r in out} == {"DATA_ACCESS", "ERROR"}
+
+
 def test_lockout_stream_matches_batch_replay(spark, tmp_path):
     rnd = random.Random(2)
     t = dt.datetime(2024, 1, 1)
