@@ -15,6 +15,9 @@ JOB_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A wide profile fuses into one generated method; above 8000 bytes of
+    # bytecode the JVM will not JIT it, so let Spark split such projections.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
