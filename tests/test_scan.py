@@ -179,6 +179,10 @@ def test_check_json(spark):
     assert out[8] == (True, None)
     assert out[9] == (False, "too_deep")
     assert out[10] == (True, None)
+    dup = spark.createDataFrame([(1, '{"a": "<script>x</script>", "a": 1}'), (2, '{"a": 1, "a": "javascript:x"}')],
+                                "id int, j string")
+    got = {r.id: (r.valid, r.reason) for r in scan.check_json(dup, "j").collect()}
+    assert got == {1: (True, None), 2: (False, "bad_value")}  # the last duplicate wins, as in Python
     big = spark.createDataFrame([(1, '"' + "a" * 100 + '"')], "id int, j string")
     assert scan.check_json(big, "j", max_bytes=50).first().reason == "too_large"
 

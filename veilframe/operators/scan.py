@@ -78,8 +78,10 @@ def check_json(df: DataFrame, json_col: str, keep: list[str] | None = None,
     has no node deeper than ``max_depth`` (root = 0) and no object key or
     string value flagged by the SQL-injection or XSS scans. Output columns:
     ``too_large, invalid_json, too_deep, bad_key, bad_value, valid, reason``.
-    ``reason`` is the first failing rule in that order. Known difference:
-    objects with duplicate keys do not parse here (Python keeps the last).
+    ``reason`` is the first failing rule in that order. Objects with a
+    repeated key keep the last value when ``spark.sql.variant.allowDuplicateKeys``
+    is on (part of the job settings, as in Python); otherwise they count as
+    invalid JSON.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != json_col]
     base = df.select(*keep, F.col(json_col).alias("_j")).withColumn("_doc", F.monotonically_increasing_id())

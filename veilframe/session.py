@@ -18,6 +18,8 @@ JOB_CONF = {
     # A wide profile fuses into one generated method; above 8000 bytes of
     # bytecode the JVM will not JIT it, so let Spark split such projections.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # JSON objects with a repeated key keep the last value (as Python's json does).
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
