@@ -23,6 +23,15 @@ JOB_CONF = {
 }
 
 
+def _default_driver_memory() -> str:
+    """About 60% of this machine's RAM, at most 8g (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(8, int(total * 0.6 / 2**30)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "veilframe") -> SparkSession:
     """A local session for tests and the bench (UI off, no ports beyond Spark's own)."""
@@ -31,7 +40,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("VEIL_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("VEIL_DRIVER_MEMORY", _default_driver_memory()))
     )
     for k, v in JOB_CONF.items():
         builder = builder.config(k, v)
