@@ -106,7 +106,7 @@ def _dense_attempts(seed, users=6, n=400):
     for u in range(users):
         t = t0
         for _ in range(rnd.randint(n // 4, n)):
-            t += dt.timedelta(seconds=rnd.choice([1, 2, 5, 30, 120, 400, 950]))
+            t += dt.timedelta(seconds=rnd.choice([1, 2, 5, 30, 120, 400, 950]), microseconds=rnd.randint(0, 999_999))
             rows.append((f"u{u}", t, seq, rnd.random() < 0.15))
             seq += 1
     return pd.DataFrame(rows, columns=["user", "ts", "seq", "ok"])

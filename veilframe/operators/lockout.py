@@ -25,6 +25,7 @@ doubling over the attempts, with no group per user at all.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -46,9 +47,13 @@ SESSION_OUT = ("user string, session bigint, start_count int, kind string, end_c
 LOCK_OUT = "user string, locked_at timestamp, locked_until timestamp, rejected_while_locked bigint"
 
 
-def _replay(ts: list, ok: list, start_count: int):
-    """Replay one session from a start count; returns (end_count, locks)."""
-    lock = pd.Timedelta(minutes=LOCKOUT_MINUTES)
+def _replay(ts: list, ok: list, start_count: int, lock=None):
+    """Replay one session from a start count; returns (end_count, locks).
+
+    ``ts`` may be timestamps (``lock`` defaults to the lockout duration) or
+    int64 nanoseconds with ``lock`` given in nanoseconds.
+    """
+    lock = pd.Timedelta(minutes=LOCKOUT_MINUTES) if lock is None else lock
     count, until = start_count, None
     locks = []  # [locked_at, locked_until, rejected]
     for t, good in zip(ts, ok):
@@ -80,16 +85,36 @@ def _session_replays(pdf: pd.DataFrame) -> pd.DataFrame:
     """Replay every session of the group once per possible start count."""
     pdf = pdf.sort_values(["session", "ts", "seq"], kind="mergesort")
     user = pdf["user"].iloc[0]
-    rows = []
-    for session, g in pdf.groupby("session", sort=False):
-        ts, ok = list(g["ts"]), list(g["ok"])
+    sess = pdf["session"].to_numpy()
+    ts_ns = pdf["ts"].to_numpy(dtype="datetime64[ns]").astype("int64").tolist()
+    ok = pdf["ok"].to_numpy().tolist()
+    cuts = [0, *(np.flatnonzero(sess[1:] != sess[:-1]) + 1).tolist(), len(sess)]
+    lock_ns = LOCKOUT_MINUTES * 60 * 1_000_000_000
+    cols = {k: [] for k in ("session", "start_count", "kind", "end_count", "locked_at", "locked_until", "rejected")}
+
+    def add(s, start, kind, end, at, until, rej):
+        for k, v in zip(cols, (s, start, kind, end, at, until, rej)):
+            cols[k].append(v)
+
+    for a, b in zip(cuts, cuts[1:]):
+        s, t, g = int(sess[a]), ts_ns[a:b], ok[a:b]
         for start in range(MAX_FAILED_ATTEMPTS):
-            end, locks = _replay(ts, ok, start)
-            rows.append((user, int(session), start, "summary", end, None, None, None))
+            end, locks = _replay(t, g, start, lock_ns)
+            add(s, start, "summary", end, None, None, None)
             for at, until, rej in locks:
-                rows.append((user, int(session), start, "lock", None, at, until, rej))
-    return pd.DataFrame(rows, columns=["user", "session", "start_count", "kind", "end_count",
-                                       "locked_at", "locked_until", "rejected"])
+                add(s, start, "lock", None, at, until, rej)
+    # nullable integer arrays straight from the lists: a float detour would
+    # round nanosecond timestamps
+    return pd.DataFrame({
+        "user": [user] * len(cols["session"]),
+        "session": pd.array(cols["session"], dtype="Int64"),
+        "start_count": pd.array(cols["start_count"], dtype="Int32"),
+        "kind": cols["kind"],
+        "end_count": pd.array(cols["end_count"], dtype="Int32"),
+        "locked_at": pd.to_datetime(pd.array(cols["locked_at"], dtype="Int64"), unit="ns"),
+        "locked_until": pd.to_datetime(pd.array(cols["locked_until"], dtype="Int64"), unit="ns"),
+        "rejected": pd.array(cols["rejected"], dtype="Int64"),
+    })
 
 
 def _fold_user(pdf: pd.DataFrame) -> pd.DataFrame:
