@@ -84,7 +84,12 @@ def check_json(df: DataFrame, json_col: str, keep: list[str] | None = None,
     invalid JSON.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != json_col]
-    base = df.select(*keep, F.col(json_col).alias("_j")).withColumn("_doc", F.monotonically_increasing_id())
+    # A content key (two independently seeded 64-bit hashes) ties the findings
+    # back to their row; unlike a positional id it survives recomputation of a
+    # lost partition in any order. Equal rows share a key and get equal answers.
+    row = [F.col(c) for c in keep] + [F.col(json_col)]
+    doc_key = F.struct(F.xxhash64(*row).alias("h1"), F.hash(*row).alias("h2"), F.xxhash64(F.lit(7), *row).alias("h3"))
+    base = df.select(*keep, F.col(json_col).alias("_j"), doc_key.alias("_doc"))
     base = base.withColumn("_too_large", F.octet_length("_j") > F.lit(max_bytes))
     base = base.withColumn("_v", F.when(~F.col("_too_large"), F.try_parse_json("_j")))
     base = base.withColumn("_invalid", ~F.col("_too_large") & F.col("_j").isNotNull() & F.col("_v").isNull())

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.noise import fresh_seed
+from ..session import ensure_checkpoint_dir
 
 _PART_SHIFT = 33  # monotonically_increasing_id = (partition id << 33) + row number
 ROWS_PER_BUCKET = 4_000_000  # value-side rows per sort task (value, two ids, key: ~50 bytes each)
@@ -65,7 +66,11 @@ def shuffle_column(df: DataFrame, column: str, seed: int | None = None,
         raise ValueError(f"column not found: {column}")
     seed = fresh_seed() if seed is None else seed
     spark = df.sparkSession
-    src = df.withColumn("_src", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(spark)
+    # Row identity must not change if a lost partition is recomputed (the input
+    # may be non-deterministic), so the tagged source is checkpointed to the
+    # shared checkpoint folder rather than only cached.
+    src = df.withColumn("_src", F.monotonically_increasing_id()).checkpoint()
     rows, n_rows = dense_index(src.drop(column), "_idx")
     # buckets scale with the data so each sort task stays bounded
     buckets = num_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
