@@ -41,7 +41,8 @@ def duck():
 
 
 FAST = ["profile_pipeline", "hmac_pseudonym", "generalize_numeric", "k_anonymize_suppress", "kl_report",
-        "full_report", "scan_sql_injection", "check_json", "access_review", "rate_breaches", "information_loss"]
+        "full_report", "scan_sql_injection", "check_json", "access_review", "rate_breaches", "information_loss",
+        "lockout_replay", "pipeline_job", "csv_round_trip"]
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -158,6 +158,7 @@ def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
     big = sessions.groupBy("user", "session").agg(F.sum("n").alias("rows")).where(
         F.col("rows") > F.lit(max_session_rows)).select("user").distinct()
     n_big = big.count()
+    n_sessions = sessions.count()  # one row per user and 15-minute bucket: bounds the small join sides
     out_parts = []
     if n_big:
         # routed rows, summed from the bucket summaries (no extra scan), size the range sort
@@ -165,13 +166,15 @@ def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
         out_parts.append(_lockout_by_jumping(sized_join(a.drop("bucket"), big, ["user"], "left_semi", n_big),
                                              int(n_rows)))
         a = sized_join(a, big, ["user"], "left_anti", n_big)  # hot users never reach the joins below
-    tagged = a.join(sessions.select("user", "bucket", "session", "session_start_rows"), ["user", "bucket"])
+    tagged = sized_join(a, sessions.select("user", "bucket", "session", "session_start_rows"),
+                        ["user", "bucket"], "inner", n_sessions)
     tagged = tagged.withColumn("block", F.floor(F.col("session_start_rows") / F.lit(BLOCK_ROWS)).cast("bigint"))
     replays = tagged.groupBy("user", "block").applyInPandas(
         _session_replays, SESSION_OUT.replace("timestamp", ts_type)).persist(StorageLevel.MEMORY_AND_DISK)
     summaries = replays.where(F.col("kind") == "summary").select("user", "session", "start_count", "end_count")
     chosen = summaries.groupBy("user").applyInPandas(_fold_user, "user string, session bigint, start_count int")
-    locks = replays.where(F.col("kind") == "lock").join(chosen, ["user", "session", "start_count"], "left_semi")
+    locks = sized_join(replays.where(F.col("kind") == "lock"), chosen, ["user", "session", "start_count"],
+                       "left_semi", n_sessions)  # chosen has at most one row per session
     out = locks.select("user", "locked_at", "locked_until", F.col("rejected").alias("rejected_while_locked"))
     for p in out_parts:
         out = out.unionByName(p)
