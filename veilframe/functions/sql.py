@@ -1,7 +1,8 @@
 """SQL registration of the column transforms as SQL-bodied temporary functions.
 
 ``register_sql_functions(spark, ...)`` defines ``veil_mask``, ``veil_hash``,
-``veil_hmac``, ``veil_age`` and ``veil_generalize_string`` for ``spark.sql``.
+``veil_round`` (Python's exact rounding), ``veil_hmac``, ``veil_age`` and
+``veil_generalize_string`` for ``spark.sql``.
 The bodies are plain SQL expressions, so Catalyst inlines them into the plan
 exactly like the ``Column`` versions (no Python, no JVM UDF).
 """
@@ -20,6 +21,37 @@ def _hex(b: bytes) -> str:
     return "X'" + b.hex().upper() + "'"
 
 
+_SPLIT = "134217729.0"  # 2**27 + 1
+
+
+def _two_product_err(a: str, b: str) -> str:
+    """SQL text of the rounding error of a*b (Dekker), for double expressions a and b."""
+    ta, tb = f"({a} * {_SPLIT})", f"({b} * {_SPLIT})"
+    ah, bh = f"({ta} - ({ta} - {a}))", f"({tb} - ({tb} - {b}))"
+    al, bl = f"({a} - {ah})", f"({b} - {bh})"
+    return f"((({ah} * {bh} - ({a} * {b})) + {ah} * {bl} + {al} * {bh}) + {al} * {bl})"
+
+
+def _half_even(hi: str, err: str, half: str) -> str:
+    fl = f"CAST(floor({hi}) AS DOUBLE)"
+    tie = f"({hi} = {fl} AND abs({err}) = {half})"
+    return (f"(CASE WHEN {hi} - {fl} = 0.5 AND {err} > 0 THEN {fl} + 1.0 "
+            f"WHEN {hi} - {fl} = 0.5 AND {err} < 0 THEN {fl} "
+            f"WHEN {tie} AND pmod({hi}, 2.0) = 1.0 THEN {hi} + sign({err}) "
+            f"WHEN {tie} THEN {hi} ELSE rint({hi}) END)")
+
+
+def _round_body() -> str:
+    """Python's exact ``round(x, p)`` for doubles, as SQL over parameters x and p."""
+    f = "power(10.0, abs(p))"
+    pos = f"({_half_even(f'(x * {f})', _two_product_err('x', f), '0.5')} / {f})"
+    q = f"(x / {f})"
+    rem = f"((x - {q} * {f}) - {_two_product_err(q, f)})"
+    neg = f"({_half_even(q, rem, f'(0.5 * {f})')} * {f})"
+    return (f"CASE WHEN isnan(x) OR abs(x * power(10.0, p)) >= 9007199254740992.0 OR abs(p) > 22 THEN x "
+            f"WHEN p = 0 THEN rint(x) WHEN p > 0 THEN {pos} ELSE {neg} END")
+
+
 def register_sql_functions(spark: SparkSession, hmac_key: bytes | None = None,
                            age_bins: Sequence[int] | None = None) -> list[str]:
     """Register the functions for this session; returns their names."""
@@ -35,6 +67,8 @@ def register_sql_functions(spark: SparkSession, hmac_key: bytes | None = None,
            "veil_mask")
     create("""CREATE OR REPLACE TEMPORARY FUNCTION veil_hash(s STRING, salt STRING) RETURNS STRING
         RETURN sha2(concat(salt, s), 256)""", "veil_hash")
+    create(f"""CREATE OR REPLACE TEMPORARY FUNCTION veil_round(x DOUBLE, p INT) RETURNS DOUBLE
+        RETURN {_round_body()}""", "veil_round")
     if hmac_key:
         ipad, opad = _hmac_pads(hmac_key)
         create(f"""CREATE OR REPLACE TEMPORARY FUNCTION veil_hmac(s STRING, n INT) RETURNS STRING
