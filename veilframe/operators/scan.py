@@ -84,7 +84,7 @@ def check_json(df: DataFrame, json_col: str, keep: list[str] | None = None,
     invalid JSON.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != json_col]
-    # A content key (two independently seeded 64-bit hashes) ties the findings
+    # A content key (three hashes, 160 bits: xxhash64, murmur3, seeded xxhash64) ties the findings
     # back to their row; unlike a positional id it survives recomputation of a
     # lost partition in any order. Equal rows share a key and get equal answers.
     row = [F.col(c) for c in keep] + [F.col(json_col)]
