@@ -93,7 +93,7 @@ def check_json(df: DataFrame, json_col: str, keep: list[str] | None = None,
     base = base.withColumn("_too_large", F.octet_length("_j") > F.lit(max_bytes))
     base = base.withColumn("_v", F.when(~F.col("_too_large"), F.try_parse_json("_j")))
     base = base.withColumn("_invalid", ~F.col("_too_large") & F.col("_j").isNotNull() & F.col("_v").isNull())
-    # the row id is joined back below: persist so both uses see the same ids
+    # read twice (the walk and the final join): parse the documents once
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
 
     def bad(c):
