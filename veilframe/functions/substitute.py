@@ -4,8 +4,9 @@ Two modes:
 
 * ``random``: a fresh value per cell, like the reference (draws use ``rand``
   with per-draw seeds, so re-execution of the same plan gives the same output).
-* ``consistent``: the value is a keyed hash of the input, so equal inputs map
-  to equal fakes (join-preserving pseudonyms).
+* ``consistent``: each draw is the first 60 bits of SHA-256 of
+  ``"value|seed|draw"``, so equal inputs map to equal fakes (join-preserving
+  pseudonyms) and the seed acts as the key.
 
 Each generator is a pure ``Column`` expression (``element_at`` over array
 literals, ``lpad``/``format_string`` for digit shapes); no Python per row.
@@ -76,7 +77,10 @@ class _Draws:
         self.i += 1
         if self.mode == "random":
             return F.floor(F.rand(self.seed * 1000003 + self.i) * F.lit(n)).cast("int")
-        return F.pmod(F.xxhash64(self.value, F.lit(self.seed), F.lit(self.i)), F.lit(n)).cast("int")
+        # keyed by the value: the first 60 bits of SHA-256("value|seed|draw")
+        digest = F.sha2(F.concat_ws("|", self.value, F.lit(str(self.seed)), F.lit(str(self.i))), 256)
+        bits = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+        return F.pmod(bits, F.lit(n)).cast("int")
 
     def pick(self, words: list[str]) -> Column:
         return F.element_at(F.array(*[F.lit(w) for w in words]), self(len(words)) + 1)

@@ -897,6 +897,17 @@ SELECT l."user", l.locked_at, l.locked_until{tail}
 FROM locks l LEFT JOIN r ON r."user" = l."user" AND r.until = l.locked_until"""
 
 
+def _substitute_consistent_sql() -> str:
+    """Consistent fake names: word lists indexed by SHA-256 of 'value|seed|draw'."""
+    from ..functions.substitute import FIRST_NAMES, LAST_NAMES
+    def pick(words, draw):
+        lst = "[" + ", ".join(O.q(w) for w in words) + "]"
+        bits = f"('0x' || substr(sha256(CAST(o_custkey AS VARCHAR) || '|{SEED}|{draw}'), 1, 15))::BIGINT"
+        return f"{lst}[{bits} % {len(words)} + 1]"
+    return (f"SELECT o_orderkey, CASE WHEN o_custkey IS NULL THEN NULL ELSE "
+            f"{pick(FIRST_NAMES, 1)} || ' ' || {pick(LAST_NAMES, 2)} END AS customer_alias FROM orders")
+
+
 def _profile_pipeline_sql() -> str:
     return f"""SELECT {O.hmac_sql('l_orderkey', HMAC_KEY, 12)} AS l_orderkey,
   sha256({O.q(SALT)} || CAST(l_partkey AS VARCHAR)) AS l_partkey, l_suppkey, l_linenumber,
@@ -1083,6 +1094,7 @@ ORACLE_SQL: dict[str, str] = {
     "pipeline_job": f"""WITH kl AS ({_CUST_KL})
         SELECT {O.hmac_sql('c_custkey', HMAC_KEY, 12)} AS c_custkey, {O.mask_sql('c_name')} AS c_name,
                c_nationkey, c_acctbal, c_mktsegment FROM kl""",
+    "substitute_consistent": _substitute_consistent_sql(),
     "lockout_replay": _lockout_sql(True),
     "stream_lockout": _lockout_sql(False),
 }
