@@ -26,7 +26,11 @@ def _joined(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 def _span_columns(kinds: tuple[str, ...]) -> list[Column]:
     """Counts of the base kinds, the hash of the base spans, and all spans."""
     spans = F.col("spans")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in kinds]
     return [*counts, F.sha2(_joined(spans, kinds), 256).alias("base_sha256"), _joined(spans).alias("spans")]
 
 
@@ -99,12 +103,12 @@ WITH words AS (
 ), found AS (
   SELECT doc_id, p, size, item_id FROM places JOIN windows USING (size, words)
 ), hits AS (
-  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS at FROM found) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS place FROM found) GROUP BY doc_id
 ), runs AS (
   SELECT doc_id, max(n) AS longest FROM (
     SELECT doc_id, count(*) AS n FROM (
-      SELECT doc_id, at - row_number() OVER (PARTITION BY doc_id ORDER BY at) AS run
-      FROM (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS at FROM found)
+      SELECT doc_id, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run
+      FROM (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS place FROM found)
     ) GROUP BY doc_id, run
   ) GROUP BY doc_id
 ), items AS (
