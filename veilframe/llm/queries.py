@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontaminate, packing, secrets, toxicity
+from veilframe.llm import decontaminate, near_dup, packing, secrets, toxicity
 from veilframe.sources.tables import table
 
 
@@ -44,6 +44,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc.c0").alias("doc_id"), *_span_columns(secrets.BASE_KINDS))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, with its exact copies and verified links."""
+    return near_dup.near_duplicates(_documents(spark, sf_dir)).drop("row")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path())
@@ -79,6 +84,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_near_duplicates": op3_near_duplicates,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
