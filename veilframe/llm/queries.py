@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontaminate, lang_id, near_dup, packing, secrets, topk, toxicity
+from veilframe.llm import decontaminate, lang_id, licenses, near_dup, packing, pii, secrets, sharding, topk, toxicity
 from veilframe.sources.tables import table
 
 
@@ -57,6 +57,35 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_documents(spark, sf_dir)).drop("row")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: fixed patterns, and the conditional random field's spans."""
+    found = pii.scan_personal(_documents(spark, sf_dir))
+    return found.select(F.col("doc.c0").alias("doc_id"), *_span_columns(pii.KINDS))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot and shard of every document, by its id."""
+    return sharding.place(_documents(spark, sf_dir)).select(F.col("doc.c0").alias("doc_id"), "slot", "shard")
+
+
+def files_of(documents: DataFrame) -> DataFrame:
+    """Stand-in file tree: documents as files below their source and language, some named LICENSE."""
+    folder = F.concat_ws("/", "source", "lang", F.concat(F.lit("p"), F.pmod("doc_id", F.lit(50)).cast("string")))
+    path = (
+        F.when(F.col("doc_id") % 97 == 0, F.concat_ws("/", "source", F.lit("LICENSE")))
+        .when(F.col("doc_id") % 8 == 3, F.concat(folder, F.lit("/LICENSE")))
+        .otherwise(F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    )
+    return documents.select("doc_id", path.alias("path"), "text")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited licence of every document, as files of a tree."""
+    files = files_of(table(spark, sf_dir, "documents"))
+    found = licenses.scan_licenses(files)
+    return found.select(F.col("doc.c0").alias("doc_id"), "path", "license", "score", "effective", "from_dir")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path())
@@ -99,6 +128,9 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_personal_data": op4_personal_data,
+    "op5_sharding": op5_sharding,
+    "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
