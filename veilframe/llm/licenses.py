@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,6 +167,10 @@ def _task(weights: Weights, threshold: float):
     return run
 
 
+def _directory(path: Column) -> Column:
+    return F.when(path.isNotNull(), F.regexp_replace(path, r"/?[^/]*$", ""))
+
+
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc`` (the row), ``path``, its own ``license`` and ``score``, and the licence it ends up with.
 
@@ -175,20 +179,24 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", thre
     """
     ensure_checkpoint_dir(files.sparkSession)
     weights = Weights(*word_frequencies(files, text))
-    own = tx.annotate(files, {"text": (text, "string"), "path": (path, "string")}, _task(weights, threshold), _OWN)
     place = [c.lower() for c in files.columns].index(path.lower())
-    own = own.withColumn("path", F.col("doc")[f"c{place}"].cast("string"))
-    own = own.withColumn("dir", F.when(F.col("path").isNotNull(), F.regexp_replace("path", r"/?[^/]*$", "")))
-    facts = own.select("path", "dir", "license", "score")
-    is_file = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENSE_FILE)
+    by_path = F.col(f"`{files.columns[place]}`").cast("string")
+    is_file = F.regexp_extract(by_path, r"([^/]*)$", 1).rlike(LICENSE_FILE)
+
+    def scored(some: DataFrame) -> DataFrame:
+        own = tx.annotate(some, {"text": (text, "string"), "path": (path, "string")}, _task(weights, threshold), _OWN)
+        own = own.withColumn("path", F.col("doc")[f"c{place}"].cast("string"))
+        return own.withColumn("dir", _directory(F.col("path")))
+
+    facts = scored(files.where(is_file)).select("dir", "license", "score")
     best = F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")
-    granted = facts.where(is_file & F.col("license").isNotNull()).groupBy("dir").agg(best).select(F.col("dir").alias("ancestor"), F.col("best.license").alias("inherited")).checkpoint()
-    dirs = facts.where("dir is not null").select("dir").distinct()
+    granted = facts.where(F.col("license").isNotNull()).groupBy("dir").agg(best).select(F.col("dir").alias("ancestor"), F.col("best.license").alias("inherited")).checkpoint()
+    dirs = files.select(_directory(by_path).alias("dir")).where("dir is not null").distinct()
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     pairs = dirs.select("dir", F.posexplode(F.array_distinct(above)).alias("depth", "ancestor"))
     nearest = pairs.join(granted, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "inherited")).alias("near"))
     nearest = nearest.select("dir", F.col("near.ancestor").alias("from_dir"), F.col("near.inherited").alias("inherited")).checkpoint()
-    out = own.join(nearest, "dir", "left")
+    out = scored(files).join(nearest, "dir", "left")
     alone = F.col("license").isNotNull()
     return out.select("doc", "path", "license", "score", F.coalesce("license", "inherited").alias("effective"), F.when(~alone, F.col("from_dir")).alias("from_dir"))

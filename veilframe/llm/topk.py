@@ -12,7 +12,7 @@ a task returns k rows per query, and a ranking per query merges them. Components
 are scaled and floored to integers. Vectors that are null, empty or hold a null
 or non-finite component, and rows without an id, take no part; shorter vectors
 count as filled with zeros. Repeated rows each take part; a query is not matched
-with rows of its own id. Ties go to the smaller id.
+with rows of its own id. Ties go to the smaller id. Scores must fit 64 bits.
 """
 
 from __future__ import annotations
