@@ -1,15 +1,16 @@
-"""Plan checks over every registered batch query."""
+"""Plan checks over every registered batch query of the catalog."""
 
 import re
 
 import pytest
 
 import __spark_entry__ as E
+from veilframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 ALLOWED_PARENTS = ("HashAggregate", "ObjectHashAggregate", "SortAggregate", "TakeOrderedAndProject",
                    "GlobalLimit", "CollectLimit")
-BATCH = [k for k in E.queries() if not k.startswith("stream_")]
+BATCH = [k for k in catalog.QUERIES if not k.startswith("stream_")]
 
 
 def _tree(df):
