@@ -125,7 +125,7 @@ def test_equal_sketches_need_equal_order():
 
 
 def test_connect_joins_chains(spark):
-    links = spark.createDataFrame([(b"%02d" % i, b"%02d" % (i + 1)) for i in range(0, 20) if i != 9], "a binary, b binary")
-    labels = spark.range(21).select(F.format_string("%02d", "id").cast("binary").alias("node"), F.struct(F.lit(False).alias("none"), F.col("id").alias("doc_id"), F.format_string("%02d", "id").cast("binary").alias("node")).alias("label"))
-    got = {int(bytes(r.node)): r.label.doc_id for r in nd.connect(links, labels).collect()}
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 20) if i != 9], "a long, b long")
+    labels = spark.range(25).select(F.col("id").alias("row"), F.struct(F.lit(False).alias("none"), F.col("id").alias("doc_id"), F.col("id").alias("row")).alias("label"))
+    got = {r.row: r.label.doc_id for r in nd.connect(links, labels).collect()}
     assert got == {i: 0 if i <= 9 else 10 for i in range(21)}

@@ -11,13 +11,15 @@ the diagonal band that a similarity of 0.8 allows are aligned (the longest chain
 that rises in both texts), and the similarity is the aligned k-mers over all of
 both documents. Equal word sequences are one node and need no pair.
 
-Inside a bucket each node is compared with representatives drawn at random per
-bucket, never with all others. A first round with few sketches joins what is
-plainly alike; the later round takes all sketches and two representatives and
-leaves out pairs that are joined already. Links are merged to classes by rounds
-of smallest labels between leaves and representatives. No bucket, class or list
-of links meets in one task or the driver; skewed joins read checkpointed tables
-on both sides, so that adaptive execution can split them.
+Inside a bucket each node is compared with a few representatives, never with all
+others: the most central node, whose buckets are the largest (the one that the
+others are copies of), and two drawn at random, others in each bucket. Links are
+merged to classes by rounds of smallest labels. No bucket, class or list of links meets in
+one task or the driver; skewed joins read checkpointed tables on both sides, so
+that adaptive execution can split them.
+
+Rows are told apart by Spark's row numbers of the input, so the input must be a
+table as read (or one written first), whose rows keep their partitions.
 
 Null, empty and wordless texts are a class each. Texts under five words have one
 k-mer, all their words. The class id is the smallest document id of the class.
@@ -41,8 +43,8 @@ from veilframe.session import ensure_checkpoint_dir
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 12
-#: Sketches of the first round.
-FIRST_BANDS = 2
+#: Representatives of a bucket besides its most central node.
+DRAWS = 2
 SEED = 3
 
 _rng = np.random.default_rng(SEED)
@@ -158,17 +160,24 @@ def sign(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return tx.annotate(narrow, {"text": ("text", "string")}, _sign, _SIGNED).select(F.col("doc.c0").alias("doc_id"), "node", "n", "sketches")
 
 
-def _candidates(nodes: DataFrame, bands: int, draws: int, least: float) -> DataFrame:
-    """Pairs of a node (a) and a representative (b) of a bucket it is in, whose sizes allow the similarity."""
-    rows = nodes.select("node", "n", F.posexplode(F.slice("sketches", 1, bands)).alias("band", "sketch"))
-    draw = [F.min(F.struct(F.xxhash64("node", "band", F.lit(d)).alias("h"), "node", "n")).alias(f"r{d}") for d in range(draws)]
-    heads = rows.groupBy("band", "sketch").agg(F.count("*").alias("size"), *draw).where("size > 1").drop("size").checkpoint()
-    pairs = rows.join(heads, ["band", "sketch"]).select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(*[f"r{d}" for d in range(draws)])).alias("r"))
-    pairs = pairs.where((F.col("a") != F.col("r.node")) & (F.least("n_a", "r.n") >= least * F.greatest("n_a", "r.n")))
-    return pairs.select("a", F.col("r.node").alias("b")).distinct()
+def _candidates(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs of a node's row (a) and that of a representative (b) of a bucket it is in, if their sizes allow the similarity."""
+    rows = nodes.select("row", "n", F.posexplode("sketches").alias("band", "sketch"))
+    sizes = rows.groupBy("band", "sketch").agg(F.count("*").alias("size")).where("size > 1").checkpoint()
+    shared = rows.join(sizes, ["band", "sketch"]).checkpoint()
+    central = shared.groupBy("row").agg(F.round(F.sum(F.log2("size")), 6).alias("central"))
+    best = F.min(F.struct((-F.col("central")).alias("h"), "row", "n"))
+    draws = [F.min(F.struct(F.xxhash64("row", "band", F.lit(d)).alias("h"), "row", "n")) for d in range(DRAWS)]
+    # one value a bucket and task crosses the shuffle, however many rows the bucket has
+    heads = shared.join(central, "row").groupBy("band", "sketch").agg(*[x.alias(f"r{i}") for i, x in enumerate([best, *draws])])
+    each = F.array_distinct(F.array(*[F.struct(f"r{i}.row", f"r{i}.n") for i in range(1 + DRAWS)]))
+    heads = heads.select("band", "sketch", each.alias("heads")).checkpoint()
+    pairs = shared.join(heads, ["band", "sketch"]).select("row", "n", F.explode("heads").alias("head"))
+    pairs = pairs.where((F.col("row") != F.col("head.row")) & (F.least("n", "head.n") >= least * F.greatest("n", "head.n")))
+    return pairs.select(F.col("row").alias("a"), F.col("head.row").alias("b")).distinct()
 
 
-_PAIR = tx.struct_of(("a", T.BinaryType()), ("b", T.BinaryType()), ("similarity", T.DoubleType()))
+_PAIR = tx.struct_of(("a", T.LongType()), ("b", T.LongType()), ("similarity", T.DoubleType()))
 
 
 def _verify(least: float):
@@ -185,39 +194,36 @@ def _verify(least: float):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs whose texts are alike, with their similarity."""
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    """The pairs of rows whose texts are alike, with their similarity."""
+    with_b = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
+    with_both = with_b.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), _PAIR).checkpoint()
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row's text for each node that is in a pair."""
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = used.join(nodes.select("node", "row"), "node").checkpoint()
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
-    return narrow.join(wanted, "row").select("node", "text")
-
-
 def connect(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Smallest label of each node's component: ``links`` (a, b), ``labels`` (node, label) of nodes in links.
+    """Smallest label of each node's component, for the nodes in ``links`` (a, b).
 
-    Each round hands the smallest label from leaves (a) to representatives (b)
-    and back, and then follows labels to their own labels, until none changes.
+    ``labels`` has (row, label) of all nodes; a label is a struct whose ``row``
+    names a node. Each round hands labels over the links; from the third round
+    on, nodes also take their label's own label, so that long chains close fast.
     """
-    links = links.select("a", "b")
-    current = labels.checkpoint()
+    ways = links.select(F.col("a").alias("from"), F.col("b").alias("to")).unionAll(links.select("b", "a"))
+    ways = ways.checkpoint()
+    current = labels.join(ways.select(F.col("from").alias("row")).distinct(), "row").checkpoint()
+    turn = 0
     while True:
-        up = links.join(current, links["a"] == current["node"]).groupBy("b").agg(F.min("label").alias("up"))
-        raised = current.join(up, current["node"] == up["b"], "left").select("node", F.least("label", "up").alias("label")).checkpoint()
-        down = links.join(raised, links["b"] == raised["node"]).groupBy("a").agg(F.min("label").alias("down"))
-        lowered = raised.join(down, raised["node"] == down["a"], "left").select("node", F.least("label", "down").alias("label")).checkpoint()
-        heads = lowered.select(F.col("node").alias("head"), F.col("label").alias("further"))
-        jumped = lowered.withColumn("head", F.col("label.node")).join(heads, "head", "left").select("node", F.least("label", "further").alias("label")).checkpoint()
-        old = current.withColumnRenamed("label", "old")
-        if jumped.join(old, "node").where(F.col("label") != F.col("old")).isEmpty():
-            return jumped
-        current = jumped
+        turn += 1
+        handed = ways.join(current, ways["from"] == current["row"]).select(F.col("to").alias("row"), "label", F.lit(None).cast(current.schema["label"].dataType).alias("own"))
+        own = current.select("row", "label", F.col("label").alias("own"))
+        # one value a node and task crosses the shuffle, however many links the node has
+        lowered = handed.unionAll(own).groupBy("row").agg(F.min("label").alias("label"), F.min("own").alias("own")).checkpoint()
+        if lowered.where(F.col("label") != F.col("own")).isEmpty():
+            return lowered.select("row", "label")
+        current = lowered.select("row", "label")
+        if turn > 2:
+            heads = current.select(F.col("row").alias("head"), F.col("label").alias("further"))
+            jumped = current.withColumn("head", F.col("label.row")).join(heads, "head", "left")
+            current = jumped.select("row", F.least("label", "further").alias("label")).checkpoint()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -228,23 +234,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = sign(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).checkpoint()
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
     nodes = signed.where("node is not null").groupBy("node", "n", "sketches").agg(head, F.count("*").alias("copies"))
-    nodes = nodes.select("node", "n", "sketches", "head.doc_id", "head.row", "copies").checkpoint()
-    first = _candidates(nodes, FIRST_BANDS, 1, least).checkpoint()
-    links = _verified(first, _texts(docs, "doc_id", "text", nodes, first), least)
-    labels = nodes.select("node", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node").alias("label")).checkpoint()
-    joined = connect(links, _in_links(labels, links))
-    more = _candidates(nodes, BANDS, 2, least).join(first, ["a", "b"], "left_anti")
-    of_a = joined.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
-    of_b = joined.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-    open_ = more.join(of_b, "b", "left").join(of_a, "a", "left").where("label_a is null or label_b is null or label_a != label_b").select("a", "b").checkpoint()
-    later = _verified(open_, _texts(docs, "doc_id", "text", nodes, open_), least)
-    links = links.unionByName(later).checkpoint()
-    classes = connect(links, _in_links(labels, links))
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = nodes.join(classes, "node", "left").join(degree, "node", "left").select(
+    nodes = nodes.select("node", "n", "sketches", "head", "head.row", "copies").checkpoint()
+    texts = docs.withColumn("row", F.monotonically_increasing_id())
+    links = _verified(_candidates(nodes, least).checkpoint(), texts, least)
+    classes = connect(links, nodes.select("row", F.col("head").alias("label")))
+    degree = links.select(F.col("a").alias("row")).unionAll(links.select("b")).groupBy("row").agg(F.count("*").alias("n_links"))
+    label = F.coalesce("label", "head")
+    known = nodes.select("row", "node", "head", "copies").join(classes, "row", "left").join(degree, "row", "left").select(
         "node",
-        F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("label.doc_id")).alias("class_id"),
-        F.when(F.col("label").isNull() | (F.col("label.node") == F.col("node")), F.col("row")).alias("head_row"),
+        label["doc_id"].alias("class_id"),
+        label["row"].alias("head_row"),
         "copies",
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     ).checkpoint()
@@ -260,10 +259,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def _in_links(labels: DataFrame, links: DataFrame) -> DataFrame:
-    return labels.join(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "node")
-
-
 def remove_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The documents, in their own columns, without all but one row of each class."""
     gone = near_duplicates(docs, doc_id, text, least).where("not keep").select(F.col("row").alias("row")).checkpoint()
