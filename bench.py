@@ -112,6 +112,11 @@ def run_once(spark, fn, sf) -> float:
     return time.perf_counter() - t0
 
 
+def timed(spark, fn, sf) -> float:
+    spark.catalog.clearCache()  # no run answers from what another left in memory
+    return run_once(spark, fn, sf)
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -124,8 +129,8 @@ def main() -> None:
     for name, fn in BENCH.items():
         if only and name not in only:
             continue
-        run_once(spark, fn, sf)  # warm-up: Python workers, codegen caches
-        best = min(run_once(spark, fn, sf) for _ in range(repeat))
+        run_once(spark, fn, sf)  # warm-up: Python workers, codegen
+        best = min(timed(spark, fn, sf) for _ in range(repeat))
         times[name] = round(best, 3)
         print(f"# {name}: {best:.3f}s", file=sys.stderr, flush=True)
     sf_name = os.path.basename(os.path.normpath(sf)).replace("sf", "")

@@ -3,8 +3,10 @@ import json
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from replay import lockout_replay_reference
 from veilframe.operators import access, audit, lockout
 from veilframe.sources.files import append_run_log, read_audit_log
 
@@ -93,7 +95,7 @@ def test_lockout_matches_sequential_replay(spark):
     df = spark.createDataFrame(pdf)
     got = sorted((r.user, r.locked_at, r.locked_until, r.rejected_while_locked)
                  for r in lockout.lockout_replay(df).collect())
-    exp = lockout.lockout_replay_reference(pdf)
+    exp = lockout_replay_reference(pdf)
     exp = sorted((r.user, r.locked_at.to_pydatetime(), r.locked_until.to_pydatetime(), r.rejected_while_locked)
                  for r in exp.itertuples())
     assert got == exp and len(got) > 0
@@ -117,7 +119,7 @@ def _as_tuples(df):
 
 
 def _reference(pdf):
-    exp = lockout.lockout_replay_reference(pdf)
+    exp = lockout_replay_reference(pdf)
     return sorted((r.user, r.locked_at.to_pydatetime(), r.locked_until.to_pydatetime(), r.rejected_while_locked)
                   for r in exp.itertuples())
 
@@ -134,6 +136,17 @@ def test_lockout_mixed_routing(spark):
     assert got == _reference(pdf)
 
 
+@pytest.mark.parametrize("limit", [0, 2, 200_000])
+def test_lockout_nulls_and_ties_do_not_depend_on_the_routing(spark, limit):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("u", t + dt.timedelta(seconds=i), i, None if i == 3 else i == 9) for i in range(8)]
+    rows += [("u", None, 100, False), (None, t, 101, False), ("v", t, 1, False)] + [("v", t, i, False) for i in range(2, 7)]
+    df = spark.createDataFrame(rows, "user string, ts timestamp, seq long, ok boolean")
+    got = _as_tuples(lockout.lockout_replay(df, max_session_rows=limit))
+    lock = dt.timedelta(minutes=15)
+    assert got == [("u", t + dt.timedelta(seconds=4), t + dt.timedelta(seconds=4) + lock, 3), ("v", t, t + lock, 1)]
+
+
 def test_lockout_rule_details():
     t = pd.Timestamp("2024-01-01")
     m = pd.Timedelta(minutes=1)

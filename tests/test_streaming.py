@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from replay import lockout_replay_reference
 from veilframe.operators import lockout
 from veilframe.plans.profile import ProfileError
 from veilframe.streaming import jobs
@@ -46,13 +47,12 @@ def test_rollup_and_breaches_over_batches(spark, tmp_path):
     path = _write_batches(spark, str(tmp_path), frames)
     schema = spark.read.parquet(path).schema
     log = _stream(spark, path, schema).withColumn("success", F.lit(True))
-    got = jobs.run_available(jobs.rollup_stream(log, "1 hour", "1 hour", ("event_type",)), "r").collect()
-    allrows = pd.concat(frames)
-    max_ts = allrows["ts"].max()
-    exp = allrows.assign(h=allrows["ts"].dt.floor("h")).groupby("h").size()
-    exp = {k: v for k, v in exp.items() if k + pd.Timedelta(hours=1) <= max_ts - pd.Timedelta(hours=1)}
+    got = jobs.run_windows(jobs.rollup_stream(log, "1 hour", "1 hour", ("event_type",)), "r").collect()
+    exp = pd.concat(frames).assign(h=lambda d: d["ts"].dt.floor("h")).groupby("h").size().to_dict()
     assert {pd.Timestamp(r.window_start): r.n_events for r in got} == exp
-    br = jobs.run_available(jobs.rate_breach_stream(_stream(spark, path, schema), "user", "1 hour", 10, "1 hour"),
+    newest = max(exp)
+    assert {pd.Timestamp(r.window_start) for r in got if not r.final} == {newest}
+    br = jobs.run_windows(jobs.rate_breach_stream(_stream(spark, path, schema), "user", "1 hour", 10, "1 hour"),
                             "b").collect()
     assert br and all(r.n_events > 10 for r in br)
 
@@ -71,8 +71,8 @@ def test_wall_clock_results_do_not_depend_on_session_zone(spark, tmp_path):
         day = sorted(tuple(r) for r in audit.rate_breaches(log, "user", "1 day", 3).collect())
         roll = sorted(tuple(r) for r in audit.rollup(log, "day", ("user",)).collect())
         s = spark.readStream.schema(schema).parquet(path)
-        st = sorted(tuple(r) for r in jobs.run_available(jobs.rate_breach_stream(s, "user", "1 day", 3, "1 hour"),
-                                                          "tz").collect())
+        st = sorted(tuple(r) for r in jobs.run_windows(jobs.rate_breach_stream(s, "user", "1 day", 3, "1 hour"),
+                                                        "tz").collect())
         return day, roll, st
 
     old = spark.conf.get("spark.sql.session.timeZone")
@@ -101,9 +101,8 @@ def test_tail_audit_log_as_stream(spark, tmp_path):
         lines.append("{broken")
         (logdir / f"part{f}.json").write_text("\n".join(lines) + "\n")
     log = stream_audit_log(spark, str(logdir))
-    out = jobs.run_available(jobs.rollup_stream(log, "1 hour", "1 hour", ("event_type",)), "tail").collect()
-    # 60 events over 10 hours; windows closed by the watermark (max ts - 1h) are final
-    assert sum(r.n_events for r in out) == 48 and {r.event_type for r in out} == {"DATA_ACCESS", "ERROR"}
+    out = jobs.run_windows(jobs.rollup_stream(log, "1 hour", "1 hour", ("event_type",)), "tail").collect()
+    assert sum(r.n_events for r in out) == 60 and {r.event_type for r in out} == {"DATA_ACCESS", "ERROR"}
 
 
 def test_lockout_stream_matches_batch_replay(spark, tmp_path):
@@ -118,6 +117,6 @@ def test_lockout_stream_matches_batch_replay(spark, tmp_path):
     path = _write_batches(spark, str(tmp_path), frames)
     s = _stream(spark, path, spark.read.parquet(path).schema)
     got = sorted((r.user, r.locked_at, r.locked_until) for r in jobs.run_available(jobs.lockout_stream(s), "l").collect())
-    exp = lockout.lockout_replay_reference(pdf)
+    exp = lockout_replay_reference(pdf)
     exp = sorted((r.user, r.locked_at.to_pydatetime(), r.locked_until.to_pydatetime()) for r in exp.itertuples())
     assert got == exp and len(got) > 3

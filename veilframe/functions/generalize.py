@@ -140,12 +140,20 @@ def generalize_age(c, bins: Sequence[int] | None = None, dtype: DataType | None
     return label
 
 
-def generalize_numeric(c, precision: int = 0, bin_size: float | None = None) -> Column:
+def generalize_numeric(c, precision: int = 0, bin_size: float | None = None, on_invalid: str = "null") -> Column:
     """Reduce numeric precision; the result is a double.
 
     precision 0 truncates toward zero (``float(int(x))``); otherwise Python's
     ``round(x, precision)``. ``bin_size`` floors to multiples of the bin width.
+    Text that is no number becomes NULL, or with ``on_invalid='keep'`` stays as
+    it is (the result is then text).
     """
+    if on_invalid == "keep":
+        number = generalize_numeric(c, precision, bin_size)
+        unread = _col(c).isNotNull() & _col(c).try_cast(DoubleType()).isNull()
+        return F.when(unread, _col(c).cast(StringType())).otherwise(number.cast(StringType()))
+    if on_invalid != "null":
+        raise ValueError("on_invalid must be 'null' or 'keep'")
     x = _col(c).try_cast(DoubleType())
     if bin_size is not None:
         w = float(bin_size)
@@ -166,9 +174,12 @@ def generalize_qi_numeric(c, level: int, dtype: DataType | None = None) -> Colum
     # "+ 0.0" turns -0.0 into 0.0: Python's round() returns an int, so the
     # reference never yields a negative zero.
     out = F.rint(x / F.lit(f)) * F.lit(f) + F.lit(0.0)
-    if dtype is not None and not isinstance(dtype, (DoubleType, FloatType)):
-        return out.cast(dtype)
-    return out if dtype is None else out.cast(dtype)
+    if dtype is None or isinstance(dtype, (DoubleType, FloatType)):
+        return out if dtype is None else out.cast(dtype)
+    # a value that rounds beyond the type's range is cut to the last multiple inside it
+    # (TINYINT 127 at level 1 gives 120), so the job never fails on overflow
+    return F.when(x.isNull(), F.lit(None).cast(dtype)).otherwise(
+        F.coalesce(out.try_cast(dtype), (F.signum(x) * F.floor(F.abs(x) / F.lit(f)) * F.lit(f)).try_cast(dtype)))
 
 
 def generalize_qi_string(c, level: int) -> Column:

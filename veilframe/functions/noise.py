@@ -1,46 +1,59 @@
 """Noise expressions for differential privacy (T9, DP1, DP2, DP6).
 
-Laplace(b) is drawn as ``b * (ln(1-U2) - ln(1-U1))``, the difference of two
-exponentials; ``1-U`` lies in (0, 1] so the log is always finite. Seeds are
-literals in the plan: recomputation of a lost partition redraws the same
-noise, so a noisy column never describes two different datasets.
+Laplace noise is the inverse distribution function of one uniform draw, Gaussian
+noise the Box-Muller transform of two. With a key (a row's or a group's) the
+draws are SHA-256 of (key, seed, name): the noise of a row is the same wherever
+and however often it is computed, so a noisy column never describes two
+datasets. Without a key they come from ``rand`` and depend on the partitioning.
 """
 
 from __future__ import annotations
 
 import math
 import secrets
+import warnings
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .draws import keyed_uniform, with_key
+
 
 def fresh_seed() -> int:
     """A seed from the OS; production plans use this and never log it."""
     return secrets.randbits(62)
 
 
-def laplace_sample(scale: float, seed: int) -> Column:
+def laplace_sample(scale: float, seed: int, key: Column | None = None, name: str = "laplace") -> Column:
     if scale < 0:
         raise ValueError("scale must be >= 0")
-    u1 = F.rand(seed)
-    u2 = F.rand((seed * 7919 + 1) % (2 ** 62))
-    return F.lit(float(scale)) * (F.log(F.lit(1.0) - u2) - F.log(F.lit(1.0) - u1))
 
+    def draw(k: Column) -> Column:
+        u = keyed_uniform(k, seed, name) - F.lit(0.5)
+        return F.signum(u) * F.log(F.lit(1.0) - F.lit(2.0) * F.abs(u)) * F.lit(-float(scale))
+
+    return with_key(key, seed, draw)
 
-def gaussian_sample(sigma: float, seed: int) -> Column:
+
+def gaussian_sample(sigma: float, seed: int, key: Column | None = None, name: str = "gaussian") -> Column:
     if sigma < 0:
         raise ValueError("sigma must be >= 0")
-    return F.randn(seed) * F.lit(float(sigma))
 
+    def draw(k: Column) -> Column:
+        radius = F.sqrt(F.lit(-2.0) * F.log(keyed_uniform(k, seed, f"{name}1")))
+        return radius * F.cos(F.lit(2 * math.pi) * keyed_uniform(k, seed, f"{name}2")) * F.lit(float(sigma))
+
+    return with_key(key, seed, draw)
 
-def add_laplace(c, epsilon: float = 1.0, sensitivity: float = 1.0, seed: int | None = None) -> Column:
+
+def add_laplace(c, epsilon: float = 1.0, sensitivity: float = 1.0, seed: int | None = None,
+                key: Column | None = None, name: str = "laplace") -> Column:
     """T9/DP1: value + Lap(0, sensitivity/epsilon); null stays null."""
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
     x = (F.col(c) if isinstance(c, str) else c).try_cast(DoubleType())
-    noise = laplace_sample(sensitivity / epsilon, fresh_seed() if seed is None else seed)
+    noise = laplace_sample(sensitivity / epsilon, fresh_seed() if seed is None else seed, key, name)
     return F.when(x.isNull(), F.lit(None).cast(DoubleType())).otherwise(x + noise)
 
 
@@ -53,11 +66,13 @@ def gaussian_sigma(epsilon: float, delta: float, sensitivity: float = 1.0) -> fl
 
 
 def add_gaussian(c, epsilon: float = 1.0, delta: float = 1e-5, sensitivity: float = 1.0,
-                 seed: int | None = None) -> Column:
+                 seed: int | None = None, key: Column | None = None, name: str = "gaussian") -> Column:
     """DP2: value + N(0, sigma^2), sigma = sens * sqrt(2 ln(1.25/delta)) / epsilon."""
+    if epsilon > 1:
+        warnings.warn("the Gaussian mechanism's guarantee holds for epsilon up to 1", stacklevel=2)
     sigma = gaussian_sigma(epsilon, delta, sensitivity)
     x = (F.col(c) if isinstance(c, str) else c).try_cast(DoubleType())
-    noise = gaussian_sample(sigma, fresh_seed() if seed is None else seed)
+    noise = gaussian_sample(sigma, fresh_seed() if seed is None else seed, key, name)
     return F.when(x.isNull(), F.lit(None).cast(DoubleType())).otherwise(x + noise)
 
 
@@ -65,18 +80,13 @@ def truth_probability(epsilon: float) -> float:
     return math.exp(epsilon) / (1 + math.exp(epsilon))
 
 
-def randomized_response(c, epsilon: float = 1.0, p: float | None = None, seed: int | None = None) -> Column:
+def randomized_response(c, epsilon: float = 1.0, p: float | None = None, seed: int | None = None,
+                        key: Column | None = None, name: str = "response") -> Column:
     """DP6: keep the true boolean with probability p, else flip it."""
     p = truth_probability(epsilon) if p is None else float(p)
     if not 0 <= p <= 1:
         raise ValueError("p must be in [0, 1]")
     b = (F.col(c) if isinstance(c, str) else c).cast("boolean")
-    u = F.rand(fresh_seed() if seed is None else seed)
-    return F.when(u < F.lit(p), b).otherwise(~b)
-
-
-def debias_response_rate(observed_rate: Column, p: float) -> Column:
-    """Unbiased estimate of the true-rate from randomized responses."""
-    if p == 0.5:
-        raise ValueError("p = 0.5 carries no information")
-    return (observed_rate + F.lit(p - 1.0)) / F.lit(2 * p - 1.0)
+    seed = fresh_seed() if seed is None else seed
+    keep = with_key(key, seed, lambda k: keyed_uniform(k, seed, name)) < F.lit(p)
+    return F.when(keep, b).otherwise(~b)

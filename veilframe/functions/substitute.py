@@ -2,8 +2,9 @@
 
 Two modes:
 
-* ``random``: a fresh value per cell, like the reference (draws use ``rand``
-  with per-draw seeds, so re-execution of the same plan gives the same output).
+* ``random``: a fresh value per cell. Each draw is SHA-256 of
+  "key|seed|name|draw" of a row key (see ``draws``); without a key, of one random
+  number drawn for the cell. ``name`` (the column) keeps columns independent.
 * ``consistent``: each draw is the first 60 bits of SHA-256 of
   ``"value|seed|draw"``, so equal inputs map to equal fakes (join-preserving
   pseudonyms) and the seed acts as the key.
@@ -18,6 +19,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .draws import keyed_integer, with_key
+
 # Fixed dictionaries for generated values (our own lists; any realistic words do).
 FIRST_NAMES = [
     "James", "Mary", "Robert", "Patricia", "John", "Jennifer", "Michael", "Linda",
@@ -63,24 +66,14 @@ SUBSTITUTE_TYPES = (
 
 
 class _Draws:
-    """Independent integer draws in [0, n) per row, random or keyed by the value."""
+    """Independent integer draws in [0, n), keyed by a row key or by the value itself."""
 
-    def __init__(self, value: Column, mode: str, seed: int):
-        if mode not in ("random", "consistent"):
-            raise ValueError("mode must be 'random' or 'consistent'")
-        self.value = value
-        self.mode = mode
-        self.seed = seed
-        self.i = 0
+    def __init__(self, key: Column, seed: int, prefix: str):
+        self.key, self.seed, self.prefix, self.i = key, seed, prefix, 0
 
     def __call__(self, n: int) -> Column:
         self.i += 1
-        if self.mode == "random":
-            return F.floor(F.rand(self.seed * 1000003 + self.i) * F.lit(n)).cast("int")
-        # keyed by the value: the first 60 bits of SHA-256("value|seed|draw")
-        digest = F.sha2(F.concat_ws("|", self.value, F.lit(str(self.seed)), F.lit(str(self.i))), 256)
-        bits = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
-        return F.pmod(bits, F.lit(n)).cast("int")
+        return keyed_integer(self.key, self.seed, f"{self.prefix}{self.i}", n)
 
     def pick(self, words: list[str]) -> Column:
         return F.element_at(F.array(*[F.lit(w) for w in words]), self(len(words)) + 1)
@@ -106,11 +99,21 @@ def _luhn_card(d: _Draws) -> Column:
     return F.concat(*[x.cast("string") for x in body], check.cast("string"))
 
 
-def substitute(c, data_type: str = "name", mode: str = "random", seed: int = 0) -> Column:
+def substitute(c, data_type: str = "name", mode: str = "random", seed: int = 0, key: Column | None = None,
+               name: str = "") -> Column:
     """Replace non-null values with a fake value of shape ``data_type``."""
+    if mode not in ("random", "consistent"):
+        raise ValueError("mode must be 'random' or 'consistent'")
     src = F.col(c) if isinstance(c, str) else c
-    d = _Draws(src.cast(StringType()), mode, seed)
     t = (data_type or "name").lower()
+    if mode == "consistent":
+        out = _fake(t, _Draws(src.cast(StringType()), seed, ""))
+    else:
+        out = with_key(key, seed, lambda k: _fake(t, _Draws(k, seed, f"{name}|")))
+    return F.when(src.isNull(), F.lit(None).cast(StringType())).otherwise(out)
+
+
+def _fake(t: str, d: _Draws) -> Column:
     if t == "name":
         out = F.concat_ws(" ", d.pick(FIRST_NAMES), d.pick(LAST_NAMES))
     elif t == "email":
@@ -145,4 +148,4 @@ def substitute(c, data_type: str = "name", mode: str = "random", seed: int = 0)
         out = F.concat(F.upper(F.substring(sentence, 1, 1)), F.substring(sentence, 2, 10_000), F.lit("."))
     else:
         out = d.pick(WORDS)
-    return F.when(src.isNull(), F.lit(None).cast(StringType())).otherwise(out)
+    return out

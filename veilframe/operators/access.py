@@ -40,16 +40,15 @@ def role_permissions(spark: SparkSession) -> DataFrame:
 
 
 def access_review(access: DataFrame, users: DataFrame, user_col: str = "user",
-                  permission_col: str = "permission", user_rows: int | None = None) -> DataFrame:
+                  permission_col: str = "permission") -> DataFrame:
     """Tag each access row with ``role``, ``active`` and ``granted``.
 
     ``users`` has ``(username, role, active)``. ``granted`` is true only for an
     active, known user whose role holds the requested permission.
     """
     spark = access.sparkSession
-    n_users = users.count() if user_rows is None else user_rows
     u = users.select(F.col("username").alias(user_col), "role", "active")
-    with_user = sized_join(access, u, [user_col], "left", n_users)
+    with_user = sized_join(access, u, [user_col], "left")
     grants = F.broadcast(role_permissions(spark).withColumn("_grant", F.lit(True)))
     j = with_user.join(grants, (with_user["role"] == grants["role"]) &
                        (with_user[permission_col] == grants["permission"]), "left")

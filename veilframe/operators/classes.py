@@ -20,11 +20,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.generalize import generalize_qi
+from ..session import ensure_checkpoint_dir
 from .joins import sized_join
 
 SIZE = "class_size"
@@ -139,14 +139,12 @@ def suppress_small_classes(df: DataFrame, qi: list[str], k: int, null_qi: str =
         raise ValueError("null_qi must be 'suppress' or 'keep'")
     ct = classes if classes is not None else class_table(df, qi)
     small = ct.where(qi_present(qi) & (F.col(SIZE) < F.lit(k))).select(*qi)
-    if n_small is None:
-        n_small = small.count()
     base = df.where(qi_present(qi)) if null_qi == "suppress" else df
     if n_small == 0:
         return base
     # anti join with the small classes: rows with a NULL QI never match, so
     # 'keep' keeps them and 'suppress' has filtered them above.
-    return sized_join(base, small, qi, "left_anti", n_small)
+    return sized_join(base, small, qi, "left_anti")
 
 
 # --- A5 ---------------------------------------------------------------------
@@ -169,7 +167,7 @@ def apply_k_anonymity(df: DataFrame, qi: list[str], k: int, levels: dict[str, in
 
     The search runs on the QI histogram, never on the rows: generalisation is
     a function of the QI values only, so each step re-aggregates the
-    (persisted) histogram. The winning prefix is applied to the rows once.
+    (checkpointed) histogram. The winning prefix is applied to the rows once.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
@@ -177,7 +175,8 @@ def apply_k_anonymity(df: DataFrame, qi: list[str], k: int, levels: dict[str, in
     if not qi:
         return df, KResult(True)
     levels = {c: (levels or {}).get(c, 1) for c in qi}
-    hist = df.groupBy(*qi).agg(F.count(F.lit(1)).alias(SIZE)).persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(df.sparkSession)
+    hist = df.groupBy(*qi).agg(F.count(F.lit(1)).alias(SIZE)).checkpoint()
     ok, mn, _, _, total = _check_hist(hist, k)
     res = KResult(satisfied_initially=ok, min_size_after_generalization=mn, satisfied_after_generalization=ok,
                   total_rows=total)
@@ -235,7 +234,8 @@ def enforce_l_diversity(df: DataFrame, qi: list[str], sensitive: str, l: int,
     """
     if l < 1:
         raise ValueError("l must be at least 1")
-    ct = classes if classes is not None else class_table(df, qi, sensitive)
+    ensure_checkpoint_dir(df.sparkSession)
+    ct = classes if classes is not None else class_table(df, qi, sensitive).checkpoint()
     good = ct.where(F.col(DIVERSITY) >= F.lit(l)).select(*qi)
     bad = ct.where(F.col(DIVERSITY) < F.lit(l)).select(*qi)
     cnt = ct.agg(F.count_if(F.col(DIVERSITY) >= F.lit(l)).alias("good"),
@@ -245,8 +245,8 @@ def enforce_l_diversity(df: DataFrame, qi: list[str], sensitive: str, l: int,
     if n_bad == 0:
         return base
     if n_good <= n_bad:
-        return sized_join(base, good, qi, "left_semi", n_good)
-    return sized_join(base, bad, qi, "left_anti", n_bad)
+        return sized_join(base, good, qi, "left_semi")
+    return sized_join(base, bad, qi, "left_anti")
 
 
 def l_report_frame(df: DataFrame, qi: list[str], sensitive: str, l: int) -> DataFrame:
@@ -302,14 +302,15 @@ def apply_k_and_l(df: DataFrame, qi: list[str], sensitive: str, k: int = 3, l: i
     """L4: A5, then L2, then re-check both on the result.
 
     The class table of the k-anonymous rows (size + diversity) is computed
-    once and persisted: L2 filters with it, and the final checks read it
+    once and checkpointed: L2 filters with it, and the final checks read it
     (L2 drops whole classes, so the result's classes are its ``diversity >= l`` rows).
     """
     _check_columns(df, qi + [sensitive])
     if l < 1:
         raise ValueError("l must be at least 1")
     kdf, kres = apply_k_anonymity(df, qi, k, levels, null_qi)
-    ct = class_table(kdf, qi, sensitive).persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(df.sparkSession)
+    ct = class_table(kdf, qi, sensitive).checkpoint()
     final = enforce_l_diversity(kdf, qi, sensitive, l, classes=ct)
     kept = ct.where(F.col(DIVERSITY) >= F.lit(l))
     st = kept.agg(

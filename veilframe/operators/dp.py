@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, NumericType
 
+from ..functions.draws import row_key
 from ..functions.noise import (
     add_gaussian, add_laplace, fresh_seed, laplace_sample, randomized_response, truth_probability,
 )
+from ..session import ensure_checkpoint_dir
 
 LEDGER_SCHEMA = "dataset string, column string, mechanism string, epsilon double, delta double, charged_at timestamp"
 
@@ -63,17 +65,30 @@ class PrivacyAccountant:
 
 
 def laplace_column(df: DataFrame, column: str, acct: PrivacyAccountant, sensitivity: float = 1.0,
-                   seed: int | None = None) -> DataFrame:
-    """DP1: Laplace mechanism on a column; one charge of epsilon for the release."""
+                   seed: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """DP1: Laplace mechanism on a column; one charge of epsilon for the release.
+
+    ``keys`` names columns that tell the rows apart: with them (here and below)
+    a row's noise does not depend on the plan or partitioning.
+    """
     acct.charge(acct.epsilon, "laplace", column)
-    return df.withColumn(column, add_laplace(column, acct.epsilon, sensitivity, seed))
+    return df.withColumn(column, add_laplace(column, acct.epsilon, sensitivity, seed, _key(keys), column))
 
 
 def gaussian_column(df: DataFrame, column: str, acct: PrivacyAccountant, sensitivity: float = 1.0,
-                    seed: int | None = None) -> DataFrame:
+                    seed: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """DP2: Gaussian mechanism on a column (needs delta > 0)."""
     acct.charge(acct.epsilon, "gaussian", column)
-    return df.withColumn(column, add_gaussian(column, acct.epsilon, acct.delta, sensitivity, seed))
+    return df.withColumn(column, add_gaussian(column, acct.epsilon, acct.delta, sensitivity, seed, _key(keys), column))
+
+
+def _key(keys: list[str] | None) -> Column | None:
+    return row_key(keys) if keys else None
+
+
+def _group_key(group_cols: list[str]) -> Column:
+    """Groups are told apart by their columns; a single group has an empty key."""
+    return row_key(group_cols) if group_cols else F.lit("")
 
 
 def noisy_count(df: DataFrame, group_cols: list[str], acct: PrivacyAccountant, sensitivity: float = 1.0,
@@ -82,7 +97,8 @@ def noisy_count(df: DataFrame, group_cols: list[str], acct: PrivacyAccountant, s
     acct.charge(acct.epsilon, "noisy_count", ",".join(group_cols) or None)
     seed = fresh_seed() if seed is None else seed
     counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    noisy = F.col("_n").cast(DoubleType()) + laplace_sample(sensitivity / acct.epsilon, seed)
+    noisy = F.col("_n").cast(DoubleType()) + laplace_sample(
+        sensitivity / acct.epsilon, seed, _group_key(group_cols), name)
     return counts.select(*group_cols, F.greatest(F.lit(0), F.rint(noisy).cast("bigint")).alias(name))
 
 
@@ -95,30 +111,32 @@ def noisy_sum(df: DataFrame, column: str, acct: PrivacyAccountant, group_cols: l
     x = F.col(column).cast(DoubleType())
     st = df.groupBy(*g).agg(F.coalesce(F.sum(x), F.lit(0.0)).alias("_s"), F.max(F.abs(x)).alias("_m"))
     sens = F.lit(float(sensitivity)) if sensitivity is not None else F.coalesce(F.col("_m"), F.lit(1.0))
-    noise = sens / F.lit(acct.epsilon) * laplace_sample(1.0, seed)
+    noise = sens / F.lit(acct.epsilon) * laplace_sample(1.0, seed, _group_key(g), "noisy_sum")
     return st.select(*g, (F.col("_s") + noise).alias("noisy_sum"),
                      F.lit(sensitivity is None).alias("data_dependent_sensitivity"))
 
 
 def noisy_mean(df: DataFrame, column: str, acct: PrivacyAccountant, group_cols: list[str] | None = None,
                sensitivity: float | None = None, seed: int | None = None) -> DataFrame:
-    """DP5: noisy mean; default sensitivity (max-min)/n; an empty input gives 0.0."""
+    """DP5: noisy mean; default sensitivity (max-min)/n; an empty input gives 0.0 and is not charged."""
     seed = fresh_seed() if seed is None else seed
     g = group_cols or []
     x = F.col(column).cast(DoubleType())
     st = df.groupBy(*g).agg(F.avg(x).alias("_a"), F.min(x).alias("_lo"), F.max(x).alias("_hi"),
                             F.count(x).alias("_n"))
-    acct.charge(acct.epsilon, "noisy_mean", column)
+    if not df.select(x.alias("x")).where("x is not null").isEmpty():
+        acct.charge(acct.epsilon, "noisy_mean", column)
     sens = F.lit(float(sensitivity)) if sensitivity is not None else (F.col("_hi") - F.col("_lo")) / F.col("_n")
-    noise = sens / F.lit(acct.epsilon) * laplace_sample(1.0, seed)
+    noise = sens / F.lit(acct.epsilon) * laplace_sample(1.0, seed, _group_key(g), "noisy_mean")
     return st.select(*g, F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.col("_a") + noise).alias("noisy_mean"),
                      F.lit(sensitivity is None).alias("data_dependent_sensitivity"))
 
 
 def randomized_response_column(df: DataFrame, column: str, epsilon: float = 1.0, p: float | None = None,
-                               seed: int | None = None, name: str | None = None) -> DataFrame:
-    """DP6: randomized response on a boolean column (no budget charge, as in the reference)."""
-    return df.withColumn(name or column, randomized_response(column, epsilon, p, seed))
+                               seed: int | None = None, name: str | None = None,
+                               keys: list[str] | None = None) -> DataFrame:
+    """DP6: randomized response on a boolean column (no budget charge)."""
+    return df.withColumn(name or column, randomized_response(column, epsilon, p, seed, _key(keys), column))
 
 
 def randomized_response_estimate(df: DataFrame, column: str, epsilon: float = 1.0, p: float | None = None,
@@ -138,14 +156,18 @@ def _numeric_or_fail(df: DataFrame, column: str) -> None:
 
 
 def _dp_column_exprs(df: DataFrame, columns: list[str], acct: PrivacyAccountant,
-                     sensitivity: dict[str, float] | None, seed: int | None, split_budget: bool) -> dict:
+                     sensitivity: dict[str, float] | None, seed: int | None, split_budget: bool,
+                     keys: list[str] | None = None) -> dict:
     sensitivity = sensitivity or {}
     present = [c for c in columns if c in df.columns]
     for c in present:
         _numeric_or_fail(df, c)
     seed = fresh_seed() if seed is None else seed
     eps_col = acct.epsilon / len(columns) if split_budget and columns else acct.epsilon
-    exprs = {c: add_laplace(c, eps_col, sensitivity.get(c, 1.0), seed=(seed + 104729 * (i + 1)) % (2 ** 62))
+    # draws are named by their column, so one seed gives independent columns; unkeyed
+    # draws need a seed of their own each
+    exprs = {c: add_laplace(c, eps_col, sensitivity.get(c, 1.0),
+                            seed if keys else (seed + 104729 * (i + 1)) % (2 ** 62), _key(keys), c)
              for i, c in enumerate(present)}
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     for c in present:
@@ -157,14 +179,14 @@ def _dp_column_exprs(df: DataFrame, columns: list[str], acct: PrivacyAccountant,
 
 def dp_columns(df: DataFrame, columns: list[str], acct: PrivacyAccountant,
                sensitivity: dict[str, float] | None = None, seed: int | None = None,
-               split_budget: bool = False) -> DataFrame:
+               split_budget: bool = False, keys: list[str] | None = None) -> DataFrame:
     """DP7: Laplace noise on every non-null cell of the listed columns.
 
     Missing columns are skipped. Each column is charged ``epsilon/n`` once
     (not once per cell); the noise scale is ``sens/epsilon``, or
     ``sens/(epsilon/n)`` with ``split_budget=True``.
     """
-    exprs = _dp_column_exprs(df, columns, acct, sensitivity, seed, split_budget)
+    exprs = _dp_column_exprs(df, columns, acct, sensitivity, seed, split_budget, keys)
     return df.withColumns(exprs) if exprs else df
 
 
@@ -197,7 +219,7 @@ def budget_ledger(charges: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def adaptive_noise(df: DataFrame, column: str, epsilon: float = 1.0, delta: float = 1e-5,
                    min_value: float | None = None, max_value: float | None = None,
-                   seed: int | None = None) -> DataFrame:
+                   seed: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """DP9: sensitivity (max-min)/n from the data (or given bounds), result clamped.
 
     One aggregate job computes the bounds; all-null columns are returned unchanged.
@@ -211,35 +233,43 @@ def adaptive_noise(df: DataFrame, column: str, epsilon: float = 1.0, delta: floa
     lo = float(st["lo"]) if min_value is None else float(min_value)
     hi = float(st["hi"]) if max_value is None else float(max_value)
     sens = (hi - lo) / int(st["n"])
-    noisy = add_laplace(column, epsilon, sens, seed)
+    noisy = add_laplace(column, epsilon, sens, seed, _key(keys), column)
     return df.withColumn(column, F.when(x.isNull(), x).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), noisy))))
 
 
+COMPARISON = "column string, original_mean double, noisy_mean double, absolute_error double"
+
+
+def compare_means(original: DataFrame, published: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column, the means of the original and of the published table (one aggregation of each)."""
+    cols = [c for c in columns if c in original.columns and c in published.columns]
+    if not cols:
+        return original.sparkSession.createDataFrame([], COMPARISON)
+
+    def means(df: DataFrame, prefix: str) -> DataFrame:
+        return df.agg(*[F.avg(F.col(c).cast(DoubleType())).alias(f"{prefix}{i}") for i, c in enumerate(cols)])
+
+    both = means(original, "o").crossJoin(means(published, "n"))  # one row each
+    return both.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"o{i}").alias("original_mean"), F.col(f"n{i}").alias("noisy_mean"),
+                 F.abs(F.col(f"o{i}") - F.col(f"n{i}")).alias("absolute_error")) for i, c in enumerate(cols)])))
+
+
 def dp_dataset(df: DataFrame, columns: list[str], epsilon: float = 1.0, delta: float = 1e-5,
                sensitivities: dict[str, float] | None = None, seed: int | None = None,
-               dataset: str = "dataset") -> tuple[DataFrame, dict, DataFrame]:
+               dataset: str = "dataset", keys: list[str] | None = None) -> tuple[DataFrame, dict, DataFrame]:
     """DP10: DP7 plus a per-column comparison of original and noisy means.
 
-    Returns (noisy frame, budget report, comparison frame). The comparison is
-    one aggregation over both the original and the noisy column; the noisy
-    column is a deterministic function of its seed, so it equals the output.
+    Returns (noisy frame, budget report, comparison frame). With ``keys`` the
+    noise belongs to the row, so the comparison holds for every computation of
+    the noisy frame. Without them the noisy frame is checkpointed, and the
+    comparison and all later reads use those rows.
     """
     acct = PrivacyAccountant(epsilon, delta, dataset)
-    exprs = _dp_column_exprs(df, columns, acct, sensitivities, seed, False)
+    exprs = _dp_column_exprs(df, columns, acct, sensitivities, seed, False, keys)
     noisy = df.withColumns(exprs) if exprs else df
-    comp_schema = "column string, original_mean double, noisy_mean double, absolute_error double"
-    if not exprs:
-        return noisy, acct.report(), df.sparkSession.createDataFrame([], comp_schema)
-    # one scan: the original and the (same-seed, hence identical) noisy values side by side
-    cols = list(exprs)
-    means = df.select(*[F.col(c).cast(DoubleType()).alias(f"o_{c}") for c in cols],
-                      *[exprs[c].alias(f"n_{c}") for c in cols]).agg(
-        *[F.avg(f"o_{c}").alias(f"o_{c}") for c in cols], *[F.avg(f"n_{c}").alias(f"n_{c}") for c in cols])
-    comp = means.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"o_{c}").alias("original_mean"), F.col(f"n_{c}").alias("noisy_mean"),
-                 F.abs(F.col(f"o_{c}") - F.col(f"n_{c}")).alias("absolute_error")) for c in cols])))
-    return noisy, acct.report(), comp
-
-
-def noise_expr(c: str | Column, epsilon: float, sensitivity: float, seed: int) -> Column:
-    return add_laplace(c, epsilon, sensitivity, seed)
+    if exprs and not keys:
+        ensure_checkpoint_dir(df.sparkSession)
+        noisy = noisy.checkpoint()
+    report = acct.report() | {"epsilon_composed": acct.epsilon * len(exprs)}
+    return noisy, report, compare_means(df, noisy, list(exprs))

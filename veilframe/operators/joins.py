@@ -1,29 +1,40 @@
-"""Join helpers: broadcast only behind a size check, shuffle join otherwise."""
+"""Join helper: broadcast only a side whose bytes were measured, shuffle join otherwise."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-# Bytes we allow to ship to every executor. Row estimates are conservative
-# (16 bytes per key column plus row overhead) and the caller passes an exact
-# row count, so the broadcast side is bounded before it is built.
+from ..session import ensure_checkpoint_dir
+
+# Bytes we allow to ship to every executor, and what a row and a field take besides their text.
 BROADCAST_BYTES_LIMIT = 64 * 1024 * 1024
 _ROW_OVERHEAD = 24
 _BYTES_PER_COLUMN = 16
 
 
-def broadcast_fits(n_rows: int, n_cols: int, limit: int = BROADCAST_BYTES_LIMIT) -> bool:
-    return n_rows * (_ROW_OVERHEAD + _BYTES_PER_COLUMN * max(1, n_cols)) <= limit
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of ``df`` take once broadcast (one aggregation)."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct", "variant")]
+    size = F.lit(_ROW_OVERHEAD + _BYTES_PER_COLUMN * max(1, len(df.columns))).cast("bigint")
+    for c in texts:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+    for c in nested:
+        size = size + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0))
+    return int(df.agg(F.sum(size)).first()[0] or 0)
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, small_rows: int) -> DataFrame:
-    """Join ``big`` with ``small`` whose exact row count is ``small_rows``.
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join ``big`` with ``small``, which is computed once (checkpointed) and measured.
 
-    Broadcast when the small side fits the byte budget; otherwise a shuffle
-    join, where AQE splits a skewed key's partition of ``big`` across tasks.
+    Broadcast when its bytes fit the budget; otherwise a shuffle join, where
+    AQE splits a skewed key's partition of ``big`` across tasks.
     """
-    side = F.broadcast(small) if broadcast_fits(small_rows, len(small.columns)) else small
+    ensure_checkpoint_dir(big.sparkSession)
+    small = small.checkpoint()
+    side = F.broadcast(small) if measured_bytes(small) <= BROADCAST_BYTES_LIMIT else small
     joined = big.join(side, on=on, how=how)
     if how in ("left_semi", "left_anti", "semi", "anti"):
         return joined.select(*big.columns)  # a filter: keep the input's column order

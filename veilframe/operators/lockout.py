@@ -27,10 +27,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .joins import sized_join
 
 # Fixed values of the lockout rule.
@@ -133,13 +133,18 @@ def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
     Users whose sessions all have at most ``max_session_rows`` attempts are
     replayed per session (groups of at most ``BLOCK_ROWS`` attempts plus one
     session); users with a larger session go through ``_lockout_by_jumping``,
-    which never puts one user's attempts in one task.
+    which never puts one user's attempts in one task. Both give the same
+    events: before any routing, attempts without a user or a time are left out
+    and an attempt whose outcome is NULL counts as failed.
     """
+    ensure_checkpoint_dir(attempts.sparkSession)
     ts_type = attempts.schema[ts].dataType.simpleString()  # wall-clock (ntz) input stays wall-clock
     if ts_type not in ("timestamp", "timestamp_ntz"):
         ts_type = "timestamp"
     a = attempts.select(F.col(user).cast("string").alias("user"), F.col(ts).cast(ts_type).alias("ts"),
-                        F.col(seq).cast("bigint").alias("seq"), F.col(ok).cast("boolean").alias("ok"))
+                        F.col(seq).cast("bigint").alias("seq"),
+                        F.coalesce(F.col(ok).cast("boolean"), F.lit(False)).alias("ok"))
+    a = a.where(F.col("user").isNotNull() & F.col("ts").isNotNull())
     a = a.withColumn("bucket", F.floor(_micros("ts", ts_type) / F.lit(_GAP_US)).cast("bigint"))
     buckets = a.groupBy("user", "bucket").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
                                               F.count(F.lit(1)).alias("n"))
@@ -154,27 +159,27 @@ def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
         F.sum("_new").over(upto).cast("bigint").alias("session"),
         # attempts before this bucket's session: groups are cut by volume, never inside a session
         F.max(F.when(F.col("_new") == 1, F.col("_before"))).over(upto).alias("session_start_rows"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    ).checkpoint()
     big = sessions.groupBy("user", "session").agg(F.sum("n").alias("rows")).where(
         F.col("rows") > F.lit(max_session_rows)).select("user").distinct()
+    big = big.checkpoint()
     n_big = big.count()
-    n_sessions = sessions.count()  # one row per user and 15-minute bucket: bounds the small join sides
     out_parts = []
     if n_big:
         # routed rows, summed from the bucket summaries (no extra scan), size the range sort
-        n_rows = sized_join(sessions, big, ["user"], "left_semi", n_big).agg(F.sum("n")).first()[0] or 0
-        out_parts.append(_lockout_by_jumping(sized_join(a.drop("bucket"), big, ["user"], "left_semi", n_big),
+        n_rows = sized_join(sessions, big, ["user"], "left_semi").agg(F.sum("n")).first()[0] or 0
+        out_parts.append(_lockout_by_jumping(sized_join(a.drop("bucket"), big, ["user"], "left_semi"),
                                              int(n_rows)))
-        a = sized_join(a, big, ["user"], "left_anti", n_big)  # hot users never reach the joins below
+        a = sized_join(a, big, ["user"], "left_anti")  # hot users never reach the joins below
     tagged = sized_join(a, sessions.select("user", "bucket", "session", "session_start_rows"),
-                        ["user", "bucket"], "inner", n_sessions)
+                        ["user", "bucket"], "inner")
     tagged = tagged.withColumn("block", F.floor(F.col("session_start_rows") / F.lit(BLOCK_ROWS)).cast("bigint"))
     replays = tagged.groupBy("user", "block").applyInPandas(
-        _session_replays, SESSION_OUT.replace("timestamp", ts_type)).persist(StorageLevel.MEMORY_AND_DISK)
+        _session_replays, SESSION_OUT.replace("timestamp", ts_type)).checkpoint()
     summaries = replays.where(F.col("kind") == "summary").select("user", "session", "start_count", "end_count")
     chosen = summaries.groupBy("user").applyInPandas(_fold_user, "user string, session bigint, start_count int")
     locks = sized_join(replays.where(F.col("kind") == "lock"), chosen, ["user", "session", "start_count"],
-                       "left_semi", n_sessions)  # chosen has at most one row per session
+                       "left_semi")
     out = locks.select("user", "locked_at", "locked_until", F.col("rejected").alias("rejected_while_locked"))
     for p in out_parts:
         out = out.unionByName(p)
@@ -194,14 +199,14 @@ def _lockout_by_jumping(a: DataFrame, n_rows: int = 0) -> DataFrame:
     the nodes 2^k..2^(k+1)-1 steps ahead, so there are log2(path length)
     rounds of joins; each round is checkpointed to cut the lineage.
     """
-    from .shuffle import dense_index
+    from .shuffle import dense_index, offsets_table
 
     spark = a.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // ROWS_PER_PARTITION))
     srt = (a.select("user", "ts", "seq", "ok").repartitionByRange(parts, "user", "ts", "seq")
-           .sortWithinPartitions("user", "ts", "seq").persist(StorageLevel.MEMORY_AND_DISK))
+           .sortWithinPartitions("user", "ts", "seq").checkpoint())
     nodes, n = dense_index(srt, "g")
-    nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = nodes.checkpoint()
     bounds = nodes.groupBy("user").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
 
     # look-ahead: ok/ts of the next four attempts of the same user (index equi-join)
@@ -213,8 +218,8 @@ def _lockout_by_jumping(a: DataFrame, n_rows: int = 0) -> DataFrame:
         *[F.max(F.when(F.col("d") == i, F.col("okd").cast("int"))).alias(f"ok{i}") for i in range(1, 5)],
         F.max(F.when(F.col("d") == 4, F.col("tsd"))).alias("ts4"))
     # one row per routed user: broadcast when it fits, so no join is keyed by a hot user
-    bounds = bounds.persist(StorageLevel.MEMORY_AND_DISK)
-    full = sized_join(nodes.join(la, "g", "left"), bounds, ["user"], "inner", bounds.count())
+    bounds = bounds.checkpoint()
+    full = sized_join(nodes.join(la, "g", "left"), bounds, ["user"], "inner")
     okk = [F.col("ok").cast("int")] + [F.col(f"ok{i}") for i in range(1, 5)]
     nxt = F.lit(-1).cast("bigint")
     cond = F.lit(True)
@@ -234,12 +239,8 @@ def _lockout_by_jumping(a: DataFrame, n_rows: int = 0) -> DataFrame:
     union = targets.unionByName(nodes.select("user", "ts", F.lit(1).alias("kind"), F.col("seq").alias("ref")))
     union = (union.repartitionByRange(parts, "user", "ts", "kind", "ref")
              .sortWithinPartitions("user", "ts", "kind", "ref")
-             .withColumn("pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
-    per_part = dict((r[0], r[1]) for r in union.groupBy("pid").agg(F.sum("kind")).collect())
-    offs, acc = [], 0
-    for p in range(max(per_part) + 1 if per_part else 0):
-        offs.append(acc)
-        acc += int(per_part.get(p) or 0)
+             .withColumn("pid", F.spark_partition_id()).checkpoint())
+    offsets, _ = offsets_table(union.where("kind = 1"), "pid")
 
     def _running(batches):
         seen = 0
@@ -250,9 +251,17 @@ def _lockout_by_jumping(a: DataFrame, n_rows: int = 0) -> DataFrame:
             yield pd.DataFrame({"pid": pdf["pid"], "kind": pdf["kind"], "ref": pdf["ref"], "before": before})
 
     ranked = union.select("pid", "kind", "ref").mapInPandas(_running, "pid int, kind int, ref long, before long")
-    off_arr = F.array(*[F.lit(o).cast("bigint") for o in offs]) if offs else F.array().cast("array<bigint>")
-    expiry = ranked.where(F.col("kind") == 0).select(
-        F.col("ref").alias("g"), (F.element_at(off_arr, F.col("pid") + 1) + F.col("before")).alias("first_after"))
+    # attempts before a partition: those of the last counted partition at or before it (one small row each)
+    every = union.select("pid").distinct().join(F.broadcast(offsets), "pid", "left")
+    counted = union.where("kind = 1").count()
+    after = sorted((r.pid, r._offset) for r in every.collect())
+    known, filled = counted, []
+    for pid, offset in reversed(after):  # a partition of expiry times only: what comes after it counts from its end
+        known = offset if offset is not None else known
+        filled.append((pid, known))
+    starts = spark.createDataFrame(filled, "pid int, _offset bigint")
+    expiry = ranked.where(F.col("kind") == 0).join(F.broadcast(starts), "pid").select(
+        F.col("ref").alias("g"), (F.col("_offset") + F.col("before")).alias("first_after"))
     graph = graph.join(expiry, "g", "left").withColumn(
         "nxt", F.when(F.col("is_lock"), F.when(F.col("first_after") <= F.col("g1"), F.col("first_after"))
                       .otherwise(F.lit(-1))).otherwise(F.col("nxt")))
@@ -265,22 +274,13 @@ def _lockout_by_jumping(a: DataFrame, n_rows: int = 0) -> DataFrame:
     reached = bounds.select(F.col("g0").alias("g")).checkpoint()
     while True:
         hop = reached.join(jump, "g").where(F.col("j") >= 0).select(F.col("j").alias("g"))
-        new = hop.join(reached, "g", "left_anti")
+        new = hop.join(reached, "g", "left_anti").checkpoint()
         if new.isEmpty():
             break
         reached = reached.unionByName(new).distinct().checkpoint()
-        jj = jump.alias("b").select(F.col("g").alias("mid"), F.col("j").alias("j2"))
-        jump = jump.join(jj, jump["j"] == jj["mid"], "left").select(
-            "g", F.when(F.col("j") < 0, F.lit(-1).cast("bigint")).otherwise(F.coalesce(F.col("j2"), F.lit(-1)))
-            .alias("j")).checkpoint()
+        # finished nodes (j = -1) would all meet on one join key: they leave the joins for good
+        open_ = jump.where(F.col("j") >= 0)
+        jj = open_.select(F.col("g").alias("mid"), F.col("j").alias("j2"))
+        jump = open_.join(jj, open_["j"] == jj["mid"]).select("g", F.col("j2").alias("j")).checkpoint()
     locks = graph.where("is_lock").join(reached, "g", "left_semi")
     return locks.select("user", "locked_at", "locked_until", F.col("rejected").alias("rejected_while_locked"))
-
-
-def lockout_replay_reference(attempts: pd.DataFrame) -> pd.DataFrame:
-    """Straight sequential replay per user (pandas), for tests on small inputs."""
-    rows = []
-    for u, g in attempts.sort_values(["user", "ts", "seq"], kind="mergesort").groupby("user", sort=True):
-        _, locks = _replay(list(g["ts"]), list(g["ok"]), 0)
-        rows += [(str(u), at, until, rej) for at, until, rej in locks]
-    return pd.DataFrame(rows, columns=["user", "locked_at", "locked_until", "rejected_while_locked"])

@@ -168,14 +168,13 @@ def reidentification_risk(df: DataFrame, qi: list[str]) -> DataFrame:
     )
 
 
-def record_risk(df: DataFrame, qi: list[str], name: str = "reid_risk", class_rows: int | None = None) -> DataFrame:
+def record_risk(df: DataFrame, qi: list[str], name: str = "reid_risk") -> DataFrame:
     """Each row's re-identification risk ``1/class size`` (NULL QI -> NULL).
 
     The class table is joined back on the QI columns; it is broadcast only
-    when its exact size (``class_rows``, counted if not given) fits.
+    when its measured bytes fit.
     """
     from .joins import sized_join
     ct = class_table(df, qi)
-    n = ct.count() if class_rows is None else class_rows
-    joined = sized_join(df, ct, qi, "left", n)
+    joined = sized_join(df, ct, qi, "left")
     return joined.select(*[F.col(c) for c in df.columns], (F.lit(1.0) / F.col(SIZE)).alias(name))

@@ -5,16 +5,14 @@ over a whole column: per-row flags or violation codes from built-in regex and
 string expressions (map-only, no shuffle), and per-pattern / per-violation
 counts from one aggregation.
 
-JSON documents (V13) are parsed into Variant values and walked level by level
-with ``inline`` over ``map<string,variant>`` / ``array<variant>`` casts; the
-walk stops at the first depth with no nodes (at most depth 11), then one
-aggregation brings the findings back to the document. Nothing is parsed in
-Python.
+JSON documents (V13) are parsed into Variant values and walked inside the row:
+the nodes of a depth are one array, unrolled from ``map<string,variant>`` and
+``array<variant>`` casts of the array above (to depth 11). No shuffle, cache or
+key is needed, and nothing is parsed in Python.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,62 +82,43 @@ def check_json(df: DataFrame, json_col: str, keep: list[str] | None = None,
     invalid JSON.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != json_col]
-    # A content key (three hashes, 160 bits: xxhash64, murmur3, seeded xxhash64) ties the findings
-    # back to their row; unlike a positional id it survives recomputation of a
-    # lost partition in any order. Equal rows share a key and get equal answers.
-    row = [F.col(c) for c in keep] + [F.col(json_col)]
-    doc_key = F.struct(F.xxhash64(*row).alias("h1"), F.hash(*row).alias("h2"), F.xxhash64(F.lit(7), *row).alias("h3"))
-    base = df.select(*keep, F.col(json_col).alias("_j"), doc_key.alias("_doc"))
-    base = base.withColumn("_too_large", F.octet_length("_j") > F.lit(max_bytes))
+    base = df.select(*keep, F.col(json_col).alias("_j"))
+    base = base.withColumn("_too_large", F.coalesce(F.octet_length("_j") > F.lit(max_bytes), F.lit(False)))
     base = base.withColumn("_v", F.when(~F.col("_too_large"), F.try_parse_json("_j")))
-    base = base.withColumn("_invalid", ~F.col("_too_large") & F.col("_j").isNotNull() & F.col("_v").isNull())
-    # read twice (the walk and the final join): parse the documents once
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    node = "struct<key:string,node:variant>"
+    none = F.array().cast(f"array<{node}>")
 
     def bad(c):
-        return checks.is_sql_injection(c) | checks.is_xss(c)
-
-    # Level-by-level walk: level d holds the nodes at depth d with the key
-    # they sit under. Each level is persisted and the walk stops at the first
-    # empty level, so the number of passes follows the data's real depth
-    # (at most max_depth + 2); every level contributes its findings.
-    elem = "struct<key:string,node:variant>"
-    level = base.where(F.col("_v").isNotNull()).select(
-        "_doc", F.lit(None).cast("string").alias("key"), F.col("_v").alias("node")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    findings = []
-    for depth in range(max_depth + 2):
-        obj = F.expr("try_cast(node as map<string,variant>)")
-        arr = F.expr("try_cast(node as array<variant>)")
-        is_str = F.expr("schema_of_variant(node)") == F.lit("STRING")
-        scalar_bad = F.when(obj.isNull() & arr.isNull() & is_str,
-                            bad(F.expr("variant_get(node, '$', 'string')"))).otherwise(F.lit(False))
-        findings.append(level.select(
-            "_doc", F.lit(depth > max_depth).alias("deep"),
-            (F.col("key").isNotNull() & bad(F.col("key"))).alias("bkey"), scalar_bad.alias("bval")))
-        if depth > max_depth:
-            break  # nodes here are too deep; no need to look further down
-        kids_obj = F.transform(F.map_entries(obj), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("node")))
-        kids_arr = F.transform(arr, lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("node")))
-        empty = F.array().cast(f"array<{elem}>")
-        nxt = level.select("_doc", F.inline(F.concat(F.coalesce(kids_obj, empty), F.coalesce(kids_arr, empty))))
-        nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        if nxt.isEmpty():
-            break
-        level = nxt
-    flags = findings[0]
-    for f in findings[1:]:
-        flags = flags.unionByName(f)
-    per_doc = flags.groupBy("_doc").agg(F.bool_or("deep").alias("_deep"), F.bool_or("bkey").alias("_bkey"),
-                                        F.bool_or("bval").alias("_bval"))
-    out = base.join(per_doc, "_doc", "left")
-    too_large = F.coalesce(F.col("_too_large"), F.lit(False))
-    invalid = F.coalesce(F.col("_invalid"), F.lit(False))
-    deep = F.coalesce(F.col("_deep"), F.lit(False))
-    bkey = F.coalesce(F.col("_bkey"), F.lit(False))
-    bval = F.coalesce(F.col("_bval"), F.lit(False))
-    reason = (F.when(too_large, F.lit("too_large")).when(invalid, F.lit("invalid_json"))
-              .when(deep, F.lit("too_deep")).when(bkey, F.lit("bad_key")).when(bval, F.lit("bad_value")))
-    return out.select(*keep, too_large.alias("too_large"), invalid.alias("invalid_json"), deep.alias("too_deep"),
-                      bkey.alias("bad_key"), bval.alias("bad_value"), reason.isNull().alias("valid"),
+        return F.coalesce(checks.is_sql_injection(c) | checks.is_xss(c), F.lit(False))
+
+    def children(n):
+        members = F.map_entries(n["node"].try_cast("map<string,variant>"))
+        of_object = F.transform(members, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("node")))
+        of_array = F.transform(n["node"].try_cast("array<variant>"),
+                               lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("node")))
+        return F.concat(F.coalesce(of_object, none), F.coalesce(of_array, none))
+
+    def bad_text(n):
+        is_text = F.schema_of_variant(n["node"]) == F.lit("STRING")
+        return F.when(is_text, bad(F.try_variant_get(n["node"], "$", "string"))).otherwise(F.lit(False))
+
+    # level d: the row's nodes at depth d with the key they sit under, as one array;
+    # every level is its own projection, so each is computed once
+    root = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("_v").alias("node")))
+    out = base.withColumn("_l0", F.when(F.col("_v").isNull(), none).otherwise(root))
+    levels = ["_l0"]
+    for depth in range(1, max_depth + 2):
+        out = out.withColumn(f"_l{depth}", F.flatten(F.transform(F.col(levels[-1]), children)))
+        levels.append(f"_l{depth}")
+    bkey = bval = F.lit(False)
+    for level in levels:
+        bkey = bkey | F.exists(level, lambda n: bad(n["key"]))
+        bval = bval | F.exists(level, bad_text)
+    out = out.select(*keep, "_too_large", (~F.col("_too_large") & F.col("_j").isNotNull() & F.col("_v").isNull()).alias("_invalid"),
+                     (F.size(levels[-1]) > 0).alias("_deep"), bkey.alias("_bkey"), bval.alias("_bval"))
+    names = {"too_large": "_too_large", "invalid_json": "_invalid", "too_deep": "_deep", "bad_key": "_bkey", "bad_value": "_bval"}
+    reason = F.lit(None).cast("string")
+    for name, flag in reversed(names.items()):
+        reason = F.when(F.col(flag), F.lit(name)).otherwise(reason)
+    return out.select(*keep, *[F.col(flag).alias(name) for name, flag in names.items()], reason.isNull().alias("valid"),
                       reason.alias("reason"))

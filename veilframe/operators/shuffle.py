@@ -20,8 +20,7 @@ count jobs must agree on ``n`` or the job fails.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.noise import fresh_seed
@@ -31,32 +30,33 @@ _PART_SHIFT = 33  # monotonically_increasing_id = (partition id << 33) + row num
 ROWS_PER_BUCKET = 4_000_000  # value-side rows per sort task (value, two ids, key: ~50 bytes each)
 
 
-def _offsets_expr(df: DataFrame, pid_col: str) -> tuple[Column, int]:
-    """Literal array of each partition's first dense index, and the row total (one count job)."""
-    counts = dict(
-        (r[0], r[1]) for r in df.groupBy(F.col(pid_col)).agg(F.count(F.lit(1))).collect()
-    )
-    n_parts = max(counts) + 1 if counts else 0
-    offsets, acc = [], 0
-    for p in range(n_parts):
-        offsets.append(acc)
-        acc += counts.get(p, 0)
-    arr = F.array(*[F.lit(o).cast("bigint") for o in offsets]) if offsets else F.array().cast("array<bigint>")
-    return arr, acc
+def offsets_table(df: DataFrame, part_col: str) -> tuple[DataFrame, int]:
+    """``(part_col, _offset)``: rows before each part, and the row total.
+
+    One count job; one small row per part reaches the driver and goes back as a
+    table to join with, so the plan's size does not depend on the number of parts.
+    """
+    counts = sorted((r[0], r[1]) for r in df.groupBy(F.col(part_col)).agg(F.count(F.lit(1))).collect())
+    rows, total = [], 0
+    for part, n in counts:
+        rows.append((part, total))
+        total += n
+    return df.sparkSession.createDataFrame(rows, f"{part_col} int, _offset bigint"), total
 
 
 def dense_index(df: DataFrame, name: str = "_idx") -> tuple[DataFrame, int]:
     """Add a dense 0..n-1 index without a global sort or a single-partition window.
 
-    ``df`` should be persisted (or be a deterministic scan) so the count job
+    ``df`` should be checkpointed (or be a deterministic scan) so the count job
     and the indexing see the same partitioning.
     """
     mid = F.monotonically_increasing_id()
     tagged = df.withColumn("_mid", mid).withColumn("_pid", F.shiftright(F.col("_mid"), _PART_SHIFT).cast("int"))
-    offsets, n = _offsets_expr(tagged, "_pid")
+    offsets, n = offsets_table(tagged, "_pid")
     row_in_part = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), _PART_SHIFT)
-    out = tagged.withColumn(name, F.element_at(offsets, F.col("_pid") + 1) + row_in_part).drop("_mid", "_pid")
-    return out, n
+    # one row of 12 bytes per partition of the input
+    out = tagged.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_offset") + row_in_part)
+    return out.drop("_mid", "_pid", "_offset"), n
 
 
 def shuffle_column(df: DataFrame, column: str, seed: int | None = None,
@@ -82,26 +82,20 @@ def shuffle_column(df: DataFrame, column: str, seed: int | None = None,
         .withColumn("_bkt", F.floor(F.col("_key") * F.lit(buckets)).cast("int"))
         .repartition(buckets, "_bkt")
         .sortWithinPartitions("_bkt", "_key", "_src")
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .checkpoint()
     )
     # Partitions after the hash exchange are not ordered by bucket, so order
     # the buckets explicitly: index = offset of the bucket + rank within it.
-    bucket_counts = dict((r[0], r[1]) for r in values.groupBy("_bkt").agg(F.count(F.lit(1))).collect())
-    offs, acc = [], 0
-    for b in range(buckets):
-        offs.append(acc)
-        acc += bucket_counts.get(b, 0)
-    n_values = acc
-    bucket_off = F.array(*[F.lit(o).cast("bigint") for o in offs])
+    bucket_off, n_values = offsets_table(values, "_bkt")
     # rank within a bucket: a bucket lives in exactly one partition and is
     # contiguous there after the sort, so (row id - first row id of bucket).
     mid = F.monotonically_increasing_id()
     vv = values.withColumn("_mid", mid)
     first = vv.groupBy("_bkt").agg(F.min("_mid").alias("_first"))
-    vidx = vv.join(F.broadcast(first), "_bkt").select(
-        F.col("_val"),
-        (F.element_at(bucket_off, F.col("_bkt") + 1) + F.col("_mid") - F.col("_first")).alias("_idx"),
-    )
+    # two rows of 12 bytes per bucket of some millions of rows
+    small = first.join(F.broadcast(bucket_off), "_bkt")
+    vidx = vv.join(F.broadcast(small), "_bkt").select(
+        F.col("_val"), (F.col("_offset") + F.col("_mid") - F.col("_first")).alias("_idx"))
     if n_rows != n_values:
         raise RuntimeError(f"shuffle lost its bijection: {n_rows} rows vs {n_values} values")
     return rows.join(vidx, "_idx").select(*[

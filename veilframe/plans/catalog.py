@@ -1,7 +1,7 @@
 """Registered queries: one Spark job per operator over the given tables, each
 with an independent DuckDB SQL oracle where the output is deterministic.
 
-Random outputs (noise, substitution, randomized response) have no oracle and
+Random outputs are drawn from SHA-256 of row or group keys, so they have oracles too; outputs without one
 are checked by row count here and by moment/shape tests in ``tests/``.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql.types import (
 from ..functions import checks
 from ..functions.generalize import generalize_age, generalize_numeric, generalize_qi_numeric, generalize_qi_string
 from ..functions.masking import hmac_pseudonym, mask, null_out, salted_hash
+from ..functions.draws import row_key
 from ..functions.noise import add_laplace, randomized_response
 from ..functions.patterns import SQL_INJECTION_PATTERNS
 from ..functions.substitute import substitute
@@ -74,6 +75,14 @@ def _r9(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 9)
 
 
+def _r4(c):
+    """Logarithms and cosines differ in the last bit between engines: four decimals agree."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 4) + F.lit(0.0)  # no negative zero
+
+
+LINE_KEY = ["l_orderkey", "l_linenumber"]
+
+
 def _log(spark, sf) -> DataFrame:
     return audit.events_as_audit(_t(spark, sf, "events"))
 
@@ -138,7 +147,7 @@ def q_generalize_numeric(spark, sf):
 
 def q_substitute_values(spark, sf):
     c = _t(spark, sf, "customer")
-    cols = {t: substitute("c_name", t, "random", SEED) for t in
+    cols = {t: substitute("c_name", t, "random", SEED, row_key(["c_custkey"]), t) for t in
             ("name", "email", "phone", "address", "company", "ssn", "credit_card", "date", "city",
              "country", "zipcode", "url", "ip", "text", "other")}
     return c.select("c_custkey", *[v.alias(f"fake_{k}") for k, v in cols.items()])
@@ -156,7 +165,7 @@ def q_shuffle_column(spark, sf):
 
 def q_laplace_transform(spark, sf):
     li = _t(spark, sf, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", add_laplace("l_extendedprice", 1.0, 1.0, SEED).alias("price_noisy"))
+    return li.select("l_orderkey", "l_linenumber", _r4(add_laplace("l_extendedprice", 1.0, 1.0, SEED, row_key(LINE_KEY))).alias("price_noisy"))
 
 
 # --- k-anonymity --------------------------------------------------------------
@@ -235,18 +244,20 @@ def q_kl_report(spark, sf):
     return df.withColumn("suppression_rate", _r9("suppression_rate"))
 
 
-# --- differential privacy (random: row-count checks) --------------------------
+# --- differential privacy (noise keyed by row or group) ------------------------
 
 def q_dp_laplace(spark, sf):
     acct = dp.PrivacyAccountant(1.0, 1e-5, "lineitem")
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return dp.laplace_column(li, "l_extendedprice", acct, sensitivity=1.0, seed=SEED)
+    out = dp.laplace_column(li, "l_extendedprice", acct, sensitivity=1.0, seed=SEED, keys=LINE_KEY)
+    return out.withColumn("l_extendedprice", _r4("l_extendedprice"))
 
 
 def q_dp_gaussian(spark, sf):
     acct = dp.PrivacyAccountant(1.0, 1e-5, "lineitem")
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return dp.gaussian_column(li, "l_extendedprice", acct, sensitivity=1.0, seed=SEED)
+    out = dp.gaussian_column(li, "l_extendedprice", acct, sensitivity=1.0, seed=SEED, keys=LINE_KEY)
+    return out.withColumn("l_extendedprice", _r4("l_extendedprice"))
 
 
 def q_dp_noisy_count(spark, sf):
@@ -256,23 +267,27 @@ def q_dp_noisy_count(spark, sf):
 
 def q_dp_noisy_sum(spark, sf):
     acct = dp.PrivacyAccountant(1.0, 1e-5, "lineitem")
-    return dp.noisy_sum(_t(spark, sf, "lineitem"), "l_extendedprice", acct, ["l_returnflag"], seed=SEED)
+    out = dp.noisy_sum(_t(spark, sf, "lineitem"), "l_extendedprice", acct, ["l_returnflag"], seed=SEED)
+    return out.withColumn("noisy_sum", F.round("noisy_sum", 2))
 
 
 def q_dp_noisy_mean(spark, sf):
     acct = dp.PrivacyAccountant(1.0, 1e-5, "lineitem")
-    return dp.noisy_mean(_t(spark, sf, "lineitem"), "l_quantity", acct, ["l_returnflag"], seed=SEED)
+    out = dp.noisy_mean(_t(spark, sf, "lineitem"), "l_quantity", acct, ["l_returnflag"], seed=SEED)
+    return out.withColumn("noisy_mean", _r4("noisy_mean"))
 
 
 def q_randomized_response(spark, sf):
     lab = _t(spark, sf, "labels")
-    return lab.select("doc_id", randomized_response(F.col("toxic") == 1, 1.0, seed=SEED).alias("toxic_reported"))
+    return lab.select("doc_id", randomized_response(F.col("toxic") == 1, 1.0, seed=SEED, key=row_key(["doc_id"]))
+                      .alias("toxic_reported"))
 
 
 def q_dp_columns(spark, sf):
     acct = dp.PrivacyAccountant(1.0, 1e-5, "lineitem")
-    return dp.dp_columns(_t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "missing"],
-                         acct, {"l_extendedprice": 100.0}, seed=SEED)
+    out = dp.dp_columns(_t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "missing"],
+                        acct, {"l_extendedprice": 100.0}, seed=SEED, keys=LINE_KEY)
+    return out.withColumns({c: _r4(c) for c in ("l_quantity", "l_extendedprice", "l_discount")})
 
 
 def _ledger_inputs(spark, sf):
@@ -294,13 +309,14 @@ def q_budget_ledger(spark, sf):
 
 def q_dp_adaptive(spark, sf):
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
-    return dp.adaptive_noise(li, "l_discount", 1.0, 1e-5, 0.0, 0.1, seed=SEED)
+    out = dp.adaptive_noise(li, "l_discount", 1.0, 1e-5, 0.0, 0.1, seed=SEED, keys=LINE_KEY)
+    return out.withColumn("l_discount", F.round("l_discount", 12))
 
 
 def q_dp_dataset_report(spark, sf):
     _, _, comp = dp.dp_dataset(_t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], 1.0, 1e-5,
-                               seed=SEED, dataset="lineitem")
-    return comp
+                               seed=SEED, dataset="lineitem", keys=LINE_KEY)
+    return comp.select("column", *[F.round(c, 6).alias(c) for c in ("original_mean", "noisy_mean", "absolute_error")])
 
 
 # --- privacy metrics ------------------------------------------------------------
@@ -463,10 +479,23 @@ def q_check_list(spark, sf):
                     .alias("violation"))
 
 
+def _nested(depth: int) -> str:
+    return '{"a":' * depth + "1" + "}" * depth
+
+
+# Inline documents that fail each rule (and one that just passes), with the reason expected.
+JSON_CASES = [
+    (-1, '{"a": 1,', "invalid_json"), (-2, _nested(11), "too_deep"), (-3, _nested(10), None),
+    (-4, '{"a": "' + "x" * 1_048_577 + '"}', "too_large"), (-5, '{"<script>x</script>": 1}', "bad_key"),
+    (-6, '{"a": [1, {"b": "1 UNION SELECT secret"}]}', "bad_value"), (-7, None, None), (-8, "[]", None),
+]
+
+
 def q_check_json(spark, sf):
-    ev = _t(spark, sf, "events")
-    return scan.check_json(ev.select("event_id", "props"), "props", keep=["event_id"]).select(
-        "event_id", "valid", "reason")
+    """Every event's props, and the inline documents that fail one rule each."""
+    ev = _t(spark, sf, "events").select("event_id", "props")
+    cases = spark.createDataFrame([(i, text) for i, text, _ in JSON_CASES], "event_id bigint, props string")
+    return scan.check_json(ev.unionByName(cases), "props", keep=["event_id"]).select("event_id", "valid", "reason")
 
 
 # --- audit log analytics ----------------------------------------------------------
@@ -483,6 +512,87 @@ def q_audit_typed(spark, sf):
     return audit.typed_view(_log(spark, sf), "purchase", "k bigint")
 
 
+# How the inline details of a field type read from an event's id, in Spark and in the oracle's SQL.
+_FIELD_SPARK = {"string": lambda i: F.concat(F.lit("s"), i), "bigint": lambda i: i, "double": lambda i: i / 2,
+                "boolean": lambda i: i % 2 == 0, "array<string>": lambda i: F.array(F.concat(F.lit("a"), i))}
+_FIELD_SQL = {"string": "'s' || event_id", "bigint": "CAST(event_id AS VARCHAR)",
+              "double": "CAST(event_id / 2 AS VARCHAR)", "boolean": "CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END",
+              "array<string>": "'a' || event_id"}
+
+
+def _fields(event_type: str) -> list[list[str]]:
+    return [f.split(" ") for f in audit.EVENT_DETAIL_FIELDS[event_type].split(", ")]
+
+
+def _typed_log(spark, sf) -> DataFrame:
+    """The events as log entries of the twelve types in turn, with JSON details of each type's fields."""
+    types = list(audit.EVENT_DETAIL_FIELDS)
+    log = _log(spark, sf)
+    turn, details = F.col("seq") % len(types), F.lit(None).cast("string")
+    for n, t in enumerate(types):
+        fields = [_FIELD_SPARK[kind](F.col("seq")).alias(name) for name, kind in _fields(t)]
+        details = F.when(turn == n, F.to_json(F.struct(*fields))).otherwise(details)
+    names = F.element_at(F.array(*[F.lit(t) for t in types]), (turn + 1).cast("int"))
+    return log.withColumn("details", details).withColumn("event_type", names)
+
+
+def q_audit_typed_views(spark, sf):
+    """All twelve typed views: each entry's detail columns, read back from its JSON details."""
+    log, out = _typed_log(spark, sf), None
+    for t in audit.EVENT_DETAIL_FIELDS:
+        view = audit.typed_view(log, t)
+        fields = view.columns[len(log.columns) - 1:]  # what follows the log's own columns but its details
+        part = view.select("seq", "event_type", "success", F.concat_ws("|", *[
+            F.array_join(c, "") if "array" in dict(view.dtypes)[c] else F.col(c).cast("string") for c in fields]).alias("fields"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _typed_views_sql() -> str:
+    types = list(audit.EVENT_DETAIL_FIELDS)
+    cases = " ".join(f"WHEN {n} THEN " + " || '|' || ".join(_FIELD_SQL[kind] for _, kind in _fields(t)) for n, t in enumerate(types))
+    names = " ".join(f"WHEN {n} THEN {O.q(t)}" for n, t in enumerate(types))
+    return (f"SELECT event_id AS seq, CASE event_id % {len(types)} {names} END AS event_type, "
+            f"event_type <> 'error' AS success, CASE event_id % {len(types)} {cases} END AS fields FROM events")
+
+
+def q_audit_log_file(spark, sf):
+    """The events written as log lines (with broken lines among them), read back and searched."""
+    from ..sources.files import read_audit_log
+    from ..streaming.jobs import shared_path
+    log = _log(spark, sf)
+    message = F.struct("event_type", "user", "success", F.struct("details").alias("details"))
+    lines = log.select(F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "level",
+                                          message.alias("message"))).alias("value"))
+    broken = spark.createDataFrame([("{broken",), ('{"timestamp": "no time", "level": "ERROR", "message": '
+                                                   '{"event_type": "error", "user": "x", "success": false}}',)], "value string")
+    path = shared_path(spark, "audit_log")
+    lines.unionByName(broken).write.text(path)
+    found = audit.search(read_audit_log(spark, path), event_type="error")
+    return found.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "level", "event_type", "user", "success")
+
+
+def q_rate_rules(spark, sf):
+    """The six fixed rate rules in one scan, counted by log level; event types stand in for the routes."""
+    routes = {"signup": "login", "purchase": "upload", "click": "anonymize", "view": "audit_logs"}
+    route = F.create_map(*[F.lit(x) for kv in routes.items() for x in kv])[F.col("event_type")]
+    log = _log(spark, sf).withColumn("event_type", F.coalesce(route, F.col("event_type")))
+    return audit.rate_breaches_all(log, "level")
+
+
+def _rate_rules_sql() -> str:
+    route = ("CASE event_type WHEN 'signup' THEN 'login' WHEN 'purchase' THEN 'upload' WHEN 'click' THEN 'anonymize' "
+             "WHEN 'view' THEN 'audit_logs' ELSE event_type END")
+    rules = [("default", None, "day", 200), ("default", None, "hour", 50), ("login", "login", "minute", 10),
+             ("upload", "upload", "minute", 10), ("anonymize", "anonymize", "hour", 20), ("audit_logs", "audit_logs", "minute", 30)]
+    return " UNION ALL ".join(
+        f"SELECT level, date_trunc('{unit}', ts) AS window_start, date_trunc('{unit}', ts) + INTERVAL 1 {unit} AS window_end, "
+        f"count(*) AS n_events, {limit} AS \"limit\", '{name}: {limit} per 1 {unit}' AS rule "
+        f"FROM (SELECT level, ts, {route} AS route FROM ({_log_sql()})) "
+        + (f"WHERE route = '{kind}' " if kind else "") + f"GROUP BY level, date_trunc('{unit}', ts) HAVING count(*) > {limit}"
+        for name, kind, unit, limit in rules)
+
+
 def q_audit_rollup(spark, sf):
     return audit.rollup(_log(spark, sf), "day")
 
@@ -558,14 +668,14 @@ STREAM_WATERMARK = "1 hour"
 def q_stream_audit_rollup(spark, sf):
     from ..streaming import jobs
     log = audit.events_as_audit(jobs.table_stream(spark, sf, "events"))
-    return jobs.run_available(jobs.rollup_stream(log, STREAM_WINDOW, STREAM_WATERMARK), "audit_rollup")
+    return jobs.run_windows(jobs.rollup_stream(log, STREAM_WINDOW, STREAM_WATERMARK), "audit_rollup").drop("final")
 
 
 def q_stream_rate_breaches(spark, sf):
     from ..streaming import jobs
     log = audit.events_as_audit(jobs.table_stream(spark, sf, "events"))
-    return jobs.run_available(jobs.rate_breach_stream(log, "user", "1 day", RATE_LIMIT_PER_DAY, "1 day"),
-                              "rate_breaches")
+    return jobs.run_windows(jobs.rate_breach_stream(log, "user", "1 day", RATE_LIMIT_PER_DAY, "1 day"),
+                            "rate_breaches").drop("final")
 
 
 def q_stream_profile_pipeline(spark, sf):
@@ -647,6 +757,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_search": q_audit_search,
     "audit_tail": q_audit_tail,
     "audit_typed": q_audit_typed,
+    "audit_typed_views": q_audit_typed_views,
+    "audit_log_file": q_audit_log_file,
+    "rate_rules": q_rate_rules,
     "audit_rollup": q_audit_rollup,
     "rate_breaches": q_rate_breaches,
     "access_review": q_access_review,
@@ -908,6 +1021,91 @@ def _substitute_consistent_sql() -> str:
             f"{pick(FIRST_NAMES, 1)} || ' ' || {pick(LAST_NAMES, 2)} END AS customer_alias FROM orders")
 
 
+def _u_sql(key: str, name: str) -> str:
+    """A uniform draw: 52 bits of SHA-256 of 'key|seed|name'."""
+    bits = f"('0x' || substr(sha256({key} || '|{SEED}|{name}'), 1, 13))::BIGINT"
+    return f"((({bits})::DOUBLE + 0.5) / 4503599627370496.0)"
+
+
+def _laplace_sql(key: str, name: str, scale: str) -> str:
+    u = f"({_u_sql(key, name)} - 0.5)"
+    return f"(sign({u}) * ln(1.0 - 2.0 * abs({u})) * -({scale}))"
+
+
+_LINE_KEY_SQL = "(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR))"
+
+
+def _substitute_values_sql() -> str:
+    """Every fake value type, drawn by SHA-256 of 'custkey|seed|type|draw'."""
+    from ..functions import substitute as s
+
+    def d(t, i, n):
+        bits = f"('0x' || substr(sha256(CAST(c_custkey AS VARCHAR) || '|{SEED}|{t}|{i}'), 1, 15))::BIGINT"
+        return f"(({bits}) % {n})"
+
+    def pick(t, i, words):
+        return f"[{', '.join(O.q(w) for w in words)}][{d(t, i, len(words))} + 1]"
+
+    def digits(t, i, k):
+        return f"lpad(CAST({d(t, i, 10 ** k)} AS VARCHAR), {k}, '0')"
+
+    def pad(x, k):
+        return f"lpad(CAST({x} AS VARCHAR), {k}, '0')"
+
+    body = [d("credit_card", i + 1, 10) for i in range(15)]
+    doubled = [f"(CASE WHEN {x} * 2 > 9 THEN {x} * 2 - 9 ELSE {x} * 2 END)" if j % 2 == 0 else x for j, x in enumerate(body)]
+    check = f"((10 - ({' + '.join(doubled)}) % 10) % 10)"
+    sentence = " || ' ' || ".join(pick("text", i + 1, s.WORDS) for i in range(8))
+    fakes = {
+        "name": f"{pick('name', 1, s.FIRST_NAMES)} || ' ' || {pick('name', 2, s.LAST_NAMES)}",
+        "email": f"lower({pick('email', 1, s.FIRST_NAMES)}) || '.' || lower({pick('email', 2, s.LAST_NAMES)}) || "
+                 f"CAST({d('email', 3, 100)} AS VARCHAR) || '@' || {pick('email', 4, s.EMAIL_DOMAINS)}",
+        "phone": f"'(' || CAST({d('phone', 1, 800)} + 200 AS VARCHAR) || ') ' || {digits('phone', 2, 3)} || '-' || "
+                 f"{digits('phone', 3, 4)}",
+        "address": f"CAST({d('address', 1, 9899)} + 100 AS VARCHAR) || ' ' || {pick('address', 2, s.STREET_NAMES)} || "
+                   f"', ' || {pick('address', 3, s.CITIES)}",
+        "company": f"{pick('company', 1, s.COMPANY_WORDS)} || ' ' || {pick('company', 2, s.COMPANY_SUFFIXES)}",
+        "ssn": f"{pad(d('ssn', 1, 899) + ' + 1', 3)} || '-' || {pad(d('ssn', 2, 99) + ' + 1', 2)} || '-' || "
+               f"{pad(d('ssn', 3, 9999) + ' + 1', 4)}",
+        "credit_card": " || ".join(f"CAST({x} AS VARCHAR)" for x in [*body, check]),
+        "date": f"strftime(DATE '1940-01-01' + CAST({d('date', 1, 365 * 66)} AS INTEGER), '%Y-%m-%d')",
+        "city": pick("city", 1, s.CITIES),
+        "country": pick("country", 1, s.COUNTRIES),
+        "zipcode": digits("zipcode", 1, 5),
+        "url": f"'https://www.' || {pick('url', 1, s.WORDS)} || '.' || {pick('url', 2, s.TLDS)} || '/'",
+        "ip": " || '.' || ".join(f"CAST({d('ip', i + 1, 256)} AS VARCHAR)" for i in range(4)),
+        "text": f"upper(left({sentence}, 1)) || substr({sentence}, 2) || '.'",
+        "other": pick("other", 1, s.WORDS),
+    }
+    return "SELECT c_custkey, " + ", ".join(
+        f"CASE WHEN c_name IS NULL THEN NULL ELSE {x} END AS fake_{t}" for t, x in fakes.items()) + " FROM customer"
+
+
+def _noise_sql() -> dict[str, str]:
+    """The noisy queries: inverse-CDF Laplace and Box-Muller noise from keyed draws, epsilon 1."""
+    key, price = _LINE_KEY_SQL, "l_extendedprice"
+    normal = (f"(sqrt(-2.0 * ln({_u_sql(key, price + '1')})) * cos(2.0 * pi() * {_u_sql(key, price + '2')}) * "
+              "sqrt(2.0 * ln(1.25 / 0.00001)))")
+    flag = "l_returnflag"
+    clamped = f"greatest(0.0, least(0.1, l_discount + {_laplace_sql(key, 'l_discount', '0.1 / (SELECT count(l_discount) FROM lineitem)')}))"
+    noisy = {c: f"({c} + {_laplace_sql(key, c, '1.0')})" for c in ("l_quantity", price)}
+    group = "(coalesce(o_orderstatus, '') || '|' || coalesce(o_orderpriority, ''))"
+    return {
+        "laplace_transform": f"SELECT l_orderkey, l_linenumber, round({price} + {_laplace_sql(key, 'laplace', '1.0')}, 4) AS price_noisy FROM lineitem",
+        "dp_laplace": f"SELECT l_orderkey, l_linenumber, round({noisy[price]}, 4) AS {price} FROM lineitem",
+        "dp_gaussian": f"SELECT l_orderkey, l_linenumber, round({price} + {normal}, 4) AS {price} FROM lineitem",
+        "dp_noisy_count": f"SELECT o_orderstatus, o_orderpriority, greatest(0, CAST(round_even(count(*) + {_laplace_sql(group, 'noisy_count', '1.0')}, 0) AS BIGINT)) AS noisy_count FROM orders GROUP BY o_orderstatus, o_orderpriority",
+        "dp_noisy_sum": f"SELECT {flag}, round(sum({price}) + max(abs({price})) * {_laplace_sql(flag, 'noisy_sum', '1.0')}, 2) AS noisy_sum, true AS data_dependent_sensitivity FROM lineitem GROUP BY {flag}",
+        "dp_noisy_mean": f"SELECT {flag}, round(avg(l_quantity) + (max(l_quantity) - min(l_quantity)) / count(l_quantity) * {_laplace_sql(flag, 'noisy_mean', '1.0')}, 4) AS noisy_mean, true AS data_dependent_sensitivity FROM lineitem GROUP BY {flag}",
+        "randomized_response": f"SELECT doc_id, CASE WHEN {_u_sql('CAST(doc_id AS VARCHAR)', 'response')} < exp(1.0) / (1.0 + exp(1.0)) THEN toxic = 1 ELSE NOT (toxic = 1) END AS toxic_reported FROM labels",
+        "dp_columns": f"SELECT * REPLACE (round({noisy['l_quantity']}, 4) + 0.0 AS l_quantity, round({price} + {_laplace_sql(key, price, '100.0')}, 4) AS {price}, round(l_discount + {_laplace_sql(key, 'l_discount', '1.0')}, 4) + 0.0 AS l_discount) FROM lineitem",
+        "dp_adaptive": f"SELECT l_orderkey, l_linenumber, round({clamped}, 12) AS l_discount FROM lineitem",
+        "dp_dataset_report": " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS original_mean, round(avg({x}), 6) AS noisy_mean, round(abs(avg({c}) - avg({x})), 6) AS absolute_error FROM lineitem"
+            for c, x in noisy.items()),
+    }
+
+
 def _profile_pipeline_sql() -> str:
     return f"""SELECT {O.hmac_sql('l_orderkey', HMAC_KEY, 12)} AS l_orderkey,
   sha256({O.q(SALT)} || CAST(l_partkey AS VARCHAR)) AS l_partkey, l_suppkey, l_linenumber,
@@ -1066,12 +1264,19 @@ ORACLE_SQL: dict[str, str] = {
     "check_list": """SELECT vec_id, CASE WHEN embedding IS NULL THEN 'not_list' WHEN len(embedding) < 1 THEN 'too_few'
         WHEN len(embedding) > 64 THEN 'too_many' WHEN list_count(embedding) < len(embedding) THEN 'item_type'
         END AS violation FROM embeddings""",
-    "check_json": _check_json_sql(),
+    "check_json": _check_json_sql() + " UNION ALL " + " UNION ALL ".join(
+        f"SELECT {i}, {'true' if reason is None else 'false'}, {'NULL' if reason is None else O.q(reason)}"
+        for i, _, reason in JSON_CASES),
     "audit_search": f"SELECT * FROM ({_log_sql()}) WHERE event_type = 'error' "
                     f"AND ts >= TIMESTAMP '{AUDIT_FROM}' AND ts <= TIMESTAMP '{AUDIT_TO}'",
     "audit_tail": f"SELECT * FROM ({_log_sql()}) ORDER BY ts DESC, seq DESC LIMIT 100",
     "audit_typed": f"""SELECT seq, ts, level, event_type, "user", success,
         CAST(json_extract(details, '$.k') AS BIGINT) AS k FROM ({_log_sql()}) WHERE event_type = 'purchase'""",
+    "audit_typed_views": _typed_views_sql(),
+    "audit_log_file": f"""SELECT date_trunc('second', ts) AS ts, level, event_type, "user", success
+        FROM ({_log_sql()}) WHERE event_type = 'error'
+        UNION ALL SELECT NULL, 'ERROR', 'error', 'x', false""",
+    "rate_rules": _rate_rules_sql(),
     "audit_rollup": f"""SELECT date_trunc('day', ts) AS bucket, event_type, success, count(*) AS n_events
         FROM ({_log_sql()}) GROUP BY ALL""",
     "rate_breaches": f"""SELECT "user", date_trunc('day', ts) AS window_start,
@@ -1079,22 +1284,21 @@ ORACLE_SQL: dict[str, str] = {
         {RATE_LIMIT_PER_DAY} AS "limit", '{RATE_LIMIT_PER_DAY} per 1 day' AS rule
         FROM ({_log_sql()}) GROUP BY "user", date_trunc('day', ts) HAVING count(*) > {RATE_LIMIT_PER_DAY}""",
     "access_review": _access_sql(),
-    "stream_audit_rollup": f"""SELECT * FROM (
-        SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
-               event_type, success, count(*) AS n_events
-        FROM ({_log_sql()}) GROUP BY 1, 2, 3, 4)
-        WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "stream_audit_rollup": f"""SELECT date_trunc('hour', ts) AS window_start,
+        date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, success, count(*) AS n_events
+        FROM ({_log_sql()}) GROUP BY 1, 2, 3, 4""",
     "stream_rate_breaches": f"""SELECT "user", date_trunc('day', ts) AS window_start,
         date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS n_events, {RATE_LIMIT_PER_DAY} AS "limit"
         FROM ({_log_sql()}) GROUP BY "user", date_trunc('day', ts)
-        HAVING count(*) > {RATE_LIMIT_PER_DAY}
-           AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+        HAVING count(*) > {RATE_LIMIT_PER_DAY}""",
     "stream_profile_pipeline": _profile_pipeline_sql(),
     "csv_round_trip": "SELECT * FROM customer",
     "pipeline_job": f"""WITH kl AS ({_CUST_KL})
         SELECT {O.hmac_sql('c_custkey', HMAC_KEY, 12)} AS c_custkey, {O.mask_sql('c_name')} AS c_name,
                c_nationkey, c_acctbal, c_mktsegment FROM kl""",
     "substitute_consistent": _substitute_consistent_sql(),
+    "substitute_values": _substitute_values_sql(),
+    **_noise_sql(),
     "lockout_replay": _lockout_sql(True),
     "stream_lockout": _lockout_sql(False),
 }

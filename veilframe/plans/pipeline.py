@@ -18,12 +18,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 
+from ..functions.draws import row_key
 from ..functions.generalize import generalize_age, generalize_numeric
 from ..functions.masking import hmac_pseudonym, mask, null_out, salted_hash
 from ..functions.noise import add_laplace, fresh_seed
 from ..functions.substitute import substitute
 from ..operators.classes import apply_k_and_l, apply_k_anonymity
-from ..operators.dp import dp_dataset
+from ..operators.dp import compare_means, dp_dataset
 from ..operators.shuffle import shuffle_columns
 from .profile import ColumnSpec, Profile, ProfileError, normalize
 
@@ -35,13 +36,14 @@ def _now() -> str:
 def column_expr(spec: ColumnSpec, df: DataFrame, profile: Profile, seed: int, i: int) -> Column:
     """The Column for one narrow transform (everything but ``shuffle``)."""
     c, p, dt = spec.column, spec.params, df.schema[spec.column].dataType
+    key = row_key([k for k in profile.row_key if k in df.columns]) if profile.row_key else None
     t = spec.transform
     if t == "mask":
         return mask(c, p["keep_last"], p["mask_char"])
     if t == "null":
         return null_out(c, dt)
     if t == "substitute":
-        return substitute(c, p["data_type"], p["mode"], seed=(seed + 31 * i) % (2 ** 62))
+        return substitute(c, p["data_type"], p["mode"], seed=(seed + 31 * i) % (2 ** 62), key=key, name=c)
     if t == "hash":
         return salted_hash(c, p.get("salt", profile.salt))
     if t == "hmac":
@@ -52,9 +54,9 @@ def column_expr(spec: ColumnSpec, df: DataFrame, profile: Profile, seed: int, i:
         return generalize_age(c, p.get("bins"), dtype=dt, bin_size=p.get("bin_size"),
                               on_invalid=p.get("on_invalid", "null"))
     if t == "generalize_numeric":
-        return generalize_numeric(c, p["precision"], p.get("bin_size"))
+        return generalize_numeric(c, p["precision"], p.get("bin_size"), p.get("on_invalid", "null"))
     if t == "differential_privacy":
-        return add_laplace(c, p["epsilon"], p["sensitivity"], seed=(seed + 131 * i) % (2 ** 62))
+        return add_laplace(c, p["epsilon"], p["sensitivity"], seed=(seed + 131 * i) % (2 ** 62), key=key, name=c)
     raise ProfileError(f"no column expression for transform {t!r}")
 
 
@@ -100,7 +102,7 @@ def run(df: DataFrame, profile: Profile | dict, seed: int | None = None, output_
         user: str | None = None) -> RunResult:
     """The composite job (transforms -> k/l -> DP -> write -> run log -> report)."""
     from ..operators.report import full_report
-    from ..sources.files import append_run_log, write_csv, write_parquet
+    from ..sources.files import append_run_log, report_path_for, write_csv, write_parquet, write_report
 
     prof = profile if isinstance(profile, Profile) else normalize(profile)
     seed = prof.seed if seed is None and prof.seed is not None else (fresh_seed() if seed is None else seed)
@@ -124,14 +126,15 @@ def run(df: DataFrame, profile: Profile | dict, seed: int | None = None, output_
             events.append({"timestamp": _now(), "event_type": "K_ANONYMITY",
                            "success": kres.satisfied_after_generalization,
                            "details": {"k": prof.k, "quasi_identifiers": qi,
+                                       "satisfies": kres.satisfied_after_generalization,
+                                       "min_group_size": kres.min_size_after_generalization,
                                        "generalized": kres.generalized,
                                        "suppressed_classes": kres.suppressed_classes}})
     if prof.dp_columns:
         # DP10: noise plus the per-column comparison of original and noisy means
+        before_noise = out
         out, dp_rep, comp = dp_dataset(out, list(prof.dp_columns), prof.epsilon, prof.delta,
-                                       seed=(seed + 17) % (2 ** 62))
-        dp_rep["comparison"] = {r["column"]: {"original_mean": r["original_mean"], "noisy_mean": r["noisy_mean"],
-                                              "absolute_error": r["absolute_error"]} for r in comp.collect()}
+                                       seed=(seed + 17) % (2 ** 62), keys=list(prof.row_key) or None)
         res.dp_report = dp_rep
         events.append({"timestamp": _now(), "event_type": "DIFFERENTIAL_PRIVACY",
                        "details": {"epsilon": prof.epsilon, "delta": prof.delta, "columns": list(prof.dp_columns),
@@ -146,12 +149,21 @@ def run(df: DataFrame, profile: Profile | dict, seed: int | None = None, output_
         out = (reader.option("header", True).csv(output_path) if output_format == "csv"
                else reader.parquet(output_path))
         res.data = out
+        n_out = out.count()
         events.append({"timestamp": _now(), "event_type": "DATA_EXPORT",
-                       "details": {"output_file": output_path, "format": output_format.upper()}})
+                       "details": {"output_file": output_path, "format": output_format.upper(),
+                                   "records_count": n_out}})
+    if res.dp_report is not None:
+        if output_path:  # the means of what was published
+            comp = compare_means(before_noise, out, list(prof.dp_columns))
+        res.dp_report["comparison"] = {r["column"]: {k: r[k] for k in ("original_mean", "noisy_mean", "absolute_error")}
+                                       for r in comp.collect()}
     if with_report:
         rep, _ = full_report(df, out, list(prof.quasi_identifiers), prof.sensitive_attribute,
                              list(prof.dp_columns) or None, prof.k or 3, prof.l or 2)
         res.report = rep
+        if output_path:
+            write_report(out.sparkSession, rep, report_path_for(output_path))
     summary = {"method": "PROFILE_BASED", "output_file": output_path}
     if res.kl_report:
         summary.update({k: res.kl_report[k] for k in ("original_records", "anonymized_records")})

@@ -55,6 +55,7 @@ class Profile:
     epsilon: float = 1.0
     delta: float = 1e-5
     seed: int | None = None
+    row_key: tuple[str, ...] = ()  # columns that tell the rows apart: random values then follow the row
 
     @property
     def k_enabled(self) -> bool:
@@ -120,6 +121,7 @@ def _params(transform: str, raw: dict, col: str) -> dict:
         out["on_invalid"] = p.get("on_invalid", "null")
     elif transform == "generalize_numeric":
         out["precision"] = _int(p.get("precision", 0), f"{col}.precision")
+        out["on_invalid"] = p.get("on_invalid", "null")
         if p.get("bin_size") not in (None, ""):
             out["bin_size"] = _float(p["bin_size"], f"{col}.bin_size")
     elif transform == "substitute":
@@ -144,10 +146,10 @@ def normalize(raw: dict, hmac_key: bytes | str | None = None) -> Profile:
     for col, spec in cols_raw.items():
         check_identifier(col)
         if not isinstance(spec, dict) or "transform" not in spec:
-            raise ProfileError(f"Column '{col}' missing 'transform' field")
+            raise ProfileError(f"column {col!r} names no transform")
         t = spec["transform"]
         if t not in TRANSFORMS:
-            raise ProfileError(f"Invalid transform '{t}' for column '{col}'")
+            raise ProfileError(f"unknown transform {t!r} (column {col!r})")
         specs.append(ColumnSpec(col, t, _params(t, spec.get("params", {}), col)))
 
     key = hmac_key if hmac_key is not None else raw.get("hmac_key")
@@ -189,4 +191,5 @@ def normalize(raw: dict, hmac_key: bytes | str | None = None) -> Profile:
         quasi_identifiers=qi, sensitive_attribute=sensitive, k=k, l=l, k_levels=levels, null_qi=null_qi,
         dp_columns=tuple(dp_cols or ()), epsilon=eps, delta=delta,
         seed=_int(raw["seed"], "seed") if raw.get("seed") is not None else None,
+        row_key=tuple(raw.get("row_key") or ()),
     )

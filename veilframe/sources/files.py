@@ -52,7 +52,7 @@ def report_path_for(output_path: str) -> str:
 
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines audit log; malformed lines are skipped.
+    """JSON-lines audit log; malformed lines are skipped, a bad timestamp reads as NULL.
 
     Returns the flat log shape used by the audit operators:
     ``(seq, ts, level, event_type, user, success, details)``.
@@ -60,7 +60,7 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(AUDIT_LINE_SCHEMA).option("mode", "DROPMALFORMED").json(path)
     return raw.select(
         F.monotonically_increasing_id().alias("seq"),
-        F.to_timestamp("timestamp", AUDIT_TS_FORMAT).alias("ts"),
+        F.try_to_timestamp(F.col("timestamp"), F.lit(AUDIT_TS_FORMAT)).alias("ts"),
         "level", "message.event_type", "message.user", "message.success", "message.details",
     )
 
@@ -68,7 +68,7 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
 def stream_audit_log(spark: SparkSession, path: str) -> DataFrame:
     """S4 for tailing: the same parsing over a streaming JSON file source."""
     raw = spark.readStream.schema(AUDIT_LINE_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    return raw.select(F.to_timestamp("timestamp", AUDIT_TS_FORMAT).alias("ts"), "level",
+    return raw.select(F.try_to_timestamp(F.col("timestamp"), F.lit(AUDIT_TS_FORMAT)).alias("ts"), "level",
                       "message.event_type", "message.user", "message.success", "message.details")
 
 

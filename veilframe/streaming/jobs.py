@@ -3,8 +3,9 @@
 * Narrow column transforms (mask, hash, HMAC, generalise, substitute, noise)
   run on a streaming DataFrame unchanged: ``anonymize_stream``.
 * Audit roll-ups and rate-limit breaches are event-time windowed counts with
-  a watermark, so state for closed windows is dropped and results are final
-  when emitted (append mode): ``rollup_stream``, ``rate_breach_stream``.
+  a watermark that drops the state of closed windows: ``rollup_stream``,
+  ``rate_breach_stream``. A run writes every update of a window and keeps the
+  latest of each, open windows included (``run_windows``).
 * The lockout rule is per-user state (failure count, lock expiry) kept with
   ``applyInPandasWithState``: ``lockout_stream``.
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lockout import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
@@ -118,10 +120,11 @@ def _lockout_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -
         count, until = state.get
         count = int(count)
         until = None if until is None or pd.isna(until) else pd.Timestamp(until)
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="mergesort")
+    batch = pd.concat(list(pdfs), ignore_index=True)
+    batch = batch.dropna(subset=["ts"]).sort_values(["ts", "seq"], kind="mergesort")
     lock = pd.Timedelta(minutes=LOCKOUT_MINUTES)
     out = []
-    for t, good in zip(batch["ts"], batch["ok"]):
+    for t, good in zip(batch["ts"], batch["ok"].fillna(False).astype(bool)):
         t = pd.Timestamp(t)
         if until is not None:
             if t < until:
@@ -156,6 +159,34 @@ def lockout_stream(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
         "append", GroupStateTimeout.NoTimeout)
 
 
+def run_windows(stream: DataFrame, name: str, count: str = "n_events") -> DataFrame:
+    """Run a windowed count over everything available now: every window once, with its latest count.
+
+    Each micro-batch appends the windows it changed (update mode) with its batch
+    id; a repeated batch replaces its own folder. ``final`` tells whether the
+    window ended before the last window seen began, so no more is expected of it.
+    """
+    spark = stream.sparkSession
+    base = shared_path(spark, name)
+    data = os.path.join(base, "data")
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(data, f"batch={batch_id}"))
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(append)
+         .option("checkpointLocation", os.path.join(base, "_checkpoint")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    keys = [c for c in stream.columns if c != count]
+    if q.lastProgress is None:
+        return spark.createDataFrame([], StructType([*stream.schema.fields, StructField("final", BooleanType())]))
+    updates = spark.read.schema(schema).parquet(data)
+    latest = updates.groupBy(*keys).agg(F.max_by(count, "batch").alias(count))
+    newest = latest.agg(F.max("window_start").alias("newest"))  # one row
+    return latest.crossJoin(F.broadcast(newest)).withColumn("final", F.col("window_end") <= F.col("newest")).select(
+        *stream.columns, "final")
+
+
 def run_available(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     """Run a streaming query over everything available now; return its sink as a table.
 
