@@ -74,6 +74,10 @@ def test_full_report_and_recommendation(spark, staff):
     assert set(rep) == {"timestamp", "privacy_metrics", "utility_metrics", "summary"}
     assert rep["privacy_metrics"]["k_anonymity"]["satisfies_k_anonymity"]
     assert rep["utility_metrics"]["data_retention"]["anonymized_records"] == 8
+    long = {(x.section, x.metric, x.column): x.value for x in report.report_long(rep, anon, ["age", "department"]).collect()}
+    assert long["k_anonymity", "required_k", None] == "3" and long["l_diversity", "required_l", None] == "2"
+    assert ("numeric_error", "absolute_error", "salary") in long and ("information_loss", "information_loss_pct", "age") in long
+    assert sum(int(s) * int(n) for (_, m, s), n in long.items() if m == "group_size") == 8
     r = row.first()
     assert r.anonymized_records == 8 and r.dashboard_risk_score == 20
     assert r.recommendation.startswith("All privacy requirements met")  # retention 53.3% >= 50

@@ -47,13 +47,6 @@ def is_dangerous(c) -> Column:
     return _col(c).rlike(DANGEROUS_ANY)
 
 
-def pattern_hits(c, patterns: list[str]) -> Column:
-    """Array of the indexes (0-based) of the patterns that occur in the value."""
-    s = _col(c)
-    flags = [F.when(s.rlike(to_java(p)), F.lit(i)) for i, p in enumerate(patterns)]
-    return F.filter(F.array(*flags), lambda x: x.isNotNull())
-
-
 def sanitize_sql(c) -> Column:
     """V4: drop NUL, double quotes ``'``, remove ``; -- /* */ xp_`` in order, strip."""
     s = _col(c).cast(StringType())

@@ -129,7 +129,3 @@ def any_of(patterns: list[str], first: str | None = None) -> str:
     body = "|".join(f"(?:{p})" for p in patterns)
     return f"(?={first})(?:{body})" if first else body
 
-
-SQLI_JAVA = [to_java(p) for p in SQL_INJECTION_PATTERNS]
-XSS_JAVA = [to_java(p) for p in XSS_PATTERNS]
-DANGEROUS_JAVA = [to_java(p) for p in DANGEROUS_PATTERNS]

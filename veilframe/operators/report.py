@@ -19,7 +19,9 @@ from pyspark.sql.types import (
 
 from ..functions.generalize import python_round
 from .classes import DIVERSITY, SIZE, qi_present
-from .metrics import HIGH_RISK_THRESHOLD, MEDIUM_RISK_THRESHOLD, entropy_from_counts, stacked_values
+from .metrics import (
+    HIGH_RISK_THRESHOLD, MEDIUM_RISK_THRESHOLD, entropy_from_counts, group_size_histogram, stacked_values,
+)
 
 # Fixed recommendation texts and thresholds of the report.
 REC_K_FAIL = "CRITICAL: k-anonymity not satisfied. Increase generalization or suppression."
@@ -207,7 +209,7 @@ def _full_report(spark, original, anonymized, qi, sensitive, numeric_columns, k,
     k_ok = n_groups > 0 and k_value >= k
     kmet = {"k_value": k_value, "satisfies_k_anonymity": k_ok, "min_group_size": k_value,
             "max_group_size": int(cm["max_size"]) if n_groups else 0,
-            "avg_group_size": float(cm["avg_size"]) if n_groups else 0.0, "num_groups": n_groups}
+            "avg_group_size": float(cm["avg_size"]) if n_groups else 0.0, "num_groups": n_groups, "required_k": k}
     lmet = None
     if sensitive:
         has = cm.get("min_div") is not None
@@ -253,3 +255,44 @@ def _full_report(spark, original, anonymized, qi, sensitive, numeric_columns, k,
             "recommendation": rec_row, "dashboard_risk_score": summary["dashboard_risk_score"]}
     row = tuple(flat.get(f.name) for f in REPORT_SCHEMA.fields)
     return report, spark.createDataFrame([row], REPORT_SCHEMA)
+
+
+LONG_SCHEMA = "section string, metric string, column string, value string"
+
+
+def report_long(report: dict, anonymized: DataFrame, qi: list[str]) -> DataFrame:
+    """U4 as rows ``(section, metric, column, value)``: every figure of the report, and the group sizes.
+
+    ``column`` names the data column of per-column figures (information loss,
+    numeric error) and is NULL otherwise. The group-size histogram (metric
+    ``group_size``, the size in ``column``) stays distributed.
+    """
+    spark = anonymized.sparkSession
+    rows = []
+
+    def add(section: str, metric: str, value, column: str | None = None) -> None:
+        rows.append((section, metric, column, None if value is None else str(value)))
+
+    for name, figures in report["privacy_metrics"].items():
+        for metric, value in figures.items():
+            add(name, metric, value)
+    utility = report["utility_metrics"]
+    for metric, value in utility["data_retention"].items():
+        add("data_retention", metric, value)
+    for metric, value in utility["information_loss"].items():
+        if metric != "per_column":
+            add("information_loss", metric, value)
+    for section, columns in (("information_loss", utility["information_loss"]["per_column"]),
+                             ("numeric_error", utility.get("numeric_error", {}))):
+        for column, figures in columns.items():
+            for metric, value in figures.items():
+                add(section, metric, value, column)
+    for metric, value in report["summary"].items():
+        add("summary", metric, value)
+    out = spark.createDataFrame(rows, LONG_SCHEMA)
+    if not qi:
+        return out
+    sizes = group_size_histogram(anonymized, qi).select(
+        F.lit("k_anonymity").alias("section"), F.lit("group_size").alias("metric"),
+        F.col("group_size").cast("string").alias("column"), F.col("num_groups").cast("string").alias("value"))
+    return out.unionByName(sizes)
