@@ -828,15 +828,15 @@ DOUBLE_COLS = {"c_acctbal"}  # -0.0 and 0.0 are one value when counting
 
 
 def _rec_sql(k_ok: str, l_ok: str | None, hr: str, rt: str) -> str:
-    parts = [f"CASE WHEN NOT ({k_ok}) THEN {O.q(report.REC_K_FAIL)} END"]
+    parts = [f"CASE WHEN NOT ({k_ok}) THEN 'CRITICAL: k-anonymity not satisfied. Increase generalization or suppression.' END"]
     if l_ok:
-        parts.append(f"CASE WHEN NOT ({l_ok}) THEN {O.q(report.REC_L_FAIL)} END")
-    h1, h2 = report.REC_HIGH_RISK.split("{pct}")
-    r1, r2 = report.REC_LOW_RETENTION.split("{pct}")
+        parts.append(f"CASE WHEN NOT ({l_ok}) THEN 'WARNING: l-diversity not satisfied. Consider data augmentation or suppression.' END")
+    h1, h2 = "ALERT: ", "% of records at high re-identification risk."
+    r1, r2 = "WARNING: Low data retention (", "%). Consider less aggressive anonymization."
     parts.append(f"CASE WHEN {hr} > 10 THEN {O.q(h1)} || printf('%.1f', {hr}) || {O.q(h2)} END")
     parts.append(f"CASE WHEN {rt} < 50 THEN {O.q(r1)} || printf('%.1f', {rt}) || {O.q(r2)} END")
     j = f"concat_ws(' ', {', '.join(parts)})"
-    return f"CASE WHEN {j} = '' THEN {O.q(report.REC_READY)} ELSE {j} END"
+    return f"CASE WHEN {j} = '' THEN 'All privacy requirements met with acceptable utility. Dataset is ready for sharing.' ELSE {j} END"
 
 
 def _full_report_sql() -> str:
@@ -882,7 +882,7 @@ SELECT CAST(coalesce(mn, 0) AS BIGINT) AS k_value, k_ok AS satisfies_k_anonymity
        round(avg_loss, 9) AS avg_information_loss_pct, CAST(ncols AS BIGINT) AS columns_analyzed,
        k_ok AND l_ok AS privacy_requirements_met,
        {_rec_sql("k_ok", "l_ok", "hr", "rt")} AS recommendation,
-       CAST(CASE WHEN k_ok THEN {report.DASHBOARD_RISK_OK} ELSE {report.DASHBOARD_RISK_FAIL} END AS BIGINT)
+       CAST(CASE WHEN k_ok THEN 20 ELSE 80 END AS BIGINT)
          AS dashboard_risk_score
 FROM fig"""
     return c
@@ -939,7 +939,7 @@ def _check_json_sql() -> str:
     bad = lambda e: f"({O.any_match(e, O.SQLI_RE2)} OR {O.any_match(e, O.XSS_RE2)})"
     return f"""
 WITH RECURSIVE docs AS (
-  SELECT event_id, props, octet_length(encode(props)) > {scan.JSON_MAX_BYTES} AS too_large,
+  SELECT event_id, props, octet_length(encode(props)) > 1048576 AS too_large,
          props IS NOT NULL AND NOT coalesce(json_valid(props), false) AS invalid FROM events),
 t AS (SELECT d.event_id, j.id, j.parent, j.key, j.type, j.value FROM docs d, json_tree(d.props) j
       WHERE NOT d.too_large AND NOT d.invalid),
@@ -948,7 +948,7 @@ dep(event_id, id, depth) AS (
   SELECT event_id, id, 0 FROM t WHERE parent IS NULL
   UNION ALL SELECT t.event_id, t.id, dep.depth + 1 FROM t JOIN dep ON t.event_id = dep.event_id AND t.parent = dep.id),
 f AS (SELECT tp.event_id,
-             bool_or(dep.depth > {scan.JSON_MAX_DEPTH}) AS deep,
+             bool_or(dep.depth > 10) AS deep,
              bool_or(tp.ptype = 'OBJECT' AND {bad('tp.key')}) AS bkey,
              bool_or(tp.type = 'VARCHAR' AND {bad("(tp.value ->> '$')")}) AS bval
       FROM tp JOIN dep ON tp.event_id = dep.event_id AND tp.id = dep.id GROUP BY tp.event_id),
@@ -967,13 +967,22 @@ def _log_sql() -> str:
 
 def _access_sql() -> str:
     perm = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in EVENT_PERMISSION.items())
-    roles = " ".join(f"WHEN {i} THEN {O.q(r)}" for i, r in enumerate(access.ROLES))
-    grants = ", ".join(f"({O.q(r)}, {O.q(p)})" for r in access.ROLES for p in access.ROLE_PERMISSIONS[r])
+    # fixed values, stated apart from the operator: the grants of each role
+    by_role = {
+        "admin": "read_data write_data mask_data anonymize_data configure_profile view_audit_logs manage_users export_data "
+                 "delete_data configure_k_anonymity configure_l_diversity configure_diff_privacy",
+        "data_owner": "read_data write_data mask_data anonymize_data configure_profile export_data configure_k_anonymity "
+                      "configure_l_diversity configure_diff_privacy",
+        "data_analyst": "read_data export_data",
+        "viewer": "read_data",
+    }
+    roles = " ".join(f"WHEN {i} THEN {O.q(r)}" for i, r in enumerate(by_role))
+    grants = ", ".join(f"({O.q(r)}, {O.q(p)})" for r, held in by_role.items() for p in held.split())
     return f"""
 WITH log AS ({_log_sql()}),
 acc AS (SELECT seq, "user", event_type, CASE event_type {perm} END AS permission FROM log),
 users AS (SELECT DISTINCT "user" AS username,
-            CASE CAST(CAST("user" AS BIGINT) % {len(access.ROLES)} AS INTEGER) {roles} END AS role,
+            CASE CAST(CAST("user" AS BIGINT) % {len(by_role)} AS INTEGER) {roles} END AS role,
             CAST("user" AS BIGINT) % 10 <> 0 AS active FROM log),
 rp(role, permission) AS (VALUES {grants})
 SELECT acc.seq, acc."user", acc.event_type, acc.permission, users.role, users.active,
@@ -984,7 +993,7 @@ LEFT JOIN rp ON users.role = rp.role AND acc.permission = rp.permission"""
 
 def _lockout_sql(with_rejected: bool = True) -> str:
     """Sequential statement of the lockout rule: a recursive walk over each user's attempts."""
-    lim, mins = lockout.MAX_FAILED_ATTEMPTS, lockout.LOCKOUT_MINUTES
+    lim, mins = 5, 15  # the rule, stated apart from the operator
     rej = "(st.until IS NOT NULL AND n.ts < st.until)"
     c0 = "(CASE WHEN st.until IS NOT NULL THEN 0 ELSE st.cnt END)"
     tail = (", CAST(coalesce(r.r, 0) AS BIGINT) AS rejected_while_locked" if with_rejected else "")
