@@ -62,26 +62,35 @@ class Words:
         self.windows = which[np.where(inside, place, len(which) - 1)].astype(np.int32)
 
     def _grams(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Row numbers of the n-grams of each distinct word, word by word."""
-        sizes = ends - starts
-        marked = np.full(int(sizes.sum()) + 2 * len(sizes), 32, np.uint8)
-        begin = np.cumsum(sizes + 2) - (sizes + 2)
-        marked[tx.spread(begin + 1, sizes)] = data[tx.spread(starts, sizes)]
-        word, row = [], []
-        for n in GRAMS:
-            counts = np.maximum(sizes + 2 - n + 1, 1)
-            at = tx.spread(begin, counts)
-            owner = np.repeat(np.arange(len(sizes)), counts)
-            stop = np.minimum(at + n, (begin + sizes + 2)[owner])
-            word.append(owner)
-            row.append((tx.mix(tx.span_hashes(marked, at, stop) + np.uint64(n)) % np.uint64(GRAM_ROWS)).astype(np.int64))
-        word, row = np.concatenate(word), np.concatenate(row)
-        order = np.argsort(word, kind="stable")
-        self.gram_word, self.gram_row = word[order], row[order]
-        self.n_grams = np.bincount(word, minlength=len(sizes)).astype(np.float32)
+        """Table rows of the n-grams of each distinct word, word by word, some thousand words at a time."""
+        parts, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(starts), 10_000):
+            rows, sizes = _gram_rows(data, starts[a : a + 10_000], ends[a : a + 10_000])
+            parts.append(rows)
+            counts.append(sizes)
+        self.gram_row = np.concatenate(parts)
+        self.n_grams = np.concatenate(counts).astype(np.float32)
         self.word_row = (tx.mix(self.hashes) % np.uint64(WORD_ROWS)).astype(np.int64)
 
 
+def _gram_rows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of the n-grams of some words between spaces, in the words' order, and each word's number of them."""
+    sizes = ends - starts
+    marked = np.full(int(sizes.sum()) + 2 * len(sizes), 32, np.uint8)
+    begin = np.cumsum(sizes + 2) - (sizes + 2)
+    marked[tx.spread(begin + 1, sizes)] = data[tx.spread(starts, sizes)]
+    word, row = [], []
+    for n in GRAMS:
+        counts = np.maximum(sizes + 2 - n + 1, 1)
+        at = tx.spread(begin, counts)
+        owner = np.repeat(np.arange(len(sizes)), counts)
+        stop = np.minimum(at + n, (begin + sizes + 2)[owner])
+        word.append(owner)
+        row.append((tx.mix(tx.span_hashes(marked, at, stop) + np.uint64(n)) % np.uint64(GRAM_ROWS)).astype(np.int32))
+    word, row = np.concatenate(word), np.concatenate(row)
+    return row[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(sizes))
+
+
 class Model:
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
