@@ -18,8 +18,8 @@ merged to classes by rounds of smallest labels. No bucket, class or list of link
 one task or the driver; skewed joins read checkpointed tables on both sides, so
 that adaptive execution can split them.
 
-Rows are told apart by Spark's row numbers of the input, so the input must be a
-table as read (or one written first), whose rows keep their partitions.
+Rows are numbered once and written to the shared folder with their numbers, by
+which they are told apart from then on; a lost executor can't renumber them.
 
 Null, empty and wordless texts are a class each. Texts under five words have one
 k-mer, all their words. The class id is the smallest document id of the class.
@@ -29,6 +29,7 @@ Repeated rows are copies; rows without an id get the class of their text.
 from __future__ import annotations
 
 import bisect
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,10 +155,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         ]
 
 
-def sign(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Id, node (128-bit hash of the word sequence, null without words), k-mers and sketches of each row."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return tx.annotate(narrow, {"text": ("text", "string")}, _sign, _SIGNED).select(F.col("doc.c0").alias("doc_id"), "node", "n", "sketches")
+def sign(numbered: DataFrame) -> DataFrame:
+    """Row, id, node (128-bit hash of the word sequence, null without words), k-mers and sketches of each row."""
+    found = tx.annotate(numbered.select("row", "doc_id", "text"), {"text": ("text", "string")}, _sign, _SIGNED)
+    return found.select(F.col("doc.c0").alias("row"), F.col("doc.c1").alias("doc_id"), "node", "n", "sketches")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, written to the shared folder, so that no later scan or lost task renumbers them."""
+    spark = docs.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/near_dup-{uuid.uuid4().hex}"
+    docs.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _candidates(nodes: DataFrame, least: float) -> DataFrame:
@@ -228,15 +237,15 @@ def connect(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per document: its class id, its node's copies and number of links, and ``keep`` for one row of each class."""
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = sign(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    return _classes(_numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))), least)
+
+
+def _classes(numbered: DataFrame, least: float) -> DataFrame:
+    signed = sign(numbered).checkpoint()
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
     nodes = signed.where("node is not null").groupBy("node", "n", "sketches").agg(head, F.count("*").alias("copies"))
     nodes = nodes.select("node", "n", "sketches", "head", "head.row", "copies").checkpoint()
-    texts = docs.withColumn("row", F.monotonically_increasing_id())
-    links = _verified(_candidates(nodes, least).checkpoint(), texts, least)
+    links = _verified(_candidates(nodes, least).checkpoint(), numbered.select("row", "text"), least)
     classes = connect(links, nodes.select("row", F.col("head").alias("label")))
     degree = links.select(F.col("a").alias("row")).unionAll(links.select("b")).groupBy("row").agg(F.count("*").alias("n_links"))
     label = F.coalesce("label", "head")
@@ -261,7 +270,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def remove_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The documents, in their own columns, without all but one row of each class."""
-    gone = near_duplicates(docs, doc_id, text, least).where("not keep").select(F.col("row").alias("row")).checkpoint()
     names = [f"c{i}" for i in range(len(docs.columns))]
-    left = docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()).join(gone, "row", "left_anti")
+    place = {c.lower(): n for n, c in reversed(list(zip(names, docs.columns, strict=True)))}
+    numbered = _numbered(docs.toDF(*names))
+    facts = numbered.select("row", F.col(place[doc_id.lower()]).alias("doc_id"), F.col(place[text.lower()]).cast("string").alias("text"))
+    gone = _classes(facts, least).where("not keep").select("row").checkpoint()
+    left = numbered.join(gone, "row", "left_anti")
     return left.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
