@@ -106,6 +106,50 @@ def test_documents_table_links_all_similar_pairs(spark):
     assert grouped(run(spark, docs)) == classes(rows)
 
 
+def shared_passage(pairs=150):
+    """Pairs of texts alike by more than 0.9, all mostly of one passage, by which the pairs are alike by less than 0.8."""
+    rng, rows = random.Random(4), []
+    passage = [f"p{i}" for i in range(261)]
+    for k in range(pairs):
+        own = [f"o{k}x{i}" for i in range(41)]
+        copy = list(own)
+        copy[rng.randrange(5, 36)] = f"e{k}"
+        rows += [" ".join(passage + own), " ".join(passage + copy)]
+    return rows
+
+
+def without_original(copies=80):
+    """Copies of a text that isn't there, alike by about 0.8, more to those with common edits."""
+    rng, rows = random.Random(5), []
+    base = [f"b{i}" for i in range(200)]
+    for _ in range(copies):
+        copy = list(base)
+        for at in rng.sample(range(4, 196, 8), 4):
+            copy[at] = f"d{at}v{rng.randrange(2)}"
+        rows.append(" ".join(copy))
+    return rows
+
+
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    rows = list(enumerate(shared_passage() + without_original()))
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 20_000)  # several blocks of a bucket
+    monkeypatch.setattr(nd, "MANY_PAIRS", 10)  # and two rounds
+    assert grouped(run(spark, frame(spark, rows))) == classes(rows)
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(0)
+    k = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    parts = [k[:1000], k[100:1100], k[:900], k[2000:2100], k[:0], k[500:5000]]
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    found = [np.frombuffer(x, np.uint64)[None] for x in nd.parities(np.concatenate(parts), offsets)]
+    for a, p in zip(parts, found):
+        for b, q in zip(parts, found):
+            width = min(p.shape[1], q.shape[1])
+            differ = np.bitwise_count(nd._folded(p, width) ^ nd._folded(q, width)).sum()
+            assert differ <= len(np.setxor1d(a, b)) and (differ == 0) == (len(np.setxor1d(a, b)) == 0)
+
+
 def test_alignment_follows_order():
     a = np.arange(100, dtype=np.uint64)
     assert nd.aligned(a, a) == 1.0

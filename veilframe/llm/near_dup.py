@@ -11,12 +11,17 @@ the diagonal band that a similarity of 0.8 allows are aligned (the longest chain
 that rises in both texts), and the similarity is the aligned k-mers over all of
 both documents. Equal word sequences are one node and need no pair.
 
-Inside a bucket each node is compared with a few representatives, never with all
-others: the most central node, whose buckets are the largest (the one that the
-others are copies of), and two drawn at random, others in each bucket. Links are
-merged to classes by rounds of smallest labels. No bucket, class or list of links meets in
-one task or the driver; skewed joins read checkpointed tables on both sides, so
-that adaptive execution can split them.
+Inside a bucket each node is first compared with a few representatives: the most
+central node, whose buckets are the largest (the one that the others are copies
+of), and two drawn at random, others in each bucket. Links are merged to classes
+by rounds of smallest labels. Then every other pair of a bucket that is still in two
+classes is decided: buckets of several classes are cut into blocks, all pairs of
+blocks are tested by a proven bound (the parities of two texts' k-mers differ in no
+more places than the texts differ in k-mers), and the pairs that pass are verified
+on whole texts. So texts alike that share a sketch always meet in a class.
+
+No bucket, class or list of links meets in one task or the driver; skewed joins read
+checkpointed tables on both sides, so that adaptive execution can split them.
 
 Rows are numbered once and written to the shared folder with their numbers, by
 which they are told apart from then on; a lost executor can't renumber them.
@@ -39,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm import text as tx
+from veilframe.operators.joins import sized_join
 from veilframe.session import ensure_checkpoint_dir
 
 SHINGLE = 5
@@ -46,6 +52,12 @@ SIMILARITY = 0.8
 BANDS = 12
 #: Representatives of a bucket besides its most central node.
 DRAWS = 2
+#: Parity bits of a node: two to four for each k-mer, between these bounds.
+PARITY_BITS = (64, 1 << 16)
+#: Bytes of parities in a block of a bucket.
+BLOCK_BYTES = 40_000
+#: With more pairs left than this, a part of them is verified first, which joins most classes.
+MANY_PAIRS, FIRST_PART = 100_000, 16
 SEED = 3
 
 _rng = np.random.default_rng(SEED)
@@ -161,6 +173,13 @@ def sign(numbered: DataFrame) -> DataFrame:
     return found.select(F.col("doc.c0").alias("row"), F.col("doc.c1").alias("doc_id"), "node", "n", "sketches")
 
 
+def _kept(frame: DataFrame) -> DataFrame:
+    """The rows read back from the shared folder: unlike a checkpoint's, their size estimate doesn't multiply from join to join."""
+    path = f"{ensure_checkpoint_dir(frame.sparkSession)}/near_dup-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """The rows with a number each, written to the shared folder, so that no later scan or lost task renumbers them."""
     spark = docs.sparkSession
@@ -169,11 +188,15 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _candidates(nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs of a node's row (a) and that of a representative (b) of a bucket it is in, if their sizes allow the similarity."""
+def _shared(nodes: DataFrame) -> DataFrame:
+    """Row, k-mers, band and sketch of the nodes, for the sketches that several share."""
     rows = nodes.select("row", "n", F.posexplode("sketches").alias("band", "sketch"))
     sizes = rows.groupBy("band", "sketch").agg(F.count("*").alias("size")).where("size > 1").checkpoint()
-    shared = rows.join(sizes, ["band", "sketch"]).checkpoint()
+    return rows.join(sizes, ["band", "sketch"]).checkpoint()
+
+
+def _candidates(shared: DataFrame, least: float) -> DataFrame:
+    """Pairs of a node's row (a) and that of a representative (b) of a bucket it is in, if their sizes allow the similarity."""
     central = shared.groupBy("row").agg(F.round(F.sum(F.log2("size")), 6).alias("central"))
     best = F.min(F.struct((-F.col("central")).alias("h"), "row", "n"))
     draws = [F.min(F.struct(F.xxhash64("row", "band", F.lit(d)).alias("h"), "row", "n")) for d in range(DRAWS)]
@@ -209,6 +232,136 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), _PAIR).checkpoint()
 
 
+def parities(labelled: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Each row's k-mers dealt to a power of two of bits, with the parity of each bit's number of k-mers."""
+    sizes = np.diff(offsets)
+    low, high = PARITY_BITS
+    bits = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64), low, high)
+    first = np.concatenate([[0], np.cumsum(bits // 64)])
+    place = labelled & np.repeat(bits - 1, sizes).astype(np.uint64)
+    words = np.zeros(first[-1], np.uint64)
+    np.bitwise_xor.at(words, np.repeat(first[:-1], sizes) + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return [words[p:q].tobytes() for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def _folded(parity: np.ndarray, width: int) -> np.ndarray:
+    """Parities (n, words) over fewer bits."""
+    while parity.shape[1] > width:
+        half = parity.shape[1] // 2
+        parity = parity[:, :half] ^ parity[:, half:]
+    return parity
+
+
+class _Block:
+    def __init__(self, nodes: pa.StructArray):
+        self.row, self.n, self.label = (nodes.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        parity = nodes.field(3).to_pylist()
+        width = np.array([len(x) // 8 for x in parity])
+        self.parts = []
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            self.parts.append((w, at, np.frombuffer(b"".join(parity[i] for i in at.tolist()), np.uint64).reshape(-1, w)))
+
+
+def close(left: _Block, right: _Block, least: float) -> np.ndarray:
+    """Rows (n, 2) of the pairs of other classes whose sizes and parities allow the similarity; a pair within one block once."""
+    out = [np.zeros((0, 2), np.int64)]
+    for wide_l, at_l, parity_l in left.parts:
+        for wide_r, at_r, parity_r in right.parts:
+            n_l, n_r = left.n[at_l][:, None], right.n[at_r][None, :]
+            ok = (np.minimum(n_l, n_r) >= least * np.maximum(n_l, n_r)) & (left.label[at_l][:, None] != right.label[at_r][None, :])
+            if left is right:
+                ok &= left.row[at_l][:, None] < right.row[at_r][None, :]
+            i, j = np.nonzero(ok)
+            if not len(i):
+                continue
+            width = min(wide_l, wide_r)
+            a, b = _folded(parity_l, width), _folded(parity_r, width)
+            step = max(1, (1 << 20) // width)
+            differ = np.concatenate([np.bitwise_count(a[i[k : k + step]] ^ b[j[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step)])
+            # k-mers that only one of the two has: at least as many as parities that differ
+            keep = differ <= (n_l[i, 0] + n_r[0, j]) * (1 - least) / (1 + least) + 1e-9
+            out.append(np.stack([left.row[at_l[i[keep]]], right.row[at_r[j[keep]]]], 1))
+    pairs = np.concatenate(out)
+    return np.stack([pairs.min(1), pairs.max(1)], 1) if len(pairs) else pairs
+
+
+_PARITY = tx.struct_of(("row", T.LongType()), ("parity", T.BinaryType()))
+_ROWS = tx.struct_of(("a", T.LongType()), ("b", T.LongType()))
+
+
+def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in tx.slices(batches, "text"):
+        labelled, offsets, _, _ = kmers(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(parities(labelled, offsets), pa.binary())], names=_PARITY.names)
+
+
+def _close(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left = _Block(batch.column("left")[k].values)
+                other = batch.column("right")[k].values
+                found = close(left, left if other is None else _Block(other), least)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=_ROWS.names)
+
+    return run
+
+
+def _left_open(shared: DataFrame, classes: DataFrame, numbered: DataFrame, least: float) -> DataFrame | None:
+    """All pairs of rows of one bucket and two classes that may be alike (None without any such bucket)."""
+    label = classes.select("row", F.col("label.row").alias("label"))
+    known = shared.join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    weight = F.sum(F.least(F.col("n") / 2, F.lit(PARITY_BITS[1] / 8)) + 24)
+    # the nodes of a bucket of two have met as node and representative
+    mixed = known.groupBy("band", "sketch").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.ceil(weight / BLOCK_BYTES).alias("blocks"))
+    mixed = mixed.where("size > 2 and lo < hi").select("band", "sketch", "blocks").checkpoint()
+    if mixed.isEmpty():
+        return None
+    members = known.join(mixed, ["band", "sketch"]).withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
+    members = members.select("row", "n", "label", "band", "sketch", "block", "blocks", F.xxhash64("band", "sketch", "block").alias("key")).checkpoint()
+    parity = numbered.select("row", "text").mapInArrow(_parity, _PARITY)
+    parity = parity.join(members.select("row").distinct(), "row", "left_semi")
+    whole = members.join(parity, "row").groupBy("key").agg(F.collect_list(F.struct("row", "n", "label", "parity")).alias("nodes")).checkpoint()
+    within = whole.select(F.col("nodes").alias("left"), F.lit(None).cast(whole.schema["nodes"].dataType).alias("right"))
+    names = members.where("blocks > 1").select("band", "sketch", "block", "key").distinct()
+    two = names.withColumnsRenamed({"block": "further", "key": "key_r"})
+    two = names.join(two, ["band", "sketch"]).where("block < further").select(F.col("key").alias("key_l"), "key_r").checkpoint()
+    n = two.count()
+    pairs = within.mapInArrow(_close(least), _ROWS)
+    if n:
+        parts = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 500)
+        left = two.join(whole.select(F.col("key").alias("key_l"), F.col("nodes").alias("left")), "key_l").repartition(parts, "key_r", "key_l")
+        right = whole.select(F.col("key").alias("key_r"), F.col("nodes").alias("right"))
+        pairs = pairs.unionAll(left.join(right, "key_r").select("left", "right").mapInArrow(_close(least), _ROWS))
+    return _kept(pairs.distinct())
+
+
+def _settle(links: DataFrame, classes: DataFrame, labels: DataFrame, pairs: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The links and classes with all ``pairs`` decided: verified, unless their rows are in one class by then."""
+    part = None
+    while part != 1:
+        of = classes.select("row", F.col("label.row").alias("label"))
+        apart = pairs
+        for end in ("a", "b"):
+            apart = apart.join(of.withColumnsRenamed({"row": end, "label": f"label_{end}"}), end, "left")
+        apart = apart.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+        apart = _kept(apart)
+        n = apart.count()
+        if not n:
+            break
+        part = FIRST_PART if part is None and n > MANY_PAIRS else 1
+        drawn = F.pmod(F.xxhash64("a", "b"), F.lit(part)) == 0
+        chosen, pairs = apart.where(drawn), apart.where(~drawn)
+        rows = chosen.select(F.col("a").alias("row")).unionAll(chosen.select("b")).distinct()
+        more = _verified(chosen, sized_join(texts, rows, ["row"], "left_semi").checkpoint(), least)
+        if not more.isEmpty():
+            links = _kept(links.unionAll(more))
+            classes = connect(links, labels)
+    return links, classes
+
+
 def connect(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Smallest label of each node's component, for the nodes in ``links`` (a, b).
 
@@ -217,22 +370,22 @@ def connect(links: DataFrame, labels: DataFrame) -> DataFrame:
     on, nodes also take their label's own label, so that long chains close fast.
     """
     ways = links.select(F.col("a").alias("from"), F.col("b").alias("to")).unionAll(links.select("b", "a"))
-    ways = ways.checkpoint()
-    current = labels.join(ways.select(F.col("from").alias("row")).distinct(), "row").checkpoint()
+    ways = _kept(ways)
+    current = _kept(labels.join(ways.select(F.col("from").alias("row")).distinct(), "row"))
     turn = 0
     while True:
         turn += 1
         handed = ways.join(current, ways["from"] == current["row"]).select(F.col("to").alias("row"), "label", F.lit(None).cast(current.schema["label"].dataType).alias("own"))
         own = current.select("row", "label", F.col("label").alias("own"))
         # one value a node and task crosses the shuffle, however many links the node has
-        lowered = handed.unionAll(own).groupBy("row").agg(F.min("label").alias("label"), F.min("own").alias("own")).checkpoint()
+        lowered = _kept(handed.unionAll(own).groupBy("row").agg(F.min("label").alias("label"), F.min("own").alias("own")))
         if lowered.where(F.col("label") != F.col("own")).isEmpty():
             return lowered.select("row", "label")
         current = lowered.select("row", "label")
         if turn > 2:
             heads = current.select(F.col("row").alias("head"), F.col("label").alias("further"))
             jumped = current.withColumn("head", F.col("label.row")).join(heads, "head", "left")
-            current = jumped.select("row", F.least("label", "further").alias("label")).checkpoint()
+            current = _kept(jumped.select("row", F.least("label", "further").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -245,8 +398,13 @@ def _classes(numbered: DataFrame, least: float) -> DataFrame:
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
     nodes = signed.where("node is not null").groupBy("node", "n", "sketches").agg(head, F.count("*").alias("copies"))
     nodes = nodes.select("node", "n", "sketches", "head", "head.row", "copies").checkpoint()
-    links = _verified(_candidates(nodes, least).checkpoint(), numbered.select("row", "text"), least)
-    classes = connect(links, nodes.select("row", F.col("head").alias("label")))
+    labels, texts = nodes.select("row", F.col("head").alias("label")), numbered.select("row", "text")
+    shared = _shared(nodes)
+    links = _verified(_candidates(shared, least).checkpoint(), texts, least)
+    classes = connect(links, labels)
+    pairs = _left_open(shared, classes, numbered, least)
+    if pairs is not None:
+        links, classes = _settle(links, classes, labels, pairs, texts, least)
     degree = links.select(F.col("a").alias("row")).unionAll(links.select("b")).groupBy("row").agg(F.count("*").alias("n_links"))
     label = F.coalesce("label", "head")
     known = nodes.select("row", "node", "head", "copies").join(classes, "row", "left").join(degree, "row", "left").select(
