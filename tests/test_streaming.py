@@ -120,3 +120,30 @@ def test_lockout_stream_matches_batch_replay(spark, tmp_path):
     exp = lockout_replay_reference(pdf)
     exp = sorted((r.user, r.locked_at.to_pydatetime(), r.locked_until.to_pydatetime()) for r in exp.itertuples())
     assert got == exp and len(got) > 3
+
+
+def test_lockout_step_holds_a_bounded_part_of_a_user(monkeypatch):
+    rnd, t, rows = random.Random(6), dt.datetime(2024, 1, 1), []
+    for seq in range(3000):
+        t += dt.timedelta(seconds=rnd.choice([0, 10, 40, 400]))
+        rows.append(("u", t, seq, rnd.random() < 0.2))
+    pdf = pd.DataFrame(rows, columns=["user", "ts", "seq", "ok"])
+    mixed = pdf.sample(frac=1, random_state=1)
+    monkeypatch.setattr(jobs, "SPILL_ROWS", 200, raising=False)
+    monkeypatch.setattr(jobs, "READ_ROWS", 16, raising=False)
+    monkeypatch.setattr(jobs.pd, "concat", None)  # the frames of a user are never joined
+
+    class State:
+        exists, now = False, None
+
+        def update(self, value):
+            self.now = value
+
+        def remove(self):
+            self.now = None
+
+    got = [tuple(r) for out in jobs._lockout_step(("u",), (mixed.iloc[i:i + 100] for i in range(0, 3000, 100)), State())
+           for r in out.itertuples(index=False)]
+    monkeypatch.undo()
+    exp = lockout_replay_reference(pdf)
+    assert got == [(r.user, r.locked_at, r.locked_until) for r in exp.itertuples()] and len(got) > 16

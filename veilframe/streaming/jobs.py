@@ -19,10 +19,14 @@ Sinks and checkpoints live under the session's shared checkpoint folder
 
 from __future__ import annotations
 
+import contextlib
+import heapq
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,6 +115,48 @@ def rate_breach_stream(log: DataFrame, key: str, window: str, limit: int, waterm
 
 LOCK_STREAM_OUT = "user string, locked_at timestamp, locked_until timestamp"
 LOCK_STATE = "count int, locked_until timestamp"
+_LOCK_COLUMNS = ["user", "locked_at", "locked_until"]
+_ATTEMPT = np.dtype([("ts", "<i8"), ("seq", "<i8"), ("ok", "?")])
+SPILL_ROWS = 200_000  # attempts of one user sorted in memory; more go to a temporary file in sorted runs
+READ_ROWS = 1_000     # attempts read back from a run at a time, lock events handed on at a time
+
+
+def _attempts_in_order(pdfs: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bool]]:
+    """One user's attempts (time in ns, seq, outcome) by time and seq, sorted in runs that are spilled and merged."""
+    run, n, ends = [], 0, [0]
+    with contextlib.ExitStack() as stack:
+        spill = None
+        for pdf in pdfs:
+            pdf = pdf.dropna(subset=["ts"])
+            part = np.empty(len(pdf), _ATTEMPT)
+            part["ts"] = pdf["ts"].to_numpy(dtype="datetime64[ns]").astype("int64")
+            seq = pdf["seq"]
+            part["seq"] = seq.where(seq.notna(), 0).astype("int64")
+            part["seq"][seq.isna().to_numpy()] = np.iinfo("int64").max
+            part["ok"] = pdf["ok"].fillna(False).astype(bool)
+            run.append(part)
+            n += len(part)
+            if n >= SPILL_ROWS:
+                spill = spill or stack.enter_context(tempfile.TemporaryFile())
+                spill.write(_sorted_run(run).tobytes())
+                ends.append(ends[-1] + n)
+                run, n = [], 0
+        runs = [_read_run(spill, a, b) for a, b in zip(ends, ends[1:])]
+        if run:
+            runs.append(iter(_sorted_run(run).tolist()))
+        # equal keys come in order of their runs
+        yield from heapq.merge(*runs, key=lambda r: r[:2])
+
+
+def _sorted_run(parts: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(parts)
+    return rows[np.lexsort((rows["seq"], rows["ts"]))]
+
+
+def _read_run(spill, start: int, end: int) -> Iterator[tuple[int, int, bool]]:
+    for a in range(start, end, READ_ROWS):
+        spill.seek(a * _ATTEMPT.itemsize)
+        yield from np.frombuffer(spill.read(min(READ_ROWS, end - a) * _ATTEMPT.itemsize), _ATTEMPT).tolist()
 
 
 def _lockout_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -120,12 +166,10 @@ def _lockout_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -
         count, until = state.get
         count = int(count)
         until = None if until is None or pd.isna(until) else pd.Timestamp(until)
-    batch = pd.concat(list(pdfs), ignore_index=True)
-    batch = batch.dropna(subset=["ts"]).sort_values(["ts", "seq"], kind="mergesort")
-    lock = pd.Timedelta(minutes=LOCKOUT_MINUTES)
+    until = None if until is None else until.as_unit("ns").value
+    lock = LOCKOUT_MINUTES * 60 * 1_000_000_000
     out = []
-    for t, good in zip(batch["ts"], batch["ok"].fillna(False).astype(bool)):
-        t = pd.Timestamp(t)
+    for t, _, good in _attempts_in_order(pdfs):
         if until is not None:
             if t < until:
                 continue
@@ -136,12 +180,15 @@ def _lockout_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -
             count += 1
             if count >= MAX_FAILED_ATTEMPTS:
                 until = t + lock
-                out.append((key[0], t, until))
+                out.append((key[0], pd.Timestamp(t), pd.Timestamp(until)))
+                if len(out) >= READ_ROWS:
+                    yield pd.DataFrame(out, columns=_LOCK_COLUMNS)
+                    out = []
     if count == 0 and until is None:
         state.remove()  # nothing to remember for this user
     else:
-        state.update((count, until))
-    yield pd.DataFrame(out, columns=["user", "locked_at", "locked_until"])
+        state.update((count, None if until is None else pd.Timestamp(until)))
+    yield pd.DataFrame(out, columns=_LOCK_COLUMNS)
 
 
 def lockout_stream(attempts: DataFrame, user: str = "user", ts: str = "ts", seq: str = "seq",
