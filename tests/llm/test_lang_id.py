@@ -63,3 +63,10 @@ def test_every_position_is_pooled(model):
     texts = ["the cat and the dog are in the house " * 20 + "die katze und der hund sind in dem haus " * 60]
     whole = model.pooled(pa.array(texts))[0]
     assert whole[model.languages.index("de")] > 0.55
+
+
+def test_a_sample_far_below_the_rows_leaves_no_language_out(spark):
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 40).alias("lang"))
+    assert {lang for _, lang in x.training_rows(docs, sample=4)} == {f"l{i}" for i in range(40)}
+    hot = spark.range(1_500_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"))
+    assert 0 < len(x.training_rows(hot, sample=1)) < 10

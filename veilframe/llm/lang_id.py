@@ -7,7 +7,7 @@ trained in numpy by backpropagation through time with the document's language as
 the label of each position.
 
 It is fitted on a sample of rows with a language: about ``sample`` rows, evenly
-over the languages, chosen by a hash of the id among texts up to ``max_chars``
+over the languages and at least one of each, chosen by a hash of the id among texts up to ``max_chars``
 (bounds for fitting only; every whole text is labelled). Null texts and texts
 without a letter are ``und`` with score 0, and so is every text if there is
 nothing to learn from. Repeated rows get equal results, extra columns are
@@ -144,9 +144,14 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return []
-    each, parts = sample / len(sizes), 1 << 20
-    limit = F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, int(min(1.0, each / n) * parts))])
-    chosen = rows.where((F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(parts)) < limit[F.col("lang")]) & (F.length("text") <= max_chars))
+    each, parts, finer = sample / len(sizes), 1 << 20, 1 << 32
+    limit = F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1.0, each / n) * parts)])
+    h = F.xxhash64("id", F.lit(SEED))
+    short = rows.where(F.length("text") <= max_chars)
+    chosen = short.where(F.pmod(h, F.lit(parts)) + F.pmod(F.shiftrightunsigned(h, 20), F.lit(finer)) / finer < limit[F.col("lang")])
+    # one row of each language at least, however few the limit leaves
+    least = short.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").agg(F.min(F.struct(h.alias("h"), "text")).alias("least"))
+    chosen = chosen.select("text", "lang").unionAll(least.select("least.text", "lang"))
     found = chosen.groupBy("text").agg(F.min("lang").alias("lang")).collect()
     return sorted((r.text, r.lang) for r in found if _LETTER.search(r.text))
 
