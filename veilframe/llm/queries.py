@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontaminate, lang_id, licenses, near_dup, packing, pii, secrets, sharding, topk, toxicity
+from veilframe.llm import decontaminate, exact_dedup, lang_id, licenses, near_dup, packing, periodic_runs, pii, secrets, sharding, topk, toxicity, vector_codes
 from veilframe.sources.tables import table
 
 
@@ -124,6 +124,31 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code by member-resident Lloyd rounds, with its error and its label's."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    codebooks = vector_codes.fit(vectors)
+    if codebooks is None:
+        return spark.createDataFrame([], "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string")
+    coded = vector_codes.with_label_error(vector_codes.encode(vectors, codebooks), F.col("row.c2"))
+    return coded.select(F.col("row.c0").alias("vec_id"), "code", "error", "label_error", F.lit(codebooks.sha256()).alias("codebooks_sha256"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every document's text without white space, and whether it stays."""
+    found = exact_dedup.exact_duplicates(_documents(spark, sf_dir))
+    return found.select(F.col("doc.c0").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of repeating words of every document, a tenth of them rewritten to periodic ones, and digests of all."""
+    found = periodic_runs.collapse_runs(_documents(spark, sf_dir), rewrite=F.crc32(F.col("doc_id").cast("string")), digest=True)
+    return found.select(
+        F.col("doc.c0").alias("doc_id"), "n_runs", "start", "length", "period", "exponent_milli",
+        F.col("runs").alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
@@ -135,11 +160,69 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+def _lloyd_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of op11, unrolled: assignment a<r> to the entries of c<r>, whose floored means are c<r+1>."""
+
+    def assigned(r: int) -> str:
+        away = "list_sum(list_transform(list_zip(p.part, c.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"""a{r} AS MATERIALIZED (
+  SELECT p.id, pos, min(CAST({away} AS HUGEINT) * {entries} + c.entry) AS best FROM p JOIN c{r} c USING (pos) GROUP BY p.id, pos
+)"""
+
+    def moved(r: int) -> str:
+        return f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.pos, c.entry, coalesce(m.part, c.part) AS part FROM c{r} c LEFT JOIN (
+    SELECT pos, entry, list(CAST(floor(CAST(total AS DOUBLE) / n) AS BIGINT) ORDER BY i) AS part FROM (
+      SELECT pos, entry, i, sum(x) AS total, count(*) AS n FROM (
+        SELECT a.pos, a.best % {entries} AS entry, unnest(p.part) AS x, unnest(range(len(p.part))) AS i FROM a{r} a JOIN p USING (id, pos)
+      ) GROUP BY pos, entry, i
+    ) GROUP BY pos, entry
+  ) m USING (pos, entry)
+)"""
+
+    steps = ",\n".join(f"{assigned(r)},\n{moved(r)}" for r in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT id, pos, v[pos * len(v) // {parts} + 1 : (pos + 1) * len(v) // {parts}] AS part FROM kept, (SELECT unnest(range({parts})) AS pos)
+), c0 AS (
+  SELECT pos, id - 1 AS entry, part FROM p WHERE id <= {entries}
+),
+{steps},
+{assigned(rounds)}, coded AS (
+  SELECT vec_id, label, code, error FROM kept JOIN (
+    SELECT id, string_agg(printf('%02x', CAST(best % {entries} AS INTEGER)), '' ORDER BY pos) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY id
+  ) USING (id)
+), flat AS (
+  SELECT pos, entry, unnest(part) AS x, unnest(range(len(part))) AS i FROM c{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos, entry, i)) FROM flat) AS codebooks_sha256
+FROM coded
+"""
+
+
 ORACLE_SQL = {
+    "op11_vector_codes": _lloyd_sql(),
+    "op12_exact_dedup": r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS sha FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size,
+  doc_id = first_value(doc_id) OVER g AS kept, sha AS text_sha256
+FROM t WINDOW g AS (PARTITION BY sha ORDER BY n DESC, doc_id)
+""",
     "op10_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e

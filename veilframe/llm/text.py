@@ -175,3 +175,13 @@ def original(annotated: DataFrame, docs: DataFrame, replaced: dict[str, Column]
 
 def struct_of(*fields: tuple[str, object]) -> StructType:
     return StructType([StructField(name, kind) for name, kind in fields])
+
+
+def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each byte span, equal for equal spans only."""
+    sizes = ends - starts
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    packed = data[spread(starts, sizes)] if len(sizes) else data[:0]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(packed))])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
