@@ -68,7 +68,7 @@ def test_spans_cover_the_passage_and_removal_keeps_columns(spark):
     docs = frame(spark, [(1, f"ééé {ITEM} end"), (2, "clean text")])
     bench = frame(spark, [(10, ITEM)], key="item_id")
     row = d.mark_contamination(docs, bench).where("n_hit > 0").first()
-    assert [(s.start, s.end) for s in row.spans] == [(4, 4 + len(ITEM))] and row.longest == 15
+    assert [(s.start, s.end) for s in row.spans] == [(4, 4 + len(ITEM))] and row.longest_run == 15
     left = d.remove_contaminated(docs, bench)
     assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
 

@@ -40,7 +40,7 @@ RESULT = tx.struct_of(
     ("items", T.ArrayType(T.StringType(), False)),
     ("hits", T.ArrayType(tx.struct_of(("start", T.LongType()), ("end", T.LongType())), False)),
     ("spans", T.ArrayType(tx.struct_of(("start", T.LongType()), ("end", T.LongType())), False)),
-    ("longest", T.LongType()),
+    ("longest_run", T.LongType()),
 )
 _RANGES = pa.list_(pa.field("element", pa.struct([("start", pa.int64()), ("end", pa.int64())]), nullable=False))
 MATCH = tx.struct_of(
@@ -286,7 +286,7 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: in
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc`` (the row) with its number of words and hit words, items, hit word ranges, spans and longest range.
+    """``doc`` (the row) with its number of words and hit words, items, hit word ranges, spans and the longest of these runs (which several items may make up).
 
     ``hits`` are ranges of word numbers and ``spans`` of code points, ends
     exclusive. Beyond one block of the benchmark, each pass hands its hits on.

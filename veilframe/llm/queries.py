@@ -101,7 +101,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "longest",
+        "longest_run",
     )
 
 
@@ -254,7 +254,7 @@ WITH words AS (
 ), hits AS (
   SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS place FROM found) GROUP BY doc_id
 ), runs AS (
-  SELECT doc_id, max(n) AS longest FROM (
+  SELECT doc_id, max(n) AS longest_run FROM (
     SELECT doc_id, count(*) AS n FROM (
       SELECT doc_id, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run
       FROM (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS place FROM found)
@@ -266,7 +266,7 @@ WITH words AS (
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+  coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN runs USING (doc_id)
 """,
 }
