@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from veilframe.functions.generalize import generalize_age, generalize_numeric, p
 from veilframe.functions.masking import hmac_pseudonym, mask, null_out, salted_hash
 from veilframe.functions.noise import add_gaussian, add_laplace, gaussian_sigma
 from veilframe.functions.substitute import substitute
+from veilframe.functions.permute import Permutation
 from veilframe.operators.shuffle import dense_index, shuffle_column, shuffle_columns
 
 
@@ -175,6 +177,50 @@ def test_shuffle_small_and_empty(spark):
     assert shuffle_column(empty, "v", seed=1).count() == 0
 
 
+def test_shuffle_with_a_key_follows_the_permutations(spark):
+    """Each column moves by its own bijection of the places in key order, whatever the partitioning; NULL values move too."""
+    rows = [(i * 3, f"k{i % 2}", float(i) if i % 5 else None, f"t{i}") for i in range(701)]
+    df = spark.createDataFrame(rows, "a int, b string, v double, w string")
+    got = {(r.a, r.b): (r.v, r.w) for r in shuffle_columns(df.repartition(7), ["v", "w"], 5, ["a", "b"]).collect()}
+    again = {(r.a, r.b): (r.v, r.w) for r in shuffle_columns(df.repartition(2), ["v", "w"], 5, ["a", "b"]).collect()}
+    expected = {}
+    for column, at in (("v", 2), ("w", 3)):
+        permutation = Permutation(len(rows), 5, column)
+        for i, row in enumerate(rows):
+            expected.setdefault(permutation.apply(i), {})[column] = row[at]
+    assert got == again == {rows[p][:2]: (x["v"], x["w"]) for p, x in expected.items()}
+    assert sum(v[1] != r[3] for v, r in zip((got[r[:2]] for r in rows), rows)) > 600
+
+
+def test_shuffle_refuses_a_key_that_does_not_tell_rows_apart(spark):
+    for rows in ([(1, 1), (1, 2)], [(None, 1), (2, 2)]):
+        with pytest.raises(ValueError, match="unique"):
+            shuffle_columns(spark.createDataFrame(rows, "k int, v int"), ["v"], 1, ["k"])
+    df = spark.createDataFrame([(1, 2)], "k int, v int")
+    with pytest.raises(ValueError, match="key column"):
+        shuffle_columns(df, ["k"], 1, ["k"])
+    with pytest.raises(ValueError, match="not found"):
+        shuffle_columns(df, ["x"], 1)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 7, 10, 97, 100, 101, 1000, 4099])
+def test_permutation_is_a_bijection(spark, n):
+    permutation = Permutation(n, 3, "c")
+    assert sorted(permutation.apply(i) for i in range(n)) == list(range(n))
+    if n in (5, 101, 4099):
+        got = spark.range(n).select("id", permutation.column(F.col("id")).alias("p")).collect()
+        assert {r.id: r.p for r in got} == {i: permutation.apply(i) for i in range(n)}
+
+
+def test_permutations_are_spread_evenly():
+    """Over seeds, a place is as likely to get a number from one tenth as from another, and columns differ."""
+    tenths = [0] * 10
+    for seed in range(400):
+        tenths[Permutation(1000, seed, "c").apply(123) // 100] += 1
+    assert min(tenths) > 20 and max(tenths) < 62
+    assert [Permutation(50, 1, "a").apply(i) for i in range(50)] != [Permutation(50, 1, "b").apply(i) for i in range(50)]
+
+
 def test_dense_index_is_dense(spark):
     df = spark.range(0, 1234, numPartitions=5)
     out, n = dense_index(df)

@@ -162,12 +162,13 @@ class KResult:
 
 
 def apply_k_anonymity(df: DataFrame, qi: list[str], k: int, levels: dict[str, int] | None = None,
-                      null_qi: str = "suppress") -> tuple[DataFrame, KResult]:
+                      null_qi: str = "suppress", histogram: DataFrame | None = None) -> tuple[DataFrame, KResult]:
     """A5: generalise QIs in list order (cumulatively) until k holds, then suppress.
 
     The search runs on the QI histogram, never on the rows: generalisation is
     a function of the QI values only, so each step re-aggregates the
     (checkpointed) histogram. The winning prefix is applied to the rows once.
+    ``histogram`` may pass one already kept for ``df``: ``qi..., class_size``.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
@@ -176,7 +177,7 @@ def apply_k_anonymity(df: DataFrame, qi: list[str], k: int, levels: dict[str, in
         return df, KResult(True)
     levels = {c: (levels or {}).get(c, 1) for c in qi}
     ensure_checkpoint_dir(df.sparkSession)
-    hist = df.groupBy(*qi).agg(F.count(F.lit(1)).alias(SIZE)).checkpoint()
+    hist = histogram if histogram is not None else df.groupBy(*qi).agg(F.count(F.lit(1)).alias(SIZE)).checkpoint()
     ok, mn, _, _, total = _check_hist(hist, k)
     res = KResult(satisfied_initially=ok, min_size_after_generalization=mn, satisfied_after_generalization=ok,
                   total_rows=total)

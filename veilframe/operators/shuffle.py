@@ -1,33 +1,33 @@
-"""Column shuffle (T4): a uniformly random permutation of one column's values.
-
-Rows keep their other columns; only the shuffled column moves. No single
-partition ever holds the whole column:
-
-1. *Row side*: a dense row index ``0..n-1`` from ``monotonically_increasing_id``
-   (partition id in the high bits) plus per-partition offsets taken from one
-   tiny count job (one number per partition reaches the driver).
-2. *Value side*: each value gets a uniform random key; the values are
-   hash-partitioned on the key's high bits and sorted within partitions by
-   ``(bucket, key, source id)``. Sorting by a uniform random key yields a
-   uniform random order, and because the sort key is unique the order is the
-   same if a lost partition is recomputed. The sorted values are indexed the
-   same way as the rows.
-3. An equi-join on the index pairs row ``i`` with the ``i``-th random value.
-
-Both indexes are dense ``0..n-1``, so the join is a bijection; the two
-count jobs must agree on ``n`` or the job fails.
+"""Column shuffle (T4): a random permutation of each listed column's values.
+
+Rows keep their other columns; only the shuffled columns move, each by its own
+permutation. No single partition ever holds a whole column:
+
+1. The values of the shuffled columns and what identifies their row are written
+   once, as a narrow table with a dense index ``0..n-1``: in the order of the
+   row's key, or, without a key, of the checkpointed source.
+2. Row i's value of a column moves to place ``pi(i)``, where ``pi`` is a keyed
+   bijection of ``0..n-1`` (``functions.permute``), one for each column: no random sort.
+3. Values and row identities meet by place in one aggregation, and the rows get
+   their new values by one join, whatever the number of columns.
+
+With a key, the permutation depends on the seed, the column's name and the
+order of the keys alone. The key must be unique and free of NULL, else the job
+fails; without one, the source is checkpointed in full, as the identity of its
+rows must survive a recomputed partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.noise import fresh_seed
+from ..functions.permute import Permutation
 from ..session import ensure_checkpoint_dir
 
 _PART_SHIFT = 33  # monotonically_increasing_id = (partition id << 33) + row number
-ROWS_PER_BUCKET = 4_000_000  # value-side rows per sort task (value, two ids, key: ~50 bytes each)
+ROWS_PER_TASK = 4_000_000  # narrow rows per sort task
 
 
 def offsets_table(df: DataFrame, part_col: str) -> tuple[DataFrame, int]:
@@ -59,54 +59,57 @@ def dense_index(df: DataFrame, name: str = "_idx") -> tuple[DataFrame, int]:
     return out.drop("_mid", "_pid", "_offset"), n
 
 
-def shuffle_column(df: DataFrame, column: str, seed: int | None = None,
-                   num_buckets: int | None = None) -> DataFrame:
-    """Return ``df`` with ``column``'s values randomly permuted across rows."""
-    if column not in df.columns:
-        raise ValueError(f"column not found: {column}")
+def shuffle_column(df: DataFrame, column: str, seed: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """``df`` with ``column``'s values randomly permuted across rows."""
+    return shuffle_columns(df, [column], seed, keys)
+
+
+def shuffle_columns(df: DataFrame, columns: list[str], seed: int | None = None,
+                    keys: list[str] | None = None) -> DataFrame:
+    """``df`` with each listed column permuted independently; ``keys`` names columns that tell the rows apart."""
+    missing = [c for c in [*columns, *(keys or [])] if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns not found: {missing}")
+    if set(columns) & set(keys or []):
+        raise ValueError("a key column can't be shuffled")
+    if not columns:
+        return df
     seed = fresh_seed() if seed is None else seed
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    # Row identity must not change if a lost partition is recomputed (the input
-    # may be non-deterministic), so the tagged source is checkpointed to the
-    # shared checkpoint folder rather than only cached.
-    src = df.withColumn("_src", F.monotonically_increasing_id()).checkpoint()
-    rows, n_rows = dense_index(src.drop(column), "_idx")
-    # buckets scale with the data so each sort task stays bounded
-    buckets = num_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                 -(-n_rows // ROWS_PER_BUCKET))
-    key = F.rand(seed)
-    values = (
-        src.select(F.col(column).alias("_val"), F.col("_src"))
-        .withColumn("_key", key)
-        .withColumn("_bkt", F.floor(F.col("_key") * F.lit(buckets)).cast("int"))
-        .repartition(buckets, "_bkt")
-        .sortWithinPartitions("_bkt", "_key", "_src")
-        .checkpoint()
-    )
-    # Partitions after the hash exchange are not ordered by bucket, so order
-    # the buckets explicitly: index = offset of the bucket + rank within it.
-    bucket_off, n_values = offsets_table(values, "_bkt")
-    # rank within a bucket: a bucket lives in exactly one partition and is
-    # contiguous there after the sort, so (row id - first row id of bucket).
-    mid = F.monotonically_increasing_id()
-    vv = values.withColumn("_mid", mid)
-    first = vv.groupBy("_bkt").agg(F.min("_mid").alias("_first"))
-    # two rows of 12 bytes per bucket of some millions of rows
-    small = first.join(F.broadcast(bucket_off), "_bkt")
-    vidx = vv.join(F.broadcast(small), "_bkt").select(
-        F.col("_val"), (F.col("_offset") + F.col("_mid") - F.col("_first")).alias("_idx"))
-    if n_rows != n_values:
-        raise RuntimeError(f"shuffle lost its bijection: {n_rows} rows vs {n_values} values")
-    return rows.join(vidx, "_idx").select(*[
-        (F.col("_val").alias(column) if c == column else F.col(c)) for c in df.columns
-    ])
-
-
-def shuffle_columns(df: DataFrame, columns: list[str], seed: int | None = None) -> DataFrame:
-    """Shuffle each listed column independently (one index join per column)."""
-    seed = fresh_seed() if seed is None else seed
-    out = df
+    source = df if keys else df.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    home = list(keys or ["_row"])
+    narrow = source.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(home)],
+                           *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    if keys:
+        by = [f"_k{i}" for i in range(len(home))]
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-source.count() // ROWS_PER_TASK))
+        narrow = narrow.repartitionByRange(tasks, *by).sortWithinPartitions(*by).checkpoint()
+        _require_unique(narrow, by)
+    indexed, n = dense_index(narrow, "_idx")
+    nothing = [F.lit(None).cast(df.schema[c].dataType) for c in columns]
+    key = F.struct(*[F.col(f"_k{i}").alias(f"k{i}") for i in range(len(home))])
+
+    def record(place, identity, values) -> Column:
+        return F.struct(place.alias("place"), identity.alias("home"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
+
+    records = [record(F.col("_idx"), key, nothing)]
     for i, c in enumerate(columns):
-        out = shuffle_column(out, c, seed=(seed + 7919 * i) % (2 ** 62))
-    return out
+        values = [F.col(f"_v{j}") if j == i else x for j, x in enumerate(nothing)]
+        records.append(record(Permutation(n, seed, c).column(F.col("_idx")), F.lit(None).cast(indexed.select(key.alias("k")).schema["k"].dataType), values))
+    placed = indexed.select(F.explode(F.array(*records)).alias("r")).select("r.*").groupBy("place").agg(
+        F.first("home", ignorenulls=True).alias("home"),
+        *[F.first(f"v{i}", ignorenulls=True).alias(f"v{i}") for i in range(len(columns))])
+    moved = placed.select(*[F.col(f"home.k{i}").alias(k) for i, k in enumerate(home)],
+                          *[F.col(f"v{i}").alias(c) for i, c in enumerate(columns)])
+    return source.drop(*columns).join(moved, home).select(*df.columns)
+
+
+def _require_unique(sorted_rows: DataFrame, by: list[str]) -> None:
+    """Fail unless the key columns tell all rows apart and hold no NULL."""
+    some_null = F.lit(False)
+    for c in by:
+        some_null = some_null | F.col(c).isNull()
+    wrong = sorted_rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | some_null)
+    if not wrong.isEmpty():
+        raise ValueError(f"the key of a shuffle must be unique and without NULL: {by}")

@@ -23,7 +23,7 @@ from ..functions.noise import add_laplace, randomized_response
 from ..functions.patterns import SQL_INJECTION_PATTERNS
 from ..functions.substitute import substitute
 from ..operators import access, audit, classes, dp, lockout, metrics, report, scan
-from ..operators.shuffle import shuffle_column
+from ..operators.shuffle import shuffle_columns
 from ..sources.files import dataset_profile, preview
 from ..sources.tables import table
 from . import oracle_sql as O
@@ -159,8 +159,8 @@ def q_substitute_consistent(spark, sf):
 
 
 def q_shuffle_column(spark, sf):
-    shuffled = shuffle_column(_t(spark, sf, "customer"), "c_acctbal", seed=SEED)
-    return shuffled.select("c_acctbal")
+    customer = _t(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return shuffle_columns(customer, ["c_acctbal", "c_mktsegment"], SEED, ["c_custkey"])
 
 
 def q_laplace_transform(spark, sf):
@@ -685,11 +685,37 @@ def q_stream_profile_pipeline(spark, sf):
 
 
 def q_stream_lockout(spark, sf):
+    """Every lock with its rejected attempts, from per-user state with timers."""
     from ..streaming import jobs
+    from ..streaming.lockout import lockout_stream, run_locks
     ev = jobs.table_stream(spark, sf, "events").where(F.col("event_type").isin("error", "signup"))
     att = ev.select(F.col("user_id").alias("user"), "ts", F.col("event_id").alias("seq"),
                     (F.col("event_type") == "signup").alias("ok"))
-    return jobs.run_available(jobs.lockout_stream(att), "lockout")
+    return run_locks(lockout_stream(att), "lockout").drop("closed")
+
+
+GROWING_FILES = 4
+
+
+def _growing_part(spark, sf):
+    """part landing in four files, one micro-batch each, with the class tables carried along."""
+    from ..streaming import jobs
+    from ..streaming.growing import accumulate
+    landing = jobs.shared_path(spark, "growing_landing")
+    part = _t(spark, sf, "part")
+    part.repartition(GROWING_FILES, "p_partkey").write.parquet(landing)
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    return accumulate(stream, PART_QI, "p_type", "growing_part")
+
+
+def q_stream_k_anonymize(spark, sf):
+    """A5 over a table that arrived in micro-batches."""
+    return _growing_part(spark, sf).k_anonymous(K, {"p_size": 1, "p_brand": 0})[0]
+
+
+def q_stream_kl_anonymize(spark, sf):
+    """L4 over a table that arrived in micro-batches."""
+    return _growing_part(spark, sf).k_and_l(K, L, {"p_size": 1, "p_brand": 0})[0]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -770,6 +796,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_rate_breaches": q_stream_rate_breaches,
     "stream_profile_pipeline": q_stream_profile_pipeline,
     "stream_lockout": q_stream_lockout,
+    "stream_k_anonymize": q_stream_k_anonymize,
+    "stream_kl_anonymize": q_stream_kl_anonymize,
 }
 
 
@@ -991,12 +1019,12 @@ FROM acc LEFT JOIN users ON acc."user" = users.username
 LEFT JOIN rp ON users.role = rp.role AND acc.permission = rp.permission"""
 
 
-def _lockout_sql(with_rejected: bool = True) -> str:
+def _lockout_sql() -> str:
     """Sequential statement of the lockout rule: a recursive walk over each user's attempts."""
     lim, mins = 5, 15  # the rule, stated apart from the operator
     rej = "(st.until IS NOT NULL AND n.ts < st.until)"
     c0 = "(CASE WHEN st.until IS NOT NULL THEN 0 ELSE st.cnt END)"
-    tail = (", CAST(coalesce(r.r, 0) AS BIGINT) AS rejected_while_locked" if with_rejected else "")
+    tail = ", CAST(coalesce(r.r, 0) AS BIGINT) AS rejected_while_locked"
     return f"""
 WITH RECURSIVE a AS (
   SELECT CAST(user_id AS VARCHAR) AS "user", ts, event_id AS seq, event_type = 'signup' AS ok
@@ -1019,6 +1047,34 @@ SELECT l."user", l.locked_at, l.locked_until{tail}
 FROM locks l LEFT JOIN r ON r."user" = l."user" AND r.until = l.locked_until"""
 
 
+def _shuffle_sql() -> str:
+    """Two columns of customer, each moved by its Feistel network over places in key order, walked until inside."""
+    from ..functions.permute import PRIMES, Permutation
+
+    def network(name: str, x: str, table: str) -> str:
+        """SELECT src, one pass of x: each round is one more nested select."""
+        out = f"SELECT src, n, a, b, {x} // b AS l, {x} % b AS r FROM {table}"
+        for i, (m1, c1, m2, c2) in enumerate(Permutation(0, SEED, name).constants()):
+            half, other = ("r", "l") if i % 2 == 0 else ("l", "r")
+            moved = f"({other} + ((({half} * {m1} + {c1}) % {PRIMES[0]}) * {m2} + {c2}) % {PRIMES[1]}) % {'a' if other == 'l' else 'b'}"
+            out = f"SELECT src, n, a, b, {moved if other == 'l' else 'l'} AS l, {moved if other == 'r' else 'r'} AS r FROM ({out})"
+        return f"SELECT src, n, a, b, l * b + r AS x FROM ({out})"
+
+    def walk(name: str) -> str:
+        return f"""w_{name}(src, n, a, b, x) AS (
+  {network(name, 'src', 'size')} UNION ALL {network(name, 'x', f'(SELECT * FROM w_{name} WHERE x >= n)')}
+)"""
+
+    columns = ("c_acctbal", "c_mktsegment")
+    joins = " ".join(f"JOIN w_{c} ON w_{c}.x = i.src AND w_{c}.x < w_{c}.n JOIN i AS i_{c} ON i_{c}.src = w_{c}.src" for c in columns)
+    return f"""
+WITH RECURSIVE i AS (SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS src, * FROM customer),
+root AS (SELECT src, n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM i, (SELECT count(*) AS n FROM customer)),
+size AS (SELECT src, n, a, (n + a - 1) // a AS b FROM root),
+{', '.join(walk(c) for c in columns)}
+SELECT i.c_custkey, {', '.join(f'i_{c}.{c}' for c in columns)} FROM i {joins}"""
+
+
 def _substitute_consistent_sql() -> str:
     """Consistent fake names: word lists indexed by SHA-256 of 'value|seed|draw'."""
     from ..functions.substitute import FIRST_NAMES, LAST_NAMES
@@ -1146,7 +1202,7 @@ ORACLE_SQL: dict[str, str] = {
                           f"{O.gen_numeric_sql('l_extendedprice', 1)} AS price_p1, "
                           f"{O.gen_numeric_sql('l_discount', 1)} AS discount_p1, "
                           f"{O.gen_numeric_sql('l_extendedprice', -2)} AS price_m2 FROM lineitem",
-    "shuffle_column": "SELECT c_acctbal FROM customer",
+    "shuffle_column": _shuffle_sql(),
     "k_check": f"""SELECT CASE WHEN count(*) = 0 THEN true ELSE min(n) >= {K} END AS satisfies,
         CAST(coalesce(min(n), 0) AS BIGINT) AS min_group_size
         FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment)""",
@@ -1308,6 +1364,8 @@ ORACLE_SQL: dict[str, str] = {
     "substitute_consistent": _substitute_consistent_sql(),
     "substitute_values": _substitute_values_sql(),
     **_noise_sql(),
-    "lockout_replay": _lockout_sql(True),
-    "stream_lockout": _lockout_sql(False),
+    "lockout_replay": _lockout_sql(),
+    "stream_lockout": _lockout_sql(),
+    "stream_k_anonymize": _PART_K_SUPPRESS,
+    "stream_kl_anonymize": _PART_KL,
 }

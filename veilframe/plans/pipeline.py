@@ -83,7 +83,9 @@ def apply_profile(df: DataFrame, profile: Profile | dict, seed: int | None = Non
                                    "parameters": spec.params}})
     out = df.withColumns(narrow) if narrow else df
     if shuffled:
-        out = shuffle_columns(out, shuffled, seed=(seed + 7) % (2 ** 62))
+        # the key serves if the narrow transforms leave it as it was
+        keyed = bool(prof.row_key) and set(prof.row_key) <= set(df.columns) - set(narrow) - set(shuffled)
+        out = shuffle_columns(out, shuffled, (seed + 7) % (2 ** 62), list(prof.row_key) if keyed else None)
     return out
 
 

@@ -6,12 +6,11 @@
   a watermark that drops the state of closed windows: ``rollup_stream``,
   ``rate_breach_stream``. A run writes every update of a window and keeps the
   latest of each, open windows included (``run_windows``).
-* The lockout rule is per-user state (failure count, lock expiry) kept with
-  ``applyInPandasWithState``: ``lockout_stream``.
+* The lockout rule is per-user state with timers: ``streaming.lockout``.
 
 k-anonymity, l-diversity and the column shuffle need the complete dataset and
-are refused on a raw stream; run them per micro-batch over an accumulated
-table with ``foreachBatch`` instead.
+are refused on a raw stream; ``streaming.growing`` keeps k and l over an
+accumulated table.
 
 Sinks and checkpoints live under the session's shared checkpoint folder
 (``spark.checkpoint.dir``), never a machine-local temp dir.
@@ -19,21 +18,13 @@ Sinks and checkpoints live under the session's shared checkpoint folder
 
 from __future__ import annotations
 
-import contextlib
-import heapq
 import os
-import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.lockout import LOCKOUT_MINUTES, MAX_FAILED_ATTEMPTS
 from ..plans.pipeline import column_expr
 from ..plans.profile import Profile, ProfileError, normalize
 from ..session import ensure_checkpoint_dir
@@ -79,27 +70,35 @@ def _is_ntz(stream: DataFrame, ts: str) -> bool:
     return stream.schema[ts].dataType.simpleString() == "timestamp_ntz"
 
 
-def _event_time(stream: DataFrame, ts: str) -> DataFrame:
+def to_micros(c: Column, ntz: bool) -> Column:
+    """Microseconds on the time axis: of the instant, or of the wall clock read as UTC."""
+    return F.timestamp_diff("MICROSECOND", _epoch_ntz(), c) if ntz else F.unix_micros(c.cast("timestamp"))
+
+
+def from_micros(c: Column, ntz: bool) -> Column:
+    """The inverse of ``to_micros``."""
+    return F.timestamp_add("MICROSECOND", c, _epoch_ntz()) if ntz else F.timestamp_micros(c)
+
+
+def event_time(stream: DataFrame, ts: str) -> DataFrame:
     """Watermarks need a zoned timestamp. Wall-clock (ntz) input becomes the
     instant with the same UTC reading, so windows follow the wall clock in
     every session time zone."""
     if _is_ntz(stream, ts):
-        return stream.withColumn(ts, F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch_ntz(), F.col(ts))))
+        return stream.withColumn(ts, F.timestamp_micros(to_micros(F.col(ts), True)))
     return stream.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
 def _bounds(stream: DataFrame, ts: str):
-    """Window start/end in the input's timestamp type (the inverse of ``_event_time``)."""
-    if _is_ntz(stream, ts):
-        back = lambda c: F.timestamp_add("MICROSECOND", F.unix_micros(c), _epoch_ntz())
-        return back(F.col("w.start")).alias("window_start"), back(F.col("w.end")).alias("window_end")
-    return F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")
+    """Window start/end in the input's timestamp type (the inverse of ``event_time``)."""
+    ntz = _is_ntz(stream, ts)
+    return tuple(from_micros(F.unix_micros(F.col(f"w.{side}")), ntz).alias(f"window_{side}") for side in ("start", "end"))
 
 
 def rollup_stream(log: DataFrame, window: str = "1 hour", watermark: str = "1 hour",
                   by: tuple[str, ...] = ("event_type", "success"), ts: str = "ts") -> DataFrame:
     """G4 on a stream: event counts per tumbling window, final once the watermark passes."""
-    s = _event_time(log, ts).withWatermark(ts, watermark)
+    s = event_time(log, ts).withWatermark(ts, watermark)
     agg = s.groupBy(F.window(F.col(ts), window).alias("w"), *by).agg(F.count(F.lit(1)).alias("n_events"))
     return agg.select(*_bounds(log, ts), *by, "n_events")
 
@@ -107,105 +106,12 @@ def rollup_stream(log: DataFrame, window: str = "1 hour", watermark: str = "1 ho
 def rate_breach_stream(log: DataFrame, key: str, window: str, limit: int, watermark: str | None = None,
                        ts: str = "ts") -> DataFrame:
     """G7 on a stream: windows in which one key exceeded ``limit`` events."""
-    s = _event_time(log, ts).withWatermark(ts, watermark or window)
+    s = event_time(log, ts).withWatermark(ts, watermark or window)
     agg = s.groupBy(F.window(F.col(ts), window).alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("n_events"))
     return agg.where(F.col("n_events") > F.lit(limit)).select(
         F.col(key), *_bounds(log, ts), "n_events", F.lit(limit).alias("limit"))
 
 
-LOCK_STREAM_OUT = "user string, locked_at timestamp, locked_until timestamp"
-LOCK_STATE = "count int, locked_until timestamp"
-_LOCK_COLUMNS = ["user", "locked_at", "locked_until"]
-_ATTEMPT = np.dtype([("ts", "<i8"), ("seq", "<i8"), ("ok", "?")])
-SPILL_ROWS = 200_000  # attempts of one user sorted in memory; more go to a temporary file in sorted runs
-READ_ROWS = 1_000     # attempts read back from a run at a time, lock events handed on at a time
-
-
-def _attempts_in_order(pdfs: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bool]]:
-    """One user's attempts (time in ns, seq, outcome) by time and seq, sorted in runs that are spilled and merged."""
-    run, n, ends = [], 0, [0]
-    with contextlib.ExitStack() as stack:
-        spill = None
-        for pdf in pdfs:
-            pdf = pdf.dropna(subset=["ts"])
-            part = np.empty(len(pdf), _ATTEMPT)
-            part["ts"] = pdf["ts"].to_numpy(dtype="datetime64[ns]").astype("int64")
-            seq = pdf["seq"]
-            part["seq"] = seq.where(seq.notna(), 0).astype("int64")
-            part["seq"][seq.isna().to_numpy()] = np.iinfo("int64").max
-            part["ok"] = pdf["ok"].fillna(False).astype(bool)
-            run.append(part)
-            n += len(part)
-            if n >= SPILL_ROWS:
-                spill = spill or stack.enter_context(tempfile.TemporaryFile())
-                spill.write(_sorted_run(run).tobytes())
-                ends.append(ends[-1] + n)
-                run, n = [], 0
-        runs = [_read_run(spill, a, b) for a, b in zip(ends, ends[1:])]
-        if run:
-            runs.append(iter(_sorted_run(run).tolist()))
-        # equal keys come in order of their runs
-        yield from heapq.merge(*runs, key=lambda r: r[:2])
-
-
-def _sorted_run(parts: list[np.ndarray]) -> np.ndarray:
-    rows = np.concatenate(parts)
-    return rows[np.lexsort((rows["seq"], rows["ts"]))]
-
-
-def _read_run(spill, start: int, end: int) -> Iterator[tuple[int, int, bool]]:
-    for a in range(start, end, READ_ROWS):
-        spill.seek(a * _ATTEMPT.itemsize)
-        yield from np.frombuffer(spill.read(min(READ_ROWS, end - a) * _ATTEMPT.itemsize), _ATTEMPT).tolist()
-
-
-def _lockout_step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Advance one user's lockout state over the attempts of a micro-batch."""
-    count, until = 0, None
-    if state.exists:
-        count, until = state.get
-        count = int(count)
-        until = None if until is None or pd.isna(until) else pd.Timestamp(until)
-    until = None if until is None else until.as_unit("ns").value
-    lock = LOCKOUT_MINUTES * 60 * 1_000_000_000
-    out = []
-    for t, _, good in _attempts_in_order(pdfs):
-        if until is not None:
-            if t < until:
-                continue
-            count, until = 0, None
-        if good:
-            count = 0
-        else:
-            count += 1
-            if count >= MAX_FAILED_ATTEMPTS:
-                until = t + lock
-                out.append((key[0], pd.Timestamp(t), pd.Timestamp(until)))
-                if len(out) >= READ_ROWS:
-                    yield pd.DataFrame(out, columns=_LOCK_COLUMNS)
-                    out = []
-    if count == 0 and until is None:
-        state.remove()  # nothing to remember for this user
-    else:
-        state.update((count, None if until is None else pd.Timestamp(until)))
-    yield pd.DataFrame(out, columns=_LOCK_COLUMNS)
-
-
-def lockout_stream(attempts: DataFrame, user: str = "user", ts: str = "ts", seq: str = "seq",
-                   ok: str = "ok") -> DataFrame:
-    """G6 on a stream: lock events, with per-user state carried across micro-batches.
-
-    Attempts are replayed in event-time order within a micro-batch and in
-    arrival order across micro-batches.
-    """
-    ts_type = "timestamp_ntz" if attempts.schema[ts].dataType.simpleString() == "timestamp_ntz" else "timestamp"
-    a = attempts.select(F.col(user).cast("string").alias("user"), F.col(ts).cast(ts_type).alias("ts"),
-                        F.col(seq).cast("bigint").alias("seq"), F.col(ok).cast("boolean").alias("ok"))
-    return a.groupBy("user").applyInPandasWithState(
-        _lockout_step, LOCK_STREAM_OUT.replace("timestamp", ts_type), LOCK_STATE.replace("timestamp", ts_type),
-        "append", GroupStateTimeout.NoTimeout)
-
-
 def run_windows(stream: DataFrame, name: str, count: str = "n_events") -> DataFrame:
     """Run a windowed count over everything available now: every window once, with its latest count.
 
