@@ -2,14 +2,14 @@
 
 Vectors are floored to integers and cut into equal consecutive parts; every part
 position has its own codebook. The parts live in a table laid out by owner: the
-members of one (position, entry, salt) lie in one folder of it. Salts spread an
+members of one (position, entry, salt) lie in one of its files. Salts spread an
 entry that takes a third of all rows over many owners. A round has two steps.
 Each resident part is compared with its position's codebook where it lies; a
-part that keeps its nearest entry is written on by the task that read it, into
-the same owner's folder, and only a part whose entry changed goes through the
-shuffle to its new owner. Then the owners sum their resident members; one row
-per owner goes on, the salts meet in one row per (position, entry), and only
-these rows (positions x entries) reach the driver, which divides them.
+part that keeps its nearest entry is written on by the task that read it, among
+the same owner's members, and only a part whose entry changed goes through the
+shuffle to its new owner. Then the members are summed where they lie, the sums
+of the salts and files meet in one row per (position, entry), and only these
+rows (positions x entries) reach the driver, which divides them.
 
 Each round's layout is a written table in the shared folder, so a lost executor
 costs one round's tasks; the layout before it is removed. Codes are assigned to
@@ -39,7 +39,7 @@ from veilframe.llm import scratch
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096.0
 #: This many owners share the members of an entry.
 SALTS = 64
-#: Parts of one task; there are at least ``spark.sql.shuffle.partitions`` tasks.
+#: Parts of one task, where there are enough for all cores.
 TASK_PARTS = 1_000_000
 _LIMIT = 2.0**62
 _LOW = (1 << 32) - 1
@@ -113,7 +113,7 @@ def _nearest_entry(codebooks: Codebooks) -> Column:
 
 
 def _sums(resident: DataFrame, width: int) -> list[tuple[int, int, int, list[int]]]:
-    """Members and component sums of each entry: by owner where the members lie, then over the salts.
+    """Members and component sums of each entry; a task sums the members that lie with it before anything is shuffled.
 
     Components are summed as a high and a low half of 32 bits, so that no sum leaves 64 bits.
     """
@@ -121,9 +121,7 @@ def _sums(resident: DataFrame, width: int) -> list[tuple[int, int, int, list[int
     for d in range(width):
         x = F.get("part", F.lit(d))
         halves += [F.sum(F.shiftright(x, 32)).alias(f"h{d}"), F.sum(x.bitwiseAND(_LOW)).alias(f"l{d}")]
-    owned = resident.groupBy(*_OWNER).agg(F.count("*").alias("n"), *halves)
-    names = [c for d in range(width) for c in (f"h{d}", f"l{d}")]
-    rows = owned.groupBy("position", "entry").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).collect()
+    rows = resident.groupBy("position", "entry").agg(F.count("*").alias("n"), *halves).collect()
     return [(r.position, r.entry, r.n, [(r[f"h{d}"] << 32) + r[f"l{d}"] for d in range(width)]) for r in rows]
 
 
@@ -139,11 +137,6 @@ def _at_owners(members: DataFrame, partitions: int) -> DataFrame:
     return members.repartition(partitions, *_OWNER)
 
 
-def _write(members: DataFrame, layout: str, partitions: int) -> None:
-    owner = F.pmod(F.xxhash64(*_OWNER), F.lit(partitions))
-    members.withColumn("owner", owner).write.mode("append").partitionBy("owner").parquet(layout)
-
-
 def fit(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: float = SCALE) -> Codebooks | None:
     """The codebooks after ``rounds`` rounds over all rows (None if no vector takes part)."""
     spark = vectors.sparkSession
@@ -166,19 +159,19 @@ def fit(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", p
 
 
 def _rounds(spark: SparkSession, folder: str, codebooks: Codebooks, rounds: int, partitions: int) -> Codebooks:
-    partitions = max(partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = max(partitions, spark.sparkContext.defaultParallelism)
     width, positions = codebooks.width, len(codebooks.entries)
     salted = spark.read.parquet(f"{folder}/vectors").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
     cut = F.transform(F.sequence(F.lit(0), F.lit(positions - 1)), lambda p: F.slice("v", p * width + 1, width))
     spread = salted.select("salt", F.posexplode(cut).alias("position", "part"))
     placed = spread.withColumn("entry", _nearest_entry(codebooks)).select(*_MEMBER)
-    _write(_at_owners(placed, partitions), f"{folder}/round1", partitions)
+    _at_owners(placed, partitions).write.parquet(f"{folder}/round1")
     for done in range(1, rounds + 1):
         resident = spark.read.parquet(f"{folder}/round{done}")
         codebooks = codebooks.moved(_sums(resident, width))
         if done < rounds:
             stay, move = settled(resident, codebooks, partitions)
-            _write(stay.unionByName(move), f"{folder}/round{done + 1}", partitions)
+            stay.unionByName(move).write.parquet(f"{folder}/round{done + 1}")
             scratch.remove(spark, f"{folder}/round{done}")
     return codebooks
 
