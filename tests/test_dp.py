@@ -1,9 +1,14 @@
+import datetime as dt
 import math
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe.functions.draws import LANES, keyed_uniform
 from veilframe.operators import dp
+from veilframe.operators.ledger import BudgetExhausted, SharedLedger, read_charges, record
 
 
 def test_parameter_rules():
@@ -30,7 +35,7 @@ def test_dp_columns_any_row_count(spark):
     df = spark.createDataFrame([(25.0, 1.0), (30.0, 2.0), (35.0, None), (40.0, 4.0), (45.0, 5.0)], "age double, x double")
     out = dp.dp_columns(df, ["age", "x", "missing"], acct, {"age": 1.0}, seed=3).collect()
     assert len(out) == 5 and out[2].x is None
-    assert abs(acct.used - 2 / 3) < 1e-12  # epsilon / n per present column, as recorded by the reference
+    assert abs(acct.used - 2 / 3) < 1e-12 and len(acct.charges) == 2  # epsilon / n per present column, as recorded by the reference
     assert all(r.age != v for r, v in zip(out, [25.0, 30.0, 35.0, 40.0, 45.0]))
 
 
@@ -103,3 +108,94 @@ def test_dataset_report(spark):
     assert abs(c["a"].original_mean - 499.5) < 1e-9 and c["a"].absolute_error < 1.0
     assert rep["epsilon"] == 1.0
     assert noisy.count() == 1000
+
+
+def test_column_noise_is_refused_when_the_budget_is_used(spark):
+    acct = dp.PrivacyAccountant(1.0)
+    df = spark.createDataFrame([(1.0, 2.0, 3.0)], "a double, b double, c double")
+    dp.dp_columns(df, ["a", "b", "c"], acct, seed=1)  # three thirds add up to a little under one
+    with pytest.raises(BudgetExhausted):
+        dp.dp_columns(df, ["a"], acct, seed=2)
+    assert len(acct.charges) == 3 and acct.report()["budget_exhausted"]
+
+
+def test_one_seed_gives_columns_and_mechanisms_their_own_noise(spark):
+    df = spark.createDataFrame([(0, 0.0, 0.0)], "id int, a double, b double")
+    sums = [dp.noisy_sum(df, c, dp.PrivacyAccountant(), sensitivity=1.0, seed=7).first().noisy_sum for c in ("a", "b")]
+    means = [dp.noisy_mean(df, c, dp.PrivacyAccountant(), sensitivity=1.0, seed=7).first().noisy_mean for c in ("a", "b")]
+    both = dp.dp_columns(df, ["a", "b"], dp.PrivacyAccountant(), seed=7, keys=["id"]).first()
+    alone = dp.dp_columns(df, ["a"], dp.PrivacyAccountant(), seed=7, keys=["id"]).first()
+    other = dp.dp_columns(df, ["b"], dp.PrivacyAccountant(), seed=7, keys=["id"]).first()
+    draws = [*sums, *means, both.a, both.b, alone.a, other.b]
+    assert len({round(x, 9) for x in draws}) == len(draws)
+
+
+def test_different_keys_never_share_a_draw(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, ""), ("", None), ("", ""), (None, None), ("1:a", "b"), ("1", ":ab"), ("-", "-")]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("v", F.lit(0.0))
+    out = dp.dp_columns(df, ["v"], dp.PrivacyAccountant(), seed=3, keys=["a", "b"]).collect()
+    assert len({r.v for r in out}) == len(rows)
+
+
+def test_draws_of_one_digest_are_uniform_and_independent(spark):
+    df = spark.range(40_000).select(*[keyed_uniform(F.col("id").cast("string"), 5, "n", lane).alias(f"u{lane}") for lane in range(LANES)])
+    u = df.toPandas().to_numpy()
+    assert abs(u.mean(0) - 0.5).max() < 0.01 and abs(u.var(0) - 1 / 12).max() < 0.002
+    corr = np.corrcoef(u.T) - np.eye(LANES)
+    assert abs(corr).max() < 0.02 and (u > 0).all() and (u < 1).all()
+    tenths = np.stack([np.bincount((u[:, i] * 10).astype(int), minlength=10) for i in range(LANES)])
+    assert tenths.min() > 3700 and tenths.max() < 4300
+
+
+def _charge(dataset, epsilon):
+    return [(dataset, "c", "m", epsilon, 1e-5, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))]
+
+
+def test_runs_that_share_a_ledger_stay_within_its_budget(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    df = spark.createDataFrame([(1, 1.0)], "id int, v double")
+
+    def accountant(dataset="people"):
+        return dp.PrivacyAccountant(0.6, dataset=dataset, shared=SharedLedger(spark, path, 1.0))
+
+    dp.noisy_count(df, [], accountant(), seed=1)
+    with pytest.raises(BudgetExhausted, match="all runs"):
+        dp.dp_columns(df, ["v"], accountant(), seed=1, keys=["id"])
+    refused = accountant()
+    with pytest.raises(BudgetExhausted):
+        dp.noisy_sum(df, "v", refused, seed=1)
+    assert refused.used == 0 and not refused.charges  # a refused release is charged nowhere
+    dp.noisy_count(df, [], accountant("other"), seed=1)  # another dataset has its own budget
+    spent = {r.dataset: r.epsilon for r in read_charges(spark, path).groupBy("dataset").agg(F.sum("epsilon").alias("epsilon")).collect()}
+    assert spent == {"people": 0.6, "other": 0.6}
+
+
+def test_claims_written_at_the_same_time(spark, tmp_path):
+    """A claim that another run wrote before we read counts, whichever is older; the newer of the two gives way."""
+    path = str(tmp_path / "ledger")
+    ledger = SharedLedger(spark, path, 1.0, patience=0.0)
+    old, new = _charge("d", 0.7), _charge("d", 0.7)
+    record(spark, path, [(*new[0][:5], dt.datetime(2999, 1, 1))], "newer")
+    with pytest.raises(BudgetExhausted):
+        ledger.admit(old)  # older, but the newer one has not withdrawn in time
+    record(spark, path, [("d", None, None, 0.0, 0.0, dt.datetime(2999, 1, 1))], "newer", "withdrawn")
+    assert ledger.admit(old)
+    with pytest.raises(BudgetExhausted):
+        ledger.admit(_charge("d", 0.7))
+    assert [r.epsilon for r in ledger.live_claims("d")] == [0.7]
+
+
+def test_many_threads_never_exceed_the_budget(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    admitted = []
+
+    def one(_):
+        try:
+            admitted.append(SharedLedger(spark, path, 1.0, patience=20.0, pause=0.1).admit(_charge("d", 0.4)))
+        except BudgetExhausted:
+            pass
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(one, range(4)))
+    live = SharedLedger(spark, path, 1.0).live_claims("d")
+    assert 1 <= len(admitted) <= 2 and {r.claim for r in live} == set(admitted)

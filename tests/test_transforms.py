@@ -208,7 +208,7 @@ def test_permutation_is_a_bijection(spark, n):
     permutation = Permutation(n, 3, "c")
     assert sorted(permutation.apply(i) for i in range(n)) == list(range(n))
     if n in (5, 101, 4099):
-        got = spark.range(n).select("id", permutation.column(F.col("id")).alias("p")).collect()
+        got = permutation.place(spark.range(n), "id", "p").collect()
         assert {r.id: r.p for r in got} == {i: permutation.apply(i) for i in range(n)}
 
 

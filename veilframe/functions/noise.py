@@ -2,7 +2,7 @@
 
 Laplace noise is the inverse distribution function of one uniform draw, Gaussian
 noise the Box-Muller transform of two. With a key (a row's or a group's) the
-draws are SHA-256 of (key, seed, name): the noise of a row is the same wherever
+draws are SHA-256 of (seed, name, key): the noise of a row is the same wherever
 and however often it is computed, so a noisy column never describes two
 datasets. Without a key they come from ``rand`` and depend on the partitioning.
 """
@@ -25,15 +25,18 @@ def fresh_seed() -> int:
     return secrets.randbits(62)
 
 
-def laplace_sample(scale: float, seed: int, key: Column | None = None, name: str = "laplace") -> Column:
+def laplace_sample(scale: float, seed: int, key: Column | None = None, name: str = "laplace",
+                   lane: int = 0) -> Column:
     if scale < 0:
         raise ValueError("scale must be >= 0")
 
-    def draw(k: Column) -> Column:
-        u = keyed_uniform(k, seed, name) - F.lit(0.5)
-        return F.signum(u) * F.log(F.lit(1.0) - F.lit(2.0) * F.abs(u)) * F.lit(-float(scale))
+    return with_key(key, seed, lambda k: laplace_of(keyed_uniform(k, seed, name, lane), scale))
 
-    return with_key(key, seed, draw)
+
+def laplace_of(uniform: Column, scale: float) -> Column:
+    """Laplace noise from a uniform draw (inverse distribution function)."""
+    u = uniform - F.lit(0.5)
+    return F.signum(u) * F.log(F.lit(1.0) - F.lit(2.0) * F.abs(u)) * F.lit(-float(scale))
 
 
 def gaussian_sample(sigma: float, seed: int, key: Column | None = None, name: str = "gaussian") -> Column:
@@ -41,20 +44,19 @@ def gaussian_sample(sigma: float, seed: int, key: Column | None = None, name: st
         raise ValueError("sigma must be >= 0")
 
     def draw(k: Column) -> Column:
-        radius = F.sqrt(F.lit(-2.0) * F.log(keyed_uniform(k, seed, f"{name}1")))
-        return radius * F.cos(F.lit(2 * math.pi) * keyed_uniform(k, seed, f"{name}2")) * F.lit(float(sigma))
+        radius = F.sqrt(F.lit(-2.0) * F.log(keyed_uniform(k, seed, name)))
+        return radius * F.cos(F.lit(2 * math.pi) * keyed_uniform(k, seed, name, 1)) * F.lit(float(sigma))
 
     return with_key(key, seed, draw)
 
 
 def add_laplace(c, epsilon: float = 1.0, sensitivity: float = 1.0, seed: int | None = None,
-                key: Column | None = None, name: str = "laplace") -> Column:
+                key: Column | None = None, name: str = "laplace", lane: int = 0) -> Column:
     """T9/DP1: value + Lap(0, sensitivity/epsilon); null stays null."""
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
     x = (F.col(c) if isinstance(c, str) else c).try_cast(DoubleType())
-    noise = laplace_sample(sensitivity / epsilon, fresh_seed() if seed is None else seed, key, name)
-    return F.when(x.isNull(), F.lit(None).cast(DoubleType())).otherwise(x + noise)
+    return x + laplace_sample(sensitivity / epsilon, fresh_seed() if seed is None else seed, key, name, lane)
 
 
 def gaussian_sigma(epsilon: float, delta: float, sensitivity: float = 1.0) -> float:
@@ -72,8 +74,7 @@ def add_gaussian(c, epsilon: float = 1.0, delta: float = 1e-5, sensitivity: floa
         warnings.warn("the Gaussian mechanism's guarantee holds for epsilon up to 1", stacklevel=2)
     sigma = gaussian_sigma(epsilon, delta, sensitivity)
     x = (F.col(c) if isinstance(c, str) else c).try_cast(DoubleType())
-    noise = gaussian_sample(sigma, fresh_seed() if seed is None else seed, key, name)
-    return F.when(x.isNull(), F.lit(None).cast(DoubleType())).otherwise(x + noise)
+    return x + gaussian_sample(sigma, fresh_seed() if seed is None else seed, key, name)
 
 
 def truth_probability(epsilon: float) -> float:

@@ -1,4 +1,4 @@
-"""A keyed bijection of 0..n-1, as a Spark expression (used by T4).
+"""A keyed bijection of 0..n-1, as Spark expressions (used by T4).
 
 The numbers below ``a * b``, with ``a`` about the square root of n and ``a * b``
 the least multiple of ``a`` from n on, are pairs (left < a, right < b). Each round of an
@@ -19,7 +19,7 @@ import hashlib
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Primes below 2^31, so that products of two residues fit 62 bits.
@@ -75,25 +75,41 @@ class Permutation:
                 right = (right + y) % b
         return left * b + right
 
-    def column(self, i: Column) -> Column:
-        """The bijection of a bigint column of numbers below n; it fails rather than give a wrong place."""
-        first = self._pass_column(i)
-        walks = self.walks()
-        if not walks:
-            return first
-        steps = F.sequence(F.lit(1), F.lit(walks))
-        walked = F.aggregate(steps, first, lambda x, _: F.when(x < self.n, x).otherwise(self._pass_column(x)))
+    def place(self, df: DataFrame, i: str, out: str) -> DataFrame:
+        """``df`` with the bijection of its bigint column ``i`` (numbers below n) as ``out``.
+
+        Every round of the first pass is a projection of its own, which Spark doesn't merge with the
+        next, so each number is computed once; the few that land from n on are walked by ``aggregate``.
+        """
+        a, b = self.sizes
+        left, right = f"{out}_left", f"{out}_right"
+        staged = df.withColumns({left: F.call_function("div", F.col(i), F.lit(b)), right: F.col(i) % F.lit(b)})
+        for r, constants in enumerate(self.constants()):
+            half, other, size = (right, left, a) if r % 2 == 0 else (left, right, b)
+            staged = staged.withColumn(other, (F.col(other) + _keyed(F.col(half), constants)) % F.lit(size))
+        staged = staged.withColumn(out, F.col(left) * F.lit(b) + F.col(right)).drop(left, right)
+        if self.walks():
+            staged = staged.withColumn(out, F.when(F.col(out) < self.n, F.col(out)).otherwise(self._walked(F.col(out))))
+        return staged
+
+    def _walked(self, x: Column) -> Column:
+        """The first number below n on the way from x; it fails rather than give a wrong place."""
+        steps = F.sequence(F.lit(1), F.lit(self.walks()))
         lost = F.raise_error(F.lit("a number of the permutation did not come back")).cast("bigint")
-        return F.when(first < self.n, first).otherwise(F.element_at(F.transform(F.array(walked), lambda x: F.when(x < self.n, x).otherwise(lost)), 1))
+        return F.aggregate(steps, x, lambda y, _: F.when(y < self.n, y).otherwise(self._pass_column(y)),
+                           lambda y: F.when(y < self.n, y).otherwise(lost))
 
     def _pass_column(self, x: Column) -> Column:
         a, b = self.sizes
         left, right = F.call_function("div", x, F.lit(b)), x % F.lit(b)
-        for r, (m1, c1, m2, c2) in enumerate(self.constants()):
-            y = ((right if r % 2 == 0 else left) * F.lit(m1) + F.lit(c1)) % F.lit(PRIMES[0])
-            y = (y * F.lit(m2) + F.lit(c2)) % F.lit(PRIMES[1])
+        for r, constants in enumerate(self.constants()):
             if r % 2 == 0:
-                left = (left + y) % F.lit(a)
+                left = (left + _keyed(right, constants)) % F.lit(a)
             else:
-                right = (right + y) % F.lit(b)
+                right = (right + _keyed(left, constants)) % F.lit(b)
         return left * F.lit(b) + right
+
+
+def _keyed(half: Column, constants: tuple[int, int, int, int]) -> Column:
+    m1, c1, m2, c2 = constants
+    return ((half * F.lit(m1) + F.lit(c1)) % F.lit(PRIMES[0]) * F.lit(m2) + F.lit(c2)) % F.lit(PRIMES[1])

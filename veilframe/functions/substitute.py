@@ -2,12 +2,11 @@
 
 Two modes:
 
-* ``random``: a fresh value per cell. Each draw is SHA-256 of
-  "key|seed|name|draw" of a row key (see ``draws``); without a key, of one random
-  number drawn for the cell. ``name`` (the column) keeps columns independent.
-* ``consistent``: each draw is the first 60 bits of SHA-256 of
-  ``"value|seed|draw"``, so equal inputs map to equal fakes (join-preserving
-  pseudonyms) and the seed acts as the key.
+* ``random``: a fresh value per cell. Its draws are cut from SHA-256 of a row key
+  (six to a digest, see ``draws``); without a key, of one random number drawn for
+  the cell. ``name`` (the column) keeps columns independent.
+* ``consistent``: the draws are cut from SHA-256 of the value itself, so equal
+  inputs map to equal fakes (join-preserving pseudonyms) and the seed acts as the key.
 
 Each generator is a pure ``Column`` expression (``element_at`` over array
 literals, ``lpad``/``format_string`` for digit shapes); no Python per row.
@@ -19,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .draws import keyed_integer, with_key
+from .draws import LANES, keyed_integer, with_key
 
 # Fixed dictionaries for generated values (our own lists; any realistic words do).
 FIRST_NAMES = [
@@ -69,11 +68,12 @@ class _Draws:
     """Independent integer draws in [0, n), keyed by a row key or by the value itself."""
 
     def __init__(self, key: Column, seed: int, prefix: str):
-        self.key, self.seed, self.prefix, self.i = key, seed, prefix, 0
+        self.key, self.seed, self.prefix, self.drawn = key, seed, prefix, 0
 
     def __call__(self, n: int) -> Column:
-        self.i += 1
-        return keyed_integer(self.key, self.seed, f"{self.prefix}{self.i}", n)
+        block, lane = divmod(self.drawn, LANES)
+        self.drawn += 1
+        return keyed_integer(self.key, self.seed, f"{self.prefix}{block}", n, lane)
 
     def pick(self, words: list[str]) -> Column:
         return F.element_at(F.array(*[F.lit(w) for w in words]), self(len(words)) + 1)
@@ -110,7 +110,8 @@ def substitute(c, data_type: str = "name", mode: str = "random", seed: int = 0,
         out = _fake(t, _Draws(src.cast(StringType()), seed, ""))
     else:
         out = with_key(key, seed, lambda k: _fake(t, _Draws(k, seed, f"{name}|")))
-    return F.when(src.isNull(), F.lit(None).cast(StringType())).otherwise(out)
+    # joined with nothing of the value, which is NULL where the value is: a branch would draw each digest anew
+    return F.concat(out, F.substring(src.cast(StringType()), 1, 0))
 
 
 def _fake(t: str, d: _Draws) -> Column:

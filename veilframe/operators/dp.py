@@ -3,8 +3,9 @@
 Noise is added by built-in expressions on executors; the driver only keeps the
 privacy accountant. Aggregate releases (count, sum, mean) add noise to the
 *aggregated* row, so noise cost does not grow with the data. Charges are kept
-as rows (dataset, column, mechanism, epsilon, delta) so a ledger can be
-appended to a table and summed across runs (DP8).
+as rows (dataset, column, mechanism, epsilon, delta) in a ledger table that all
+runs share (DP8, ``operators.ledger``): an accountant that is given the ledger
+refuses a release that would exceed the dataset's budget, whichever run spent it.
 """
 
 from __future__ import annotations
@@ -16,46 +17,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, NumericType
 
-from ..functions.draws import row_key
+from ..functions.draws import LANES, named, row_key, with_uniforms
 from ..functions.noise import (
-    add_gaussian, add_laplace, fresh_seed, laplace_sample, randomized_response, truth_probability,
+    add_gaussian, add_laplace, fresh_seed, laplace_of, laplace_sample, randomized_response, truth_probability,
 )
 from ..session import ensure_checkpoint_dir
-
-LEDGER_SCHEMA = "dataset string, column string, mechanism string, epsilon double, delta double, charged_at timestamp"
+from .ledger import LEDGER_SCHEMA, BudgetExhausted, SharedLedger, read_charges, record  # noqa: F401
 
 
 def validate_params(epsilon: float, delta: float) -> None:
     if epsilon <= 0:
-        raise ValueError("Epsilon must be positive")
+        raise ValueError(f"epsilon has to be above 0, not {epsilon}")
     if delta < 0 or delta >= 1:
-        raise ValueError("Delta must be in [0, 1)")
+        raise ValueError(f"delta has to be at least 0 and below 1, not {delta}")
 
 
 @dataclass
 class PrivacyAccountant:
-    """Tracks epsilon spent by releases; refuses a release once the budget is used."""
+    """Tracks epsilon spent by releases; refuses a release once the budget is used.
+
+    With ``shared``, every release is also admitted by the table that all runs share.
+    """
 
     epsilon: float = 1.0
     delta: float = 1e-5
     dataset: str = "dataset"
     used: float = 0.0
     charges: list[tuple] = field(default_factory=list)
+    shared: SharedLedger | None = None
 
     def __post_init__(self):
         validate_params(self.epsilon, self.delta)
 
+    def exhausted(self) -> bool:
+        # shares such as epsilon / 3 may add up to a little under epsilon
+        return self.used >= self.epsilon * (1 - 1e-9)
+
     def charge(self, amount: float, mechanism: str, column: str | None = None) -> None:
-        if self.used >= self.epsilon:
-            raise ValueError("Privacy budget exhausted")
-        self.used += amount
-        self.charges.append((self.dataset, column, mechanism, float(amount), float(self.delta),
-                             _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)))
+        self.charge_all([(amount, mechanism, column)])
+
+    def charge_all(self, parts: list[tuple[float, str, str | None]]) -> None:
+        """One release of several charges: all of them, or none and an error."""
+        if not parts:
+            return
+        if self.exhausted():
+            raise BudgetExhausted(f"the privacy budget of {self.dataset} is exhausted: {self.used} of {self.epsilon} used")
+        now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        rows = [(self.dataset, column, mechanism, float(amount), float(self.delta), now) for amount, mechanism, column in parts]
+        if self.shared is not None:
+            self.shared.admit(rows)
+        self.used += sum(amount for amount, _, _ in parts)
+        self.charges += rows
 
     def report(self) -> dict:
         return {"epsilon": self.epsilon, "delta": self.delta, "privacy_budget_used": self.used,
                 "privacy_budget_remaining": max(0.0, self.epsilon - self.used),
-                "budget_exhausted": self.used >= self.epsilon}
+                "budget_exhausted": self.exhausted()}
 
     def reset(self) -> None:
         self.used = 0.0
@@ -111,7 +128,7 @@ def noisy_sum(df: DataFrame, column: str, acct: PrivacyAccountant, group_cols: l
     x = F.col(column).cast(DoubleType())
     st = df.groupBy(*g).agg(F.coalesce(F.sum(x), F.lit(0.0)).alias("_s"), F.max(F.abs(x)).alias("_m"))
     sens = F.lit(float(sensitivity)) if sensitivity is not None else F.coalesce(F.col("_m"), F.lit(1.0))
-    noise = sens / F.lit(acct.epsilon) * laplace_sample(1.0, seed, _group_key(g), "noisy_sum")
+    noise = sens / F.lit(acct.epsilon) * laplace_sample(1.0, seed, _group_key(g), named(["noisy_sum", column]))
     return st.select(*g, (F.col("_s") + noise).alias("noisy_sum"),
                      F.lit(sensitivity is None).alias("data_dependent_sensitivity"))
 
@@ -127,7 +144,7 @@ def noisy_mean(df: DataFrame, column: str, acct: PrivacyAccountant, group_cols:
     if not df.select(x.alias("x")).where("x is not null").isEmpty():
         acct.charge(acct.epsilon, "noisy_mean", column)
     sens = F.lit(float(sensitivity)) if sensitivity is not None else (F.col("_hi") - F.col("_lo")) / F.col("_n")
-    noise = sens / F.lit(acct.epsilon) * laplace_sample(1.0, seed, _group_key(g), "noisy_mean")
+    noise = sens / F.lit(acct.epsilon) * laplace_sample(1.0, seed, _group_key(g), named(["noisy_mean", column]))
     return st.select(*g, F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.col("_a") + noise).alias("noisy_mean"),
                      F.lit(sensitivity is None).alias("data_dependent_sensitivity"))
 
@@ -155,26 +172,30 @@ def _numeric_or_fail(df: DataFrame, column: str) -> None:
         raise TypeError(f"differential privacy needs a numeric column; '{column}' is {dt.simpleString()}")
 
 
-def _dp_column_exprs(df: DataFrame, columns: list[str], acct: PrivacyAccountant,
-                     sensitivity: dict[str, float] | None, seed: int | None, split_budget: bool,
-                     keys: list[str] | None = None) -> dict:
+def _with_column_noise(df: DataFrame, columns: list[str], acct: PrivacyAccountant,
+                       sensitivity: dict[str, float] | None, seed: int | None, split_budget: bool,
+                       keys: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """``df`` with noise on the listed columns it has, charged as one release, and those columns."""
     sensitivity = sensitivity or {}
-    present = [c for c in columns if c in df.columns]
+    present = [c for c in dict.fromkeys(columns) if c in df.columns]
     for c in present:
         _numeric_or_fail(df, c)
     seed = fresh_seed() if seed is None else seed
     eps_col = acct.epsilon / len(columns) if split_budget and columns else acct.epsilon
-    # draws are named by their column, so one seed gives independent columns; unkeyed
-    # draws need a seed of their own each
-    exprs = {c: add_laplace(c, eps_col, sensitivity.get(c, 1.0),
-                            seed if keys else (seed + 104729 * (i + 1)) % (2 ** 62), _key(keys), c)
-             for i, c in enumerate(present)}
-    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    for c in present:
-        share = acct.epsilon / len(columns)
-        acct.used += share
-        acct.charges.append((acct.dataset, c, "laplace_column", share, acct.delta, now))
-    return exprs
+    acct.charge_all([(acct.epsilon / len(columns), "laplace_column", c) for c in present])
+    if not keys:  # unkeyed draws need a seed of their own each
+        return df.withColumns({c: add_laplace(c, eps_col, sensitivity.get(c, 1.0), (seed + 104729 * (i + 1)) % (2 ** 62))
+                               for i, c in enumerate(present)}), present
+    out, key = df, "__key"
+    if present:  # a key column may be noisy itself
+        out = out.withColumn(key, row_key(keys))
+    for i in range(0, len(present), LANES):
+        # six columns share a digest that is named by all of them, so that no other list of columns has it
+        part = present[i : i + LANES]
+        out, draws = with_uniforms(out, F.col(key), seed, named(["columns", *part]), len(part))
+        out = out.withColumns({c: F.col(c).cast(DoubleType()) + laplace_of(F.col(u), sensitivity.get(c, 1.0) / eps_col)
+                               for c, u in zip(part, draws)}).drop(*draws)
+    return out.drop(key), present
 
 
 def dp_columns(df: DataFrame, columns: list[str], acct: PrivacyAccountant,
@@ -186,23 +207,16 @@ def dp_columns(df: DataFrame, columns: list[str], acct: PrivacyAccountant,
     (not once per cell); the noise scale is ``sens/epsilon``, or
     ``sens/(epsilon/n)`` with ``split_budget=True``.
     """
-    exprs = _dp_column_exprs(df, columns, acct, sensitivity, seed, split_budget, keys)
-    return df.withColumns(exprs) if exprs else df
+    return _with_column_noise(df, columns, acct, sensitivity, seed, split_budget, keys)[0]
 
 
 def append_charges(acct: PrivacyAccountant, spark: SparkSession, path: str) -> int:
-    """Append this run's charges to the ledger table at ``path`` (a few rows per run)."""
-    if not acct.charges:
-        return 0
-    acct.ledger(spark).coalesce(1).write.mode("append").parquet(path)
+    """Record charges of an accountant without a shared ledger in the ledger table at ``path``."""
+    if acct.charges:
+        record(spark, path, acct.charges)
     return len(acct.charges)
 
 
-def read_charges(spark: SparkSession, path: str) -> DataFrame:
-    """All charges recorded by earlier runs."""
-    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
-
-
 def budget_ledger(charges: DataFrame, budgets: DataFrame) -> DataFrame:
     """DP8: per dataset, epsilon spent across all recorded charges vs its budget."""
     spent = charges.groupBy("dataset").agg(F.sum("epsilon").alias("privacy_budget_used"),
@@ -266,10 +280,9 @@ def dp_dataset(df: DataFrame, columns: list[str], epsilon: float = 1.0, delta: f
     comparison and all later reads use those rows.
     """
     acct = PrivacyAccountant(epsilon, delta, dataset)
-    exprs = _dp_column_exprs(df, columns, acct, sensitivities, seed, False, keys)
-    noisy = df.withColumns(exprs) if exprs else df
-    if exprs and not keys:
+    noisy, present = _with_column_noise(df, columns, acct, sensitivities, seed, False, keys)
+    if present and not keys:
         ensure_checkpoint_dir(df.sparkSession)
         noisy = noisy.checkpoint()
-    report = acct.report() | {"epsilon_composed": acct.epsilon * len(exprs)}
-    return noisy, report, compare_means(df, noisy, list(exprs))
+    report = acct.report() | {"epsilon_composed": acct.epsilon * len(present)}
+    return noisy, report, compare_means(df, noisy, present)

@@ -26,14 +26,14 @@ def measured_bytes(df: DataFrame) -> int:
     return int(df.agg(F.sum(size)).first()[0] or 0)
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join ``big`` with ``small``, which is computed once (checkpointed) and measured.
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, written: bool = False) -> DataFrame:
+    """Join ``big`` with ``small``, which is computed once (checkpointed, unless ``written`` already) and measured.
 
     Broadcast when its bytes fit the budget; otherwise a shuffle join, where
     AQE splits a skewed key's partition of ``big`` across tasks.
     """
     ensure_checkpoint_dir(big.sparkSession)
-    small = small.checkpoint()
+    small = small if written else small.checkpoint()
     side = F.broadcast(small) if measured_bytes(small) <= BROADCAST_BYTES_LIMIT else small
     joined = big.join(side, on=on, how=how)
     if how in ("left_semi", "left_anti", "semi", "anti"):

@@ -11,12 +11,14 @@ across a quiet gap of at least 15 minutes (any lock has expired by then). So:
    least 15 minutes apart. The cuts are found on per-(user, 15-minute bucket)
    summaries (min/max time), whose number is bounded by the time span, not
    by the number of attempts; a window over those summaries numbers sessions.
-2. *Per session* (``applyInPandas`` keyed by user and a block of consecutive
-   sessions cut at ~200k attempts): each session is replayed once for each
-   possible start count 0..4, giving its end count and lock events for each.
-3. *Per user*: a fold over the session summaries (five small rows per
-   session) picks the actual start count of every session.
-4. The lock events of the chosen start counts are kept (a join).
+2. *Per session*: its attempts, sorted in one array, are folded by the rule once
+   for each possible start count 0..4 (``aggregate`` with a state of count, lock
+   end and rejected attempts). A session becomes a map from start count to end
+   count and locks.
+3. *Per user*: the maps are composed in order from count 0, which gathers the
+   locks of the path taken.
+
+All of it is Spark expressions; no Python runs on this path.
 
 A user with a session above ``MAX_SESSION_ROWS`` attempts (never quiet for
 15 minutes) is replayed by ``_lockout_by_jumping`` instead: joins and pointer
@@ -25,9 +27,8 @@ doubling over the attempts, with no group per user at all.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -38,39 +39,12 @@ MAX_FAILED_ATTEMPTS = 5
 LOCKOUT_MINUTES = 15
 
 _GAP_US = LOCKOUT_MINUTES * 60 * 1_000_000
-BLOCK_ROWS = 200_000        # attempts per pandas group (plus at most one session)
 MAX_SESSION_ROWS = 200_000  # larger sessions go to the join-based replay
 ROWS_PER_PARTITION = 2_000_000  # attempts per range-sorted partition in the join-based replay
+_LAST_SEQ = 2 ** 63 - 1     # attempts of one time without a sequence number come last
 
-SESSION_OUT = ("user string, session bigint, start_count int, kind string, end_count int, "
-               "locked_at timestamp, locked_until timestamp, rejected bigint")
-LOCK_OUT = "user string, locked_at timestamp, locked_until timestamp, rejected_while_locked bigint"
-
-
-def _replay(ts: list, ok: list, start_count: int, lock=None):
-    """Replay one session from a start count; returns (end_count, locks).
-
-    ``ts`` may be timestamps (``lock`` defaults to the lockout duration) or
-    int64 nanoseconds with ``lock`` given in nanoseconds.
-    """
-    lock = pd.Timedelta(minutes=LOCKOUT_MINUTES) if lock is None else lock
-    count, until = start_count, None
-    locks = []  # [locked_at, locked_until, rejected]
-    for t, good in zip(ts, ok):
-        if until is not None:
-            if t < until:
-                locks[-1][2] += 1
-                continue
-            count, until = 0, None
-        if good:
-            count = 0
-        else:
-            count += 1
-            if count >= MAX_FAILED_ATTEMPTS:
-                until = t + lock
-                locks.append([t, until, 0])
-    end = 0 if until is not None else count
-    return end, locks
+_LOCKS = "array<struct<locked_until: bigint, rejected: bigint>>"
+_STATE = f"struct<count: int, until: bigint, rejected: bigint, locks: {_LOCKS}>"
 
 
 def _micros(c, ts_type: str):
@@ -81,49 +55,57 @@ def _micros(c, ts_type: str):
     return F.unix_micros(col)
 
 
-def _session_replays(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Replay every session of the group once per possible start count."""
-    pdf = pdf.sort_values(["session", "ts", "seq"], kind="mergesort")
-    user = pdf["user"].iloc[0]
-    sess = pdf["session"].to_numpy()
-    ts_ns = pdf["ts"].to_numpy(dtype="datetime64[ns]").astype("int64").tolist()
-    ok = pdf["ok"].to_numpy().tolist()
-    cuts = [0, *(np.flatnonzero(sess[1:] != sess[:-1]) + 1).tolist(), len(sess)]
-    lock_ns = LOCKOUT_MINUTES * 60 * 1_000_000_000
-    cols = {k: [] for k in ("session", "start_count", "kind", "end_count", "locked_at", "locked_until", "rejected")}
-
-    def add(s, start, kind, end, at, until, rej):
-        for k, v in zip(cols, (s, start, kind, end, at, until, rej)):
-            cols[k].append(v)
-
-    for a, b in zip(cuts, cuts[1:]):
-        s, t, g = int(sess[a]), ts_ns[a:b], ok[a:b]
-        for start in range(MAX_FAILED_ATTEMPTS):
-            end, locks = _replay(t, g, start, lock_ns)
-            add(s, start, "summary", end, None, None, None)
-            for at, until, rej in locks:
-                add(s, start, "lock", None, at, until, rej)
-    # nullable integer arrays straight from the lists: a float detour would
-    # round nanosecond timestamps
-    return pd.DataFrame({
-        "user": [user] * len(cols["session"]),
-        "session": pd.array(cols["session"], dtype="Int64"),
-        "start_count": pd.array(cols["start_count"], dtype="Int32"),
-        "kind": cols["kind"],
-        "end_count": pd.array(cols["end_count"], dtype="Int32"),
-        "locked_at": pd.to_datetime(pd.array(cols["locked_at"], dtype="Int64"), unit="ns"),
-        "locked_until": pd.to_datetime(pd.array(cols["locked_until"], dtype="Int64"), unit="ns"),
-        "rejected": pd.array(cols["rejected"], dtype="Int64"),
-    })
-
-
-def _fold_user(pdf: pd.DataFrame) -> pd.DataFrame:
-    ends = {(int(s), int(c)): int(e) for s, c, e in zip(pdf["session"], pdf["start_count"], pdf["end_count"])}
-    state, out = 0, []
-    for s in sorted({int(s) for s in pdf["session"]}):
-        out.append((pdf["user"].iloc[0], s, state))
-        state = ends[(s, state)]
-    return pd.DataFrame(out, columns=["user", "session", "start_count"])
+def _from_micros(c: Column, ts_type: str) -> Column:
+    """The inverse of ``_micros``."""
+    if ts_type == "timestamp_ntz":
+        return F.timestamp_add("MICROSECOND", c, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.timestamp_micros(c)
+
+
+def _ended_lock(state: Column) -> Column:
+    """The locks so far and the one that is held, which has ended."""
+    return F.concat(state["locks"], F.array(F.struct(state["until"].alias("locked_until"), state["rejected"].alias("rejected"))))
+
+
+def _state(count: Column, until: Column, rejected: Column, locks: Column) -> Column:
+    return F.struct(count.cast("int").alias("count"), until.cast("bigint").alias("until"),
+                    rejected.cast("bigint").alias("rejected"), locks.cast(_LOCKS).alias("locks"))
+
+
+def _attempt(state: Column, x: Column) -> Column:
+    """The state after one attempt (``us``, ``seq``, ``ok``); while a lock is held its count is 0."""
+    locked = state["until"].isNotNull()
+    rejected = locked & (x["us"] < state["until"])
+    failures = F.when(x["ok"], F.lit(0)).otherwise(state["count"] + 1)
+    lock = failures >= MAX_FAILED_ATTEMPTS
+    counted = _state(F.when(lock, F.lit(0)).otherwise(failures), F.when(lock, x["us"] + F.lit(_GAP_US)), F.lit(0),
+                     F.when(locked, _ended_lock(state)).otherwise(state["locks"]))
+    return F.when(rejected, _state(state["count"], state["until"], state["rejected"] + 1, state["locks"])).otherwise(counted)
+
+
+def replayed(attempts: Column) -> Column:
+    """A session's map: for each start count, ``end`` and ``locks`` (lock ends in microseconds, rejected attempts).
+
+    ``attempts`` is the sorted array of the session; a lock still held at its end has run out before the next session.
+    """
+    def fold(start: Column) -> Column:
+        begin = _state(start, F.lit(None), F.lit(0), F.array())
+        return F.aggregate(attempts, begin, _attempt, lambda s: F.struct(
+            s["count"].alias("end"), F.when(s["until"].isNotNull(), _ended_lock(s)).otherwise(s["locks"]).alias("locks")))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(MAX_FAILED_ATTEMPTS - 1)), fold)
+
+
+def composed(sessions: Column) -> Column:
+    """The locks of a user whose sessions' maps (``replays``) are run through in order from count 0."""
+    begin = F.struct(F.lit(0).alias("count"), F.array().cast(_LOCKS).alias("locks"))
+
+    def step(state: Column, session: Column) -> Column:
+        taken = F.get(session["replays"], state["count"])
+        locks = F.when(F.size(taken["locks"]) == 0, state["locks"]).otherwise(F.concat(state["locks"], taken["locks"]))
+        return F.struct(taken["end"].alias("count"), locks.alias("locks"))
+
+    return F.aggregate(sessions, begin, step, lambda s: s["locks"])
 
 
 def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq: str = "seq",
@@ -131,18 +113,18 @@ def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
     """Lock events ``(user, locked_at, locked_until, rejected_while_locked)``.
 
     Users whose sessions all have at most ``max_session_rows`` attempts are
-    replayed per session (groups of at most ``BLOCK_ROWS`` attempts plus one
-    session); users with a larger session go through ``_lockout_by_jumping``,
-    which never puts one user's attempts in one task. Both give the same
-    events: before any routing, attempts without a user or a time are left out
-    and an attempt whose outcome is NULL counts as failed.
+    replayed session by session; users with a larger session go through
+    ``_lockout_by_jumping``, which never puts one user's attempts in one task.
+    Both give the same events: before any routing, attempts without a user or a
+    time are left out, an attempt whose outcome is NULL counts as failed, and of
+    one user's attempts of one time those without a sequence number come last.
     """
     ensure_checkpoint_dir(attempts.sparkSession)
     ts_type = attempts.schema[ts].dataType.simpleString()  # wall-clock (ntz) input stays wall-clock
     if ts_type not in ("timestamp", "timestamp_ntz"):
         ts_type = "timestamp"
     a = attempts.select(F.col(user).cast("string").alias("user"), F.col(ts).cast(ts_type).alias("ts"),
-                        F.col(seq).cast("bigint").alias("seq"),
+                        F.coalesce(F.col(seq).cast("bigint"), F.lit(_LAST_SEQ)).alias("seq"),
                         F.coalesce(F.col(ok).cast("boolean"), F.lit(False)).alias("ok"))
     a = a.where(F.col("user").isNotNull() & F.col("ts").isNotNull())
     a = a.withColumn("bucket", F.floor(_micros("ts", ts_type) / F.lit(_GAP_US)).cast("bigint"))
@@ -153,37 +135,28 @@ def lockout_replay(attempts: DataFrame, user: str = "user", ts: str = "ts", seq:
     prev_last = F.lag("last_ts").over(w)
     gap = _micros("first_ts", ts_type) - _micros(prev_last, ts_type)
     new_session = F.when(prev_last.isNull() | (gap >= F.lit(_GAP_US)), F.lit(1)).otherwise(F.lit(0))
-    rows_before = F.sum("n").over(upto) - F.col("n")
-    sessions = buckets.withColumn("_new", new_session).withColumn("_before", rows_before).select(
-        "user", "bucket", "n",
-        F.sum("_new").over(upto).cast("bigint").alias("session"),
-        # attempts before this bucket's session: groups are cut by volume, never inside a session
-        F.max(F.when(F.col("_new") == 1, F.col("_before"))).over(upto).alias("session_start_rows"),
-    ).checkpoint()
+    sessions = buckets.withColumn("_new", new_session).select(
+        "user", "bucket", "n", F.sum("_new").over(upto).cast("bigint").alias("session")).checkpoint()
     big = sessions.groupBy("user", "session").agg(F.sum("n").alias("rows")).where(
-        F.col("rows") > F.lit(max_session_rows)).select("user").distinct()
-    big = big.checkpoint()
-    n_big = big.count()
-    out_parts = []
-    if n_big:
+        F.col("rows") > F.lit(max_session_rows)).select("user").distinct().checkpoint()
+    hot = None
+    if not big.isEmpty():
         # routed rows, summed from the bucket summaries (no extra scan), size the range sort
-        n_rows = sized_join(sessions, big, ["user"], "left_semi").agg(F.sum("n")).first()[0] or 0
-        out_parts.append(_lockout_by_jumping(sized_join(a.drop("bucket"), big, ["user"], "left_semi"),
-                                             int(n_rows)))
-        a = sized_join(a, big, ["user"], "left_anti")  # hot users never reach the joins below
-    tagged = sized_join(a, sessions.select("user", "bucket", "session", "session_start_rows"),
-                        ["user", "bucket"], "inner")
-    tagged = tagged.withColumn("block", F.floor(F.col("session_start_rows") / F.lit(BLOCK_ROWS)).cast("bigint"))
-    replays = tagged.groupBy("user", "block").applyInPandas(
-        _session_replays, SESSION_OUT.replace("timestamp", ts_type)).checkpoint()
-    summaries = replays.where(F.col("kind") == "summary").select("user", "session", "start_count", "end_count")
-    chosen = summaries.groupBy("user").applyInPandas(_fold_user, "user string, session bigint, start_count int")
-    locks = sized_join(replays.where(F.col("kind") == "lock"), chosen, ["user", "session", "start_count"],
-                       "left_semi")
-    out = locks.select("user", "locked_at", "locked_until", F.col("rejected").alias("rejected_while_locked"))
-    for p in out_parts:
-        out = out.unionByName(p)
-    return out
+        n_rows = sized_join(sessions, big, ["user"], "left_semi", written=True).agg(F.sum("n")).first()[0] or 0
+        hot = _lockout_by_jumping(sized_join(a.drop("bucket"), big, ["user"], "left_semi", written=True), int(n_rows))
+        a = sized_join(a, big, ["user"], "left_anti", written=True)  # hot users never reach the joins below
+    tagged = sized_join(a, sessions, ["user", "bucket"], "inner", written=True)
+    attempt = F.struct(_micros("ts", ts_type).alias("us"), "seq", "ok")
+    # an array holds one session, of at most max_session_rows attempts
+    replays = tagged.groupBy("user", "session").agg(F.sort_array(F.collect_list(attempt)).alias("attempts")).select(
+        "user", F.struct("session", replayed(F.col("attempts")).alias("replays")).alias("session"))
+    # an array holds the maps of one user's sessions, as many as quiet quarters of an hour lie between them
+    locks = replays.groupBy("user").agg(composed(F.sort_array(F.collect_list("session"))).alias("locks"))
+    out = locks.select("user", F.explode("locks").alias("lock")).select(
+        "user", _from_micros(F.col("lock.locked_until") - F.lit(_GAP_US), ts_type).alias("locked_at"),
+        _from_micros(F.col("lock.locked_until"), ts_type).alias("locked_until"),
+        F.col("lock.rejected").alias("rejected_while_locked"))
+    return out if hot is None else out.unionByName(hot)
 
 
 def _lockout_by_jumping(a: DataFrame, n_rows: int = 0) -> DataFrame:

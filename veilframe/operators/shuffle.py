@@ -93,10 +93,12 @@ def shuffle_columns(df: DataFrame, columns: list[str], seed: int | None = None,
     def record(place, identity, values) -> Column:
         return F.struct(place.alias("place"), identity.alias("home"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
 
-    records = [record(F.col("_idx"), key, nothing)]
     for i, c in enumerate(columns):
+        indexed = Permutation(n, seed, c).place(indexed, "_idx", f"_p{i}")
+    records = [record(F.col("_idx"), key, nothing)]
+    for i in range(len(columns)):
         values = [F.col(f"_v{j}") if j == i else x for j, x in enumerate(nothing)]
-        records.append(record(Permutation(n, seed, c).column(F.col("_idx")), F.lit(None).cast(indexed.select(key.alias("k")).schema["k"].dataType), values))
+        records.append(record(F.col(f"_p{i}"), F.lit(None).cast(indexed.select(key.alias("k")).schema["k"].dataType), values))
     placed = indexed.select(F.explode(F.array(*records)).alias("r")).select("r.*").groupBy("place").agg(
         F.first("home", ignorenulls=True).alias("home"),
         *[F.first(f"v{i}", ignorenulls=True).alias(f"v{i}") for i in range(len(columns))])

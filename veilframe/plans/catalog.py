@@ -290,21 +290,44 @@ def q_dp_columns(spark, sf):
     return out.withColumns({c: _r4(c) for c in ("l_quantity", "l_extendedprice", "l_discount")})
 
 
-def _ledger_inputs(spark, sf):
-    """Charges of a per-group noisy-count release: one charge of 0.1 per group released."""
-    o = _t(spark, sf, "orders")
-    charges = o.select("o_orderpriority").distinct().select(
-        F.lit("orders").alias("dataset"), F.col("o_orderpriority").alias("column"),
-        F.lit("noisy_count").alias("mechanism"), F.lit(0.1).alias("epsilon"), F.lit(1e-5).alias("delta"))
-    budgets = spark.createDataFrame([("orders", 1.0)], "dataset string, epsilon double")
-    return charges, budgets
+def _ledger_of_releases(spark, sf):
+    """A ledger that three runs on orders and one on lineitem share; the third on orders is refused."""
+    from ..operators.ledger import BudgetExhausted, SharedLedger
+    from ..streaming.jobs import shared_path
+    path = shared_path(spark, "privacy_ledger")
+    orders, refused = _t(spark, sf, "orders"), 0
+    for column in ("o_orderpriority", "o_orderstatus", "o_custkey"):
+        acct = dp.PrivacyAccountant(1.0, 1e-5, "orders", shared=SharedLedger(spark, path, 2.0))
+        try:
+            dp.noisy_count(orders, [column], acct, seed=SEED)
+        except BudgetExhausted:
+            refused += 1
+    acct = dp.PrivacyAccountant(1.0, 1e-5, "lineitem", shared=SharedLedger(spark, path, 2.0))
+    dp.dp_columns(_t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "missing"], acct,
+                  seed=SEED, keys=LINE_KEY)
+    return path, refused
 
 
 def q_budget_ledger(spark, sf):
-    charges, budgets = _ledger_inputs(spark, sf)
-    out = dp.budget_ledger(charges, budgets)
+    """DP8 over the charges that releases of several runs made, and how many were refused."""
+    from ..operators.ledger import read_charges
+    path, refused = _ledger_of_releases(spark, sf)
+    budgets = spark.createDataFrame([("orders", 2.0), ("lineitem", 2.0), ("part", 1.0)], "dataset string, epsilon double")
+    out = dp.budget_ledger(read_charges(spark, path), budgets)
     return out.withColumn("privacy_budget_used", _r9("privacy_budget_used")).withColumn(
-        "privacy_budget_remaining", _r9("privacy_budget_remaining"))
+        "privacy_budget_remaining", _r9("privacy_budget_remaining")).withColumn(
+        "refused", F.when(F.col("dataset") == "orders", F.lit(refused)).otherwise(0).cast("bigint"))
+
+
+def q_dp_ambiguous_keys(spark, sf):
+    """Rows whose key columns read alike when joined by a separator, and NULL beside the empty text, each with its own noise."""
+    rows = spark.createDataFrame(_AMBIGUOUS, "a string, b string")
+    both = rows.crossJoin(F.broadcast(_t(spark, sf, "region").select("r_regionkey")))  # ten inline rows, five regions
+    return both.select("a", "b", "r_regionkey",
+                       _r4(add_laplace(F.lit(0.0), 1.0, 1.0, SEED, row_key(["a", "b", "r_regionkey"]), "x")).alias("noise"))
+
+
+_AMBIGUOUS = [("a|b", "c"), ("a", "b|c"), (None, ""), ("", None), ("", ""), (None, None), ("1:a", "b"), ("1", ":ab"), ("-", "-"), ("2:-", "")]
 
 
 def q_dp_adaptive(spark, sf):
@@ -752,6 +775,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "randomized_response": q_randomized_response,
     "dp_columns": q_dp_columns,
     "budget_ledger": q_budget_ledger,
+    "dp_ambiguous_keys": q_dp_ambiguous_keys,
     "dp_adaptive": q_dp_adaptive,
     "dp_dataset_report": q_dp_dataset_report,
     "metric_k_anonymity": q_metric_k_anonymity,
@@ -1075,38 +1099,52 @@ size AS (SELECT src, n, a, (n + a - 1) // a AS b FROM root),
 SELECT i.c_custkey, {', '.join(f'i_{c}.{c}' for c in columns)} FROM i {joins}"""
 
 
+def _lane_sql(key: str, name: str, lane: int) -> str:
+    """40 bits of SHA-256 of 'seed|length:name|+key' ('-' for a NULL key): three draws in each 30 hex digits."""
+    digest = f"sha256('{SEED}|{len(name)}:{name}|' || coalesce('+' || ({key}), '-'))"
+    pair, place = divmod(lane, 3)
+    first, second = (f"('0x' || substr({digest}, {1 + 15 * (2 * pair + i)}, 15))::BIGINT" for i in (0, 1))
+    return (f"({first} >> 20)", f"((({first} & 1048575) << 20) | ({second} >> 40))", f"({second} & 1099511627775)")[place]
+
+
+def _named_sql(*parts: str) -> str:
+    return "".join(f"{len(p)}:{p}" for p in parts)
+
+
+def _key_sql(*columns: str) -> str:
+    """Each column as length and text, NULL as a dash."""
+    text = [f"CAST({c} AS VARCHAR)" for c in columns]
+    return "(" + " || ".join(f"coalesce(length({t}) || ':' || {t}, '-')" for t in text) + ")"
+
+
 def _substitute_consistent_sql() -> str:
-    """Consistent fake names: word lists indexed by SHA-256 of 'value|seed|draw'."""
+    """Consistent fake names: word lists indexed by draws from the value."""
     from ..functions.substitute import FIRST_NAMES, LAST_NAMES
     def pick(words, draw):
         lst = "[" + ", ".join(O.q(w) for w in words) + "]"
-        bits = f"('0x' || substr(sha256(CAST(o_custkey AS VARCHAR) || '|{SEED}|{draw}'), 1, 15))::BIGINT"
-        return f"{lst}[{bits} % {len(words)} + 1]"
+        return f"{lst}[{_lane_sql('CAST(o_custkey AS VARCHAR)', '0', draw)} % {len(words)} + 1]"
     return (f"SELECT o_orderkey, CASE WHEN o_custkey IS NULL THEN NULL ELSE "
-            f"{pick(FIRST_NAMES, 1)} || ' ' || {pick(LAST_NAMES, 2)} END AS customer_alias FROM orders")
+            f"{pick(FIRST_NAMES, 0)} || ' ' || {pick(LAST_NAMES, 1)} END AS customer_alias FROM orders")
 
 
-def _u_sql(key: str, name: str) -> str:
-    """A uniform draw: 52 bits of SHA-256 of 'key|seed|name'."""
-    bits = f"('0x' || substr(sha256({key} || '|{SEED}|{name}'), 1, 13))::BIGINT"
-    return f"((({bits})::DOUBLE + 0.5) / 4503599627370496.0)"
+def _u_sql(key: str, name: str, lane: int = 0) -> str:
+    return f"(({_lane_sql(key, name, lane)}::DOUBLE + 0.5) / 1099511627776.0)"
 
 
-def _laplace_sql(key: str, name: str, scale: str) -> str:
-    u = f"({_u_sql(key, name)} - 0.5)"
+def _laplace_sql(key: str, name: str, scale: str, lane: int = 0) -> str:
+    u = f"({_u_sql(key, name, lane)} - 0.5)"
     return f"(sign({u}) * ln(1.0 - 2.0 * abs({u})) * -({scale}))"
 
 
-_LINE_KEY_SQL = "(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR))"
+_LINE_KEY_SQL = _key_sql("l_orderkey", "l_linenumber")
 
 
 def _substitute_values_sql() -> str:
-    """Every fake value type, drawn by SHA-256 of 'custkey|seed|type|draw'."""
+    """Every fake value type, drawn from the customer's key and the type, six draws to a digest."""
     from ..functions import substitute as s
 
     def d(t, i, n):
-        bits = f"('0x' || substr(sha256(CAST(c_custkey AS VARCHAR) || '|{SEED}|{t}|{i}'), 1, 15))::BIGINT"
-        return f"(({bits}) % {n})"
+        return f"({_lane_sql(_key_sql('c_custkey'), f'{t}|{(i - 1) // 6}', (i - 1) % 6)} % {n})"
 
     def pick(t, i, words):
         return f"[{', '.join(O.q(w) for w in words)}][{d(t, i, len(words))} + 1]"
@@ -1149,25 +1187,29 @@ def _substitute_values_sql() -> str:
 def _noise_sql() -> dict[str, str]:
     """The noisy queries: inverse-CDF Laplace and Box-Muller noise from keyed draws, epsilon 1."""
     key, price = _LINE_KEY_SQL, "l_extendedprice"
-    normal = (f"(sqrt(-2.0 * ln({_u_sql(key, price + '1')})) * cos(2.0 * pi() * {_u_sql(key, price + '2')}) * "
+    normal = (f"(sqrt(-2.0 * ln({_u_sql(key, price)})) * cos(2.0 * pi() * {_u_sql(key, price, 1)}) * "
               "sqrt(2.0 * ln(1.25 / 0.00001)))")
     flag = "l_returnflag"
     clamped = f"greatest(0.0, least(0.1, l_discount + {_laplace_sql(key, 'l_discount', '0.1 / (SELECT count(l_discount) FROM lineitem)')}))"
     noisy = {c: f"({c} + {_laplace_sql(key, c, '1.0')})" for c in ("l_quantity", price)}
-    group = "(coalesce(o_orderstatus, '') || '|' || coalesce(o_orderpriority, ''))"
+    group, returned = _key_sql("o_orderstatus", "o_orderpriority"), _key_sql(flag)
+    columns = _named_sql("columns", "l_quantity", price, "l_discount")
+    report = _named_sql("columns", "l_quantity", price)
     return {
         "laplace_transform": f"SELECT l_orderkey, l_linenumber, round({price} + {_laplace_sql(key, 'laplace', '1.0')}, 4) AS price_noisy FROM lineitem",
         "dp_laplace": f"SELECT l_orderkey, l_linenumber, round({noisy[price]}, 4) AS {price} FROM lineitem",
         "dp_gaussian": f"SELECT l_orderkey, l_linenumber, round({price} + {normal}, 4) AS {price} FROM lineitem",
         "dp_noisy_count": f"SELECT o_orderstatus, o_orderpriority, greatest(0, CAST(round_even(count(*) + {_laplace_sql(group, 'noisy_count', '1.0')}, 0) AS BIGINT)) AS noisy_count FROM orders GROUP BY o_orderstatus, o_orderpriority",
-        "dp_noisy_sum": f"SELECT {flag}, round(sum({price}) + max(abs({price})) * {_laplace_sql(flag, 'noisy_sum', '1.0')}, 2) AS noisy_sum, true AS data_dependent_sensitivity FROM lineitem GROUP BY {flag}",
-        "dp_noisy_mean": f"SELECT {flag}, round(avg(l_quantity) + (max(l_quantity) - min(l_quantity)) / count(l_quantity) * {_laplace_sql(flag, 'noisy_mean', '1.0')}, 4) AS noisy_mean, true AS data_dependent_sensitivity FROM lineitem GROUP BY {flag}",
-        "randomized_response": f"SELECT doc_id, CASE WHEN {_u_sql('CAST(doc_id AS VARCHAR)', 'response')} < exp(1.0) / (1.0 + exp(1.0)) THEN toxic = 1 ELSE NOT (toxic = 1) END AS toxic_reported FROM labels",
-        "dp_columns": f"SELECT * REPLACE (round({noisy['l_quantity']}, 4) + 0.0 AS l_quantity, round({price} + {_laplace_sql(key, price, '100.0')}, 4) AS {price}, round(l_discount + {_laplace_sql(key, 'l_discount', '1.0')}, 4) + 0.0 AS l_discount) FROM lineitem",
+        "dp_noisy_sum": f"SELECT {flag}, round(sum({price}) + max(abs({price})) * {_laplace_sql(returned, _named_sql('noisy_sum', price), '1.0')}, 2) AS noisy_sum, true AS data_dependent_sensitivity FROM lineitem GROUP BY {flag}",
+        "dp_noisy_mean": f"SELECT {flag}, round(avg(l_quantity) + (max(l_quantity) - min(l_quantity)) / count(l_quantity) * {_laplace_sql(returned, _named_sql('noisy_mean', 'l_quantity'), '1.0')}, 4) AS noisy_mean, true AS data_dependent_sensitivity FROM lineitem GROUP BY {flag}",
+        "randomized_response": f"SELECT doc_id, CASE WHEN {_u_sql(_key_sql('doc_id'), 'response')} < exp(1.0) / (1.0 + exp(1.0)) THEN toxic = 1 ELSE NOT (toxic = 1) END AS toxic_reported FROM labels",
+        "dp_columns": f"SELECT * REPLACE (round(l_quantity + {_laplace_sql(key, columns, '1.0')}, 4) + 0.0 AS l_quantity, round({price} + {_laplace_sql(key, columns, '100.0', 1)}, 4) AS {price}, round(l_discount + {_laplace_sql(key, columns, '1.0', 2)}, 4) + 0.0 AS l_discount) FROM lineitem",
+        "dp_ambiguous_keys": "SELECT a, b, r_regionkey, round(" + _laplace_sql(_key_sql("a", "b", "r_regionkey"), "x", "1.0") + ", 4) + 0.0 AS noise FROM (VALUES "
+                             + ", ".join(f"({', '.join('NULL' if x is None else O.q(x) for x in r)})" for r in _AMBIGUOUS) + ") v(a, b), region",
         "dp_adaptive": f"SELECT l_orderkey, l_linenumber, round({clamped}, 12) AS l_discount FROM lineitem",
         "dp_dataset_report": " UNION ALL ".join(
             f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS original_mean, round(avg({x}), 6) AS noisy_mean, round(abs(avg({c}) - avg({x})), 6) AS absolute_error FROM lineitem"
-            for c, x in noisy.items()),
+            for c, x in ((c, f"({c} + {_laplace_sql(key, report, '1.0', i)})") for i, c in enumerate(("l_quantity", price)))),
     }
 
 
@@ -1240,11 +1282,9 @@ ORACLE_SQL: dict[str, str] = {
                CAST(coalesce(mn, 0) AS BIGINT) AS min_group_size, CAST({L} AS BIGINT) AS l,
                CASE WHEN nc = 0 THEN true ELSE md >= {L} END AS l_satisfies,
                CAST(coalesce(md, 0) AS BIGINT) AS min_diversity FROM o, a, s""",
-    "budget_ledger": """SELECT 'orders' AS dataset, 1.0::DOUBLE AS epsilon,
-        round(0.1 * count(DISTINCT o_orderpriority), 9) AS privacy_budget_used,
-        round(greatest(0.0, 1.0 - 0.1 * count(DISTINCT o_orderpriority)), 9) AS privacy_budget_remaining,
-        0.1 * count(DISTINCT o_orderpriority) >= 1.0 AS budget_exhausted,
-        count(DISTINCT o_orderpriority) AS charges FROM orders""",
+    "budget_ledger": """SELECT dataset, epsilon, used AS privacy_budget_used, epsilon - used AS privacy_budget_remaining,
+  used >= epsilon AS budget_exhausted, CAST(charges AS BIGINT) AS charges, CAST(refused AS BIGINT) AS refused
+FROM (VALUES ('orders', 2.0::DOUBLE, 2.0::DOUBLE, 2, 1), ('lineitem', 2.0, 0.75, 3, 0), ('part', 1.0, 0.0, 0, 0)) v(dataset, epsilon, used, charges, refused)""",
     "metric_k_anonymity": f"""SELECT CAST(coalesce(min(n), 0) AS BIGINT) AS k_value,
         coalesce(min(n), 0) >= {K} AS satisfies_k_anonymity, CAST(coalesce(min(n), 0) AS BIGINT) AS min_group_size,
         CAST(coalesce(max(n), 0) AS BIGINT) AS max_group_size, round(coalesce(avg(n), 0.0), 9) AS avg_group_size,

@@ -180,9 +180,9 @@ def normalize(raw: dict, hmac_key: bytes | str | None = None) -> Profile:
         dp_cols, eps, delta = [], raw.get("epsilon", 1.0), raw.get("delta", 1e-5)
     eps, delta = _float(eps, "epsilon"), _float(delta, "delta")
     if eps <= 0:
-        raise ProfileError("Epsilon must be positive")
+        raise ProfileError("epsilon has to be above 0")
     if delta < 0 or delta >= 1:
-        raise ProfileError("Delta must be in [0, 1)")
+        raise ProfileError("delta has to be at least 0 and below 1")
     null_qi = raw.get("null_qi", "suppress")
     if null_qi not in ("suppress", "keep"):
         raise ProfileError("null_qi must be 'suppress' or 'keep'")
