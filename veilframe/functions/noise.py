@@ -4,11 +4,12 @@ Laplace noise is the inverse distribution function of one uniform draw, Gaussian
 noise the Box-Muller transform of two. With a key (a row's or a group's) the
 draws are SHA-256 of (seed, name, key): the noise of a row is the same wherever
 and however often it is computed, so a noisy column never describes two
-datasets. Without a key they come from ``rand`` and depend on the partitioning.
+datasets. Without a key noise comes from ``rand`` and ``randn`` and depends on the partitioning.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import secrets
 import warnings
@@ -17,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .draws import keyed_uniform, with_key
+from .draws import keyed_uniform
 
 
 def fresh_seed() -> int:
@@ -25,12 +26,20 @@ def fresh_seed() -> int:
     return secrets.randbits(62)
 
 
+def _own_seed(seed: int, name: str, part: int = 0) -> int:
+    """A seed of its own for each unkeyed draw."""
+    return int.from_bytes(hashlib.sha256(f"{seed}|{name}|{part}".encode()).digest()[:7], "big")
+
+
 def laplace_sample(scale: float, seed: int, key: Column | None = None, name: str = "laplace",
                    lane: int = 0) -> Column:
     if scale < 0:
         raise ValueError("scale must be >= 0")
 
-    return with_key(key, seed, lambda k: laplace_of(keyed_uniform(k, seed, name, lane), scale))
+    if key is None:  # the difference of two exponential draws, each used once
+        one, two = (F.log(F.lit(1.0) - F.rand(_own_seed(seed, name, part))) for part in (0, 1))
+        return (one - two) * F.lit(float(scale))
+    return laplace_of(keyed_uniform(key, seed, name, lane), scale)
 
 
 def laplace_of(uniform: Column, scale: float) -> Column:
@@ -43,11 +52,10 @@ def gaussian_sample(sigma: float, seed: int, key: Column | None = None, name: st
     if sigma < 0:
         raise ValueError("sigma must be >= 0")
 
-    def draw(k: Column) -> Column:
-        radius = F.sqrt(F.lit(-2.0) * F.log(keyed_uniform(k, seed, name)))
-        return radius * F.cos(F.lit(2 * math.pi) * keyed_uniform(k, seed, name, 1)) * F.lit(float(sigma))
-
-    return with_key(key, seed, draw)
+    if key is None:
+        return F.randn(_own_seed(seed, name)) * F.lit(float(sigma))
+    radius = F.sqrt(F.lit(-2.0) * F.log(keyed_uniform(key, seed, name)))
+    return radius * F.cos(F.lit(2 * math.pi) * keyed_uniform(key, seed, name, 1)) * F.lit(float(sigma))
 
 
 def add_laplace(c, epsilon: float = 1.0, sensitivity: float = 1.0, seed: int | None = None,
@@ -89,5 +97,5 @@ def randomized_response(c, epsilon: float = 1.0, p: float | None = None, seed: i
         raise ValueError("p must be in [0, 1]")
     b = (F.col(c) if isinstance(c, str) else c).cast("boolean")
     seed = fresh_seed() if seed is None else seed
-    keep = with_key(key, seed, lambda k: keyed_uniform(k, seed, name)) < F.lit(p)
+    keep = (F.rand(_own_seed(seed, name)) if key is None else keyed_uniform(key, seed, name)) < F.lit(p)
     return F.when(keep, b).otherwise(~b)

@@ -183,9 +183,9 @@ def _with_column_noise(df: DataFrame, columns: list[str], acct: PrivacyAccountan
     seed = fresh_seed() if seed is None else seed
     eps_col = acct.epsilon / len(columns) if split_budget and columns else acct.epsilon
     acct.charge_all([(acct.epsilon / len(columns), "laplace_column", c) for c in present])
-    if not keys:  # unkeyed draws need a seed of their own each
-        return df.withColumns({c: add_laplace(c, eps_col, sensitivity.get(c, 1.0), (seed + 104729 * (i + 1)) % (2 ** 62))
-                               for i, c in enumerate(present)}), present
+    if not keys:
+        return df.withColumns({c: add_laplace(c, eps_col, sensitivity.get(c, 1.0), seed, name=named(["columns", c]))
+                               for c in present}), present
     out, key = df, "__key"
     if present:  # a key column may be noisy itself
         out = out.withColumn(key, row_key(keys))
