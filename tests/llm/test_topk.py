@@ -11,7 +11,7 @@ SCHEMA = "vec_id long, embedding array<float>, score string, rank string"
 
 
 def quantise(v):
-    if v is None or not v or any(c is None or not math.isfinite(c) for c in v):
+    if v is None or any(c is None or not math.isfinite(c) for c in v):
         return None
     return [math.floor(64 * float(np.float32(c))) for c in v]
 
@@ -48,6 +48,16 @@ def test_edge_cases(spark):
     assert run(spark, []) == [] and run(spark, [(20, [1.0])]) == []
 
 
+def test_large_components_are_exact_or_named(spark):
+    """Sums near 2^63 and components near 2^31 and 2^62: exact while the score fits, else a message."""
+    rows = [(20, [3.3e7, 0.0]), (1, [3.3e7, 0.0]), (2, [-3.3e7, 0.0]), (3, [4.6e7, 0.0]), (40, [0.0, 7e16]), (4, [4.0, 0.0]), (5, [0.0, 0.015625])]
+    assert run(spark, rows) == brute(rows, 20, 20)
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        run(spark, [(20, [3e16]), (1, [3e16])])
+    with pytest.raises(Exception, match="too large"):
+        run(spark, [(20, [1e30]), (1, [1.0])])
+
+
 def test_blocks_of_queries_give_the_same(spark):
     rows = vectors(400, 32, 5)
     assert run(spark, rows, block=3) == brute(rows, 20, 20)

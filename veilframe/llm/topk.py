@@ -9,10 +9,13 @@ Bounds only ever drop what can't be in the result, so it is exact.
 
 Queries go to the tasks in blocks of bounded size, each block against all rows;
 a task returns k rows per query, and a ranking per query merges them. Components
-are scaled and floored to integers. Vectors that are null, empty or hold a null
-or non-finite component, and rows without an id, take no part; shorter vectors
-count as filled with zeros. Repeated rows each take part; a query is not matched
-with rows of its own id. Ties go to the smaller id. Scores must fit 64 bits.
+are scaled and floored to integers. Vectors that are null or hold a null or
+non-finite component, and rows without an id, take no part; shorter vectors
+(an empty one too) count as filled with zeros. Repeated rows each take part; a
+query is not matched with rows of its own id. Ties go to the smaller id. Scores
+are exact: where products may leave 64 bits, a chunk is scored in full in Python's
+integers. A component of 2^62 or more once scaled, or a score beyond 64 bits,
+stops the job with a message.
 """
 
 from __future__ import annotations
@@ -35,11 +38,12 @@ _FOUND = tx.struct_of(("query", T.LongType()), ("query_id", T.LongType()), ("vec
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
-    """floor(scale * component) of each component, null unless all are finite."""
+    """floor(scale * component) of each component, null unless all are finite; too large a number is an error."""
     doubles = F.transform(vector, lambda x: x.cast("double"))
-    limit = F.lit(2.0**62)
-    fine = F.forall(doubles, lambda x: F.coalesce(F.abs(x * scale) < limit, F.lit(False)))
-    return F.when(fine & (F.size(vector) > 0), F.transform(doubles, lambda x: F.floor(x * scale).cast("long")))
+    finite = F.forall(doubles, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    fits = F.forall(doubles, lambda x: F.abs(x * scale) < 2.0**62)
+    too_large = F.raise_error(F.lit("a vector component is too large for a 64-bit integer")).cast("array<bigint>")
+    return F.when(finite & fits, F.transform(doubles, lambda x: F.floor(x * scale).cast("long"))).when(finite, too_large)
 
 
 class Queries:
@@ -85,7 +89,10 @@ class Columns:
         """Candidates that can be among the best k, with their scores; ``least`` is the k-th best score known."""
         depth = min(len(query), len(self.columns))
         query = np.concatenate([query[:depth], np.zeros(len(self.columns) - depth, np.int64)])
-        doubles = self.high * int(np.abs(query).max(initial=0)) * max(1, len(query)) < 2**53
+        highest = self.high * int(np.abs(query).max(initial=0)) * max(1, len(query))
+        if highest >= 2**62:
+            return self._wide(query, own)
+        doubles = highest < 2**53
         q, data = (query.astype(np.float64), self.exact) if doubles else (query, self.columns)
         mass = np.array([np.sqrt((query[b].astype(np.float64) ** 2).sum()) for b in self.blocks])
         order = np.argsort(-mass)
@@ -114,6 +121,15 @@ class Columns:
         return ids[keep], score[keep].astype(np.int64)
 
 
+    def _wide(self, query: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """All candidates with their scores, in integers of any size."""
+        scores = query.astype(object) @ self.columns.astype(object)
+        keep = self.ids != own
+        if any(abs(s) >= 2**63 for s in scores[keep]):
+            raise ValueError("an inner product does not fit 64 bits")
+        return self.ids[keep], scores[keep].astype(np.int64)
+
+
 def _matrix(vectors: list[list[int]], width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width), np.int64)
     for i, v in enumerate(vectors):
