@@ -10,6 +10,7 @@ from veilframe.functions import checks
 from veilframe.functions.patterns import DANGEROUS_PATTERNS, SQL_INJECTION_PATTERNS, XSS_PATTERNS
 from veilframe.operators import scan
 
+# The attack strings that the scans have to flag.
 SQL_ATTACKS = [
     "admin' OR '1'='1",
     "admin'--",
