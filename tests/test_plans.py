@@ -5,12 +5,12 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from veilframe.plans import catalog
+from veilframe.plans import catalog, catalog_cases
 
 SF = "/root/testdata/sf0.001"
 ALLOWED_PARENTS = ("HashAggregate", "ObjectHashAggregate", "SortAggregate", "TakeOrderedAndProject",
                    "GlobalLimit", "CollectLimit")
-BATCH = [k for k in catalog.QUERIES if not k.startswith("stream_")]
+BATCH = [k for k in [*catalog.QUERIES, *catalog_cases.QUERIES] if not k.startswith("stream_")]
 
 
 def _tree(df):

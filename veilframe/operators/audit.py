@@ -9,6 +9,7 @@ type. ``events_as_audit`` maps the driver's ``events`` table onto that shape
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,36 @@ def search(log: DataFrame, event_type: str | None = None, user: str | None = Non
     return log.where(cond)
 
 
+def search_days(table: DataFrame, event_type: str | None = None, user: str | None = None,
+                start: _dt.datetime | str | None = None, end: _dt.datetime | str | None = None) -> DataFrame:
+    """G1 on a log laid out by ``day``: the same rows, from the folders of the asked days only."""
+    cond = F.lit(True)
+    if start is not None:
+        cond = cond & (F.col("day") >= F.to_date(F.lit(start).cast("timestamp")))
+    if end is not None:
+        cond = cond & (F.col("day") <= F.to_date(F.lit(end).cast("timestamp")))
+    return search(table.where(cond), event_type, user, start, end).drop("day")
+
+
+def tail_days(table: DataFrame, n: int = 100, order_cols: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """G2 on a log laid out by ``day``: reads the newest days only, twice as many until they hold n entries.
+
+    The days are read from the folder names of the table's files. Entries without a
+    time come last and are read only when all days hold fewer than n.
+    """
+    if n < 0:
+        raise ValueError("n must be >= 0")
+    folders = {m.group(1) for f in table.inputFiles() if (m := re.search(r"/day=(\d{4}-\d\d-\d\d)/", f))}
+    days = sorted(folders, reverse=True)
+    width = 1
+    while width < len(days):
+        newest = table.where(F.col("day") >= F.lit(days[width - 1]).cast("date"))
+        if newest.count() >= n:
+            return tail(newest, n, order_cols).drop("day")
+        width *= 2
+    return tail(table, n, order_cols).drop("day")
+
+
 def tail(log: DataFrame, n: int = 100, order_cols: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
     """The newest ``n`` entries (a top-k: per-partition heaps, then one merge of n rows each)."""
     if n < 0:

@@ -22,6 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.generalize import generalize_qi
 from ..session import ensure_checkpoint_dir
@@ -55,15 +56,44 @@ def class_table(df: DataFrame, qi: list[str], sensitive: str | None = None) -> D
     return df.where(qi_present(qi)).groupBy(*qi).agg(*aggs)
 
 
+def _class_id(df: DataFrame, qi: list[str]) -> Column:
+    """128 bits of SHA-256 over the QI values, each as length and text (64 bits would collide at 10^9 classes)."""
+    def text(c: str) -> Column:
+        col = F.col(c)
+        if isinstance(df.schema[c].dataType, (DoubleType, FloatType)):
+            col = col + F.lit(0.0)  # grouping takes -0.0 and 0.0 as one
+        return col.cast("string")
+
+    parts = [F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)) for c in qi]
+    return F.substring(F.sha2(F.concat(F.lit(""), *parts), 256), 1, 32)
+
+
 def class_summary(df: DataFrame, qi: list[str]) -> DataFrame:
     """Equivalence classes with a stable class id and size."""
-    ct = class_table(df, qi)
-    return ct.withColumn("class_id", F.xxhash64(*[F.col(c) for c in qi]))
+    return class_table(df, qi).withColumn("class_id", _class_id(df, qi))
 
 
 def with_class_id(df: DataFrame, qi: list[str], name: str = "class_id") -> DataFrame:
-    """A6 at row level: tag each row with its class id (a narrow projection)."""
-    return df.withColumn(name, F.when(qi_present(qi), F.xxhash64(*[F.col(c) for c in qi])))
+    """A6 at row level: tag each row with its class id (a narrow projection; NULL QIs have none)."""
+    return df.withColumn(name, F.when(qi_present(qi), _class_id(df, qi)))
+
+
+def diverse_classes(df: DataFrame, qi: list[str], sensitive: str, l: int) -> DataFrame:
+    """One row per class: ``qi..., enough`` - whether it holds at least l different sensitive values.
+
+    Each task keeps a theta sketch a class, which holds the smallest value hashes,
+    at least l of them, and is exact until it has seen more than it holds; beyond
+    that its estimate is at least what it holds. So ``estimate >= l`` decides "at
+    least l" for sure (up to equal 64-bit hashes within one class), and what is
+    shuffled is bounded by classes times l, however many values a class has.
+    """
+    _check_columns(df, qi + [sensitive])
+    lg = max(4, (l - 1).bit_length())
+    # NULLs are no value; the hash also covers types that the sketch doesn't take
+    value = F.when(F.col(sensitive).isNotNull(), F.xxhash64(F.col(sensitive)))
+    sketch = F.theta_sketch_agg(value, lg)
+    rows = df.where(qi_present(qi)).groupBy(*qi).agg(sketch.alias("sketch"))
+    return rows.select(*qi, (F.theta_sketch_estimate("sketch") >= F.lit(l)).alias("enough"))
 
 
 # --- A1 ---------------------------------------------------------------------
@@ -231,16 +261,19 @@ def enforce_l_diversity(df: DataFrame, qi: list[str], sensitive: str, l: int,
     """L2: keep only classes with at least l distinct sensitive values.
 
     Whole classes go, so k-anonymity of the input survives. Rows with a NULL
-    QI are in no class and are dropped, as in the reference.
+    QI are in no class and are dropped, as in the reference. ``classes`` may pass
+    a class table with diversities already computed for ``df``.
     """
     if l < 1:
         raise ValueError("l must be at least 1")
     ensure_checkpoint_dir(df.sparkSession)
-    ct = classes if classes is not None else class_table(df, qi, sensitive).checkpoint()
-    good = ct.where(F.col(DIVERSITY) >= F.lit(l)).select(*qi)
-    bad = ct.where(F.col(DIVERSITY) < F.lit(l)).select(*qi)
-    cnt = ct.agg(F.count_if(F.col(DIVERSITY) >= F.lit(l)).alias("good"),
-                 F.count_if(F.col(DIVERSITY) < F.lit(l)).alias("bad")).first()
+    if classes is not None:
+        ct = classes.select(*qi, (F.col(DIVERSITY) >= F.lit(l)).alias("enough"))
+    else:
+        ct = diverse_classes(df, qi, sensitive, l).checkpoint()
+    good = ct.where("enough").select(*qi)
+    bad = ct.where("NOT enough").select(*qi)
+    cnt = ct.agg(F.count_if("enough").alias("good"), F.count_if(~F.col("enough")).alias("bad")).first()
     n_good, n_bad = int(cnt["good"]), int(cnt["bad"])
     base = df.where(qi_present(qi))
     if n_bad == 0:

@@ -3,8 +3,8 @@
 All class-level metrics (k, l, distinctness, re-identification risk) are one
 aggregation over the class table, which itself is a partially aggregated
 group-by: no row-level window, so a huge class is just one counter.
-Entropy (M4) stacks the columns into ``(column, value)`` pairs so one shuffle
-serves every column, and uses ``H = log2(N) - sum(n*log2(n))/N`` so each
+Entropy (M4) stacks the columns into ``(position, value digest)`` pairs so one
+shuffle of 16 bytes a cell serves every column, and uses ``H = log2(N) - sum(n*log2(n))/N`` so each
 column needs a single aggregation pass (no per-column window of all values).
 """
 
@@ -86,10 +86,15 @@ def _value_text(df: DataFrame, c: str):
     return col.cast(StringType())
 
 
+def value_digest(value):
+    """A text's 128-bit digest: what crosses a shuffle of cells has one size, whatever the text's length."""
+    return F.unhex(F.md5(value))
+
+
 def stacked_values(df: DataFrame, columns: list[str], tag: str | None = None) -> DataFrame:
-    """``(column, value)`` rows for the named columns, nulls dropped."""
+    """``(pos, value)`` rows for the named columns by position, values as digests, nulls dropped."""
     pairs = F.array(*[
-        F.struct(F.lit(c).alias("column"), _value_text(df, c).alias("value")) for c in columns
+        F.struct(F.lit(i).alias("pos"), value_digest(_value_text(df, c)).alias("value")) for i, c in enumerate(columns)
     ])
     out = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
     return out.withColumn("frame", F.lit(tag)) if tag is not None else out
@@ -107,10 +112,13 @@ def column_entropy(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     """M4: ``(column, entropy)`` for every requested column (missing column -> 0.0)."""
     columns = list(df.columns) if columns is None else list(columns)
     present = [c for c in columns if c in df.columns]
-    counts = stacked_values(df, present).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ent = entropy_from_counts(counts, ["column"])
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return names.join(ent, "column", "left").select(
+    if not present:
+        return df.sparkSession.createDataFrame([(c, 0.0) for c in columns], "column string, entropy double")
+    counts = stacked_values(df, present).groupBy("pos", "value").agg(F.count(F.lit(1)).alias("n"))
+    ent = entropy_from_counts(counts, ["pos"])
+    place = {c: i for i, c in enumerate(present)}
+    names = df.sparkSession.createDataFrame([(c, place.get(c)) for c in columns], "column string, pos int")
+    return names.join(ent, "pos", "left").select(
         "column", F.coalesce(F.col("entropy"), F.lit(0.0)).alias("entropy"))
 
 

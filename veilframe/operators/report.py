@@ -46,16 +46,16 @@ def information_loss(original: DataFrame, anonymized: DataFrame, columns: list[s
     cols = common_columns(original, anonymized) if columns is None else [
         c for c in columns if c in original.columns and c in anonymized.columns]
     both = stacked_values(original, cols, "o").unionByName(stacked_values(anonymized, cols, "a"))
-    counts = both.groupBy("frame", "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ent = entropy_from_counts(counts, ["frame", "column"])
-    per = ent.groupBy("column").agg(
+    counts = both.groupBy("frame", "pos", "value").agg(F.count(F.lit(1)).alias("n"))
+    ent = entropy_from_counts(counts, ["frame", "pos"])
+    per = ent.groupBy("pos").agg(
         F.max(F.when(F.col("frame") == "o", F.col("entropy"))).alias("original_entropy"),
         F.max(F.when(F.col("frame") == "a", F.col("entropy"))).alias("anonymized_entropy"),
     )
     names = original.sparkSession.createDataFrame([(c, i) for i, c in enumerate(cols)], "column string, pos int")
     o = F.coalesce(F.col("original_entropy"), F.lit(0.0))
     a = F.coalesce(F.col("anonymized_entropy"), F.lit(0.0))
-    return names.join(per, "column", "left").select(
+    return names.join(per, "pos", "left").select(
         "column", "pos", o.alias("original_entropy"), a.alias("anonymized_entropy"),
         F.when(o > 0, (o - a) / o * 100.0).otherwise(F.lit(0.0)).alias("information_loss_pct"),
     )

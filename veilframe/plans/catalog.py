@@ -202,7 +202,7 @@ def q_k_anonymize_suppress(spark, sf):
 
 
 def q_equivalence_classes(spark, sf):
-    return classes.class_summary(_t(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"]).drop("class_id")
+    return classes.class_summary(_t(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"])
 
 
 # --- l-diversity --------------------------------------------------------------
@@ -1071,14 +1071,14 @@ SELECT l."user", l.locked_at, l.locked_until{tail}
 FROM locks l LEFT JOIN r ON r."user" = l."user" AND r.until = l.locked_until"""
 
 
-def _shuffle_sql() -> str:
-    """Two columns of customer, each moved by its Feistel network over places in key order, walked until inside."""
+def _shuffle_sql(columns: dict[str, str] = {"c_acctbal": "c_acctbal", "c_mktsegment": "c_mktsegment"}, seed: int = SEED) -> str:
+    """Columns of customer by the names they are shuffled under, each moved by its Feistel network over places in key order, walked until inside."""
     from ..functions.permute import PRIMES, Permutation
 
     def network(name: str, x: str, table: str) -> str:
         """SELECT src, one pass of x: each round is one more nested select."""
         out = f"SELECT src, n, a, b, {x} // b AS l, {x} % b AS r FROM {table}"
-        for i, (m1, c1, m2, c2) in enumerate(Permutation(0, SEED, name).constants()):
+        for i, (m1, c1, m2, c2) in enumerate(Permutation(0, seed, name).constants()):
             half, other = ("r", "l") if i % 2 == 0 else ("l", "r")
             moved = f"({other} + ((({half} * {m1} + {c1}) % {PRIMES[0]}) * {m2} + {c2}) % {PRIMES[1]}) % {'a' if other == 'l' else 'b'}"
             out = f"SELECT src, n, a, b, {moved if other == 'l' else 'l'} AS l, {moved if other == 'r' else 'r'} AS r FROM ({out})"
@@ -1089,19 +1089,18 @@ def _shuffle_sql() -> str:
   {network(name, 'src', 'size')} UNION ALL {network(name, 'x', f'(SELECT * FROM w_{name} WHERE x >= n)')}
 )"""
 
-    columns = ("c_acctbal", "c_mktsegment")
     joins = " ".join(f"JOIN w_{c} ON w_{c}.x = i.src AND w_{c}.x < w_{c}.n JOIN i AS i_{c} ON i_{c}.src = w_{c}.src" for c in columns)
     return f"""
 WITH RECURSIVE i AS (SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS src, * FROM customer),
 root AS (SELECT src, n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM i, (SELECT count(*) AS n FROM customer)),
 size AS (SELECT src, n, a, (n + a - 1) // a AS b FROM root),
 {', '.join(walk(c) for c in columns)}
-SELECT i.c_custkey, {', '.join(f'i_{c}.{c}' for c in columns)} FROM i {joins}"""
+SELECT i.c_custkey, {', '.join(f'i_{c}.{x} AS {c}' for c, x in columns.items())} FROM i {joins}"""
 
 
-def _lane_sql(key: str, name: str, lane: int) -> str:
+def _lane_sql(key: str, name: str, lane: int, seed: int = SEED) -> str:
     """40 bits of SHA-256 of 'seed|length:name|+key' ('-' for a NULL key): three draws in each 30 hex digits."""
-    digest = f"sha256('{SEED}|{len(name)}:{name}|' || coalesce('+' || ({key}), '-'))"
+    digest = f"sha256('{seed}|{len(name)}:{name}|' || coalesce('+' || ({key}), '-'))"
     pair, place = divmod(lane, 3)
     first, second = (f"('0x' || substr({digest}, {1 + 15 * (2 * pair + i)}, 15))::BIGINT" for i in (0, 1))
     return (f"({first} >> 20)", f"((({first} & 1048575) << 20) | ({second} >> 40))", f"({second} & 1099511627775)")[place]
@@ -1127,12 +1126,12 @@ def _substitute_consistent_sql() -> str:
             f"{pick(FIRST_NAMES, 0)} || ' ' || {pick(LAST_NAMES, 1)} END AS customer_alias FROM orders")
 
 
-def _u_sql(key: str, name: str, lane: int = 0) -> str:
-    return f"(({_lane_sql(key, name, lane)}::DOUBLE + 0.5) / 1099511627776.0)"
+def _u_sql(key: str, name: str, lane: int = 0, seed: int = SEED) -> str:
+    return f"(({_lane_sql(key, name, lane, seed)}::DOUBLE + 0.5) / 1099511627776.0)"
 
 
-def _laplace_sql(key: str, name: str, scale: str, lane: int = 0) -> str:
-    u = f"({_u_sql(key, name, lane)} - 0.5)"
+def _laplace_sql(key: str, name: str, scale: str, lane: int = 0, seed: int = SEED) -> str:
+    u = f"({_u_sql(key, name, lane, seed)} - 0.5)"
     return f"(sign({u}) * ln(1.0 - 2.0 * abs({u})) * -({scale}))"
 
 
@@ -1257,8 +1256,9 @@ ORACLE_SQL: dict[str, str] = {
     "k_anonymize": f"SELECT p_partkey, p_name, {O.gen_qi_str_sql('p_brand', 1)} AS p_brand, p_type, "
                    f"{O.gen_qi_num_sql('p_size', 1, 'INTEGER')} AS p_size, p_retailprice FROM part",
     "k_anonymize_suppress": _PART_K_SUPPRESS,
-    "equivalence_classes": "SELECT c_nationkey, c_mktsegment, count(*) AS class_size FROM customer "
-                           "GROUP BY c_nationkey, c_mktsegment",
+    "equivalence_classes": "SELECT c_nationkey, c_mktsegment, count(*) AS class_size, "
+                           f"substr(sha256({_key_sql('c_nationkey', 'c_mktsegment')}), 1, 32) AS class_id "
+                           "FROM customer GROUP BY c_nationkey, c_mktsegment",
     "l_check": f"""{_CUST_L_CLASSES}
         SELECT CASE WHEN count(*) = 0 THEN true ELSE min(d) >= {L} END AS satisfies,
                CAST(coalesce(min(d), 0) AS BIGINT) AS min_diversity FROM cls""",

@@ -101,15 +101,19 @@ class RunResult:
 
 def run(df: DataFrame, profile: Profile | dict, seed: int | None = None, output_path: str | None = None,
         output_format: str = "parquet", log_path: str | None = None, with_report: bool = False,
-        user: str | None = None) -> RunResult:
-    """The composite job (transforms -> k/l -> DP -> write -> run log -> report)."""
-    from ..operators.report import full_report
-    from ..sources.files import append_run_log, report_path_for, write_csv, write_parquet, write_report
+        user: str | None = None, profile_path: str | None = None) -> RunResult:
+    """The composite job (transforms -> k/l -> DP -> write -> run log -> report).
+
+    With a report and an output path, the report is written twice: nested as one JSON
+    document and in long form as a table. ``profile_path`` is named in the run log.
+    """
+    from ..operators.report import full_report, report_long
+    from ..sources.files import append_run_log, report_path_for, report_rows_path_for, write_csv, write_parquet, write_report
 
     prof = profile if isinstance(profile, Profile) else normalize(profile)
     seed = prof.seed if seed is None and prof.seed is not None else (fresh_seed() if seed is None else seed)
     events: list = [{"timestamp": _now(), "event_type": "PROFILE_LOAD",
-                     "details": {"columns_configured": len(prof.columns)}}]
+                     "details": {"profile_path": profile_path, "columns_configured": len(prof.columns)}}]
     out = apply_profile(df, prof, seed, events)
     res = RunResult(data=out, original=df, events=events)
     if prof.k_enabled:
@@ -166,6 +170,7 @@ def run(df: DataFrame, profile: Profile | dict, seed: int | None = None, output_
         res.report = rep
         if output_path:
             write_report(out.sparkSession, rep, report_path_for(output_path))
+            write_parquet(report_long(rep, out, list(prof.quasi_identifiers)), report_rows_path_for(output_path))
     summary = {"method": "PROFILE_BASED", "output_file": output_path}
     if res.kl_report:
         summary.update({k: res.kl_report[k] for k in ("original_records", "anonymized_records")})
@@ -174,5 +179,10 @@ def run(df: DataFrame, profile: Profile | dict, seed: int | None = None, output_
     for e in events:
         e.setdefault("user", user)
     if log_path:
+        # every transform covers all input rows
+        affected = res.kl_report["original_records"] if res.kl_report else df.count()
+        for e in events:
+            if e["event_type"] == "TRANSFORMATION":
+                e["details"]["records_affected"] = affected
         append_run_log(out.sparkSession, events, log_path)
     return res

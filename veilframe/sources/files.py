@@ -31,6 +31,28 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return reader.option("inferSchema", True).csv(path)
 
 
+def read_csv_split(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S1 with bad lines split off: ``(good rows, bad lines)`` in one file layout and no extra pass each.
+
+    A line is bad when it has too few or too many fields or a field that isn't of its
+    column's type. Bad lines come as ``(line, n_read)``: the raw text and how many of its
+    fields could be read. Quoted fields follow the CSV reader; an empty file gives two
+    empty frames.
+    """
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    bad_column = "_bad_line"
+    raw = (spark.read.option("header", header).option("nullValue", "").option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", bad_column)
+           .schema(StructType([*fields.fields, StructField(bad_column, StringType())])).csv(path))
+    names = [f.name for f in fields.fields]
+    n_read = F.size(F.array_compact(F.array(*[F.col(f"`{c}`").cast("string") for c in names])))
+    # always true, but it makes every scan parse all fields: a pruned one wouldn't be found bad
+    parsed = n_read >= 0
+    good = raw.where(F.col(bad_column).isNull() & parsed).select(*[F.col(f"`{c}`") for c in names])
+    bad = raw.where(F.col(bad_column).isNotNull() & parsed).select(F.col(bad_column).alias("line"), n_read.alias("n_read"))
+    return good, bad
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header, one file per partition, column order kept."""
     df.write.mode(mode).option("header", True).csv(path)
@@ -51,6 +73,11 @@ def report_path_for(output_path: str) -> str:
     return output_path[:-4] + "_report.json" if output_path.endswith(".csv") else output_path + "_report.json"
 
 
+def report_rows_path_for(output_path: str) -> str:
+    """Where the long form of the report goes, beside the JSON document."""
+    return report_path_for(output_path)[:-len(".json")] + "_rows"
+
+
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines audit log; malformed lines are skipped, a bad timestamp reads as NULL.
 
@@ -72,6 +99,21 @@ def stream_audit_log(spark: SparkSession, path: str) -> DataFrame:
                       "message.event_type", "message.user", "message.success", "message.details")
 
 
+def write_audit_table(log: DataFrame, path: str, mode: str = "append") -> None:
+    """An audit log as a table laid out by day (``day=...`` folders).
+
+    Rows are rebalanced by day first, which splits a hot day and joins small ones, so
+    a day has as many files as its size asks for. Entries without a time share a folder.
+    """
+    by_day = log.withColumn("day", F.to_date("ts")).hint("rebalance", "day")
+    by_day.write.mode(mode).partitionBy("day").parquet(path)
+
+
+def read_audit_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table of ``write_audit_table``, with its ``day`` partition column."""
+    return spark.read.parquet(path)
+
+
 def append_run_log(spark: SparkSession, entries: list[dict], path: str) -> None:
     """Append one small batch of run events (JSON lines, same layout as S4).
 
@@ -96,14 +138,15 @@ def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> Da
 def dataset_profile(df: DataFrame, approx_distinct: bool = False, rsd: float = 0.01) -> DataFrame:
     """Row count plus, per column, non-null and distinct counts, in one pass.
 
-    Columns are stacked as ``(column, value text)`` so one aggregation serves
-    all columns. The distinct count is exact (two-level aggregation), or a
+    Columns are stacked as ``(column, value digest)`` so one aggregation serves
+    all columns and a cell costs 16 bytes in the shuffle. The distinct count is exact (two-level aggregation), or a
     HyperLogLog estimate with ``approx_distinct=True`` - a fixed-size sketch
     per column instead of a shuffle of every distinct value.
     """
     cols = df.columns
+    from ..operators.metrics import value_digest
     stacked = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"))
+        F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), value_digest(F.col(c).cast("string")).alias("v"))
         for i, c in enumerate(cols)
     ])))
     per = stacked.groupBy("ordinal", "column_name").agg(
