@@ -2,8 +2,12 @@
 
 A file's own licence is the template with the highest cosine to one of its
 passages: its lines, its paragraphs, and for files named like a licence file the
-whole text. Only passages with a word that points to licensing are compared.
-Vectors are sparse TF-IDF over lower-cased words; document frequencies of the
+whole text. Passages that cannot reach the threshold are left out by two proven bounds.
+Words they share with a template must hold ``threshold**2`` of its squared weights
+(Cauchy-Schwarz), so without one of the template's telling words, whose removal leaves
+less, there is no match. With the words outside the templates counted as all different, the
+norm is at least ``sqrt(own + rare**2 * others)``. What stays is compared exactly; a
+file no passage of which reaches the threshold has score 0. Vectors are sparse TF-IDF over lower-cased words; document frequencies of the
 templates' words are counted over all files, other words weigh as the rarest.
 
 A file without a licence of its own inherits that of the nearest directory above
@@ -14,7 +18,7 @@ their directory reads checkpointed rows on one side, which lets adaptive
 execution split the hot directory.
 
 Null and empty texts have no licence of their own, null paths no directory
-above them. Ties go to the first template by name. Repeated rows each get
+above them. Ties of templates or passages go to the first template by name. Repeated rows each get
 their row; of several licence files in a directory the best score counts, ties
 by template name. Extra columns are ignored.
 """
@@ -53,11 +57,9 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-POINTERS = (b"licen", b"copyright", b"permission", b"permitted", b"public domain", b"redistribut", b"all copyright")
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 THRESHOLD = 0.6
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
-_BREAK = re.compile(rb"\n\s*\n")
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -96,18 +98,78 @@ class Weights:
             vector, norm = self._vector(_words(passage))
             if norm:
                 cosines = self.templates @ vector / norm
-                k = int(cosines.argmax())
-                if cosines[k] > score + 1e-12:
-                    name, score = TEMPLATES[k][0], float(cosines[k])
+                top = float(cosines.max())
+                first = min(TEMPLATES[k][0] for k in np.flatnonzero(cosines >= top - 1e-12))
+                if top > score + 1e-12 or (name is not None and top > score - 1e-12 and first < name):
+                    name, score = first, top
         return name, score
 
-
-def passages(text: bytes, whole: bool) -> list[bytes]:
-    """Lines and paragraphs that point to licensing, and the whole text of a licence file."""
-    found = {part: None for part in [*text.split(b"\n"), *_BREAK.split(text)] if any(p in part.lower() for p in POINTERS)}
-    if whole and text.strip():
-        found[text] = None
-    return list(found)
+    def telling(self, threshold: float) -> np.ndarray:
+        """The words one of which a passage needs to reach the threshold with any template."""
+        found = np.zeros(len(_VOCABULARY), bool)
+        for template in self.templates:
+            by_mass = np.argsort(template, kind="stable")
+            light = np.cumsum(template[by_mass] ** 2) < threshold**2 - 1e-9
+            found[by_mass[~light]] = True
+        return found
+
+    def may_reach(self, threshold: float, telling: np.ndarray, passage: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The passages whose cosine may reach the threshold; ``word`` is each word's number, -1 outside the templates."""
+        known = word >= 0
+        kept = np.unique(passage[known][telling[word[known]]])
+        if not len(kept):
+            return kept
+        inside = np.isin(passage, kept)
+        place, word = np.searchsorted(kept, passage[inside]), word[inside]
+        known = word >= 0
+        pairs, counts = np.unique(place[known] * len(_VOCABULARY) + word[known], return_counts=True)
+        at, which = np.divmod(pairs, len(_VOCABULARY))
+        weight = counts * self.idf[which]
+        others = np.bincount(place, minlength=len(kept)) - np.bincount(at, counts, len(kept))
+        norm = np.sqrt(np.bincount(at, weight**2, len(kept)) + self.rare**2 * others)
+        inner = np.max([np.bincount(at, weight * t[which], len(kept)) for t in self.templates], axis=0)
+        return kept[inner >= (threshold - 1e-9) * norm]
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all lines, each line's paragraph, and the paragraphs' starts and ends.
+
+    No line crosses a row; a paragraph is a run of lines that aren't blank.
+    """
+    breaks = np.flatnonzero(data == 10) + 1
+    starts = np.unique(np.concatenate([offsets[:-1], breaks]))
+    starts = starts[starts < len(data)]
+    ends = np.append(starts[1:], len(data))
+    visible = np.concatenate([[0], np.cumsum(tx.VISIBLE_BYTES[data])])
+    filled = visible[ends] > visible[starts]
+    before = np.concatenate([[False], filled[:-1]])
+    opens = filled & (np.isin(starts, offsets[:-1]) | ~before)
+    paragraph = np.cumsum(opens) - 1
+    lines = np.flatnonzero(filled)
+    last = lines[np.searchsorted(paragraph[lines], np.arange(int(opens.sum())), "right") - 1]
+    return starts, ends, paragraph, starts[opens], ends[last]
+
+
+_KNOWN = tx.span_hashes(*(lambda data, at: (data, at[:-1], at[1:]))(*tx.utf8(pa.array([w.decode() for w in _VOCABULARY]))))
+_BY_HASH = np.argsort(_KNOWN)
+
+
+def passages(weights: Weights, threshold: float, telling: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Spans of the lines and paragraphs that may reach the threshold, by row."""
+    starts, ends = tx.runs(data, offsets, tx.WORD_BYTES)
+    found: dict[int, list[tuple[int, int]]] = {}
+    if not len(starts):
+        return found
+    hashes = tx.span_hashes(data, starts, ends)
+    at = _BY_HASH[np.minimum(np.searchsorted(_KNOWN[_BY_HASH], hashes), len(_KNOWN) - 1)]
+    word = np.where(_KNOWN[at] == hashes, at, -1)
+    line_starts, line_ends, paragraph, first, last = _spans(data, offsets)
+    line = np.searchsorted(line_starts, starts, "right") - 1
+    spans = [(line_starts[i], line_ends[i]) for i in weights.may_reach(threshold, telling, line, word)]
+    spans += [(first[i], last[i]) for i in weights.may_reach(threshold, telling, paragraph[line], word)]
+    for lo, hi in dict.fromkeys((int(lo), int(hi)) for lo, hi in spans):
+        found.setdefault(int(tx.row_of(np.array(lo), offsets)), []).append((lo, hi))
+    return found
 
 
 def word_frequencies(files: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
@@ -116,10 +178,7 @@ def word_frequencies(files: DataFrame, text: str = "text") -> tuple[int, dict[st
     order = np.array(_VOCABULARY, object)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, offsets = tx.utf8(pa.array([w.decode() for w in _VOCABULARY]))
-        known = tx.span_hashes(data, offsets[:-1], offsets[1:])
-        by = np.argsort(known)
-        known = known[by]
+        by, known = _BY_HASH, _KNOWN[_BY_HASH]
         total = np.zeros(len(known), np.int64)
         rows = 0
         for batch in tx.slices(batches, "text"):
@@ -145,23 +204,20 @@ _OWN = tx.struct_of(("license", T.StringType()), ("score", T.DoubleType()))
 def _task(weights: Weights, threshold: float):
     name = re.compile(LICENSE_FILE)
 
+    telling = weights.telling(threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
             data, offsets = tx.utf8(batch.column("text"))
-            raw = data.tobytes()
-            low = raw.lower()
-            hinted = np.zeros(batch.num_rows, bool)
-            for pointer in POINTERS:
-                places = [m.start() for m in re.finditer(re.escape(pointer), low)]
-                hinted[tx.row_of(np.array(places, np.int64), offsets)] = True
+            spans = passages(weights, threshold, telling, data, offsets)
             names, scores = [], []
             for r, path in enumerate(batch.column("path").to_pylist()):
-                whole = path is not None and bool(name.match(path.rsplit("/", 1)[-1]))
-                found, score = (None, 0.0)
-                if hinted[r] or whole:
-                    found, score = weights.best(passages(raw[offsets[r] : offsets[r + 1]], whole))
+                parts = [data[lo:hi].tobytes() for lo, hi in spans.get(r, ())]
+                if path is not None and name.match(path.rsplit("/", 1)[-1]):
+                    parts.append(data[offsets[r] : offsets[r + 1]].tobytes())
+                found, score = weights.best(parts)
                 names.append(found if score >= threshold else None)
-                scores.append(score)
+                scores.append(score if score >= threshold else 0.0)
             yield [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
     return run
