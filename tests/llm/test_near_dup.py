@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -6,24 +7,27 @@ from pyspark.sql import functions as F
 
 from tests.llm.util import SF001, edge_rows, frame, words
 from veilframe.llm import near_dup as nd
+from veilframe.llm import scratch
 
 
-def kmers(text):
-    w, seen, out = words(text), {}, []
-    for i in range(max(1, len(w) - 4)) if w else []:
-        k = tuple(w[i : i + 5])
-        seen[k] = seen.get(k, 0) + 1
-        out.append((k, seen[k]))
-    return out
+def aligned(a, b):
+    """Longest common subsequence, cell by cell."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
 
 
-def jaccard(a, b):
-    a, b = set(a), set(b)
-    return len(a & b) / max(1, len(a | b))
+def alike(a, b, least=0.8):
+    """Aligned words are at least 0.8 of all words of both (never more than the words that both have)."""
+    need = least / (1 + least) * (len(a) + len(b)) - 1e-9
+    return bool(a and b) and (Counter(a) & Counter(b)).total() >= need and aligned(a, b) >= need
 
 
 def classes(rows):
-    """Connected documents by brute force: equal words, or labelled shingles alike by 0.8."""
+    """Connected documents by brute force over all pairs: word sequences alike by 0.8."""
     label = list(range(len(rows)))
 
     def find(i):
@@ -31,10 +35,10 @@ def classes(rows):
             i = label[i]
         return i
 
-    sets = [kmers(t) for _, t in rows]
+    texts = [words(t) for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= 0.8:
+            if find(i) != find(j) and alike(texts[i], texts[j]):
                 label[find(i)] = find(j)
     groups = {}
     for i, (doc, _) in enumerate(rows):
@@ -112,7 +116,7 @@ def shared_passage(pairs=150):
     passage = [f"p{i}" for i in range(261)]
     for k in range(pairs):
         own = [f"o{k}x{i}" for i in range(41)]
-        copy = list(own)
+        copy = list(own) + [f"m{k}x{i}" for i in range(k % 3 * 15)]  # of other lengths, too
         copy[rng.randrange(5, 36)] = f"e{k}"
         rows += [" ".join(passage + own), " ".join(passage + copy)]
     return rows
@@ -150,26 +154,78 @@ def test_parities_bound_the_difference():
             assert differ <= len(np.setxor1d(a, b)) and (differ == 0) == (len(np.setxor1d(a, b)) == 0)
 
 
+def test_alignment_equals_brute_force():
+    rng = random.Random(7)
+    for case in range(300):
+        vocabulary = rng.choice([3, 30, 2000])
+        a = [rng.randrange(vocabulary) for _ in range(rng.choice([1, 4, 40, 300]))]
+        b = list(a)
+        for _ in range(rng.randrange(1 + len(a) // 6)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = rng.choices(range(vocabulary), k=rng.randrange(3))
+            b = b or [0]
+        if case % 5 == 0:
+            rng.shuffle(b)
+        need = int(np.ceil(0.8 / 1.8 * (len(a) + len(b)) - 1e-9))
+        true = aligned(a, b)
+        if need <= min(len(a), len(b)):
+            got = nd.common(a, b, need)
+            assert got <= true and (got == true or true < need)
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        marked = [nd.labelled(v, np.array([0, len(v)])) for v in (x, y)]
+        assert nd.alike(x, y, *marked) == (true >= need), (case, true, need)
+
+
 def test_alignment_follows_order():
+    def alike(a, b):
+        return nd.alike(a, b, *[nd.labelled(v, np.array([0, len(v)])) for v in (a, b)])
+
     a = np.arange(100, dtype=np.uint64)
-    assert nd.aligned(a, a) == 1.0
-    assert nd.aligned(a, np.concatenate([a[50:], a[:50]])) < 0.8  # the same k-mers in another order
+    assert alike(a, a) and not alike(a, np.concatenate([a[50:], a[:50]]))  # the same words in another order
     b = a.copy()
-    b[[10, 50]] = [1000, 1001]
-    assert abs(nd.aligned(a, b) - 98 / 102) < 1e-9
-    b[[3, 4]] = b[[4, 3]]
-    assert abs(nd.aligned(a, b) - 97 / 103) < 1e-9
+    b[::10] = np.arange(1000, 1010, dtype=np.uint64)
+    assert alike(a, b)  # 90 of 110
+    b[1::10] = np.arange(2000, 2010, dtype=np.uint64)
+    assert not alike(a, b)
+    assert not alike(a[:0], a[:0])
+    wide = np.arange(60_000, dtype=np.uint64) % 977  # long texts whose words repeat
+    assert alike(wide, wide[3000:]) and not alike(wide, wide[::-1])
+
+
+def test_recall_by_edited_share(spark):
+    """Texts of 60 to 900 words and one copy each, with a share of the words replaced, deleted or inserted."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    for share in (0.01, 0.03, 0.05, 0.1):
+        rows = []
+        for k in range(60):
+            base = rng.choices(vocabulary, k=rng.choice([60, 200, 900]))
+            copy = list(base)
+            for at in sorted(rng.sample(range(len(base)), max(1, int(share * len(base)))), reverse=True):
+                kind = rng.randrange(4)
+                copy[at : at + (kind != 1)] = [] if kind == 0 else [rng.choice(vocabulary)]
+            rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        of = {r.doc_id: r.class_id for r in run(spark, frame(spark, rows))}
+        assert sum(of[2 * k] == of[2 * k + 1] for k in range(60)) >= 54, share
+        assert all(c in (d, d - d % 2) for d, c in of.items())
+
+
+def test_classes_dont_depend_on_partitions(spark, monkeypatch):
+    rows = list(enumerate(without_original(60) + shared_passage(30)))
+    one = grouped(run(spark, frame(spark, rows).coalesce(1)))
+    monkeypatch.setattr(nd, "MANY_PAIRS", 5)
+    assert grouped(run(spark, frame(spark, rows).repartition(5).checkpoint())) == one
 
 
 def test_equal_sketches_need_equal_order():
     text = " ".join(f"a{i}" for i in range(30))
-    labelled, offsets, _, _ = nd.kmers(pa.array([text, text.upper(), " ".join(reversed(text.split()))]))
-    s = nd.sketches(labelled, offsets)
+    words, first = nd.word_hashes(pa.array([text, text.upper(), " ".join(reversed(text.split()))]))
+    s = nd.sketches(*nd.kmers(words, first))
     assert (s[0] == s[1]).all() and not (s[0] == s[2]).any()
 
 
 def test_connect_joins_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 20) if i != 9], "a long, b long")
     labels = spark.range(25).select(F.col("id").alias("row"), F.struct(F.lit(False).alias("none"), F.col("id").alias("doc_id"), F.col("id").alias("row")).alias("label"))
-    got = {r.row: r.label.doc_id for r in nd.connect(links, labels).collect()}
+    got = {r.row: r.label.doc_id for r in nd.connect(links, labels, scratch.folder(spark, "links")).collect()}
     assert got == {i: 0 if i <= 9 else 10 for i in range(21)}
