@@ -359,16 +359,18 @@ def _left_open(shared: DataFrame, classes: DataFrame, texts: DataFrame, least: f
     label = classes.select("row", F.col("label.row").alias("label"))
     known = shared.join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))
     weight = F.sum(F.least(F.col("n") / 2, F.lit(PARITY_BITS[1] / 8)) + 24)
+    step = max(LENGTHS, 1.001 / least)
+    known = known.withColumn("cut", F.floor(F.log("n") / float(np.log(step))))
+    # a bucket has as many cuts as there are lengths on a logarithmic scale
+    cuts = known.groupBy("band", "sketch", "cut").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), weight.alias("weight"))
+    blocks = F.map_from_entries(F.collect_list(F.struct("cut", F.ceil(F.col("weight") / BLOCK_BYTES))))
+    mixed = cuts.groupBy("band", "sketch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("size").alias("size"), (F.sum("weight") > BLOCK_BYTES).alias("large"), blocks.alias("blocks"))
     # the nodes of a bucket of two have met as node and representative
-    mixed = known.groupBy("band", "sketch").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), (weight > BLOCK_BYTES).alias("large"))
-    mixed = mixed.where("size > 2 and lo < hi").select("band", "sketch", "large").checkpoint()
+    mixed = mixed.where("size > 2 and lo < hi").select("band", "sketch", "large", "blocks").checkpoint()
     if mixed.isEmpty():
         return None
-    step = max(LENGTHS, 1.001 / least)
-    cut = F.when(F.col("large"), F.floor(F.log("n") / float(np.log(step)))).otherwise(F.lit(0))
-    members = known.join(mixed, ["band", "sketch"]).withColumn("cut", cut).checkpoint()
-    blocks = members.groupBy("band", "sketch", "cut").agg(F.ceil(weight / BLOCK_BYTES).alias("blocks"))
-    members = members.join(blocks, ["band", "sketch", "cut"]).withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
+    members = known.join(mixed, ["band", "sketch"]).withColumn("block", F.when(F.col("large"), F.pmod(F.xxhash64("row"), F.col("blocks")[F.col("cut")])).otherwise(0))
+    members = members.withColumn("cut", F.when(F.col("large"), F.col("cut")).otherwise(0)).drop("blocks")
     members = members.withColumn("key", F.xxhash64("band", "sketch", "cut", "block")).checkpoint()
     chosen = sized_join(texts, members.select("row").distinct(), ["row"], "left_semi")
     parity = chosen.select("row", "text").mapInArrow(_parity, _PARITY)
@@ -389,16 +391,16 @@ def _left_open(shared: DataFrame, classes: DataFrame, texts: DataFrame, least: f
     return _kept(pairs.distinct(), folder)
 
 
-def _settle(links: DataFrame, classes: DataFrame, labels: DataFrame, pairs: DataFrame, texts: DataFrame, least: float, folder: str) -> DataFrame:
+def _settle(classes: DataFrame, labels: DataFrame, pairs: DataFrame, texts: DataFrame, least: float, folder: str) -> DataFrame:
     """The classes with all ``pairs`` decided: verified, unless their rows are in one class by then."""
     part = None
     while part != 1:
         of = classes.select("row", F.col("label.row").alias("label"))
-        apart = pairs
+        apart = pairs.select("a", "b")
         for end in ("a", "b"):
             apart = apart.join(of.withColumnsRenamed({"row": end, "label": f"label_{end}"}), end, "left")
-        apart = apart.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-        apart = _kept(apart, folder)
+        apart = apart.select("a", "b", *[F.coalesce(f"label_{end}", end).alias(f"label_{end}") for end in ("a", "b")])
+        apart = _kept(apart.where("label_a != label_b"), folder)
         n = apart.count()
         if not n:
             break
@@ -408,8 +410,12 @@ def _settle(links: DataFrame, classes: DataFrame, labels: DataFrame, pairs: Data
         rows = chosen.select(F.col("a").alias("row")).unionAll(chosen.select("b")).distinct()
         more = _verified(chosen, sized_join(texts, rows, ["row"], "left_semi").checkpoint(), least)
         if not more.isEmpty():
-            links = _kept(links.unionAll(more), folder)
-            classes = connect(links, labels, folder)
+            # the new links join whole classes, so only these take part in the rounds
+            merged = connect(more.join(apart, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), labels, folder)
+            known = classes.unionAll(merged.join(classes.select("row"), "row", "left_anti"))
+            heads = merged.select(F.col("row").alias("head"), F.col("label").alias("further"))
+            known = known.withColumn("head", F.col("label.row")).join(heads, "head", "left")
+            classes = _kept(known.select("row", F.coalesce("further", "label").alias("label")), folder)
     return classes
 
 
@@ -461,7 +467,7 @@ def _classes(numbered: DataFrame, least: float) -> DataFrame:
     classes = connect(links, labels, folder)
     pairs = _left_open(shared, classes, texts, least, folder)
     if pairs is not None:
-        classes = _settle(links, classes, labels, pairs, texts, least, folder)
+        classes = _settle(classes, labels, pairs, texts, least, folder)
     label = F.coalesce("label", "head")
     known = nodes.select("row", "node", "head", "copies").join(classes, "row", "left").select(
         "node",
