@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions import checks
-from veilframe.functions.patterns import DANGEROUS_PATTERNS, SQL_INJECTION_PATTERNS, XSS_PATTERNS
+from veilframe.functions.patterns import (
+    DANGEROUS_PATTERNS, SQL_INJECTION_PATTERNS, XSS_PATTERNS, required_literals,
+)
 from veilframe.operators import scan
 
 # The attack strings that the scans have to flag.
@@ -76,6 +78,19 @@ def test_java_dialect_matches_python_re(spark, kind, pats, pyfn):
         assert got[i] == (pyfn(s), exp_n), (kind, s)
 
 
+def test_required_literals_are_in_every_match():
+    assert required_literals(SQL_INJECTION_PATTERNS[0]) == [("'",), ("or", "and"), ("=",)]
+    assert required_literals(SQL_INJECTION_PATTERNS[1]) == [("--", "#", "/*", "*/")]
+    assert required_literals(r"a?b*[^c]+\w(x|)(yz)+") == [("yz",)]
+    for kind, pats in scan.PATTERN_SETS.items():
+        for p in pats:
+            assert required_literals(p), (kind, p)
+            for s in TRICKY + SQL_ATTACKS + XSS_ATTACKS + _random_strings(2000, 3):
+                if re.search(p, s, re.IGNORECASE):
+                    low = s.translate(str.maketrans("\u0130\u0131\u017f\u212a", "iisk")).lower()
+                    assert all(any(x in low for x in group) for group in required_literals(p)), (p, s)
+
+
 def test_pattern_counts(spark):
     df = spark.createDataFrame([(s,) for s in SQL_ATTACKS], "s string")
     counts = {r.pattern_id: r.n_rows for r in scan.pattern_counts(df, "s", "sql_injection").collect()}

@@ -10,6 +10,8 @@ matcher the same meaning, independently of the JDK's own ``\\b`` definition.
 
 from __future__ import annotations
 
+import re
+
 # ---------------------------------------------------------------------------
 # Fixed values (must match the reference exactly).
 # ---------------------------------------------------------------------------
@@ -129,3 +131,37 @@ def any_of(patterns: list[str], first: str | None = None) -> str:
     body = "|".join(f"(?:{p})" for p in patterns)
     return f"(?={first})(?:{body})" if first else body
 
+
+
+def required_literals(pattern: str) -> list[tuple[str, ...]]:
+    """Lower-case literals that every match of ``pattern`` holds: one of each tuple.
+
+    Read off the parsed pattern: runs of plain characters, one run of each
+    alternative, and what is repeated at least once. Anything else demands nothing.
+    """
+    return _required(re._parser.parse(pattern, re.IGNORECASE))
+
+
+def _required(items) -> list[tuple[str, ...]]:
+    found, run = [], ""
+    for op, value in items:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(value).lower()
+            continue
+        if name == "AT":  # takes no characters, so the run goes on
+            continue
+        found, run = [*found, *([(run,)] if run else [])], ""
+        if name == "SUBPATTERN":
+            found += _required(value[-1])
+        elif name == "MAX_REPEAT" and value[0] > 0:
+            found += _required(value[2])
+        elif name == "IN" and all(str(kind) == "LITERAL" for kind, _ in value):
+            found.append(tuple(chr(c).lower() for _, c in value))
+        elif name == "BRANCH":
+            ways = [_required(way) for way in value[1]]
+            if all(ways):
+                # the rarest of each: its longest, by the shortest of its alternatives
+                best = [max(way, key=lambda group: min(map(len, group))) for way in ways]
+                found.append(tuple(literal for group in best for literal in group))
+    return [*found, *([(run,)] if run else [])]

@@ -13,13 +13,14 @@ key is needed, and nothing is parsed in Python.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.patterns import (
-    DANGEROUS_FIRST, DANGEROUS_PATTERNS, SQL_INJECTION_FIRST, SQL_INJECTION_PATTERNS, XSS_FIRST, XSS_PATTERNS,
-    any_of, to_java,
+    DANGEROUS_PATTERNS, SQL_INJECTION_PATTERNS, XSS_PATTERNS, required_literals, to_java,
 )
 
 PATTERN_SETS = {
@@ -27,7 +28,6 @@ PATTERN_SETS = {
     "xss": XSS_PATTERNS,
     "dangerous": DANGEROUS_PATTERNS,
 }
-FIRST_CHARS = {"sql_injection": SQL_INJECTION_FIRST, "xss": XSS_FIRST, "dangerous": DANGEROUS_FIRST}
 
 JSON_MAX_BYTES = 1024 * 1024
 JSON_MAX_DEPTH = 10
@@ -36,26 +36,44 @@ JSON_MAX_DEPTH = 10
 def scan(df: DataFrame, text_col: str, kind: str, keep: list[str] | None = None) -> DataFrame:
     """Per-row scan: ``hit`` (any pattern) and ``n_patterns`` (how many patterns occur).
 
-    One combined regex pass decides ``hit``; the patterns are counted one by
-    one only on matching rows (``CASE WHEN`` evaluates lazily), so clean text
-    is decoded and scanned once.
+    A pattern's regex runs only on texts that hold its required literals
+    (``CASE WHEN`` evaluates lazily), so clean text is searched for plain
+    strings, not matched.
     """
-    pats = PATTERN_SETS[kind]
-    text = F.col(text_col)
-    hit = text.rlike(to_java(any_of(pats, FIRST_CHARS[kind])))
-    flags = [F.when(text.rlike(to_java(p)), F.lit(1)).otherwise(F.lit(0)) for p in pats]
-    n = flags[0]
-    for f in flags[1:]:
-        n = n + f
     keep = keep if keep is not None else [c for c in df.columns if c != text_col]
-    return df.select(*keep, F.coalesce(hit, F.lit(False)).alias("hit"),
-                     F.when(hit, n).otherwise(F.lit(0)).alias("n_patterns"))
+    # positions as names: added columns can't clash
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
+    flags = _pattern_flags(rows.withColumn("folded", folded("text")), kind)
+    n = sum((F.col(f"p{i}").cast("int") for i in range(len(PATTERN_SETS[kind]))), F.lit(0))
+    counted = flags.withColumn("n", n)
+    return counted.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], (F.col("n") > 0).alias("hit"), F.col("n").alias("n_patterns"))
+
+
+def folded(text) -> Column:
+    """Lower case, with the four other letters that case-fold onto i, s and k made these."""
+    text = F.col(text) if isinstance(text, str) else text
+    for letter, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
+
+
+def _pattern_flags(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` (text, folded) with a flag ``p<i>`` for each pattern that the text holds (False for NULL)."""
+    flags = {}
+    for i, pattern in enumerate(PATTERN_SETS[kind]):
+        gate = F.lit(True)
+        for group in required_literals(pattern):
+            holds = [F.contains(F.col("folded"), F.lit(literal)) for literal in group]
+            gate = gate & reduce(Column.__or__, holds)
+        flags[f"p{i}"] = F.when(gate, F.coalesce(F.col("text").rlike(to_java(pattern)), F.lit(False))).otherwise(F.lit(False))
+    return rows.withColumns(flags)
 
 
 def pattern_counts(df: DataFrame, text_col: str, kind: str) -> DataFrame:
     """Rows matching each pattern: ``(pattern_id, pattern, n_rows)`` from one aggregation."""
     pats = PATTERN_SETS[kind]
-    row = df.agg(*[F.count_if(F.col(text_col).rlike(to_java(p))).alias(f"p{i}") for i, p in enumerate(pats)])
+    rows = df.select(F.col(text_col).alias("text")).withColumn("folded", folded("text"))
+    row = _pattern_flags(rows, kind).agg(*[F.count_if(F.col(f"p{i}")).alias(f"p{i}") for i in range(len(pats))])
     return row.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("pattern_id"), F.lit(p).alias("pattern"), F.col(f"p{i}").alias("n_rows"))
         for i, p in enumerate(pats)
