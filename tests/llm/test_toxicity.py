@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,32 @@ def test_gradients_are_those_of_the_loss():
         assert abs((up - down) / 2e-2 - grads[name][index]) < 2e-3
 
 
+def test_words_do_not_depend_on_the_parts(monkeypatch):
+    texts = pa.array([*corpus(40, 5)[0], None, "", "... !!!", "Kana " * 300, "é" * 700, "kana"])
+    monkeypatch.setattr(x, "PART_BYTES", 1 << 30)
+    whole = x.Words(texts)
+    for size in (1, 500, 5000):
+        monkeypatch.setattr(x, "PART_BYTES", size)
+        parts = x.Words(texts)
+        for name, value in vars(whole).items():
+            got = getattr(parts, name)
+            assert got.dtype == value.dtype and np.array_equal(got, value), name
+    assert len(x.Words(pa.array(["... !!!", None])).hashes) == 0
+
+
+def test_words_of_many_texts_take_little_memory(monkeypatch):
+    """Training holds all its texts' words in the driver: some bytes for each byte of text, not dozens."""
+    texts = pa.array([" ".join(f"w{(7 * i + j) % 5000}" for j in range(1500)) for i in range(700)])
+    monkeypatch.setitem(x.tx._powers, "up", np.ones(1, np.uint64))
+    monkeypatch.setitem(x.tx._powers, "down", np.ones(1, np.uint64))
+    tracemalloc.start()
+    words = x.Words(texts)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(words.hashes) == 5000
+    assert peak < 16 * texts.nbytes and kept < 8 * texts.nbytes
+
+
 def test_edge_cases_and_all_windows(spark, model):
     clean = " ".join(["kana loso mivu"] * 2000)
     rows = [*edge_rows("kana teza"), (8, clean + " glarb glarb"), (9, clean)]

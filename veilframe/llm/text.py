@@ -7,6 +7,8 @@ numpy, a bounded slice of rows at a time, so no per-character Python runs.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, min(1 << n.bit_length(), SLICE_BYTES + 1))
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -126,6 +128,14 @@ def spread(lo: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (ends - counts), counts) + np.arange(total)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, which a long-lived process (the driver) would hold on to otherwise."""
+    pa.default_memory_pool().release_unused()
+    # the C library keeps freed pieces between used ones; only glibc has this call
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def annotate(
     docs: DataFrame,
     inputs: dict[str, tuple[str, object]],

@@ -38,38 +38,57 @@ SEED = 9
 RESULT = tx.struct_of(("score", T.DoubleType()))
 #: Windows scored at a time.
 CHUNK = 4096
+#: Bytes of text whose words are found at a time.
+PART_BYTES = 500_000
 
 
 class Words:
-    """The words of some texts: distinct ones with their n-grams, and the windows over them."""
+    """The words of some texts: distinct ones with their n-grams, and the windows over them.
+
+    Bytes are read ``PART_BYTES`` at a time, so that many texts take little more than their words.
+    """
 
     def __init__(self, texts: pa.Array):
-        data, offsets = tx.utf8(texts)
-        starts, ends = tx.runs(data, offsets, tx.WORD_BYTES)
-        hashes = tx.span_hashes(data, starts, ends)
-        self.hashes, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        self._grams(data, starts[first], ends[first])
-        counts = np.bincount(tx.row_of(starts, offsets), minlength=len(texts))
+        known = np.zeros(0, np.uint64)
+        hashes, counts = [known], [np.zeros(0, np.int64)]
+        new, gram_rows, gram_counts = [known], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for part in tx.slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", PART_BYTES):
+            data, offsets = tx.utf8(part.column("text"))
+            starts, ends = tx.runs(data, offsets, tx.WORD_BYTES)
+            hashes.append(tx.span_hashes(data, starts, ends))
+            counts.append(np.bincount(tx.row_of(starts, offsets), minlength=part.num_rows))
+            distinct, first = np.unique(hashes[-1], return_index=True)
+            unseen = ~np.isin(distinct, known, assume_unique=True)
+            new.append(distinct[unseen])
+            known = np.union1d(known, new[-1])
+            starts, ends = starts[first[unseen]], ends[first[unseen]]
+            # n-grams of each word met first here, word by word, some thousand words at a time
+            for a in range(0, len(starts), 10_000):
+                rows, sizes = _gram_rows(data, starts[a : a + 10_000], ends[a : a + 10_000])
+                gram_rows.append(rows)
+                gram_counts.append(sizes)
+        self.hashes = known
+        self._in_order(np.concatenate(new), np.concatenate(gram_rows), np.concatenate(gram_counts))
+        counts = np.concatenate(counts)
         begin = np.concatenate([[0], np.cumsum(counts)])
         windows = np.maximum(1, -(-np.maximum(counts - STEPS, 0) // STRIDE) + 1)
         self.row = np.repeat(np.arange(len(texts)), windows)
         self.first_window = np.concatenate([[0], np.cumsum(windows)])
         at = begin[self.row] + (np.arange(len(self.row)) - self.first_window[self.row]) * STRIDE
-        place = at[:, None] + np.arange(STEPS)
-        inside = place < begin[self.row + 1][:, None]
         # distinct word number of each window place; the number after the last is padding
-        which = np.concatenate([which, [len(self.hashes)]])
-        self.windows = which[np.where(inside, place, len(which) - 1)].astype(np.int32)
-
-    def _grams(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Table rows of the n-grams of each distinct word, word by word, some thousand words at a time."""
-        parts, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for a in range(0, len(starts), 10_000):
-            rows, sizes = _gram_rows(data, starts[a : a + 10_000], ends[a : a + 10_000])
-            parts.append(rows)
-            counts.append(sizes)
-        self.gram_row = np.concatenate(parts)
-        self.n_grams = np.concatenate(counts).astype(np.float32)
+        which = np.concatenate([*[np.searchsorted(known, x) for x in hashes], [len(known)]]).astype(np.int32)
+        self.windows = np.empty((len(at), STEPS), np.int32)
+        for a in range(0, len(at), CHUNK):
+            place = at[a : a + CHUNK, None] + np.arange(STEPS)
+            inside = place < begin[self.row[a : a + CHUNK] + 1][:, None]
+            self.windows[a : a + CHUNK] = which[np.where(inside, place, len(which) - 1)]
+
+    def _in_order(self, words: np.ndarray, gram_rows: np.ndarray, gram_counts: np.ndarray) -> None:
+        """Table rows of the distinct words and of their n-grams, in the order of ``hashes``."""
+        order = np.argsort(words)
+        begins = np.cumsum(gram_counts) - gram_counts
+        self.gram_row = gram_rows[tx.spread(begins[order], gram_counts[order])]
+        self.n_grams = gram_counts[order].astype(np.float32)
         self.word_row = (tx.mix(self.hashes) % np.uint64(WORD_ROWS)).astype(np.int64)
 
 
@@ -122,10 +141,14 @@ class Model:
                 out[a:b] = self.p["words"][words.word_row[a:b]] + sums / words.n_grams[a:b, None] * 3
         return out
 
-    def _inputs(self, terms: np.ndarray, windows: np.ndarray):
-        """Gate terms of both directions, step by step, from (distinct, 6 * hidden) terms."""
+    def _halves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gate terms (distinct, 3 * hidden) of each direction."""
+        terms, size = vectors @ self.p["W"] + self.p["b"], 3 * HIDDEN
+        return np.ascontiguousarray(terms[:, :size]), np.ascontiguousarray(terms[:, size:])
+
+    def _inputs(self, halves: tuple[np.ndarray, np.ndarray], windows: np.ndarray):
+        """Gate terms of both directions, step by step."""
         size = 3 * HIDDEN
-        halves = np.ascontiguousarray(terms[:, :size]), np.ascontiguousarray(terms[:, size:])
         columns = np.ascontiguousarray(windows.T)
 
         def at(t: int) -> np.ndarray:
@@ -145,11 +168,11 @@ class Model:
         return both, weights, pooled, pooled @ self.p["w"] + self.p["c"][0]
 
     def logits(self, words: Words) -> np.ndarray:
-        terms = self.vectors(words) @ self.p["W"] + self.p["b"]
+        halves = self._halves(self.vectors(words))
         out = np.empty(len(words.windows), np.float32)
         for a in range(0, len(out), CHUNK):
             part = words.windows[a : a + CHUNK]
-            states = gru.forward(self._inputs(terms, part), STEPS, self.p["U"])
+            states = gru.forward(self._inputs(halves, part), STEPS, self.p["U"])
             out[a : a + CHUNK] = self._pool(states, part, len(words.hashes))[3]
         return out
 
@@ -166,8 +189,7 @@ class Model:
         used, places = np.unique(windows, return_inverse=True)
         places = places.reshape(windows.shape)
         vectors, grams, owner = self._some_vectors(words, used)
-        terms = vectors @ self.p["W"] + self.p["b"]
-        states, tape = gru.forward(self._inputs(terms, places), STEPS, self.p["U"], keep=True)
+        states, tape = gru.forward(self._inputs(self._halves(vectors), places), STEPS, self.p["U"], keep=True)
         both, attention, pooled, logit = self._pool(states, windows, pad)
         d_logit = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) * weights / weights.sum()).astype(np.float32)
         d_pooled = d_logit[:, None] * self.p["w"]
@@ -279,7 +301,10 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model | None:
     rows = training_rows(docs, labels, **options)
     if len({y for _, y in rows}) < 2:
         return None
-    return train([t for t, _ in rows], [y for _, y in rows])
+    model = train([t for t, _ in rows], [y for _, y in rows])
+    rows.clear()
+    tx.give_back()
+    return model
 
 
 def _task(model: Model | None):
